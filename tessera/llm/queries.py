@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import exactdup, maxent, neardup, packing, pieces, tokenfile
+from . import exactdup, maxent, merkle, neardup, packing, pieces, quality, secrets, tokenfile, toxicity
 
 BYTE_BPE, WORD_BPE, PIECES = "byte_bpe_50k.json", "word_bpe_49k.json", "piece_bpe_32k.model"
 
@@ -16,11 +17,39 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_merkle_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The archive of all pages against a replica of it with faults: on a page whose CRC-32 of
+    its URL is 5 modulo 64 a byte of the body is another, where it is 7 the record is gone."""
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    fault = F.pmod(F.crc32(F.coalesce("url", F.lit(""))), F.lit(64))
+    index = merkle.stage(merkle.placed(merkle.records(pages)), "index")
+    damaged = pages.withColumn("html", F.when(fault == 5, F.concat(F.lit("~"), F.expr("substring(html, 2)"))).otherwise(F.col("html"))).where(fault != 7)
+    found = merkle.records(damaged).select("key", F.col("length").alias("found_length"), F.col("sha").alias("found_sha"))
+    replica = index.select("key", "offset").join(found, "key", "left").drop("key")
+    return merkle.audit(index, replica)
+
+
+def toxicity_chain(spark: SparkSession, sf_dir: str, docs: DataFrame) -> toxicity.Chain:
+    """The labels have two categories: of low quality, and toxic."""
+    labels = table(spark, sf_dir, "labels").selectExpr("doc_id", "1 - quality AS low_quality", "toxic")
+    return toxicity.fit(docs, labels, ["low_quality", "toxic"])
+
+
+def op2_toxicity_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.scores(docs, toxicity_chain(spark, sf_dir, docs)).withColumn("kept", ~F.col("toxic"))
+
+
 def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder, manifest = tokenfile.token_files(table(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_BPE), 2)
     return tokenfile.read(spark, folder, manifest)
 
 
+def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return secrets.digest(secrets.scan(docs, secrets.fit(docs)))
+
+
 def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.classes(table(spark, sf_dir, "documents"))
 
@@ -29,6 +58,11 @@ def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exactdup.decisions(table(spark, sf_dir, "documents"))
 
 
+def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return quality.judge(docs, quality.learn(docs, table(spark, sf_dir, "labels")))
+
+
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path(WORD_BPE))
 
@@ -42,7 +76,8 @@ def op10_sampled_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_token_files, op5_near_dedup, op6_exact_dedup, op8_best_fit_packing, op9_maxent_scores, op10_sampled_pieces)}
+    made = (op1_merkle_audit, op2_toxicity_chain, op3_token_files, op4_secret_scan, op5_near_dedup, op6_exact_dedup, op7_quality_rules, op8_best_fit_packing, op9_maxent_scores, op10_sampled_pieces)
+    return {f.__name__: f for f in made}
 
 
 def oracle_sql() -> dict[str, str]:
