@@ -16,30 +16,28 @@ def strategies(spark) -> DataFrame:
     return spark.createDataFrame(rows, "intent string, lexical_weight double, semantic_weight double, graph_weight double, graph_depth int, top_k int, use_graph boolean, reverse boolean, edge_types array<string>")
 
 
-def hits(query: Column) -> dict[str, Column]:
-    return {name: count_matches(query, spec["rules"], ignore_case=True) for name, spec in fixed.INTENTS.items()}
+def hits(query: Column) -> Column:
+    """How many rules of each intent match, in order of declaration."""
+    return F.array(*[count_matches(query, spec["rules"], ignore_case=True) for spec in fixed.INTENTS.values()])
 
 
 def by_rules(query: Column) -> Column:
     """The intent with the most rules that match, the first of them on a tie; null without any."""
-    found = hits(query)
-    most, out = F.greatest(*found.values()), None
-    for name, n in found.items():
-        test = (n == most) & (most > 0)
-        out = F.when(test, name) if out is None else out.when(test, name)
-    return out
+    names = F.array(*[F.lit(n) for n in fixed.INTENTS])
+    # a variable of a lambda, so that the counts are worked out once
+    chosen = lambda h: F.when(F.array_max(h) > 0, F.element_at(names, F.array_position(h, F.array_max(h)).cast("int")))
+    return F.get(F.transform(F.array(hits(query)), chosen), 0)
 
 
 def confidence(query: Column, intent: Column) -> Column:
     """From the share of rules that match, their number, and keywords; 1 at most."""
-    out = None
-    for name, spec in fixed.INTENTS.items():
-        n, low, words = count_matches(query, spec["rules"], ignore_case=True), F.lower(query), F.lit(0)
-        for k in spec["keywords"]:
-            words = words + F.when(low.contains(k), 1).otherwise(0)
-        value = F.least(F.lit(1.0), n / len(spec["rules"]) + F.least(F.lit(0.4), words * 0.15) + F.least(F.lit(0.4), n * 0.2))
-        out = F.when(intent == name, value) if out is None else out.when(intent == name, value)
-    return out
+    names = F.array(*[F.lit(n) for n in fixed.INTENTS])
+    rules = F.array(*[F.lit(len(s["rules"])) for s in fixed.INTENTS.values()])
+    keywords = F.array(*[F.array(*[F.lit(k) for k in s["keywords"]]) for s in fixed.INTENTS.values()])
+    at = (F.array_position(names, intent) - 1).cast("int")
+    words = F.size(F.filter(F.get(keywords, at), lambda k: F.lower(query).contains(k)))
+    rated = lambda h: F.least(F.lit(1.0), F.get(h, at) / F.get(rules, at) + F.least(F.lit(0.4), words * 0.15) + F.least(F.lit(0.4), F.get(h, at) * 0.2))
+    return F.get(F.transform(F.array(hits(query)), rated), 0)
 
 
 def route(queries: DataFrame, key: str = "query_id", text: str = "query", encode=None, override: str | None = None) -> DataFrame:

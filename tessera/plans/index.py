@@ -32,12 +32,13 @@ def index(store: Store, root: str, config: dict | None = None, encode=hashed_enc
         old = cascade({n: store.read(n) for n in names}, gone)
         new = new_tables(changed, config, encode, model, plugins, compat)
         for n in ("files", "chunks", "postings", "symbols", "embeddings", "api_calls"):
-            store.write(n, cut(old[n].select(store.read(n).columns).unionByName(new[n].select(store.read(n).columns))))
+            store.write(n, old[n].select(store.read(n).columns).unionByName(new[n].select(store.read(n).columns)), keep=True)
         made = new["chunks"].count()
         chunks, files = store.read("chunks"), store.read("files")
         edges, routes = extract.edges_and_routes(files, chunks, store.read("symbols"), compat)
-        store.write("graph_edges", cut(edges))
-        store.write("routes", cut(routes))
+        store.write("graph_edges", edges, keep=True)
+        store.write("routes", routes, keep=True)
+        store.sweep()  # until here the old versions were read
     store.forget()
     store.set_metadata("last_indexed", str(int(time.time())))
     store.set_metadata("root", root)

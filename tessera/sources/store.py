@@ -99,8 +99,8 @@ class Store:
         schema, at = TABLES[name][0], self._current(name)
         return self.spark.read.schema(schema).parquet(f"{self.folder}/{name}/{at}") if at else self.spark.createDataFrame([], schema)
 
-    def write(self, name: str, df: DataFrame) -> None:
-        """A new version; the one before it goes once the name is set."""
+    def write(self, name: str, df: DataFrame, keep: bool = False) -> None:
+        """A new version; the one before it goes once the name is set, or with ``sweep`` if kept."""
         old, new = self._current(name), f"v-{uuid.uuid4().hex}"
         columns = [c.split()[0] for c in TABLES[name][0].split(", ")]
         df.select(columns).write.parquet(f"{self.folder}/{name}/{new}")
@@ -108,9 +108,18 @@ class Store:
         out = fs.create(p, True)
         out.write(bytearray(new.encode()))
         out.close()
-        if old:
+        if old and not keep:
             fs.delete(self._fs(f"{self.folder}/{name}/{old}")[1], True)
 
+    def sweep(self) -> None:
+        """Removes all versions but the current ones."""
+        for name in TABLES:
+            fs, p = self._fs(f"{self.folder}/{name}")
+            current = self._current(name)
+            for x in fs.listStatus(p) if current else []:
+                if x.getPath().getName() not in ("CURRENT", current):
+                    fs.delete(x.getPath(), True)
+
     def upsert(self, name: str, new: DataFrame) -> None:
         self.write(name, upsert(self.read(name), new.select(self.read(name).columns), TABLES[name][1]))
 
