@@ -23,6 +23,7 @@ from dataclasses import dataclass, field
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -184,15 +185,17 @@ def fit(docs: DataFrame, labels: DataFrame, categories: list[str], settings: Set
         for b in blocks(batches):
             dictionary, codes, offsets = text_words(b.column("text"))
             lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), dictionary.take(pa.array(codes)))
-            yield pa.record_batch([lists, pa.array(least_shingles(b.column("text"))), *[b.column(f"y{i}") for i in range(len(categories))]], ["words", "least", *[f"y{i}" for i in range(len(categories))]])
+            yield pa.record_batch([lists, pa.array(least_shingles(b.column("text")), pa.list_(pa.int64())), pa.array([xxhash.xxh3_64_intdigest(t) >> 1 for t in b.column("text").to_pylist()], pa.int64()), *[b.column(f"y{i}") for i in range(len(categories))]], ["words", "least", "hash", *[f"y{i}" for i in range(len(categories))]])
 
-    t = found.mapInArrow(words, "words array<string>, least array<long>, " + ", ".join(f"y{i} int" for i in range(len(categories)))).limit(2 * s.most_rows).toArrow().combine_chunks()
-    t = t.take(pa.array(np.argsort([hash_of(x) for x in t.column("words").to_pylist()], kind="stable")))  # whatever order the rows came in
-    t = t.take(pa.array(one_of_each(t.column("least").to_pylist()), pa.int64())).combine_chunks()
+    t = found.mapInArrow(words, "words array<string>, least array<long>, hash long, " + ", ".join(f"y{i} int" for i in range(len(categories)))).limit(2 * s.most_rows).toArrow().combine_chunks()
+    order = np.argsort(np.asarray(t.column("hash")), kind="stable")  # whatever order the rows came in
+    order = order[one_of_each(t.column("least").take(pa.array(order)).to_pylist())]
+    t = t.take(pa.array(order, pa.int64())).combine_chunks()
     lists = t.column("words").combine_chunks() if t.num_rows else pa.array([], pa.list_(pa.string()))
     coded = lists.flatten().dictionary_encode()
-    vocabulary = coded.dictionary.to_pylist()
-    x = Rows(np.asarray(coded.indices).astype(np.int64), np.concatenate([[0], np.cumsum(np.asarray(pc.list_value_length(lists), dtype=np.int64))]), max(1, len(vocabulary)))
+    vocabulary, offsets = coded.dictionary.to_pylist(), np.concatenate([[0], np.cumsum(np.asarray(pc.list_value_length(lists), dtype=np.int64))])
+    del lists
+    x = Rows(np.asarray(coded.indices).astype(np.int64), offsets, max(1, len(vocabulary)))
     return fit_rows(vocabulary, x, {c: np.asarray(t.column(f"y{i}")).astype(float) for i, c in enumerate(categories)}, s)
 
 
@@ -222,12 +225,6 @@ def one_of_each(least: list[list[int]]) -> list[int]:
     return [i for i in range(len(least)) if find(i) == i]
 
 
-def hash_of(words: list[str]) -> int:
-    import xxhash
-
-    return xxhash.xxh3_64_intdigest(" ".join(sorted(words)))
-
-
 def probabilities(chain: Chain, text: pa.Array) -> np.ndarray:
     """A column for each category, in the chain's order."""
     names = sorted({w for link in chain.links for w in link.words})
