@@ -1,5 +1,6 @@
 """Token files and packing against the tokenizers library, text by text."""
 
+import functools
 import zlib
 
 import numpy as np
@@ -14,6 +15,7 @@ from tessera.llm import packing, tokenfile
 BYTE, WORD = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("word_bpe_49k.json")
 
 
+@functools.cache
 def library(path):
     t = Tokenizer.from_file(path)
     t.encode_special_tokens = True
