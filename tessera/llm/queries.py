@@ -18,12 +18,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_merkle_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The archive of all pages against a replica of it with faults: on a page whose CRC-32 of
-    its URL is 5 modulo 64 a byte of the body is another, where it is 7 the record is gone."""
+    """The archive of all pages against a replica of it with faults: where the SHA-256 of a page's
+    URL begins with 05, 15, 25 or 35 a byte of the body is another, where it begins with 07 or 17 the record is gone."""
     pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
-    fault = F.pmod(F.crc32(F.coalesce("url", F.lit(""))), F.lit(64))
+    fault = F.substring(F.sha2(F.coalesce("url", F.lit("")), 256), 1, 2)
     index = merkle.stage(merkle.placed(merkle.records(pages)), "index")
-    damaged = pages.withColumn("html", F.when(fault == 5, F.concat(F.lit("~"), F.expr("substring(html, 2)"))).otherwise(F.col("html"))).where(fault != 7)
+    damaged = pages.withColumn("html", F.when(fault.isin("05", "15", "25", "35"), F.concat(F.lit("~"), F.expr("substring(html, 2)"))).otherwise(F.col("html"))).where(~fault.isin("07", "17"))
     found = merkle.records(damaged).select("key", F.col("length").alias("found_length"), F.col("sha").alias("found_sha"))
     replica = index.select("key", "offset").join(found, "key", "left").drop("key")
     return merkle.audit(index, replica)
@@ -82,7 +82,15 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     norm = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    crlf = "chr(13) || chr(10)"
+    record = f"'WARC/1.1' || {crlf} || 'WARC-Type: resource' || {crlf} || 'WARC-Target-URI: ' || url || {crlf} || 'Content-Type: text/html' || {crlf} || 'Content-Length: ' || strlen({{0}}) || {crlf} || {crlf} || {{0}} || {crlf} || {crlf}"
     return {
+        "op1_merkle_audit": f"""
+            WITH r AS (SELECT page_id, substr(sha256(url), 1, 2) AS fault, {record.format("html")} AS rec, {record.format("('~' || substr(html, 2))")} AS bad FROM pages),
+            o AS (SELECT page_id AS key, (sum(strlen(rec)) OVER (ORDER BY page_id) - strlen(rec))::BIGINT AS "offset", strlen(rec)::BIGINT AS length,
+                         sha256(rec) AS expected_sha256, CASE WHEN fault IN ('05', '15', '25', '35') THEN sha256(bad) END AS found_sha256, fault FROM r)
+            SELECT key, "offset", length, expected_sha256, found_sha256, CASE WHEN found_sha256 IS NULL THEN 'missing' ELSE 'altered' END AS status
+            FROM o WHERE fault IN ('05', '15', '25', '35', '07', '17') AND found_sha256 IS DISTINCT FROM expected_sha256""",
         "op6_exact_dedup": f"""
             WITH n AS (SELECT doc_id, sha256({norm}) AS text_sha256 FROM documents),
             g AS (SELECT *, max(doc_id) OVER (PARTITION BY text_sha256) AS keep_id,
