@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import blocks, stage, whole_text
+from .common import BLOCK_BYTES, blocks, stage, whole_text
 from .tokenfile import WordEncoder, encoder
 
 
@@ -175,7 +175,7 @@ def pieces(docs: DataFrame, path: str, end_id: int = 0, capacity: int = 2048, id
 
     def run(batches):
         e, end, task, seen = encoder(WordEncoder, path, "<u4"), np.array([end_id], "<u4").tobytes(), TaskContext.get().partitionId(), [0] * (capacity + 1)
-        for b in blocks(batches):
+        for b in blocks(batches, most=2 * BLOCK_BYTES):
             out = []
             for key, ids in zip(b.column("doc_id").to_pylist(), e.encode(b.column("text").to_pylist()), strict=True):
                 ids += end

@@ -13,12 +13,13 @@ others through Arrow's file systems.
 
 Defined results: a null text is an empty one, which is the end id alone; a null id is
 written as -2**63 and read as null, before all others; repeated rows stay, each with
-ids of its own; rows with one id are in order of their ids' bytes; an empty table
+ids of its own; rows with one id are in order of a hash of their ids; an empty table
 gives a manifest without parts.
 """
 
 from __future__ import annotations
 
+import itertools
 import json
 import re
 import uuid
@@ -33,50 +34,100 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import blocks, scratch, stage, whole_text
+from .common import BLOCK_BYTES, blocks, coded_lists, ragged, scratch, split_words, whole_text
 
 NO_ID = -(2**63)
-#: White space that tokenizers and Python might not see alike; such texts are encoded whole.
-ODD_SPACE = re.compile("[" + "".join(map(chr, [*range(0x1C, 0x20), 0x85, 0xA0, 0x1680, 0x180E, *range(0x2000, 0x2010), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000, 0xFEFF])) + "]")
+#: White space that tokenizers and Arrow might not see alike, and the mark between chunks; such texts are encoded whole.
+ODD_SPACE = re.compile("[" + "".join(map(chr, [0, *range(0x1C, 0x20), 0x85, 0xA0, 0x1680, 0x180E, *range(0x2000, 0x2010), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000, 0xFEFF])) + "]")
 #: White space and what follows it: a byte-level tokenizer never joins across its start.
-CHUNK = re.compile(r"[\x20\t-\r]*[^\x20\t-\r]+|[\x20\t-\r]+")
-#: Chunks whose ids a Python worker remembers.
-REMEMBERED = 400_000
+CHUNK = r"([\x20\x09-\x0D]*[^\x20\x09-\x0D]+)"
+#: Chunks whose ids a Python worker remembers in each of two generations, of some 200 bytes each.
+REMEMBERED = 600_000
 
 
 class Encoder:
-    """Ids by the tokenizers library. A text is cut before white space, where the
-    pre-tokenizer cuts too, so that each distinct chunk is encoded once and its ids
-    are remembered. Texts with odd white space are encoded whole."""
+    """Ids by the tokenizers library, for byte-level pre-tokenizers. A text is cut before
+    white space, where the pre-tokenizer cuts too, so that each distinct chunk is
+    encoded once and its ids are remembered; those not seen for a while are forgotten. New chunks go to the library many at a time,
+    with separators between them whose id no chunk has. Texts with odd white
+    space are encoded whole."""
+
+    #: Between chunks: its text, and what a chunk must be to be set apart by it.
+    separator, plain = "\n", re.compile(r" [^\x20\t-\r]+")
 
     def __init__(self, path: str, dtype: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.dtype, self.known = np.dtype(dtype), {}
-
-    def chunks(self, text: str) -> list[str]:
-        return CHUNK.findall(text)
+        self.dtype, self.known, self.older = np.dtype(dtype), {}, {}
+        self.mark = self._ids([self.separator])[0]
+        assert len(self.mark) == 1
+
+    def _ids(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, self.dtype) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _learn(self, new: list[str]) -> None:
+        plain, other = [], []
+        for c in new:
+            (plain if self.plain.fullmatch(c) else other).append(c)
+        groups = [plain[i : i + 256] for i in range(0, len(plain), 256)]
+        for at in range(0, len(groups), 32):
+            some = groups[at : at + 32]
+            for group, ids in zip(some, self._ids([self.separator.join(g) for g in some]), strict=True):
+                cuts = np.flatnonzero(ids == self.mark[0])
+                if len(cuts) == len(group) - 1:
+                    data, w, a = ids.tobytes(), self.dtype.itemsize, 0
+                    for c, z in zip(group, [*(cuts * w).tolist(), len(data)], strict=True):
+                        self.known[c] = data[a:z]
+                        a = z + w
+                else:
+                    other += group
+        for at in range(0, len(other), 4096):
+            some = other[at : at + 4096]
+            self.known.update(zip(some, (x.tobytes() for x in self._ids(some)), strict=True))
+
+    def ids_of(self, chunks: list[str]) -> list[bytes]:
+        """The ids of each of some distinct chunks."""
+        if len(self.known) > REMEMBERED:
+            self.known, self.older = {}, self.known
+        known, older, new = self.known, self.older, []
+        for c in chunks:
+            if c not in known:
+                if c in older:
+                    known[c] = older[c]
+                else:
+                    new.append(c)
+        self._learn(new)
+        return [known[c] for c in chunks]
+
+    def chunks(self, texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+        """Distinct chunks, the codes of each text's, and the offsets of the texts."""
+        return coded_lists(pc.split_pattern(pc.replace_substring_regex(texts, CHUNK, "\\1\0"), "\0"))
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        cut = [None if ODD_SPACE.search(t) else self.chunks(t) for t in texts]
-        if len(self.known) > REMEMBERED:
-            self.known.clear()
-        known = self.known
-        new = list({c for cs in cut if cs for c in cs if c not in known})
-        for at in range(0, len(new), 4096):
-            some = new[at : at + 4096]
-            known.update(zip(some, (np.array(e.ids, self.dtype).tobytes() for e in self.tokenizer.encode_batch_fast(some, add_special_tokens=False)), strict=True))
-        whole = iter(self.tokenizer.encode_batch_fast([t for t, cs in zip(texts, cut, strict=True) if cs is None], add_special_tokens=False))
-        return [np.array(next(whole).ids, self.dtype).tobytes() if cs is None else b"".join([known[c] for c in cs]) for cs in cut]
+        odd = [i for i, t in enumerate(texts) if ODD_SPACE.search(t)]
+        blank = set(odd)
+        distinct, codes, ends = self.chunks(pa.array(["" if i in blank else t for i, t in enumerate(texts)] if odd else texts, pa.string()))
+        ids = self.ids_of(distinct.to_pylist())
+        flat = np.frombuffer(b"".join(ids), self.dtype)
+        n = np.fromiter(map(len, ids), np.int64, len(ids)) // self.dtype.itemsize
+        at = np.cumsum(n) - n
+        cuts = np.concatenate([[0], np.cumsum(n[codes])])[ends] * self.dtype.itemsize
+        data = flat[ragged(at[codes], n[codes])].tobytes()
+        out = [data[a:z] for a, z in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
+        for i, x in zip(odd, self._ids([texts[i] for i in odd]), strict=True):
+            out[i] = x.tobytes()
+        return out
 
 
 class WordEncoder(Encoder):
     """For tokenizers that drop white space: a chunk is a word."""
 
-    def chunks(self, text: str) -> list[str]:
-        return text.split()
+    separator, plain = " \0 ", re.compile(r"[^\0]+")
+
+    def chunks(self, texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+        return split_words(texts, lower=False)
 
 
 _encoders: dict[tuple, Encoder] = {}
@@ -93,15 +144,32 @@ def encoder(kind: type[Encoder], path: str, dtype: str) -> Encoder:
     return _encoders[key]
 
 
-def encoded(docs: DataFrame, path: str, end_id: int, dtype: str = "<u2", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id and the ids of each whole text as bytes, with ``end_id`` at the end."""
+def bounds(docs: DataFrame, parts: int, id_col: str = "doc_id") -> list[int]:
+    """Ids that divide the documents into ``parts`` ranges of about the same size, of
+    which the driver gets these numbers only. A very frequent id occurs more than once."""
+    if parts < 2:
+        return []
+    shares = [i / parts for i in range(1, parts)]
+    key = F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID))
+    return docs.agg(F.percentile_approx(key, shares, max(10_000, 20 * parts)).alias("b")).first()["b"] or []
+
+
+def encoded(docs: DataFrame, path: str, end_id: int, dtype: str = "<u2", id_col: str = "doc_id", text_col: str = "text", cuts: list[int] | None = None) -> DataFrame:
+    """doc_id, the ids of each whole text as bytes, with ``end_id`` at the end, and the
+    range of its id. An id that is several bounds has their ranges, dealt by the ids' hash."""
 
     def run(batches):
         e, end = encoder(Encoder, path, dtype), np.array([end_id], dtype).tobytes()
-        for b in blocks(batches):
-            yield pa.record_batch({"doc_id": b.column("doc_id"), "ids": pa.array([x + end for x in e.encode(b.column("text").to_pylist())], pa.binary())})
+        edges = np.array(cuts or [], np.int64)
+        for b in blocks(batches, most=2 * BLOCK_BYTES):
+            keys = np.asarray(pc.fill_null(b.column("doc_id"), NO_ID))
+            ids = [x + end for x in e.encode(b.column("text").to_pylist())]
+            low, high = np.searchsorted(edges, keys, "left"), np.searchsorted(edges, keys, "right")
+            crc = np.array([zlib.crc32(x) for x in ids], np.int64)
+            part = np.where(high > low, low + (crc * (high - low + 1) >> 32), low)
+            yield pa.record_batch({"doc_id": b.column("doc_id"), "ids": pa.array(ids, pa.binary()), "part": pa.array(part, pa.int32()), "crc": pa.array(crc)})
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), whole_text(text_col).alias("text")).mapInArrow(run, "doc_id long, ids binary")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), whole_text(text_col).alias("text")).mapInArrow(run, "doc_id long, ids binary, part int, crc long")
 
 
 def _put(folder: str, name: str, write: Callable[[pa.NativeFile], None]) -> None:
@@ -116,36 +184,41 @@ def _uri(path: str) -> str:
     return path if re.match(r"[a-z0-9]+://|file:/", path) else f"file://{path}"
 
 
-def write(rows: DataFrame, folder: str, dtype: str = "<u2", parts: int | None = None) -> dict:
-    """Writes rows (doc_id, ids as bytes of ``dtype``) in ascending order of ids and
-    returns the manifest, which has one small entry for each part."""
-    spark, folder = rows.sparkSession, _uri(folder)
-    parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    order = [F.col("doc_id").asc_nulls_first(), F.xxhash64("ids"), F.col("ids")]
-    width = np.dtype(dtype).itemsize
+def write(rows: DataFrame, folder: str, parts: int, dtype: str = "<u2") -> dict:
+    """Writes the rows of ``encoded``, one file for each range, and returns the
+    manifest, which has one small entry for each."""
+    folder, width = _uri(folder), np.dtype(dtype).itemsize
 
     def save(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        k, doc, off, at = TaskContext.get().partitionId(), [], [np.zeros(1, "<i8")], 0
-
-        def stream(f):
-            nonlocal at
+        def slices():
             for b in batches:
-                ids = b.column("ids")
-                ends = at + np.cumsum(np.asarray(pc.binary_length(ids), dtype="<i8")) // width
-                for x in ids.to_pylist():
-                    f.write(x)
-                doc.append(np.asarray(pc.fill_null(b.column("doc_id"), NO_ID)).astype("<i8"))
-                off.append(ends)
-                at = int(ends[-1]) if len(ends) else at
-
-        _put(folder, f"part-{k:06d}.ids", stream)
-        docs = np.concatenate(doc) if doc else np.zeros(0, "<i8")
-        if len(docs):
-            _put(folder, f"part-{k:06d}.off", lambda f: f.write(np.concatenate(off).astype("<i8").tobytes()))
-            _put(folder, f"part-{k:06d}.doc", lambda f: f.write(docs.tobytes()))
+                part = np.asarray(b.column("part"))
+                heads = np.flatnonzero(np.diff(part, prepend=-1))
+                for a, z in zip(heads, [*heads[1:], len(part)], strict=True):
+                    yield int(part[a]), b.slice(a, z - a)
+
+        for k, own in itertools.groupby(slices(), lambda x: x[0]):
+            doc, off, at = [], [np.zeros(1, "<i8")], 0
+
+            def stream(f, own=own, doc=doc, off=off):
+                nonlocal at
+                for _, b in own:
+                    ids = b.column("ids")
+                    ends = at + np.cumsum(np.asarray(pc.binary_length(ids), dtype="<i8")) // width
+                    for x in ids.to_pylist():
+                        f.write(x)
+                    doc.append(np.asarray(pc.fill_null(b.column("doc_id"), NO_ID)).astype("<i8"))
+                    off.append(ends)
+                    at = int(ends[-1])
+
+            _put(folder, f"part-{k:06d}.ids", stream)
+            docs = np.concatenate(doc)
+            _put(folder, f"part-{k:06d}.off", lambda f, off=off: f.write(np.concatenate(off).astype("<i8").tobytes()))
+            _put(folder, f"part-{k:06d}.doc", lambda f, docs=docs: f.write(docs.tobytes()))
             yield pa.record_batch({"part": pa.array([k], pa.int32()), "docs": pa.array([len(docs)], pa.int64()), "tokens": pa.array([at], pa.int64())})
 
-    placed = rows.select("doc_id", "ids").repartitionByRange(parts, *order[:2]).sortWithinPartitions(*order)
+    order = [F.col("part"), F.col("doc_id").asc_nulls_first(), F.col("crc"), F.col("ids")]
+    placed = rows.repartitionById(parts, F.col("part")).sortWithinPartitions(*order)
     made = sorted((r.asDict() for r in placed.mapInArrow(save, "part int, docs long, tokens long").collect()), key=lambda r: r["part"])
     base = first = 0
     for r in made:
@@ -196,9 +269,10 @@ def read(spark: SparkSession, folder: str, manifest: dict | None = None, with_id
     return frame.repartition(max(1, len(rows))).mapInArrow(load, schema)
 
 
-def token_files(docs: DataFrame, path: str, end_id: int, dtype: str = "<u2", folder: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> tuple[str, dict]:
-    """Encodes, writes and returns the folder and its manifest. The ids are staged
-    before they are put in order: the range bounds then need no second encoding."""
+def token_files(docs: DataFrame, path: str, end_id: int, dtype: str = "<u2", folder: str | None = None, id_col: str = "doc_id", text_col: str = "text", parts: int | None = None) -> tuple[str, dict]:
+    """Encodes, writes and returns the folder and its manifest. Ranges come from the ids
+    alone, so that each text is read and encoded once and its ids move once."""
     folder = folder or scratch(docs.sparkSession, "ids")
-    rows = stage(encoded(docs, path, end_id, dtype, id_col, text_col), "encoded")
-    return folder, write(rows, folder, dtype)
+    parts = parts or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    cuts = bounds(docs, parts, id_col)
+    return folder, write(encoded(docs, path, end_id, dtype, id_col, text_col, cuts), folder, parts, dtype)
