@@ -18,24 +18,28 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import exactdup, neardup, packing, secrets, toxicity
-from tessera.llm.common import scratch
+from tessera.llm.common import scratch, small_batches
 from tessera.llm.queries import WORD_BPE, toxicity_chain
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     return toxicity.clean(docs, toxicity_chain(spark, sf_dir, docs), "toxic")
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     return exactdup.keep(docs)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     return neardup.keep(docs)
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """n_chars, where it was the text's length, is the new text's."""
+    small_batches(spark)
     clean = secrets.redacted(docs, secrets.fit(docs))
     if "n_chars" in docs.columns:
         clean = clean.withColumn("n_chars", F.when(F.col("n_chars").isNotNull(), F.coalesce(F.length("text").cast("long"), F.col("n_chars"))))
@@ -43,6 +47,7 @@ def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     return packing.pack(docs, public_tokenizers.path(WORD_BPE))
 
 

@@ -33,6 +33,12 @@ def shared_folder(spark: SparkSession) -> str:
     return at.rstrip("/")
 
 
+def small_batches(spark: SparkSession, most: str = "8m") -> None:
+    """Arrow batches of about ``most`` for this session's Python functions: buffers of whole partitions
+    would be several times as large, in the JVM and in each worker."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", most)
+
+
 def scratch(spark: SparkSession, name: str) -> str:
     """A new path in the shared folder. ``release`` removes it."""
     path = f"{shared_folder(spark)}/tessera-{name}-{uuid.uuid4().hex[:12]}"
@@ -101,7 +107,11 @@ def split_words(text: pa.Array, lower: bool = True) -> tuple[pa.Array, np.ndarra
     words, the code of each word in reading order, and the offsets of the texts.
     Letters A-Z become lower case if ``lower``."""
     text = pc.fill_null(text, "")
-    lists = pc.ascii_split_whitespace(pc.ascii_lower(text) if lower else text)
+    return coded_lists(pc.ascii_split_whitespace(pc.ascii_lower(text) if lower else text))
+
+
+def coded_lists(lists: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """Of lists of strings: the distinct ones, the code of each but the empty ones, and the offsets of the lists."""
     coded = lists.flatten().dictionary_encode()
     codes = np.asarray(coded.indices).astype(np.int32)
     ends = np.concatenate([[0], np.cumsum(np.asarray(pc.list_value_length(lists), dtype=np.int64))])
