@@ -5,7 +5,7 @@ of a text and the beginnings of its words (present or not), and the probabilitie
 model is trained with out-of-fold predictions of the earlier ones, so it sees them as
 uncertain as they are on new texts. Words enter a model if they are frequent enough
 and their frequencies differ significantly between the classes. A category's threshold is the one with
-the best F1 on out-of-fold predictions.
+the best F measure on out-of-fold predictions, with recall counting more than precision.
 
 Training takes at most ``most_rows`` labelled rows, those with the least hashes of their ids, and of
 near copies among them one: else their words look significant, and folds share texts. Scoring
@@ -24,10 +24,11 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks, mix64, ragged, split_words, whole_text
+from .common import SUM_SCHEMA, blocks, collect_sums, count_rows, mix64, ragged, split_words, stage, whole_text
 from .neardup import Settings as Shingles
 from .neardup import shingles
 
@@ -142,19 +143,19 @@ def probability(link: Link, x: Rows, earlier: np.ndarray) -> np.ndarray:
 
 
 def best_threshold(p: np.ndarray, y: np.ndarray) -> float:
-    """Halfway between the scores around the cut with the best F1; above all scores if none is right."""
+    """Halfway between the scores around the cut with the best F of beta squared 2 (recall counts more than precision); above all scores if none is right."""
     if not y.any():
         return float("inf")
     order = np.argsort(-p, kind="stable")
     hit = np.cumsum(y[order])
-    f1 = 2 * hit / (np.arange(1, len(y) + 1) + y.sum())
+    f = 3 * hit / (np.arange(1, len(y) + 1) + 2 * y.sum())
     ends = np.append(np.diff(p[order]) < 0, True)
-    f1[~ends] = -1
-    i = int(np.argmax(f1))
+    f[~ends] = -1
+    i = int(np.argmax(f))
     return float((p[order][i] + (p[order][i + 1] if i + 1 < len(p) else 0)) / 2)
 
 
-def fit_rows(vocabulary: list[str], x: Rows, labels: dict[str, np.ndarray], s: Settings) -> Chain:
+def fit_rows(vocabulary: list, x: Rows, labels: dict[str, np.ndarray], s: Settings) -> Chain:
     """Chain whose links have words themselves; folds go by the rows' order."""
     n = len(x.offsets) - 1
     fold, chain, earlier = np.arange(n) % s.folds, Chain(), np.zeros((n, 0))
@@ -181,22 +182,62 @@ def fit(docs: DataFrame, labels: DataFrame, categories: list[str], settings: Set
     own = docs.select(F.col(id_col).alias("doc_id"), whole_text(text_col).alias("text"))
     found = own.join(F.broadcast(rows), "doc_id").drop("doc_id")  # of most_rows rows
 
+    ys = [f"y{i}" for i in range(len(categories))]
+
     def words(batches):
         for b in blocks(batches):
             dictionary, codes, offsets = text_words(b.column("text"))
-            lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), dictionary.take(pa.array(codes)))
-            yield pa.record_batch([lists, pa.array(least_shingles(b.column("text")), pa.list_(pa.int64())), pa.array([xxhash.xxh3_64_intdigest(t) >> 1 for t in b.column("text").to_pylist()], pa.int64()), *[b.column(f"y{i}") for i in range(len(categories))]], ["words", "least", "hash", *[f"y{i}" for i in range(len(categories))]])
-
-    t = found.mapInArrow(words, "words array<string>, least array<long>, hash long, " + ", ".join(f"y{i} int" for i in range(len(categories)))).limit(2 * s.most_rows).toArrow().combine_chunks()
+            hashed = np.array([xxhash.xxh32_intdigest(w) for w in dictionary.to_pylist()], np.uint32).view(np.int32)
+            cut = pa.array(offsets, pa.int32())
+            yield pa.record_batch({
+                "words": pa.ListArray.from_arrays(cut, dictionary.take(pa.array(codes))), "codes": pa.ListArray.from_arrays(cut, pa.array(hashed[codes], pa.int32())),
+                "least": pa.array(least_shingles(b.column("text")), pa.list_(pa.int64())), "hash": pa.array([xxhash.xxh3_64_intdigest(t) >> 1 for t in b.column("text").to_pylist()], pa.int64()),
+            } | {y: b.column(y) for y in ys})
+
+    # features stay where they are; the driver gets hashes of those that may be frequent enough
+    made = stage(found.mapInArrow(words, "words array<string>, codes array<int>, least array<long>, hash long, " + ", ".join(f"{y} int" for y in ys)), "features")
+
+    def slots(batches):
+        table = np.zeros(SLOTS, np.int64)
+        for b in batches:
+            table += np.bincount(slot(b.column("codes").flatten()), minlength=SLOTS)
+        yield from count_rows(table, TaskContext.get().partitionId(), SLOT_WIDTH)
+
+    many = docs.sparkSession.sparkContext.broadcast(collect_sums(made.select("codes").mapInArrow(slots, SUM_SCHEMA), SLOTS // SLOT_WIDTH, SLOT_WIDTH) >= s.least_texts)
+
+    def frequent(batches):
+        for b in batches:
+            flat, n = b.column("codes").flatten(), np.asarray(pc.list_value_length(b.column("codes")), dtype=np.int64)
+            on = many.value[slot(flat)]
+            ends = np.concatenate([[0], np.cumsum(on)])[np.concatenate([[0], np.cumsum(n)])]
+            yield pa.record_batch({"codes": pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat.filter(pa.array(on)))} | {c: b.column(c) for c in ("least", "hash", *ys)})
+
+    t = made.drop("words").mapInArrow(frequent, "codes array<int>, least array<long>, hash long, " + ", ".join(f"{y} int" for y in ys)).limit(2 * s.most_rows).toArrow()
     order = np.argsort(np.asarray(t.column("hash")), kind="stable")  # whatever order the rows came in
     order = order[one_of_each(t.column("least").take(pa.array(order)).to_pylist())]
-    t = t.take(pa.array(order, pa.int64())).combine_chunks()
-    lists = t.column("words").combine_chunks() if t.num_rows else pa.array([], pa.list_(pa.string()))
-    coded = lists.flatten().dictionary_encode()
-    vocabulary, offsets = coded.dictionary.to_pylist(), np.concatenate([[0], np.cumsum(np.asarray(pc.list_value_length(lists), dtype=np.int64))])
-    del lists
-    x = Rows(np.asarray(coded.indices).astype(np.int64), offsets, max(1, len(vocabulary)))
-    return fit_rows(vocabulary, x, {c: np.asarray(t.column(f"y{i}")).astype(float) for i, c in enumerate(categories)}, s)
+    t = t.drop_columns(["least", "hash"]).take(pa.array(order, pa.int64())).combine_chunks()
+    lists = t.column("codes").combine_chunks() if t.num_rows else pa.array([], pa.list_(pa.int32()))
+    names, codes = np.unique(np.asarray(lists.flatten()), return_inverse=True)
+    x = Rows(codes.astype(np.int32), np.concatenate([[0], np.cumsum(np.asarray(pc.list_value_length(lists), dtype=np.int64))]), max(1, len(names)))
+    chain = fit_rows(names.tolist(), x, {c: np.asarray(t.column(y)).astype(float) for c, y in zip(categories, ys, strict=True)}, s)
+    chosen = sorted({int(w) for link in chain.links for w in link.words})  # most_words a category
+    spelt: dict[int, list[str]] = {}
+    asked = docs.sparkSession.createDataFrame([(c,) for c in chosen], "code int")
+    pairs = made.select(F.explode(F.arrays_zip("words", "codes")).alias("x")).select("x.words", F.col("x.codes").alias("code"))
+    for r in pairs.join(F.broadcast(asked), "code").distinct().collect() if chosen else []:
+        spelt.setdefault(r["code"], []).append(r["words"])
+    for link in chain.links:
+        own = [(w, v) for c, v in zip(link.words, link.weights, strict=True) for w in sorted(spelt[int(c)])]
+        link.words, link.weights = np.array([w for w, _ in own], dtype=object), np.array([v for _, v in own])
+    return chain
+
+
+#: Slots in which frequencies of features are bounded, before their hashes are collected; the exact ones follow.
+SLOTS, SLOT_WIDTH = 1 << 20, 1 << 15
+
+
+def slot(codes: pa.Array) -> np.ndarray:
+    return np.asarray(codes).view(np.uint32) & np.uint32(SLOTS - 1)
 
 
 def least_shingles(text: pa.Array, n: int = 3) -> list[list[int]]:
