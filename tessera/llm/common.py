@@ -6,6 +6,8 @@ count tables that never meet in one task.
 from __future__ import annotations
 
 import atexit
+import ctypes
+import sys
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -19,6 +21,8 @@ from pyspark.sql import functions as F
 #: Text that a Python worker handles at once; larger Arrow batches are cut.
 BLOCK_BYTES = 4 << 20
 
+_libc = ctypes.CDLL(None) if sys.platform == "linux" else None
+
 _made: list[tuple[SparkSession, str]] = []
 
 
@@ -100,6 +104,14 @@ def blocks(batches: Iterator[pa.RecordBatch], text: str = "text", most: int = BL
             until = max(at + 1, int(np.searchsorted(sizes, (sizes[at - 1] if at else 0) + most, "right")))
             yield batch.slice(at, until - at)
             at = until
+    give_back()
+
+
+def give_back() -> None:
+    """Memory that a task has freed goes back to the system; the worker stays for other tasks, which count it too."""
+    pa.default_memory_pool().release_unused()
+    if _libc is not None and hasattr(_libc, "malloc_trim"):
+        _libc.malloc_trim(0)
 
 
 def split_words(text: pa.Array, lower: bool = True) -> tuple[pa.Array, np.ndarray, np.ndarray]:

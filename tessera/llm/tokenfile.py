@@ -53,7 +53,7 @@ class Encoder:
     space are encoded whole."""
 
     #: Between chunks: its text, and what a chunk must be to be set apart by it.
-    separator, plain = "\n", re.compile(r" [^\x20\t-\r]+")
+    separator, plain, remembered = "\n", re.compile(r" [^\x20\t-\r]+"), REMEMBERED
 
     def __init__(self, path: str, dtype: str):
         from tokenizers import Tokenizer
@@ -89,7 +89,7 @@ class Encoder:
 
     def ids_of(self, chunks: list[str]) -> list[bytes]:
         """The ids of each of some distinct chunks."""
-        if len(self.known) > REMEMBERED:
+        if len(self.known) > self.remembered:
             self.known, self.older = {}, self.known
         known, older, new = self.known, self.older, []
         for c in chunks:
@@ -124,7 +124,7 @@ class Encoder:
 class WordEncoder(Encoder):
     """For tokenizers that drop white space: a chunk is a word."""
 
-    separator, plain = " \0 ", re.compile(r"[^\0]+")
+    separator, plain, remembered = " \0 ", re.compile(r"[^\0]+"), REMEMBERED // 2
 
     def chunks(self, texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
         return split_words(texts, lower=False)
