@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import BLOCK_BYTES, blocks, stage, whole_text
+from .common import BLOCK_BYTES, blocks, give_back, stage, whole_text
 from .tokenfile import WordEncoder, encoder
 
 
@@ -185,6 +185,8 @@ def pieces(docs: DataFrame, path: str, end_id: int = 0, capacity: int = 2048, id
                     out.append((key, i, at // 4, n, zlib.crc32(own), task, seen[n]))
                     seen[n] += 1
             yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names)
+        e.forget()  # other stages' tasks share the worker's memory
+        give_back()
 
     names = ["doc_id", "piece", "start", "length", "ids_crc32", "part", "number"]
     kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64()]

@@ -87,6 +87,9 @@ class Encoder:
             some = other[at : at + 4096]
             self.known.update(zip(some, (x.tobytes() for x in self._ids(some)), strict=True))
 
+    def forget(self) -> None:
+        self.known, self.older = {}, {}
+
     def ids_of(self, chunks: list[str]) -> list[bytes]:
         """The ids of each of some distinct chunks."""
         if len(self.known) > self.remembered:
