@@ -8,10 +8,9 @@ frequent ones less, down to 1/2. Frequencies relative to the corpus come from a
 over all texts, whose relative error doesn't depend on the corpus' size, so neither
 do weights.
 
-Equal texts are one node. Nodes with an equal band share a bucket. A bucket isn't
-expanded into pairs: one member leads, the others are compared with it; those that differ
-stay for the next round, where others lead, and go on in finer buckets, until no bucket has
-two (see ``links``). A link needs a similarity of at
+Equal texts are one node. Nodes with an equal band share a bucket. One member leads a bucket, the others
+are compared with it; after that all pairs of a bucket are compared that aren't in one class
+yet, those of large buckets in blocks, as products of matrices (see ``links``). A link needs a similarity of at
 least ``threshold``, by weights or by plain counts. Classes are connected components of links, found
 by passing minima along edges; nothing about all documents is collected.
 
@@ -23,7 +22,6 @@ repeated rows and equal texts share a class, with or without ids; a class is nam
 from __future__ import annotations
 
 from dataclasses import dataclass
-from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -32,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SUM_SCHEMA, blocks, collect_sums, count_rows, members, mix64, scratch, split_words, stage, whole_text
+from .common import SUM_SCHEMA, blocks, collect_sums, count_rows, members, mix64, ragged, split_words, stage, whole_text
 
 
 @dataclass(frozen=True)
@@ -169,36 +167,41 @@ def named(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def signatures(own: DataFrame, idf, s: Settings) -> DataFrame:
-    """doc_id, node, bands and samples (null without words) of each row."""
+    """doc_id, node and bands (null without words) of each row."""
 
     def run(batches):
         tables = pool(s)
         for b in blocks(batches):
             sh, counts, offsets = shingles(b.column("text"), s)
             some = np.diff(offsets) > 0
-            bands, drawn = [None] * b.num_rows, [None] * b.num_rows
+            bands = [None] * b.num_rows
             if some.any():
                 sig = samples(sh, weights(sh, counts, idf.value, s), offsets[:-1][some], s, tables)
-                for i, x, y in zip(np.flatnonzero(some), bands_of(sig, s).tolist(), sig.view(np.int32).tolist(), strict=True):
-                    bands[i], drawn[i] = x, y
-            yield pa.record_batch({"doc_id": b.column("doc_id"), "node": b.column("node"), "bands": pa.array(bands, pa.list_(pa.int64())), "samples": pa.array(drawn, pa.list_(pa.int32()))})
+                for i, x in zip(np.flatnonzero(some), bands_of(sig, s).tolist(), strict=True):
+                    bands[i] = x
+            yield pa.record_batch({"doc_id": b.column("doc_id"), "node": b.column("node"), "bands": pa.array(bands, pa.list_(pa.int64()))})
 
-    return own.mapInArrow(run, f"doc_id {own.schema['doc_id'].dataType.simpleString()}, node binary, bands array<long>, samples array<int>")
+    return own.mapInArrow(run, f"doc_id {own.schema['doc_id'].dataType.simpleString()}, node binary, bands array<long>")
+
+
+#: How counts and weights are stored.
+COUNT, WEIGHT = "<u2", "<f2"
 
 
 def vectors(own: DataFrame, idf, s: Settings) -> DataFrame:
-    """node, sh (32 bits of each distinct shingle, sorted), n (counts) and w (weights)."""
+    """node, sh (32 bits of each distinct shingle, sorted), n (counts), w (weights), and size (the sum of counts)."""
 
     def run(batches):
         for b in blocks(batches):
             sh, counts, offsets = shingles(b.column("text"), s)
-            w = weights(sh, counts, idf.value, s).astype("<f2")
+            w = weights(sh, counts, idf.value, s).astype(WEIGHT)
             sh = (sh >> np.uint64(32)).astype("<u4")
-            counts = np.minimum(counts, 65535).astype("<u2")
+            counts = np.minimum(counts, 65535).astype(COUNT)
+            size = np.diff(np.concatenate([[0], np.cumsum(counts, dtype=np.int64)])[offsets])
             cut = lambda x: pa.array([x[a:z].tobytes() for a, z in zip(offsets[:-1], offsets[1:], strict=True)], pa.binary())  # noqa: B023, E731
-            yield pa.record_batch({"node": b.column("node"), "sh": cut(sh), "n": cut(counts), "w": cut(w)})
+            yield pa.record_batch({"node": b.column("node"), "sh": cut(sh), "n": cut(counts), "w": cut(w), "size": pa.array(size, pa.int64())})
 
-    return own.select("node", "text").mapInArrow(run, "node binary, sh binary, n binary, w binary")
+    return own.select("node", "text").mapInArrow(run, "node binary, sh binary, n binary, w binary, size long")
 
 
 def similarity(a: tuple, b: tuple) -> tuple[float, float]:
@@ -206,7 +209,7 @@ def similarity(a: tuple, b: tuple) -> tuple[float, float]:
     sa, sb = np.frombuffer(a[0], "<u4"), np.frombuffer(b[0], "<u4")
     _, i, j = np.intersect1d(sa, sb, return_indices=True)
     out = []
-    for k, kind in ((2, "<f2"), (1, "<u2")):
+    for k, kind in ((2, WEIGHT), (1, COUNT)):
         x, y = np.frombuffer(a[k], kind).astype(float), np.frombuffer(b[k], kind).astype(float)
         both = np.minimum(x[i], y[j]).sum()
         out.append(float(both / (x.sum() + y.sum() - both)) if len(x) + len(y) else 0.0)
@@ -227,73 +230,114 @@ def verified(pairs: DataFrame, vecs: DataFrame, s: Settings, most: int = 1000) -
     leaders = vecs.select(F.col("node").alias("lead"), *[F.col(c).alias(f"lead_{c}") for c in ("sh", "n", "w")])
     dealt = leaders.join(copies, "lead").withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)))
     own = pairs.join(copies, "lead").withColumn("copy", F.pmod(F.xxhash64("node"), "copies").cast("int")).drop("copies")
-    return own.join(vecs, "node").join(dealt.drop("copies"), ["lead", "copy"]).select("lead", "node", "sh", "n", "w", "lead_sh", "lead_n", "lead_w").mapInArrow(run, "lead binary, node binary, ok boolean")
-
+    return own.join(vecs.drop("size"), "node").join(dealt.drop("copies"), ["lead", "copy"]).select("lead", "node", "sh", "n", "w", "lead_sh", "lead_n", "lead_w").mapInArrow(run, "lead binary, node binary, ok boolean")
 
-#: Leaders of a bucket, round by round, with one band as the key; later rounds have three bands, and ever more leaders.
-BAND_LEADERS, LATER_LEADERS = (1, 4), 16
-#: Keys of three bands for members that no leader was like. Two texts share one of these with
-#: a probability of 0.88 at a similarity of 0.8, 0.96 at 0.85 and more above.
-TRIPLES = 40
-#: In those later rounds, the share of equal samples that a pair has at least to be compared: it estimates the
-#: similarity by weights with a deviation of 0.07; of pairs at a plain similarity of 0.8 in a group of 4 % of all texts
-#: (0.7 by weights) 0.94 pass, of those near 0.8 by weights all but 1 in 1000.
-LEAST_EQUAL = 0.58
 
-
-def triples(bands: int, seed: int = 5) -> list[tuple[int, ...]]:
-    every = list(combinations(range(bands), min(3, bands)))
-    return [every[i] for i in sorted(np.random.default_rng(seed).permutation(len(every))[:TRIPLES])]
+#: Members of a bucket whose pairs are rows; larger buckets are compared in blocks.
+FEW = 8
+#: Members and shingles (with repeats) of one side of a block, about, and shingles that are multiplied at once.
+BLOCK_ROWS, BLOCK_SHINGLES, COLUMNS = 1024, 1 << 19, 2048
 
 
 def links(sig: DataFrame, own: DataFrame, idf, s: Settings) -> DataFrame:
-    """Verified links (a, b) between nodes.
+    """Verified links (a, b) between nodes, enough of them to join all that pairs with a common bucket do.
 
-    The members that share most buckets with others lead: what copies of one text have in common is
-    nearest to them. After the rounds of BAND_LEADERS, members that were like no leader
-    of their buckets, say heavily edited copies, are put in finer buckets, of three bands, and go on there until
-    no bucket has two; so a large group isn't compared with itself. Verdicts are kept in one table, to which rounds append."""
+    The member that shares most buckets with others leads its bucket and is compared with all others: what copies of
+    one text have in common is nearest to them. Then every pair of a bucket whose members aren't in one class yet is
+    compared, linked members included: pairs of small buckets as rows, those of larger ones in blocks."""
     spark = sig.sparkSession
-    nodes_bands = sig.where("bands is not null").select("node", "bands", "samples").dropDuplicates(["node"])
-    left = stage(_shared(nodes_bands.select("node", F.explode("bands").alias("band"))), "buckets")
-    nodes = stage(left.groupBy("node").agg(F.sum("n").alias("degree")), "degrees")
+    nodes_bands = sig.where("bands is not null").select("node", "bands").dropDuplicates(["node"])
+    buckets = stage(_shared(nodes_bands.select("node", F.explode("bands").alias("band"))), "buckets")
+    nodes = stage(buckets.groupBy("node").agg(F.sum("n").alias("degree")), "degrees")
     n = nodes.count()
     if not n:
         return spark.createDataFrame([], "a binary, b binary")
     texts = members(own, nodes.select("node"), ["node"], n).groupBy("node").agg(F.first("text").alias("text"))
     vecs = stage(vectors(texts, idf, s), "vectors")
-    path, schema, leaders, rounds = scratch(spark, "verified"), "lead binary, node binary, ok boolean", BAND_LEADERS[0], 0
-    left = stage(left.drop("n").join(nodes, "node").withColumn("samples", F.lit(None).cast("array<int>")), "buckets")
     order = F.struct(-F.col("degree"), F.xxhash64("band", "node"), F.col("node"))
-    while True:
-        if leaders == 1:
-            first = left.groupBy("band").agg(F.min(order).alias("lead")).withColumn("of_lead", F.lit(None).cast("array<int>"))
-        else:
-            ranked = left.withColumn("lead", order).withColumn("i", F.row_number().over(Window.partitionBy("band").orderBy("lead")))
-            first = ranked.where(F.col("i") <= leaders).select("band", "lead", F.col("samples").alias("of_lead"))
-        first = stage(first, "leaders")
-        met = order > F.col("lead")
-        if rounds >= len(BAND_LEADERS):
-            equal = F.aggregate(F.zip_with("samples", "of_lead", lambda x, y: (x == y).cast("int")), F.lit(0), lambda n, x: n + x)
-            met = met & (equal >= LEAST_EQUAL * s.bands * s.rows)
-        asked = left.join(first, "band").where(met).select("band", F.col("lead.node").alias("lead"), "node")
-        pairs = asked.select("lead", "node").distinct()
-        if rounds:
-            pairs = pairs.join(spark.read.schema(schema).parquet(path), ["lead", "node"], "left_anti")
-        verified(pairs, vecs, s).write.mode("append").parquet(path)
-        tested = spark.read.schema(schema).parquet(path)
-        # leaders met all others of their bucket; who is linked to one is in its class
-        done = asked.join(tested.where("ok"), ["lead", "node"], "left_semi").select("band", "node").unionByName(first.select("band", F.col("lead.node").alias("node")))
-        left = left.join(done.distinct(), ["band", "node"], "left_anti")
-        rounds += 1
-        leaders = BAND_LEADERS[rounds] if rounds < len(BAND_LEADERS) else LATER_LEADERS ** (rounds - len(BAND_LEADERS) + 1)
-        if rounds == len(BAND_LEADERS):
-            rest = left.select("node", "degree").distinct().join(nodes_bands, "node")
-            keys = F.array(*[F.xxhash64(F.lit(i), *[F.get("bands", b) for b in t]) for i, t in enumerate(triples(s.bands))])
-            left = rest.select("node", "degree", "samples", F.explode(keys).alias("band"))
-        left = stage(_shared(left).drop("n"), "buckets")
-        if not left.limit(1).count():
-            return tested.where("ok").select(F.col("lead").alias("a"), F.col("node").alias("b"))
+    buckets = buckets.drop("n").join(nodes, "node")
+    first = stage(buckets.groupBy("band").agg(F.min(order).alias("lead")), "leaders")
+    # leaders meet all others of their bucket, so they are done with it
+    rest = stage(buckets.join(first, "band").where(order > F.col("lead")).select("band", "node", F.col("lead.node").alias("lead")), "rest")
+    linked = lambda pairs: verified(pairs, vecs, s).where("ok").select(F.col("lead").alias("a"), F.col("node").alias("b"))
+    found = stage(linked(rest.select("lead", "node").distinct()), "links")
+    roots = components(found)
+    sized = rest.select("band", "node").join(vecs.select("node", "size"), "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    sized = stage(sized, "rest")
+    parts = sized.groupBy("band", "root").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("size"))
+    parts = parts.groupBy("band").agg(F.max(F.struct("n", "root", "size")).alias("main"), F.sum("n").alias("n"), F.sum("size").alias("size"), F.count(F.lit(1)).alias("roots"))
+    parts = stage(parts.where("roots > 1").select("band", "n", "size", "main"), "unsettled")
+    few = sized.join(parts.where(F.col("n") <= FEW).select("band"), "band")
+    pairs = few.select("band", F.col("node").alias("lead"), F.col("root").alias("lead_root")).join(few, "band").where("lead < node AND lead_root <> root")
+    found = found.unionByName(stage(linked(pairs.select("lead", "node").distinct()), "links"))
+    cut = lambda rows, size: F.ceil(F.greatest(rows / BLOCK_ROWS, size / BLOCK_SHINGLES)).cast("int")
+    many = parts.where(F.col("n") > FEW).select("band", F.col("main.root").alias("main"), cut(F.col("n") - F.col("main.n"), F.col("size") - F.col("main.size")).alias("is"), cut(F.col("n"), F.col("size")).alias("js"))
+    many = sized.join(many, "band")
+    dealt = lambda k, n: F.pmod(F.xxhash64(F.lit(k), "node"), n).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    left = many.where("root <> main").select("band", "node", "root", F.lit(True).alias("asks"), dealt(0, F.col("is")).alias("i"), every("js").alias("j"))
+    right = many.select("band", "node", "root", F.lit(False).alias("asks"), every("is").alias("i"), dealt(1, F.col("js")).alias("j"))
+    own_vecs = left.unionByName(right).join(vecs.drop("size"), "node")
+    met = own_vecs.groupBy("band", "i", "j").applyInArrow(lambda t: block_links(t, s), "a binary, b binary")
+    return found.unionByName(stage(met.distinct(), "links"))
+
+
+def block_links(t: pa.Table, s: Settings) -> pa.Table:
+    """Links (a, b) of members that ask with the others, where roots differ; of those that join the same members, some are left out."""
+    asks = np.asarray(t.column("asks").combine_chunks().to_numpy(zero_copy_only=False), bool)
+    x, y = np.flatnonzero(asks), np.flatnonzero(~asks)
+    if not (len(x) and len(y)):
+        return pa.table({"a": pa.array([], pa.binary()), "b": pa.array([], pa.binary())})
+    nodes, vecs = t.column("node").to_pylist(), list(zip(*[t.column(c).to_pylist() for c in ("sh", "n", "w")], strict=True))
+    root = np.asarray(t.column("root").combine_chunks().dictionary_encode().indices)
+    sh, counts, w = (np.concatenate([np.frombuffer(v[k], kind) for v in vecs]) for k, kind in enumerate(("<u4", COUNT, WEIGHT)))
+    row = np.repeat(np.arange(len(vecs)), [len(v[0]) // 4 for v in vecs])
+    totals = [np.bincount(row, z, len(vecs)) for z in (counts, w)]
+    # a shingle that occurs c times is c columns, so that products of ones are least counts
+    c = counts.astype(np.int64)
+    level = ragged(np.zeros(len(c), np.int64), c).astype(np.uint64)
+    key, row, idf = np.repeat(sh.astype(np.uint64), c) << np.uint64(32) | level, np.repeat(row, c), np.repeat(w.astype(np.float32) / counts, c)
+    _, column = np.unique(key, return_inverse=True)
+    size = int(column.max()) + 1
+    both = (np.bincount(column[asks[row]], minlength=size) > 0) & (np.bincount(column[~asks[row]], minlength=size) > 0)
+    on = np.flatnonzero(both[column])
+    column = (np.cumsum(both) - 1)[column[on]]
+    on = on[np.argsort(column, kind="stable")]
+    column.sort()
+    place = np.zeros(len(vecs), np.int64)
+    place[x], place[y] = np.arange(len(x)), np.arange(len(y))
+    common = np.zeros((2, len(x), len(y)), np.float32)
+    for at in range(0, int(both.sum()), COLUMNS):
+        a, z = np.searchsorted(column, [at, at + COLUMNS])
+        own, k = on[a:z], column[a:z] - at
+        left = asks[row[own]]
+        one, two, weigh = np.zeros((len(x), COLUMNS), np.float32), np.zeros((len(y), COLUMNS), np.float32), np.zeros(COLUMNS, np.float32)
+        one[place[row[own[left]]], k[left]] = 1
+        two[place[row[own[~left]]], k[~left]] = 1
+        weigh[k] = idf[own]
+        common[0] += one @ two.T
+        common[1] += (one * weigh) @ two.T
+    best = np.zeros((len(x), len(y)), np.float32)
+    for own, total in zip(common, totals, strict=True):
+        np.maximum(best, own / np.maximum(total[x][:, None] + total[y][None] - own, 1e-9), out=best)
+    best[root[x][:, None] == root[y][None]] = 0
+    ok = best >= s.threshold
+    for i, j in np.argwhere(np.abs(best - s.threshold) < 1e-4):  # too near for sums of 32 bits
+        ok[i, j] = max(similarity(vecs[x[i]], vecs[y[j]])) >= s.threshold
+    out, new = [], ok.any(axis=1)
+    todo, fresh = np.flatnonzero(new), ok.any(axis=0)
+    while len(todo):
+        # from one member on to all that it is linked with, and back, until none is new
+        now, new[todo[0]] = todo[:1], False
+        while len(now):
+            reached = np.flatnonzero(ok[now].any(axis=0) & fresh)
+            fresh[reached] = False
+            out += zip(x[now[ok[np.ix_(now, reached)].argmax(axis=0)]].tolist(), y[reached].tolist(), strict=True)
+            now = np.flatnonzero(ok[:, reached].any(axis=1) & new)
+            new[now] = False
+            out += zip(x[now].tolist(), y[reached[ok[np.ix_(now, reached)].argmax(axis=1)]].tolist(), strict=True) if len(now) else []
+        todo = np.flatnonzero(new)
+    return pa.table({"a": pa.array([nodes[i] for i, _ in out], pa.binary()), "b": pa.array([nodes[j] for _, j in out], pa.binary())})
 
 
 def _shared(bands: DataFrame) -> DataFrame:

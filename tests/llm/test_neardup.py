@@ -65,6 +65,35 @@ def test_a_large_group_of_edited_copies(spark):
     assert {k for k, v in got.items() if v == 0} == near and len(near) > 40
 
 
+def edited(words, places, mark):
+    own = list(words)
+    for j in places:
+        own[j] = f"{mark}x{j}"
+    return own
+
+
+def grouped(spark, rows):
+    """Classes found, and those of all pairs, as sets of ids."""
+    groups, classes = defaultdict(set), defaultdict(set)
+    for (i, _), root in zip(rows, components([t for _, t in rows]), strict=True):
+        groups[root].add(i)
+    for r in neardup.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        classes[r.class_id].add(r.doc_id)
+    return sorted(map(sorted, classes.values())), sorted(map(sorted, groups.values()))
+
+
+def test_a_large_group_without_a_central_text(spark):
+    """Copies of one text that are too far from each other, each with a near copy of its own."""
+    rng = np.random.default_rng(2)
+    base, rows = [f"w{i}" for i in range(200)], []
+    for i in range(200):
+        one = edited(base, rng.choice(200, 5, replace=False), f"a{i}")
+        rows += [(2 * i, " ".join(one)), (2 * i + 1, " ".join(edited(one, rng.choice(200, 4, replace=False), f"b{i}")))]
+    rows += [(1000 + i, " ".join(f"y{rng.integers(1e9)}" for _ in range(50))) for i in range(400)]
+    got, want = grouped(spark, rows)
+    assert len(want) > 500 and got == want
+
+
 @pytest.mark.parametrize("table", ["awkward", "nothing", "clashing"])
 def test_defined_cases(request, table):
     docs = request.getfixturevalue(table)
