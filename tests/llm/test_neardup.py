@@ -94,6 +94,18 @@ def test_a_large_group_without_a_central_text(spark):
     assert len(want) > 500 and got == want
 
 
+def test_chains_inside_a_large_group(spark):
+    """Versions that are near the one before only: linked members of a bucket are partners of the others too."""
+    rng = np.random.default_rng(3)
+    base = [f"w{i}" for i in range(200)]
+    rows, own = [], base
+    for i in range(400):
+        own = edited(own if i % 100 else base, rng.choice(200, 3, replace=False), f"c{i}")
+        rows.append((i, " ".join(own)))
+    got, want = grouped(spark, rows)
+    assert len(want) < 10 and got == want
+
+
 @pytest.mark.parametrize("table", ["awkward", "nothing", "clashing"])
 def test_defined_cases(request, table):
     docs = request.getfixturevalue(table)
