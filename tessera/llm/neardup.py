@@ -185,7 +185,7 @@ def signatures(own: DataFrame, idf, s: Settings) -> DataFrame:
 
 
 #: How counts and weights are stored.
-COUNT, WEIGHT = "<u2", "<f2"
+COUNT, WEIGHT = "<u4", "<f4"
 
 
 def vectors(own: DataFrame, idf, s: Settings) -> DataFrame:
@@ -196,7 +196,7 @@ def vectors(own: DataFrame, idf, s: Settings) -> DataFrame:
             sh, counts, offsets = shingles(b.column("text"), s)
             w = weights(sh, counts, idf.value, s).astype(WEIGHT)
             sh = (sh >> np.uint64(32)).astype("<u4")
-            counts = np.minimum(counts, 65535).astype(COUNT)
+            counts = counts.astype(COUNT)
             size = np.diff(np.concatenate([[0], np.cumsum(counts, dtype=np.int64)])[offsets])
             cut = lambda x: pa.array([x[a:z].tobytes() for a, z in zip(offsets[:-1], offsets[1:], strict=True)], pa.binary())  # noqa: B023, E731
             yield pa.record_batch({"node": b.column("node"), "sh": cut(sh), "n": cut(counts), "w": cut(w), "size": pa.array(size, pa.int64())})

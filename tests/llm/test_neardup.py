@@ -106,6 +106,14 @@ def test_chains_inside_a_large_group(spark):
     assert len(want) < 10 and got == want
 
 
+def test_a_shingle_that_occurs_very_often_in_one_text(spark):
+    rows = [(1, "word " * 70000), (2, "word " * 80000), (3, "word " * 95000)]
+    assert grouped(spark, rows[:1] + [(9, "other words than those of the long ones")])[0] == [[1], [9]]
+    rows += [(1000 + i, f"z{i} of the other texts") for i in range(700)]  # that it isn't frequent among texts
+    got = {r.doc_id: r.class_id for r in neardup.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert {got[1], got[2], got[3]} == {1}
+
+
 @pytest.mark.parametrize("table", ["awkward", "nothing", "clashing"])
 def test_defined_cases(request, table):
     docs = request.getfixturevalue(table)
