@@ -92,7 +92,7 @@ def audit(index: DataFrame, replica: DataFrame, range_bytes: int = RANGE_BYTES,
     return both.select("key", "offset", "length", F.col("sha").alias("expected_sha256"), F.col("found_sha").alias("found_sha256"), status.alias("status"))
 
 
-def records(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", body_col: str = "html") -> DataFrame:
-    """key, length and sha of each page's record. Bytes are hashed where they are read and never move."""
-    made = pages.select(F.col(id_col).alias("key"), warc(F.col(url_col), F.col(body_col)).alias("bytes"))
-    return made.select("key", F.octet_length("bytes").cast("long").alias("length"), F.sha2("bytes", 256).alias("sha"))
+def records(pages: DataFrame, *more: Column, id_col: str = "page_id", url_col: str = "url", body_col: str = "html") -> DataFrame:
+    """key, length and sha of each page's record, and ``more`` columns of the page. Bytes are hashed where they are read and never move."""
+    own = warc(F.col(url_col), F.col(body_col))
+    return pages.select(F.col(id_col).alias("key"), F.octet_length(own).cast("long").alias("length"), F.sha2(own, 256).alias("sha"), *more)

@@ -24,11 +24,12 @@ def op1_merkle_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     URL begins with 05, 15, 25 or 35 a byte of the body is another, where it begins with 07 or 17 the record is gone."""
     pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
     fault = F.substring(F.sha2(F.coalesce("url", F.lit("")), 256), 1, 2)
-    index = merkle.stage(merkle.placed(merkle.records(pages)), "index")
-    damaged = pages.withColumn("html", F.when(fault.isin("05", "15", "25", "35"), F.concat(F.lit("~"), F.expr("substring(html, 2)"))).otherwise(F.col("html"))).where(~fault.isin("07", "17"))
-    found = merkle.records(damaged).select("key", F.col("length").alias("found_length"), F.col("sha").alias("found_sha"))
-    replica = index.select("key", "offset").join(found, "key", "left").drop("key")
-    return merkle.audit(index, replica)
+    altered = F.when(fault.isin("05", "15", "25", "35"), F.concat(F.lit("~"), F.expr("substring(html, 2)"))).otherwise(F.col("html"))
+    # each record goes with what the replica has of it, so that null and repeated ids keep theirs
+    found, gone = merkle.warc(F.col("url"), altered), fault.isin("07", "17")
+    both = merkle.records(pages, F.when(~gone, F.octet_length(found).cast("long")).alias("found_length"), F.when(~gone, F.sha2(found, 256)).alias("found_sha"))
+    placed = merkle.stage(merkle.placed(both), "index")
+    return merkle.audit(placed.select("key", "offset", "length", "sha"), placed.select("offset", "found_length", "found_sha"))
 
 
 def toxicity_chain(spark: SparkSession, sf_dir: str, docs: DataFrame) -> toxicity.Chain:
