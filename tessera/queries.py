@@ -235,11 +235,11 @@ def edge_type_counts(spark, d):
     return edges(spark, d).groupBy("edge_type").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("""SELECT from_id, to_id, edge_type, weight FROM (SELECT *, row_number() OVER (PARTITION BY from_id, to_id, edge_type ORDER BY o, n) AS r FROM
+@query("""SELECT from_id, to_id, edge_type, weight FROM (SELECT *, row_number() OVER (PARTITION BY from_id, to_id, edge_type ORDER BY o, n, weight) AS r FROM
     (SELECT l_partkey AS from_id, l_suppkey AS to_id, l_returnflag AS edge_type, l_quantity AS weight, l_orderkey AS o, l_linenumber AS n FROM lineitem) WHERE from_id <> to_id) WHERE r = 1""")
 def edge_dedupe(spark, d):
     raw = read(spark, d, "lineitem").select(F.col("l_partkey").alias("from_id"), F.col("l_suppkey").alias("to_id"), F.col("l_returnflag").alias("edge_type"), F.col("l_quantity").alias("weight"), "l_orderkey", "l_linenumber")
-    return graph.distinct_edges(raw, ["l_orderkey", "l_linenumber"]).select("from_id", "to_id", "edge_type", "weight")
+    return graph.distinct_edges(raw, ["l_orderkey", "l_linenumber", "weight"]).select("from_id", "to_id", "edge_type", "weight")
 
 
 @query(f"""WITH {EDGES}, s AS (SELECT * FROM e ORDER BY from_id, to_id, edge_type LIMIT 1000), ends AS (SELECT from_id AS id FROM s UNION SELECT to_id FROM s),
@@ -319,8 +319,10 @@ def change_detect(spark, d):
     return files.changed(docs, known).select(F.col("id").alias("doc_id"), "content_hash")
 
 
-@query("""SELECT o_orderkey, CASE WHEN o_orderstatus = 'P' THEN 'X' ELSE o_orderstatus END AS o_orderstatus, CASE WHEN o_orderstatus = 'P' THEN 0.0 ELSE o_totalprice END AS o_totalprice FROM orders
-    UNION ALL SELECT -c_custkey, 'N', c_acctbal FROM customer""")
+@query("""WITH new AS (SELECT o_orderkey, 'X' AS o_orderstatus, 0.0::DOUBLE AS o_totalprice FROM orders WHERE o_orderstatus = 'P' UNION ALL SELECT -c_custkey, 'N', c_acctbal FROM customer)
+    SELECT * FROM orders_of_other_keys UNION ALL
+    SELECT o_orderkey, o_orderstatus, o_totalprice FROM new QUALIFY row_number() OVER (PARTITION BY o_orderkey ORDER BY o_orderstatus DESC, o_totalprice DESC) = 1""".replace(
+    "orders_of_other_keys", "(SELECT o_orderkey, o_orderstatus, o_totalprice FROM orders WHERE o_orderkey NOT IN (SELECT o_orderkey FROM new))"))
 def upsert_merge(spark, d):
     orders = read(spark, d, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice")
     new = orders.where("o_orderstatus = 'P'").select("o_orderkey", F.lit("X").alias("o_orderstatus"), F.lit(0.0).alias("o_totalprice"))

@@ -39,9 +39,14 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def upsert(existing: DataFrame, new: DataFrame, key: list[str]) -> DataFrame:
-    """New rows, and the existing ones with other keys."""
-    return existing.join(new.select(key), key, "left_anti").unionByName(new)
+def upsert(existing: DataFrame, new: DataFrame, key: list[str], order: list[str] | None = None) -> DataFrame:
+    """New rows, and the existing ones with other keys. Of new rows with one key the last stays, in ``order`` and
+    then that of all other columns, so that the result has a row a key whatever order rows came in."""
+    rest = [c for c in [*(order or []), *new.columns] if c not in key]
+    rest = list(dict.fromkeys(rest))
+    last = F.max(F.struct(*rest)).alias("_last") if rest else F.lit(0).alias("_last")
+    one = new.groupBy(*key).agg(last).select(*[F.col(c) if c in key else F.col(f"_last.{c}").alias(c) for c in new.columns])
+    return existing.join(one.select(key), key, "left_anti").unionByName(one)
 
 
 def insert_ignore(existing: DataFrame, new: DataFrame, key: list[str], order: list[str]) -> DataFrame:

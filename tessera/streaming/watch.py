@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -41,26 +42,33 @@ def throttle_batch(events: DataFrame, key: str, ts: str, tie: str, seconds: floa
     return timed.repartition(F.col(key)).sortWithinPartitions(key, "_t", tie).mapInPandas(run, events.schema)
 
 
-def throttle(events: DataFrame, key: str, ts: str, seconds: float = fixed.THROTTLE_SECONDS, idle_minutes: int = 60) -> DataFrame:
-    """(key, ts) of accepted events of a stream. A key's state, the time of its last accepted
-    event, is forgotten after ``idle_minutes`` without one."""
+def throttle(events: DataFrame, key: str, ts: str, seconds: float = fixed.THROTTLE_SECONDS, late_minutes: int = 60) -> DataFrame:
+    """(key, ts_seconds) of accepted events of a stream. Events more than ``late_minutes`` behind the latest are
+    dropped by the watermark. A key's state, the time of its last accepted event, is forgotten once the watermark has
+    passed it by ``seconds``: any event still to come would be accepted then, so nothing is lost, and a stream without new events is at rest."""
 
     def run(k: tuple, frames, state: GroupState):
         if state.hasTimedOut:
             state.remove()
             return
         last = state.get[0] if state.exists else None
-        stamps = sorted(x for f in frames for x in f["_t"])
-        flags, last = accepted(stamps, last, seconds)
-        state.update((last,))
-        state.setTimeoutDuration(idle_minutes * 60_000)
-        kept = [t for t, ok in zip(stamps, flags, strict=True) if ok]
+        stamps = np.sort(np.concatenate([f["_t"].to_numpy() for f in frames]))
+        kept, at = [], 0 if last is None else np.searchsorted(stamps, last + seconds)
+        while at < len(stamps):  # from one accepted event to the next, not event by event
+            last = float(stamps[at])
+            kept.append(last)
+            at = max(at + 1, np.searchsorted(stamps, last + seconds))
+        if last is not None:
+            state.update((last,))
+            state.setTimeoutTimestamp(max(int((last + seconds + 60 * late_minutes) * 1000) + 1, state.getCurrentWatermarkMs() + 1))
         if kept:
             yield pd.DataFrame({key: [k[0]] * len(kept), "ts_seconds": kept})
 
     kind = events.schema[key].dataType.simpleString()
-    timed = events.select(key, (F.unix_micros(F.col(ts).cast("timestamp")) / 1e6).alias("_t"))
-    return timed.groupBy(key).applyInPandasWithState(run, f"{key} {kind}, ts_seconds double", "last double", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    # a watermark begins at 1970 and drops what is at it: moved on by the time that events may be late, it drops none since then
+    moved = F.col(ts).cast("timestamp") + F.make_interval(mins=F.lit(late_minutes))
+    timed = events.select(key, moved.alias("_w"), (F.unix_micros(F.col(ts).cast("timestamp")) / 1e6).alias("_t")).withWatermark("_w", f"{late_minutes} minutes")
+    return timed.groupBy(key).applyInPandasWithState(run, f"{key} {kind}, ts_seconds double", "last double", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def follow(engine, root: str, checkpoint: str | None = None, seconds: float = fixed.THROTTLE_SECONDS) -> StreamingQuery:
