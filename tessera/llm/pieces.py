@@ -1,7 +1,8 @@
 """SentencePiece segmentations sampled by forward filtering and backward sampling.
 
-A text is "▁" before each part that spaces set apart, as the library's dummy prefix
-and white-space escape give it. Over each such word all pieces of the vocabulary span a
+A text is "▁" and the text with "▁" for each space, as the library's dummy prefix
+and white-space escape give it. It is cut into words, each with all spaces before it: no piece goes on
+from another character to a space (a model with such pieces is refused), so the words' lattices are the text's. Over each word all pieces of the vocabulary span a
 lattice; characters without a piece are spanned by their byte pieces. The forward pass
 sums the weights of all ways to each position, the backward pass draws one way from
 its exact distribution. Weights of a piece: its score if the model is a unigram
@@ -10,8 +11,7 @@ model, else (scores are ranks) 1 / (1 + rank); both to the power ``alpha``.
 Distinct words of a block share one lattice, and all draws of a block are made
 together in numpy, from random numbers that are hashes of (seed, row key, word
 number, step). So a row's segmentation depends on nothing but these. Decoding joins the pieces and drops the prefix: it gives the text
-back. A literal "▁" is spelt in bytes, so that it isn't read as a space. Pieces of several spaces
-aren't used: a space starts a word.
+back. A literal "▁" is spelt in bytes, so that it isn't read as a space.
 
 Defined results: a null text counts as empty, an empty one has no pieces; a null key
 is a key of its own; repeated rows, with the same key and text, get the same
@@ -25,6 +25,7 @@ import zlib
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -64,8 +65,8 @@ class Model:
         for i in normal:
             piece = sp.id_to_piece(i)
             self.surface[i] = piece.replace("▁", " ").encode()
-            if "▁" in piece[1:]:
-                continue
+            if "▁" in piece.lstrip("▁"):
+                raise ValueError(f"{piece!r} spans words")
             self.longest, h = max(self.longest, len(piece)), 0
             for c in piece:
                 h = (h * int(BASE) + ord(c) + 1) % 2**64
@@ -103,6 +104,7 @@ class Lattices:
         size = np.asarray(pc.utf8_length(words)).astype(np.int32) + np.int32(1)  # with the space before
         raw = np.frombuffer(text.encode("utf-32-le"), np.uint32).astype(np.uint64)
         raw[raw == SPACE] = LITERAL
+        raw[raw == ord(" ")] = SPACE
         base = np.concatenate([[0], np.cumsum(size, dtype=np.int64)])
         chars = np.full(base[-1], SPACE, np.uint64)
         keep = np.ones(base[-1], bool)
@@ -216,16 +218,31 @@ def sample(model: Model, words: pa.Array, codes: np.ndarray, key: np.ndarray) ->
     return ids, counts[back]
 
 
-def encode_block(model: Model, keys: pa.Array, text: pa.Array, seed: int) -> list[np.ndarray]:
-    text = pc.fill_null(text, "")
-    some = np.asarray(pc.greater(pc.binary_length(text), 0))
+def spaced_words(text: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The words of texts without nulls, each with the spaces before it but one (the last of a text may be
+    spaces alone), and how many each text has; an empty text has none."""
     lists = pc.split_pattern(text, " ")
-    n = np.where(some, np.asarray(pc.list_value_length(lists)), 0).astype(np.int64)
+    n = np.asarray(pc.list_value_length(lists)).astype(np.int64)
     flat = lists.flatten()
-    if not some.all():  # an empty text has no word
-        flat = flat.filter(pa.array(np.repeat(some, np.asarray(pc.list_value_length(lists)))))
-    coded = flat.dictionary_encode()
-    row = np.array([zlib.crc32(repr(k).encode()) | zlib.crc32(repr(k).encode(), 77) << 32 for k in keys.to_pylist()], np.uint64) + np.array([seed], np.uint64) * STEP
+    last = np.zeros(len(flat), bool)
+    last[np.cumsum(n) - 1] = True
+    whole = last | np.asarray(pc.greater(pc.binary_length(flat), 0))  # what stands between two spaces goes with what follows
+    ends = np.flatnonzero(whole)
+    lead = np.diff(ends, prepend=-1) - 1
+    words = flat.take(pa.array(ends))
+    if lead.any():
+        words = pc.binary_join_element_wise(pc.binary_repeat(pa.scalar(" "), pa.array(lead)), words, "")
+    some = np.asarray(pc.greater(pc.binary_length(text), 0))
+    counts = np.add.reduceat(whole, np.cumsum(n) - n) if len(n) else n
+    if not some.all():
+        words = words.filter(pa.array(np.repeat(some, counts)))
+    return words, np.where(some, counts, 0)
+
+
+def encode_block(model: Model, keys: pa.Array, text: pa.Array, seed: int) -> list[np.ndarray]:
+    words, n = spaced_words(pc.fill_null(text, ""))
+    coded = words.dictionary_encode()
+    row = np.array([xxhash.xxh3_64_intdigest(repr(k)) for k in keys.to_pylist()], np.uint64) + np.array([seed], np.uint64) * STEP
     heads = np.cumsum(n) - n
     number = np.arange(int(n.sum())) - np.repeat(heads, n)
     key = mix64(np.repeat(mix64(row), n) ^ (number.astype(np.uint64) * BASE))

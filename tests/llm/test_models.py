@@ -169,6 +169,32 @@ def test_draws_follow_the_lattice():
         assert abs(got[k] - n * p) <= 5 * math.sqrt(n * p) + 3
 
 
+def test_draws_follow_the_lattice_of_spaces():
+    """Runs of spaces: every segmentation of the whole text, with pieces of several spaces, against its exact probability."""
+    m = pieces.model(PATH)
+    from sentencepiece import SentencePieceProcessor
+
+    sp = SentencePieceProcessor(model_file=PATH)
+    whole, text = "▁a▁▁▁b▁▁", "a   b  "
+    ways = {0: {(): 0.0}}
+    for i in range(len(whole)):
+        for ids, weight in ways.get(i, {}).items():
+            for j in range(i + 1, len(whole) + 1):
+                k = sp.piece_to_id(whole[i:j])
+                if sp.id_to_piece(k) == whole[i:j]:
+                    ways.setdefault(j, {})[*ids, k] = weight + m.weight[k]
+    ways = {ids: math.exp(w) for ids, w in ways[len(whole)].items()}
+    n, total = 20_000, sum(ways.values())
+    got = Counter(tuple(x.tolist()) for x in pieces.encode_block(m, pa.array(range(n)), pa.array([text] * n), 0))
+    assert set(got) <= set(ways) and len(ways) > 8
+    for k, w in ways.items():
+        p = w / total
+        assert abs(got[k] - n * p) <= 5 * math.sqrt(n * p) + 3
+    odd = ["", " ", "  ", " a", "a ", "  a  b  ", None, "é😀" * 3000, " " * 5000, "\0 \0  \0"]
+    back = pieces.encode_block(m, pa.array(range(len(odd))), pa.array(odd, pa.string()), 0)
+    assert [pieces.decode_ids(m, x.tolist()) for x in back] == [x or "" for x in odd]
+
+
 def test_seeds_and_keys_differ():
     m, t = pieces.model(PATH), pa.array(["the same words in each of these rows"] * 2)
     a, b = pieces.encode_block(m, pa.array([1, 2]), t, 0)
