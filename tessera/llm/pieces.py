@@ -36,6 +36,8 @@ SPACE = 0x2581
 LITERAL = 0x110000
 STEP, BASE, SLOT = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93), np.uint64(0xFF51AFD7ED558CCD)
 SLOT_BITS = 20
+#: Text whose words share lattices; states and edges take some 200 times its memory.
+LATTICE_BYTES = BLOCK_BYTES // 2
 #: In place of a piece's id: the character is spelt in bytes.
 SPELT = 0xFFFFF
 
@@ -271,7 +273,7 @@ def encode(docs: DataFrame, path: str, seed: int = 0, alpha: float = 1.0, id_col
 
     def run(batches):
         m = model(path, alpha)
-        for b in blocks(batches, most=2 * BLOCK_BYTES):
+        for b in blocks(batches, most=LATTICE_BYTES):
             ids = encode_block(m, b.column("doc_id"), b.column("text"), seed)
             yield pa.record_batch({"doc_id": b.column("doc_id"), "ids": pa.array([x.tolist() for x in ids], pa.list_(pa.int32()))})
 
@@ -296,7 +298,7 @@ def round_trip(docs: DataFrame, path: str, seed: int = 0, alpha: float = 1.0, id
 
     def run(batches):
         m = model(path, alpha)
-        for b in blocks(batches, most=2 * BLOCK_BYTES):
+        for b in blocks(batches, most=LATTICE_BYTES):
             text = b.column("text").to_pylist()
             ids = encode_block(m, b.column("doc_id"), b.column("text"), seed)
             back = [decode_ids(m, x.tolist()) for x in ids]
