@@ -92,33 +92,88 @@ def test_model_beats_the_base_on_held_out_texts(spark):
     assert r.s > r.b
 
 
+def random_model(seed, bits=12):
+    rng = np.random.default_rng(seed)
+    s = maxent.Shape()
+    table = rng.normal(0, 0.5, (s.rows(bits), maxent.WIDTH)).astype(np.float32)
+    tokens = rng.integers(0, 50, (maxent.WIDTH, maxent.WIDTH))
+    tokens[-1, 1:] = 0
+    return s, table, maxent.Priors.of(tokens)
+
+
 def test_probabilities_of_a_history_add_up():
-    s = maxent.Shape(buckets=6, classes=5, pairs=8)
-    rng = np.random.default_rng(0)
-    w = maxent.Weights(rng.normal(size=5), rng.normal(size=(6, 5)), rng.normal(size=(6, 5)), rng.normal(size=(8, 5)))
-    p = np.exp(w.log_softmax(np.arange(6), np.arange(6), s))
-    assert p.sum(axis=1) == pytest.approx(np.ones(6))
+    s, table, prior = random_model(0)
+    cls, column = (x.ravel() for x in np.meshgrid(np.arange(maxent.WIDTH), np.arange(maxent.WIDTH), indexing="ij"))
+    rows = np.random.default_rng(1).integers(0, len(table), (8, maxent.WIDTH)).astype(np.int32)
+    every = np.concatenate([np.repeat(rows[:4, :1], len(cls), axis=1), rows[4:][:, cls]])  # the column's features go with the class
+    p = np.exp(maxent.log_likelihood(table, prior, every, cls, column))
+    assert p.sum() == pytest.approx(1, abs=1e-4)
 
 
 def test_gradient_is_that_of_the_likelihood():
-    s = maxent.Shape(buckets=4, classes=3, pairs=5)
-    rng = np.random.default_rng(1)
-    counts = rng.integers(0, 9, (4, 4, 3))
-    w = maxent.Weights(rng.normal(size=3), rng.normal(size=(4, 3)), rng.normal(size=(4, 3)), rng.normal(size=(5, 3)))
-
-    def value():
-        return sum((counts[a, b] * w.log_softmax(np.array([a]), np.array([b]), s)[0]).sum() for a in range(4) for b in range(4))
-
-    total = maxent.Weights.zeros(s)
-    for a in range(4):
-        g, _ = maxent.gradient(w, a, counts[a].ravel(), s)
-        for name in ("bias", "one", "two", "pair"):
-            setattr(total, name, getattr(total, name) + getattr(g, name))
-    for name, at in (("bias", (1,)), ("one", (2, 0)), ("two", (3, 2)), ("pair", (4, 1))):
-        x, v = getattr(w, name), value()
-        x[at] += 1e-6
-        assert (value() - v) / 1e-6 == pytest.approx(getattr(total, name)[at], abs=1e-3)
-        x[at] -= 1e-6
+    s, table, prior = random_model(2)
+    rng = np.random.default_rng(3)
+    n = 3000
+    rows, cls, column = rng.integers(0, 40, (8, n)).astype(np.int32), rng.integers(0, maxent.WIDTH - 1, n), rng.integers(0, maxent.WIDTH, n)
+    at, times = maxent.followed(rows, cls, column)
+    counts = np.zeros(table.size)
+    counts[at] = times
+    expected = np.zeros_like(table)
+    maxent.expectations(table, prior, rows, cls, expected)
+    assert counts.sum() == 8 * n and expected.sum() == pytest.approx(8 * n, rel=1e-4)
+    for i, j in ((0, 3), (7, 60), (39, 0)):
+        values = []
+        for e in (0.02, -0.02):
+            moved = table.copy()
+            moved[i, j] += e
+            values.append(maxent.log_likelihood(moved, prior, rows, cls, column).sum())
+        assert (values[0] - values[1]) / 0.04 == pytest.approx(counts[i * maxent.WIDTH + j] - expected[i, j], abs=0.5)
+
+
+def test_scores_equal_a_plain_version(spark):
+    """The whole model by loops over tokens: counts, expectations of all training texts, two updates, discounted counts."""
+    docs = [(i, t) for i, t in enumerate(["the cat sat on the mat", "The cat sat on the hat", "a dog sat on a log", "", None, "the dog ate the cat", "on the mat the cat sat", "zebra!", "the cat sat", "one two three two one", "the end the end"] * 2)]
+    got = {r.doc_id: r.score for r in maxent.score(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    s = maxent.Shape()
+    bits, texts = s.row_bits(sum(len(t or "") for _, t in docs)), []
+    for i, t in docs:
+        words = [*(t or "").lower().split(), maxent.END]
+        rows, cls, column = maxent.features(maxent.kinds(words), np.arange(len(words)), np.array([0, len(words)]), bits)
+        texts.append((i, maxent.held_out(i, s), words, rows.T.tolist(), cls.tolist(), column.tolist()))
+    words = Counter(w for _, held, ws, *_ in texts if not held for w in ws)
+    cell_of = {w: (k, c) for _, _, ws, _, cls, col in texts for w, k, c in zip(ws, cls, col, strict=True)}
+    tokens = np.zeros((64, 64), int)
+    distinct = np.zeros((64, 64), int)
+    for w, n in words.items():
+        tokens[cell_of[w]] += n
+        distinct[cell_of[w]] += 1
+    prior, weights, counts = maxent.Priors.of(tokens), {}, Counter()
+
+    def softmax(log_prior, rows):
+        z = np.exp(np.array(log_prior, float) + sum(weights.get(r, np.zeros(64)) for r in rows))
+        return z / z.sum()
+
+    for _, held, _, rows, cls, col in texts:
+        for r, k, c in zip(rows, cls, col, strict=True):
+            for j, x in enumerate(r if not held else []):
+                counts[x, k if j < 4 else c] += 1
+    for rate in s.rates[: s.updates]:
+        expected = {}
+        for _, held, _, rows, cls, _ in texts:
+            for r, k in zip(rows if not held else [], cls, strict=False):
+                for own, p in ((r[:4], softmax(prior.classes, r[:4])), (r[4:], softmax(prior.columns[k], r[4:]))):
+                    for x in own:
+                        expected[x] = expected.get(x, 0) + p
+        for x, e in expected.items():
+            n = np.array([counts[x, j] for j in range(64)])
+            weights[x] = np.clip(weights.get(x, np.zeros(64)) + rate * np.log1p((n - e) / (e + s.smooth)), -s.most, s.most)
+    for i, _, ws, rows, cls, col in texts:
+        total = 0.0
+        for w, r, k, c in zip(ws, rows, cls, col, strict=True):
+            t, v, n = tokens[k, c], distinct[k, c], words[w]
+            inside = (n - s.discount) / t if n else s.discount * v / t if t else 1.0
+            total += math.log10(softmax(prior.classes, r[:4])[k]) + math.log10(softmax(prior.columns[k], r[4:])[c]) + math.log10(inside)
+        assert got[i] == pytest.approx(total, rel=2e-3, abs=2e-3), (i, ws)
 
 
 # --- Pieces ------------------------------------------------------------------------
