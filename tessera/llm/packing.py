@@ -169,15 +169,15 @@ def lower_bound(counts: dict[int, int], capacity: int) -> int:
     return best
 
 
-def pieces(docs: DataFrame, path: str, end_id: int = 0, capacity: int = 2048, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pieces(docs: DataFrame, path: str, end_id: int = 0, capacity: int = 2048, id_col: str = "doc_id", text_col: str = "text", spell: bool = True) -> DataFrame:
     """One row for each piece of each document: doc_id, piece, start, length, ids_crc32;
     part and number say which item of its size it is within its task."""
 
     def run(batches):
-        e, end, task, seen = encoder(WordEncoder, path, "<u4"), np.array([end_id], "<u4").tobytes(), TaskContext.get().partitionId(), [0] * (capacity + 1)
+        e, end, task, seen = encoder(WordEncoder, path, "<u4", spell), np.array([end_id], "<u4").tobytes(), TaskContext.get().partitionId(), [0] * (capacity + 1)
         for b in blocks(batches, most=2 * BLOCK_BYTES):
             out = []
-            for key, ids in zip(b.column("doc_id").to_pylist(), e.encode(b.column("text").to_pylist()), strict=True):
+            for key, ids in zip(b.column("doc_id").to_pylist(), e.encode(b.column("text")), strict=True):
                 ids += end
                 for i, at in enumerate(range(0, len(ids), 4 * capacity)):
                     own = ids[at : at + 4 * capacity]
@@ -218,9 +218,9 @@ def placed(items: DataFrame, runs: list[Run]) -> DataFrame:
     return items.mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
 
 
-def pack(docs: DataFrame, path: str, end_id: int = 0, capacity: int = 2048, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, piece, start, length, ids_crc32, sequence_id, offset of each piece."""
-    items = stage(pieces(docs, path, end_id, capacity, id_col, text_col), "pieces")
+def pack(docs: DataFrame, path: str, end_id: int = 0, capacity: int = 2048, id_col: str = "doc_id", text_col: str = "text", spell: bool = True) -> DataFrame:
+    """doc_id, piece, start, length, ids_crc32, sequence_id, offset of each piece; ``spell`` as in ``tokenfile.Encoder``."""
+    items = stage(pieces(docs, path, end_id, capacity, id_col, text_col, spell), "pieces")
     by_task = stage(items.groupBy("part", "length").agg(F.count(F.lit(1)).alias("n")), "sizes")
     counts = {r["length"]: r["n"] for r in by_task.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # one row for each size
     runs = Packer(counts, capacity).solve()

@@ -44,7 +44,7 @@ def op2_toxicity_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    folder, manifest = tokenfile.token_files(table(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_BPE), 2)
+    folder, manifest = tokenfile.token_files(table(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_BPE), 2, spell=False)
     return tokenfile.read(spark, folder, manifest)
 
 
@@ -67,7 +67,7 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path(WORD_BPE))
+    return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path(WORD_BPE), spell=False)
 
 
 def op9_maxent_scores(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -38,33 +38,43 @@ from .common import BLOCK_BYTES, blocks, coded_lists, ragged, scratch, split_wor
 
 NO_ID = -(2**63)
 #: White space that tokenizers and Arrow might not see alike, and the mark between chunks; such texts are encoded whole.
-ODD_SPACE = re.compile("[" + "".join(map(chr, [0, *range(0x1C, 0x20), 0x85, 0xA0, 0x1680, 0x180E, *range(0x2000, 0x2010), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000, 0xFEFF])) + "]")
+ODD_SPACE = r"[\x{0}\x{1C}-\x{1F}\x{85}\x{A0}\x{1680}\x{180E}\x{2000}-\x{200F}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]"
+#: Marks that join with a letter in normal form, or not if the letter is in lower case.
+JOINING = r"[\x{300}-\x{36F}]"
 #: White space and what follows it: a byte-level tokenizer never joins across its start.
 CHUNK = r"([\x20\x09-\x0D]*[^\x20\x09-\x0D]+)"
+#: A letter and a mark after it (no apostrophe, which may begin an ending like 's): a run of letters is over there, for all
+#: these tokenizers. Cut apart, a word is encoded once with whatever mark follows it.
+MARKED = r"([A-Za-zÀ-ÖØ-öø-ÿ])([.,;:!?)\]}*$%&|#<>\"-])"
 #: Chunks whose ids a Python worker remembers in each of two generations, of some 200 bytes each.
 REMEMBERED = 600_000
 
 
 class Encoder:
     """Ids by the tokenizers library, for byte-level pre-tokenizers. A text is cut before
-    white space, where the pre-tokenizer cuts too, so that each distinct chunk is
+    white space and between letters and marks, where the pre-tokenizer cuts too, so that each distinct chunk is
     encoded once and its ids are remembered; those not seen for a while are forgotten. New chunks go to the library many at a time,
     with separators between them whose id no chunk has. Texts with odd white
-    space are encoded whole."""
+    space are encoded whole.
+
+    With ``spell``, a literal special token in a text is spelt by ordinary pieces, so that no text can forge one;
+    without it, it gets its id, the library's default, and texts with one are encoded whole."""
 
     #: Between chunks: its text, and what a chunk must be to be set apart by it.
-    separator, plain, remembered = "\n", re.compile(r" [^\x20\t-\r]+"), REMEMBERED
+    separator, plain, remembered, odd = "\n", re.compile(r" [^\x20\t-\r]+"), REMEMBERED, ODD_SPACE
 
-    def __init__(self, path: str, dtype: str):
+    def __init__(self, path: str, dtype: str, spell: bool = True):
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer, self.spell = Tokenizer.from_file(path), spell
         self.dtype, self.known, self.older = np.dtype(dtype), {}, {}
         self.mark = self._ids([self.separator])[0]
         assert len(self.mark) == 1
+        special = [] if spell else sorted(t.content for t in self.tokenizer.get_added_tokens_decoder().values())
+        self.whole = "|".join([self.odd, *map(re.escape, special)])  # texts with a match are encoded whole
 
-    def _ids(self, texts: list[str]) -> list[np.ndarray]:
+    def _ids(self, texts: list[str], spell: bool = True) -> list[np.ndarray]:
+        self.tokenizer.encode_special_tokens = spell
         return [np.array(e.ids, self.dtype) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _learn(self, new: list[str]) -> None:
@@ -106,12 +116,15 @@ class Encoder:
 
     def chunks(self, texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
         """Distinct chunks, the codes of each text's, and the offsets of the texts."""
-        return coded_lists(pc.split_pattern(pc.replace_substring_regex(texts, CHUNK, "\\1\0"), "\0"))
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        odd = [i for i, t in enumerate(texts) if ODD_SPACE.search(t)]
-        blank = set(odd)
-        distinct, codes, ends = self.chunks(pa.array(["" if i in blank else t for i, t in enumerate(texts)] if odd else texts, pa.string()))
+        cut = pc.replace_substring_regex(pc.replace_substring_regex(texts, CHUNK, "\\1\0"), MARKED, "\\1\0\\2")
+        return coded_lists(pc.split_pattern(cut, "\0"))
+
+    def encode(self, texts: pa.Array | list[str]) -> list[bytes]:
+        """The ids of each text (none is null), as bytes."""
+        texts = pa.array(texts, pa.string()) if isinstance(texts, list) else texts
+        whole = pc.match_substring_regex(texts, self.whole)
+        odd = np.flatnonzero(np.asarray(whole)).tolist()
+        distinct, codes, ends = self.chunks(pc.if_else(whole, "", texts) if odd else texts)
         ids = self.ids_of(distinct.to_pylist())
         flat = np.frombuffer(b"".join(ids), self.dtype)
         n = np.fromiter(map(len, ids), np.int64, len(ids)) // self.dtype.itemsize
@@ -119,31 +132,31 @@ class Encoder:
         cuts = np.concatenate([[0], np.cumsum(n[codes])])[ends] * self.dtype.itemsize
         data = flat[ragged(at[codes], n[codes])].tobytes()
         out = [data[a:z] for a, z in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
-        for i, x in zip(odd, self._ids([texts[i] for i in odd]), strict=True):
+        for i, x in zip(odd, self._ids(texts.take(pa.array(odd, pa.int64())).to_pylist(), self.spell), strict=True):
             out[i] = x.tobytes()
         return out
 
 
 class WordEncoder(Encoder):
-    """For tokenizers that drop white space: a chunk is a word."""
+    """For tokenizers that drop white space and lower-case letters: a chunk is a word, or a mark and what follows it."""
 
-    separator, plain, remembered = " \0 ", re.compile(r"[^\0]+"), REMEMBERED // 2
+    separator, plain, remembered, odd = " \0 ", re.compile(r"[^\0]+"), REMEMBERED // 2, f"{ODD_SPACE}|{JOINING}"
 
     def chunks(self, texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
-        return split_words(texts, lower=False)
+        return split_words(pc.replace_substring_regex(texts, MARKED, "\\1 \\2"))
 
 
 _encoders: dict[tuple, Encoder] = {}
 
 
-def encoder(kind: type[Encoder], path: str, dtype: str) -> Encoder:
+def encoder(kind: type[Encoder], path: str, dtype: str, spell: bool = True) -> Encoder:
     """One for each Python worker."""
     import os
 
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    key = (kind.__name__, path, dtype)
+    key = (kind.__name__, path, dtype, spell)
     if key not in _encoders:
-        _encoders[key] = kind(path, dtype)
+        _encoders[key] = kind(path, dtype, spell)
     return _encoders[key]
 
 
@@ -157,16 +170,16 @@ def bounds(docs: DataFrame, parts: int, id_col: str = "doc_id") -> list[int]:
     return docs.agg(F.percentile_approx(key, shares, max(10_000, 20 * parts)).alias("b")).first()["b"] or []
 
 
-def encoded(docs: DataFrame, path: str, end_id: int, dtype: str = "<u2", id_col: str = "doc_id", text_col: str = "text", cuts: list[int] | None = None) -> DataFrame:
+def encoded(docs: DataFrame, path: str, end_id: int, dtype: str = "<u2", id_col: str = "doc_id", text_col: str = "text", cuts: list[int] | None = None, spell: bool = True) -> DataFrame:
     """doc_id, the ids of each whole text as bytes, with ``end_id`` at the end, and the
     range of its id. An id that is several bounds has their ranges, dealt by the ids' hash."""
 
     def run(batches):
-        e, end = encoder(Encoder, path, dtype), np.array([end_id], dtype).tobytes()
+        e, end = encoder(Encoder, path, dtype, spell), np.array([end_id], dtype).tobytes()
         edges = np.array(cuts or [], np.int64)
         for b in blocks(batches, most=2 * BLOCK_BYTES):
             keys = np.asarray(pc.fill_null(b.column("doc_id"), NO_ID))
-            ids = [x + end for x in e.encode(b.column("text").to_pylist())]
+            ids = [x + end for x in e.encode(b.column("text"))]
             low, high = np.searchsorted(edges, keys, "left"), np.searchsorted(edges, keys, "right")
             crc = np.array([zlib.crc32(x) for x in ids], np.int64)
             part = np.where(high > low, low + (crc * (high - low + 1) >> 32), low)
@@ -272,10 +285,10 @@ def read(spark: SparkSession, folder: str, manifest: dict | None = None, with_id
     return frame.repartition(max(1, len(rows))).mapInArrow(load, schema)
 
 
-def token_files(docs: DataFrame, path: str, end_id: int, dtype: str = "<u2", folder: str | None = None, id_col: str = "doc_id", text_col: str = "text", parts: int | None = None) -> tuple[str, dict]:
+def token_files(docs: DataFrame, path: str, end_id: int, dtype: str = "<u2", folder: str | None = None, id_col: str = "doc_id", text_col: str = "text", parts: int | None = None, spell: bool = True) -> tuple[str, dict]:
     """Encodes, writes and returns the folder and its manifest. Ranges come from the ids
     alone, so that each text is read and encoded once and its ids move once."""
     folder = folder or scratch(docs.sparkSession, "ids")
     parts = parts or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     cuts = bounds(docs, parts, id_col)
-    return folder, write(encoded(docs, path, end_id, dtype, id_col, text_col, cuts), folder, parts, dtype)
+    return folder, write(encoded(docs, path, end_id, dtype, id_col, text_col, cuts, spell), folder, parts, dtype)

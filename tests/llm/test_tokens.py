@@ -10,7 +10,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from tessera.llm import packing, tokenfile
+from tessera.llm import packing, queries, tokenfile
 
 BYTE, WORD = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("word_bpe_49k.json")
 
@@ -34,6 +34,57 @@ def test_cutting_into_chunks_changes_no_ids(text):
         assert np.frombuffer(got, "<u4").tolist() == library(path)(text)
 
 
+#: What pre-tokenizers, normal forms and special tokens treat in ways of their own.
+PARTS = ["the", "ERTH", "it's", "I'LL", "don't,", "a", " ", "  ", "\n", "\r\n", ",", ".", "...", "$", "&&", "--", "'", '"', "é", "É", "ç,", "e\u0301", "T\u0308", "H\u0331", "I\u0307,", "\u212a", "A\u0338,", "1", "4,5", "x1", "a_b",
+         "日本", "語。", "😀,", "\xa0", "\u3000", "\x1c", "\0", "\u200b", "<|endoftext|>", "<|startoftext|>", "<|ENDOFTEXT|>", "<|endoftext", "|>", "µ.", "÷,", "ﬁ,", "Σ", "ΑΣ,", "٣,", "²,", "foo)", "[bar]", "m/n"]
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.lists(st.sampled_from(PARTS), max_size=30).map("".join))
+def test_ids_are_those_of_the_library_as_it_comes(text):
+    for kind, path in ((tokenfile.Encoder, BYTE), (tokenfile.WordEncoder, WORD)):
+        for spell in (False, True):
+            t = untouched(path, spell)
+            got = tokenfile.encoder(kind, path, "<u4", spell).encode([text])[0]
+            assert np.frombuffer(got, "<u4").tolist() == t.encode(text, add_special_tokens=False).ids
+
+
+@functools.cache
+def untouched(path, spell):
+    t = Tokenizer.from_file(path)
+    if spell:
+        t.encode_special_tokens = True
+    return t
+
+
+@pytest.mark.parametrize("table", ["awkward", "small"])
+def test_queries_follow_the_library_as_it_comes(request, table, tmp_path):
+    """op3 and op8 as registered, over a whole table, against an unmodified tokenizer."""
+    docs = request.getfixturevalue(table)
+    spark = docs.sparkSession
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    rows = docs.collect()
+    files = sorted(queries.op3_token_files(spark, str(tmp_path)).collect(), key=lambda r: r.start)
+    want = sorted((str(r.doc_id), n, crc(ids)) for r in rows for ids in [[*untouched(BYTE, False).encode(r.text or "", add_special_tokens=False).ids, 2]] for n in [len(ids)])
+    assert sorted((str(r.doc_id), r.n_tokens, r.ids_crc32) for r in files) == want
+    assert [r.start for r in files] == np.cumsum([0, *(r.n_tokens for r in files)])[:-1].tolist()
+    pieces = queries.op8_best_fit_packing(spark, str(tmp_path)).collect()
+    want = []
+    for r in rows:
+        ids = [*untouched(WORD, False).encode(r.text or "", add_special_tokens=False).ids, 0]
+        want += [(str(r.doc_id), i, a, len(ids[a : a + 2048]), crc(ids[a : a + 2048])) for i, a in enumerate(range(0, len(ids), 2048))]
+    assert sorted((str(p.doc_id), p.piece, p.start, p.length, p.ids_crc32) for p in pieces) == sorted(want)
+    by = {}
+    for p in pieces:
+        by.setdefault(p.sequence_id, []).append((p.offset, p.length))
+    for own in by.values():
+        at = 0
+        for offset, length in sorted(own):
+            assert offset == at
+            at += length
+        assert at <= 2048
+
+
 @pytest.mark.parametrize("table", ["awkward", "small", "nothing", "clashing"])
 def test_files_equal_the_library(request, table, tmp_path):
     docs = request.getfixturevalue(table)
