@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import BLOCK_BYTES, blocks, give_back, stage, whole_text
+from .common import blocks, stage, whole_text
 from .tokenfile import WordEncoder, encoder
 
 
@@ -175,7 +175,7 @@ def pieces(docs: DataFrame, path: str, end_id: int = 0, capacity: int = 2048, id
 
     def run(batches):
         e, end, task, seen = encoder(WordEncoder, path, "<u4", spell), np.array([end_id], "<u4").tobytes(), TaskContext.get().partitionId(), [0] * (capacity + 1)
-        for b in blocks(batches, most=2 * BLOCK_BYTES):
+        for b in blocks(batches):
             out = []
             for key, ids in zip(b.column("doc_id").to_pylist(), e.encode(b.column("text")), strict=True):
                 ids += end
@@ -185,14 +185,19 @@ def pieces(docs: DataFrame, path: str, end_id: int = 0, capacity: int = 2048, id
                     out.append((key, i, at // 4, n, zlib.crc32(own), task, seen[n]))
                     seen[n] += 1
             yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names)
-        e.forget()  # other stages' tasks share the worker's memory
-        give_back()
 
     names = ["doc_id", "piece", "start", "length", "ids_crc32", "part", "number"]
     kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64()]
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), whole_text(text_col).alias("text")).mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long, part int, number long")
 
 
+def dense_bases(t: pa.Table, capacity: int) -> pa.Table:
+    """One row: a task, and by size how many items of that size there are in the tasks before it."""
+    base = np.zeros(capacity, np.int64)
+    base[np.asarray(t.column("length")) - 1] = np.asarray(t.column("base"))
+    return pa.table({"part": t.column("part").slice(0, 1), "base": pa.array([base], pa.list_(pa.int64()))})
+
+
 def placed(items: DataFrame, runs: list[Run]) -> DataFrame:
     """sequence_id and offset of each item (length, rank within its length)."""
     by_size: dict[int, list[Run]] = {}
@@ -225,6 +230,7 @@ def pack(docs: DataFrame, path: str, end_id: int = 0, capacity: int = 2048, id_c
     counts = {r["length"]: r["n"] for r in by_task.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # one row for each size
     runs = Packer(counts, capacity).solve()
     before = F.sum("n").over(Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
-    bases = by_task.select("part", "length", F.coalesce(before, F.lit(0)).alias("base"))
-    ranked = items.join(bases, ["part", "length"]).withColumn("rank", F.col("base") + F.col("number"))
+    # a row for each task, with a number for each size: much less than a row for each size of each task
+    bases = stage(by_task.select("part", "length", F.coalesce(before, F.lit(0)).alias("base")).groupBy("part").applyInArrow(lambda t: dense_bases(t, capacity), "part int, base array<long>"), "bases")
+    ranked = items.join(bases, "part").withColumn("rank", F.col("base")[(F.col("length") - 1).cast("int")] + F.col("number"))
     return placed(ranked.select("doc_id", "piece", "start", "length", "ids_crc32", "rank"), runs)

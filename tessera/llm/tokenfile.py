@@ -47,7 +47,7 @@ CHUNK = r"([\x20\x09-\x0D]*[^\x20\x09-\x0D]+)"
 #: these tokenizers. Cut apart, a word is encoded once with whatever mark follows it.
 MARKED = r"([A-Za-zÀ-ÖØ-öø-ÿ])([.,;:!?)\]}*$%&|#<>\"-])"
 #: Chunks whose ids a Python worker remembers in each of two generations, of some 200 bytes each.
-REMEMBERED = 600_000
+REMEMBERED = 300_000
 
 
 class Encoder:
@@ -97,9 +97,6 @@ class Encoder:
             some = other[at : at + 4096]
             self.known.update(zip(some, (x.tobytes() for x in self._ids(some)), strict=True))
 
-    def forget(self) -> None:
-        self.known, self.older = {}, {}
-
     def ids_of(self, chunks: list[str]) -> list[bytes]:
         """The ids of each of some distinct chunks."""
         if len(self.known) > self.remembered:
@@ -140,7 +137,7 @@ class Encoder:
 class WordEncoder(Encoder):
     """For tokenizers that drop white space and lower-case letters: a chunk is a word, or a mark and what follows it."""
 
-    separator, plain, remembered, odd = " \0 ", re.compile(r"[^\0]+"), REMEMBERED // 2, f"{ODD_SPACE}|{JOINING}"
+    separator, plain, remembered, odd = " \0 ", re.compile(r"[^\0]+"), REMEMBERED * 2 // 3, f"{ODD_SPACE}|{JOINING}"
 
     def chunks(self, texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
         return split_words(pc.replace_substring_regex(texts, MARKED, "\\1 \\2"))
