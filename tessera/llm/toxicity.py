@@ -7,13 +7,13 @@ uncertain as they are on new texts. Words enter a model if they are frequent eno
 and their frequencies differ significantly between the classes. A category's threshold is the one with
 the best F measure on out-of-fold predictions, with recall counting more than precision.
 
-Training takes at most ``most_rows`` labelled rows, those with the least hashes of their ids, and of
-near copies among them one: else their words look significant, and folds share texts. Scoring
+Training takes at most ``most_rows`` labelled ids, those with the least hashes, at most twice as many rows with them, and of
+near copies with the same labels one: else their words look significant, and folds share texts. Scoring
 reads every whole text, in blocks, with a model of bounded size.
 
 Defined results: a null or empty text has no words and gets the models' intercepts;
 repeated rows get equal results; ids don't matter for scoring; label rows with a null
-aren't used; a category without labels of both kinds is never predicted; an empty table gives no rows.
+aren't used, of several labels of an id the greatest is; a category without labels of both kinds is never predicted; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -24,11 +24,10 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SUM_SCHEMA, blocks, collect_sums, count_rows, mix64, ragged, split_words, stage, whole_text
+from .common import blocks, give_back, mix64, ragged, split_words, stage, whole_text
 from .neardup import Settings as Shingles
 from .neardup import shingles
 
@@ -108,6 +107,12 @@ class Rows:
         return np.bincount(self.codes, np.repeat(g, np.diff(self.offsets)), self.size)
 
 
+def apart(n_with, pos_with, n: int, pos: int, sqrt=np.sqrt, most=np.maximum, number=float):
+    """How many standard deviations a feature's count in the ``pos`` positive of ``n`` rows is off, if it says nothing; for arrays or columns."""
+    rate = n_with / n
+    return (pos_with - rate * pos) / sqrt(most(rate * (1 - rate) * (pos * (1 - pos / n)), number(1e-9)))
+
+
 def fit_link(name: str, x: Rows, earlier: np.ndarray, y: np.ndarray, s: Settings) -> Link:
     """A logistic model by gradient steps scaled for each weight (Adagrad), with an L2 penalty."""
     n, pos = len(y), int(y.sum())
@@ -115,8 +120,7 @@ def fit_link(name: str, x: Rows, earlier: np.ndarray, y: np.ndarray, s: Settings
     if not 0 < pos < n:
         return link
     of_pos, of_all = x.add(y.astype(float)), x.add(np.ones(n))
-    rate = of_all / n
-    z = (of_pos - pos * rate) / np.sqrt(np.maximum(pos * rate * (1 - rate) * (1 - pos / n), 1e-9))
+    z = apart(of_all, of_pos, n, pos)
     chosen = np.flatnonzero((of_all >= s.least_texts) & (np.abs(z) >= s.least_z))
     chosen = chosen[np.argsort(-np.abs(z[chosen]), kind="stable")][: s.most_words]
     place = np.full(x.size, -1)
@@ -175,15 +179,14 @@ def fit_rows(vocabulary: list, x: Rows, labels: dict[str, np.ndarray], s: Settin
 
 
 def fit(docs: DataFrame, labels: DataFrame, categories: list[str], settings: Settings | None = None, id_col: str = "doc_id", text_col: str = "text") -> Chain:
-    """``labels``: ``id_col`` and a column of 0 or 1 for each category, in the chain's order."""
+    """``labels``: ``id_col`` and a column of 0 or 1 for each category, in the chain's order. Of repeated ids the greatest label counts."""
     s = settings or Settings()
-    rows = labels.select(F.col(id_col).alias("doc_id"), *[F.col(c).cast("int").alias(f"y{i}") for i, c in enumerate(categories)]).na.drop()
-    rows = rows.orderBy(F.xxhash64("doc_id"), "doc_id").limit(s.most_rows)
+    ys = [f"y{i}" for i in range(len(categories))]
+    rows = labels.select(F.col(id_col).alias("doc_id"), *[F.col(c).cast("int").alias(y) for c, y in zip(categories, ys, strict=True)]).na.drop()
+    rows = rows.groupBy("doc_id").agg(*[F.max(y).alias(y) for y in ys]).orderBy(F.xxhash64("doc_id"), "doc_id").limit(s.most_rows)
     own = docs.select(F.col(id_col).alias("doc_id"), whole_text(text_col).alias("text"))
     found = own.join(F.broadcast(rows), "doc_id").drop("doc_id")  # of most_rows rows
 
-    ys = [f"y{i}" for i in range(len(categories))]
-
     def words(batches):
         for b in blocks(batches):
             dictionary, codes, offsets = text_words(b.column("text"))
@@ -194,53 +197,54 @@ def fit(docs: DataFrame, labels: DataFrame, categories: list[str], settings: Set
                 "least": pa.array(least_shingles(b.column("text")), pa.list_(pa.int64())), "hash": pa.array([xxhash.xxh3_64_intdigest(t) >> 1 for t in b.column("text").to_pylist()], pa.int64()),
             } | {y: b.column(y) for y in ys})
 
-    # features stay where they are; the driver gets hashes of those that may be frequent enough
+    # features stay where they are, and so does their count by class: the driver gets codes of those that may differ between the classes, and each row's among them
     made = stage(found.mapInArrow(words, "words array<string>, codes array<int>, least array<long>, hash long, " + ", ".join(f"{y} int" for y in ys)), "features")
-
-    def slots(batches):
-        table = np.zeros(SLOTS, np.int64)
-        for b in batches:
-            table += np.bincount(slot(b.column("codes").flatten()), minlength=SLOTS)
-        yield from count_rows(table, TaskContext.get().partitionId(), SLOT_WIDTH)
-
-    many = docs.sparkSession.sparkContext.broadcast(collect_sums(made.select("codes").mapInArrow(slots, SUM_SCHEMA), SLOTS // SLOT_WIDTH, SLOT_WIDTH) >= s.least_texts)
-
-    def frequent(batches):
+    n, *pos = made.agg(F.count(F.lit(1)), *[F.coalesce(F.sum(y), F.lit(0)) for y in ys]).first()
+    by_class = made.select(F.explode("codes").alias("code"), *ys).groupBy("code").agg(F.count(F.lit(1)).alias("n"), *[F.sum(y).alias(y) for y in ys]).where(F.col("n") >= s.least_texts)
+    may = F.lit(False)
+    for y, k in zip(ys, pos, strict=True):
+        if 0 < k < n:
+            may |= F.abs(apart(F.col("n"), F.col(y), n, k, F.sqrt, F.greatest, F.lit)) >= s.least_z / 2
+    may_differ = np.sort(np.array([r["code"] for r in by_class.where(may).select("code").collect()], np.int32))
+    sent = docs.sparkSession.sparkContext.broadcast(may_differ)
+
+    def chosen(batches):
         for b in batches:
-            flat, n = b.column("codes").flatten(), np.asarray(pc.list_value_length(b.column("codes")), dtype=np.int64)
-            on = many.value[slot(flat)]
+            flat, n = np.asarray(b.column("codes").flatten()), np.asarray(pc.list_value_length(b.column("codes")), dtype=np.int64)
+            known = sent.value
+            on = known[np.minimum(np.searchsorted(known, flat), len(known) - 1)] == flat if len(known) else np.zeros(len(flat), bool)
             ends = np.concatenate([[0], np.cumsum(on)])[np.concatenate([[0], np.cumsum(n)])]
-            yield pa.record_batch({"codes": pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat.filter(pa.array(on)))} | {c: b.column(c) for c in ("least", "hash", *ys)})
-
-    t = made.drop("words").mapInArrow(frequent, "codes array<int>, least array<long>, hash long, " + ", ".join(f"{y} int" for y in ys)).limit(2 * s.most_rows).toArrow()
-    order = np.argsort(np.asarray(t.column("hash")), kind="stable")  # whatever order the rows came in
-    order = order[one_of_each(t.column("least").take(pa.array(order)).to_pylist())]
-    t = t.drop_columns(["least", "hash"]).take(pa.array(order, pa.int64())).combine_chunks()
+            yield pa.record_batch({"codes": pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat[on]))} | {c: b.column(c) for c in ("least", "hash", *ys)})
+
+    # rows of one text have one hash, so the order is the same whatever order they come in
+    t = made.drop("words").mapInArrow(chosen, "codes array<int>, least array<long>, hash long, " + ", ".join(f"{y} int" for y in ys)).orderBy("hash", *ys).limit(2 * s.most_rows).toArrow()
+    sent.destroy()
+    y = np.stack([np.asarray(t.column(c)) for c in ys], axis=1) if ys else np.zeros((t.num_rows, 0))
+    order = one_of_each(t.column("least").to_pylist(), y.tolist())
+    t, y = t.drop_columns(["least", "hash"]).take(pa.array(order, pa.int64())).combine_chunks(), y[order].astype(float)
     lists = t.column("codes").combine_chunks() if t.num_rows else pa.array([], pa.list_(pa.int32()))
     names, codes = np.unique(np.asarray(lists.flatten()), return_inverse=True)
     x = Rows(codes.astype(np.int32), np.concatenate([[0], np.cumsum(np.asarray(pc.list_value_length(lists), dtype=np.int64))]), max(1, len(names)))
-    chain = fit_rows(names.tolist(), x, {c: np.asarray(t.column(y)).astype(float) for c, y in zip(categories, ys, strict=True)}, s)
-    chosen = sorted({int(w) for link in chain.links for w in link.words})  # most_words a category
+    chain = fit_rows(names.tolist(), x, {c: y[:, i] for i, c in enumerate(categories)}, s)
+    used = sorted({int(w) for link in chain.links for w in link.words})  # most_words a category
     spelt: dict[int, list[str]] = {}
-    asked = docs.sparkSession.createDataFrame([(c,) for c in chosen], "code int")
+    asked = docs.sparkSession.createDataFrame([(c,) for c in used], "code int")
     pairs = made.select(F.explode(F.arrays_zip("words", "codes")).alias("x")).select("x.words", F.col("x.codes").alias("code"))
-    for r in pairs.join(F.broadcast(asked), "code").distinct().collect() if chosen else []:
+    for r in pairs.join(F.broadcast(asked), "code").distinct().collect() if used else []:
         spelt.setdefault(r["code"], []).append(r["words"])
     for link in chain.links:
         own = [(w, v) for c, v in zip(link.words, link.weights, strict=True) for w in sorted(spelt[int(c)])]
         link.words, link.weights = np.array([w for w, _ in own], dtype=object), np.array([v for _, v in own])
+    del t, x, lists, codes, y
+    give_back()
     return chain
 
 
-#: Slots in which frequencies of features are bounded, before their hashes are collected; the exact ones follow.
-SLOTS, SLOT_WIDTH = 1 << 20, 1 << 15
-
+#: Samples of a text's shingles, and how many near copies must share.
+SAMPLES, ALIKE = 8, 5
 
-def slot(codes: pa.Array) -> np.ndarray:
-    return np.asarray(codes).view(np.uint32) & np.uint32(SLOTS - 1)
 
-
-def least_shingles(text: pa.Array, n: int = 3) -> list[list[int]]:
+def least_shingles(text: pa.Array, n: int = SAMPLES) -> list[list[int]]:
     """For each text its least shingle by ``n`` hashes; near copies share most of them."""
     sh, _, offsets = shingles(text, Shingles())
     out = []
@@ -249,21 +253,19 @@ def least_shingles(text: pa.Array, n: int = 3) -> list[list[int]]:
     return out
 
 
-def one_of_each(least: list[list[int]]) -> list[int]:
-    """The first row of each group of rows that share a shingle of theirs."""
-    root = list(range(len(least)))
-
-    def find(i: int) -> int:
-        while root[i] != i:
-            root[i] = i = root[root[i]]
-        return i
-
-    first: dict[tuple[int, int], int] = {}
-    for i, hashes in enumerate(least):
-        for k in enumerate(hashes):
-            a, b = find(first.setdefault(k, i)), find(i)
-            root[max(a, b)] = min(a, b)
-    return [i for i in range(len(least)) if find(i) == i]
+def one_of_each(least: list[list[int]], labels: list) -> list[int]:
+    """The rows but those with most samples (``ALIKE``) and all labels equal to an earlier row that stays: a common passage alone
+    makes no copy. Rows that share so many samples share a pair of neighbours, so only such rows are compared."""
+    stay, at = [], {}
+    for i, own in enumerate(least):
+        keys = [(k, own[k], own[k + 1]) for k in range(0, len(own), 2)]
+        near = {j for k in keys for j in at.get(k, ())}
+        if any(labels[i] == labels[j] and sum(a == b for a, b in zip(own, least[j], strict=True)) >= ALIKE for j in near):
+            continue
+        stay.append(i)
+        for k in keys:
+            at.setdefault(k, []).append(i)
+    return stay
 
 
 def probabilities(chain: Chain, text: pa.Array) -> np.ndarray:

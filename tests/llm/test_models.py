@@ -65,6 +65,70 @@ def test_without_labels_nothing_is_toxic(spark, awkward):
     assert not any(r.toxic for r in toxicity.scores(awkward, none).collect())
 
 
+def plain_features(text):
+    out = set()
+    for w in (text or "").split():
+        w = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in w).strip(toxicity.PUNCTUATION)
+        out |= {w} | {w[:k] + "*" for k in toxicity.PREFIXES if len(w) > k}
+    return out
+
+
+def plain_chain(rows, s):
+    """From (features, labels) of each row, by dense matrices: for each category a function of features and earlier probabilities, and its threshold."""
+    names = sorted(set().union(*(f for f, _ in rows)))
+    x = np.array([[n in f for n in names] for f, _ in rows], float)
+    y = np.array([ls for _, ls in rows], float)
+    links, earlier, fold = [], np.zeros((len(rows), 0)), np.arange(len(rows)) % s.folds
+
+    def learn(x, e, y):
+        n, pos = len(y), y.sum()
+        with_, rate = x.T @ y, x.mean(axis=0)
+        z = (with_ - pos * rate) / np.sqrt(np.maximum(pos * rate * (1 - rate) * (1 - pos / n), 1e-9))
+        on = (x.sum(axis=0) >= s.least_texts) & (np.abs(z) >= s.least_z)
+        own, w, v, b = x[:, on], np.zeros(on.sum()), np.zeros(e.shape[1]), np.log((pos + 0.5) / (n - pos + 0.5))
+        gw, gv, gb = np.full(len(w), 1e-8), np.full(len(v), 1e-8), 1e-8
+        for _ in range(s.updates):
+            g = y - 1 / (1 + np.exp(-(own @ w + e @ v + b)))
+            dw, dv, db = own.T @ g - s.penalty * w, e.T @ g - 20 * s.penalty * v, g.sum()
+            gw, gv, gb = gw + dw**2, gv + dv**2, gb + db**2
+            w, v, b = w + 0.5 * dw / np.sqrt(gw), v + 0.5 * dv / np.sqrt(gv), b + 0.5 * db / np.sqrt(gb)
+        full = np.zeros(x.shape[1])
+        full[on] = w
+        return lambda x, e: 1 / (1 + np.exp(-(x @ full + e @ v + b)))
+
+    for i in range(y.shape[1]):
+        out = np.zeros(len(rows))
+        for k in range(s.folds):
+            a, z = fold != k, fold == k
+            out[z] = learn(x[a], earlier[a], y[a, i])(x[z], earlier[z])
+        links.append(learn(x, earlier, y[:, i]))
+        earlier = np.column_stack([earlier, out])
+    return names, links
+
+
+def test_scores_equal_a_plain_chain(spark, chain):
+    """Trained and scored on whole rows; the rows of a text's near copy aren't among them."""
+    rows = [r for r in labelled(700, 5)]
+    rows += [(9000, rows[0][1], *rows[0][2:]), (9001, None, 0, 0), (9002, "", 0, 0)]  # a copy, and rows without words
+    df = spark.createDataFrame(rows, "doc_id long, text string, insult int, threat int")
+    made = toxicity.fit(df.select("doc_id", "text"), df.select("doc_id", "insult", "threat").union(df.select("doc_id", F.lit(0), F.lit(0))), ["insult", "threat"])
+    got = {r.doc_id: r for r in toxicity.scores(df, made).collect()}
+    ordered = sorted(rows[:700] + rows[701:], key=lambda r: (toxicity.xxhash.xxh3_64_intdigest(r[1] or "") >> 1, *r[2:]))
+    names, links = plain_chain([(plain_features(r[1]), r[2:]) for r in ordered], toxicity.Settings())
+    x = np.array([[n in f for n in names] for f in (plain_features(r[1]) for r in rows)], float)
+    p = np.zeros((len(rows), 0))
+    for link in links:
+        p = np.column_stack([p, link(x, p)])
+    for r, (a, b) in zip(rows, p, strict=True):
+        assert (got[r[0]].p_insult, got[r[0]].p_threat) == (pytest.approx(a, abs=1e-6), pytest.approx(b, abs=1e-6))
+
+
+def test_common_passages_make_no_copies():
+    a, b = list(range(8)), [0, 1, 2, 13, 14, 15, 16, 17]  # three samples of one passage
+    near = [0, 1, 2, 3, 4, 25, 26, 27]
+    assert toxicity.one_of_each([a, b, near, near, [], []], [[1], [1], [1], [0], [0], [0]]) == [0, 1, 3, 4, 5]
+
+
 # --- Maximum entropy ---------------------------------------------------------------
 
 
@@ -115,9 +179,8 @@ def test_gradient_is_that_of_the_likelihood():
     rng = np.random.default_rng(3)
     n = 3000
     rows, cls, column = rng.integers(0, 40, (8, n)).astype(np.int32), rng.integers(0, maxent.WIDTH - 1, n), rng.integers(0, maxent.WIDTH, n)
-    at, times = maxent.followed(rows, cls, column)
-    counts = np.zeros(table.size)
-    counts[at] = times
+    counts = np.zeros(table.size, np.int32)
+    maxent.count(counts, rows, cls, column)
     expected = np.zeros_like(table)
     maxent.expectations(table, prior, rows, cls, expected)
     assert counts.sum() == 8 * n and expected.sum() == pytest.approx(8 * n, rel=1e-4)
