@@ -29,6 +29,8 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 OWNER_ROWS = 2_000_000
 #: Fingerprints that a task codes into one set of blocks.
 TASK_ROWS = 4_000_000
+#: Remainders that are packed at once; a multiple of 8, so that slices end with bytes.
+SLICE = 1 << 16
 
 
 def normalised(name: str = "text") -> Column:
@@ -58,8 +60,8 @@ def golomb_encode(values: np.ndarray) -> tuple[int, bytes]:
     unary = np.ones(int(ends[-1]), np.uint8)
     unary[ends - 1] = 0
     shifts = np.arange(k - 1, -1, -1, dtype=np.uint64)
-    rest = ((gaps[:, None] >> shifts) & np.uint64(1)).astype(np.uint8) if k else np.zeros((n, 0), np.uint8)
-    return k, int(values[0]).to_bytes(8, "little") + len(unary).to_bytes(8, "little") + np.packbits(unary).tobytes() + np.packbits(rest).tobytes()
+    rest = b"".join(np.packbits(((gaps[a : a + SLICE, None] >> shifts) & np.uint64(1)).astype(np.uint8)).tobytes() for a in range(0, n if k else 0, SLICE))
+    return k, int(values[0]).to_bytes(8, "little") + len(unary).to_bytes(8, "little") + np.packbits(unary).tobytes() + rest
 
 
 def golomb_decode(n: int, k: int, data: bytes) -> np.ndarray:
@@ -69,10 +71,13 @@ def golomb_decode(n: int, k: int, data: bytes) -> np.ndarray:
     cut = 16 + -(-bits // 8)
     unary = np.unpackbits(np.frombuffer(data[16:cut], np.uint8), count=bits)
     q = np.diff(np.flatnonzero(unary == 0), prepend=-1) - 1
-    rest = np.unpackbits(np.frombuffer(data[cut:], np.uint8), count=n * k).reshape(n, k)
-    low = np.zeros(n, np.uint64)
-    for j in range(k):
-        low = (low << np.uint64(1)) | rest[:, j]
+    low, tail = np.zeros(n, np.uint64), np.frombuffer(data[cut:], np.uint8)
+    for a in range(0, n if k else 0, SLICE):
+        own = low[a : a + SLICE]
+        rest = np.unpackbits(tail[a * k // 8 :][: -(-len(own) * k // 8)], count=len(own) * k).reshape(-1, k)
+        for j in range(k):
+            own <<= np.uint64(1)
+            own |= rest[:, j]
     gaps = (q.astype(np.uint64) << np.uint64(k)) | low
     gaps[1:] += np.uint64(1)
     gaps[0] = first
@@ -90,13 +95,10 @@ def blocks_of(fps: DataFrame, owners: int) -> DataFrame:
         def out(parts, seq):
             values, times = np.unique(np.concatenate(parts), return_counts=True)
             owner = ((values >> np.uint64(32)) * np.uint64(owners)) >> np.uint64(32)
-            cuts = np.searchsorted(owner, np.arange(owners + 1, dtype=np.uint64))
-            rows = []
-            for o in range(owners):
-                a, b = cuts[o], cuts[o + 1]
-                if a < b:
-                    k, data = golomb_encode(values[a:b])
-                    rows.append((task | seq << 32, o, int(b - a), k, data, np.packbits(times[a:b] > 1).tobytes()))
+            heads, rows = np.flatnonzero(np.diff(owner.astype(np.int64), prepend=-1)), []
+            for a, b in zip(heads.tolist(), [*heads[1:].tolist(), len(values)], strict=True):  # never more rows than fingerprints
+                k, data = golomb_encode(values[a:b])
+                rows.append((task | seq << 32, int(owner[a]), b - a, k, data, np.packbits(times[a:b] > 1).tobytes()))
             names = ["part", "owner", "n", "k", "data", "twice"]
             kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.binary()]
             return pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names)

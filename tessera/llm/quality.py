@@ -47,32 +47,48 @@ def windows(words: Column) -> Column:
 
 
 def repeated(words: Column, keys: Column) -> Column:
-    """Words in windows found twice or more. Hash and position share an integer, so that
-    one sort of integers brings equal windows together; words decide whether they are equal."""
+    """Words in windows found twice or more. The upper bits of a hash and a position share an integer, so that
+    one sort of integers brings equal windows together; words decide whether they are equal. Where different windows
+    share those bits, or positions need more, windows are sorted by their words."""
     bits = POSITION_BITS
     place = lambda x: x.bitwiseAND(F.lit((1 << bits) - 1)).cast("int")
     order = F.sort_array(F.transform(keys, lambda h, i: F.shiftleft(F.shiftright(h, bits), bits).bitwiseOR(i.cast("long"))))
 
+    def alike(a: Column, b: Column) -> Column:
+        return F.coalesce(F.shiftright(a, bits) == F.shiftright(b, bits), F.lit(False))
+
     def same(a: Column, b: Column) -> Column:
-        out = F.shiftright(a, bits) == F.shiftright(b, bits)
+        out = alike(a, b)
         for d in range(3):
             out = out & (F.get(words, place(a) + d) == F.get(words, place(b) + d))
         return F.coalesce(out, F.lit(False))
 
-    def covered(s: Column) -> Column:
+    def of_near(s: Column) -> Column:
+        mixed = F.size(F.filter(s, lambda x, j: alike(x, F.get(s, j + 1)) & ~same(x, F.get(s, j + 1)))) > 0
         hits = F.filter(s, lambda x, j: same(x, F.get(s, j - 1)) | same(x, F.get(s, j + 1)))
-        return F.size(F.array_distinct(F.flatten(F.transform(hits, lambda x: F.array(place(x), place(x) + 1, place(x) + 2)))))
+        return F.when(mixed, _repeated_long(words, keys)).otherwise(F.size(F.array_distinct(F.flatten(F.transform(hits, lambda x: F.array(place(x), place(x) + 1, place(x) + 2))))))
+
+    def of_order(s: Column) -> Column:
+        near = F.filter(s, lambda x, j: alike(x, F.get(s, j - 1)) | alike(x, F.get(s, j + 1)))
+        return F.get(F.transform(F.array(near), of_near), 0)
 
     # an array of one sorted array, so that it is worked out once
-    short = F.get(F.transform(F.array(order), covered), 0)
-    return F.when(F.size(F.array_distinct(keys)) == F.size(keys), 0).when(F.size(keys) < 1 << bits, short).otherwise(_repeated_long(keys))
+    short = F.get(F.transform(F.array(order), of_order), 0)
+    return F.when(F.size(F.array_distinct(keys)) == F.size(keys), 0).when(F.size(keys) < 1 << bits, short).otherwise(_repeated_long(words, keys))
+
 
+def _repeated_long(words: Column, keys: Column) -> Column:
+    window = lambda h, i: F.struct(h.alias("h"), *[F.get(words, i + d).alias(f"w{d}") for d in range(3)], i.alias("i"))
+    order = F.array_sort(F.transform(keys, window))  # hashes first, so words are compared where they may be equal
 
-def _repeated_long(keys: Column) -> Column:
-    order = F.array_sort(F.transform(keys, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
+    def same(a: Column, b: Column) -> Column:
+        out = a["h"] == b["h"]
+        for d in range(3):
+            out = out & (a[f"w{d}"] == b[f"w{d}"])
+        return F.coalesce(out, F.lit(False))
 
     def covered(s: Column) -> Column:
-        hits = F.filter(s, lambda x, j: F.coalesce(x["h"] == F.get(s, j - 1)["h"], F.lit(False)) | F.coalesce(x["h"] == F.get(s, j + 1)["h"], F.lit(False)))
+        hits = F.filter(s, lambda x, j: same(x, F.get(s, j - 1)) | same(x, F.get(s, j + 1)))
         return F.size(F.array_distinct(F.flatten(F.transform(hits, lambda x: F.array(x["i"], x["i"] + 1, x["i"] + 2)))))
 
     return F.get(F.transform(F.array(order), covered), 0)

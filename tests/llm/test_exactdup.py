@@ -67,3 +67,9 @@ def test_keep_returns_one_whole_row_per_text(request, table):
     rows = got.collect()
     assert {lowered(r["text"]): r["doc_id"] for r in rows} == {t: v[1] if v[0] else None for t, v in best.items()}
     assert len(rows) == len(best)
+
+
+def test_golomb_codes_of_several_slices():
+    v = np.unique(np.random.default_rng(4).integers(0, 2**63, 2 * exactdup.SLICE + 12345).astype(np.uint64))
+    k, data = exactdup.golomb_encode(v)
+    assert (exactdup.golomb_decode(len(v), k, data) == v).all()

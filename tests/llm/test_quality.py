@@ -52,6 +52,12 @@ def test_statistics_of_odd_texts(spark, texts):
     assert got == {i: brute(t) for i, t in enumerate(texts)}
 
 
+def test_windows_with_equal_parts_of_hashes_are_told_apart(spark, small, monkeypatch):
+    monkeypatch.setattr(quality, "POSITION_BITS", 58)  # six bits of each hash are left
+    rows = quality.statistics(small).join(small.select("doc_id", "text"), "doc_id").collect()
+    assert [r.n_repeat_words for r in rows] == [brute(r.text)[4] for r in rows]
+
+
 def test_the_way_for_very_long_texts(spark, small, monkeypatch):
     monkeypatch.setattr(quality, "POSITION_BITS", 3)
     rows = quality.statistics(small).join(small.select("doc_id", "text"), "doc_id").collect()
