@@ -50,6 +50,10 @@ MARKED = r"([A-Za-zÀ-ÖØ-öø-ÿ])([.,;:!?)\]}*$%&|#<>\"-])"
 REMEMBERED = 300_000
 
 
+#: Text whose ids go to one file, about; and what a small table's files have at least.
+PART_BYTES, LEAST_PART_BYTES = 256 << 20, 1 << 20
+
+
 class Encoder:
     """Ids by the tokenizers library, for byte-level pre-tokenizers. A text is cut before
     white space and between letters and marks, where the pre-tokenizer cuts too, so that each distinct chunk is
@@ -242,15 +246,29 @@ def write(rows: DataFrame, folder: str, parts: int, dtype: str = "<u2") -> dict:
     return manifest
 
 
-def opened(folder: str, name: str, dtype: str) -> np.ndarray:
-    """The file's numbers; a local file is memory-mapped and its pages are read on use."""
+class Ranged:
+    """Numbers of a file that isn't on a local disk; a slice reads its bytes only."""
+
+    def __init__(self, file: pa.NativeFile, dtype: str):
+        self.file, self.dtype = file, np.dtype(dtype)
+        self.n = file.size() // self.dtype.itemsize
+
+    def __len__(self) -> int:
+        return self.n
+
+    def __getitem__(self, key: slice) -> np.ndarray:
+        a, z, _ = key.indices(self.n)
+        return np.frombuffer(self.file.read_at(max(0, z - a) * self.dtype.itemsize, a * self.dtype.itemsize), self.dtype)
+
+
+def opened(folder: str, name: str, dtype: str) -> np.ndarray | Ranged:
+    """The file's numbers; a local file is memory-mapped and its pages are read on use, of others the slices asked for."""
     fs, root = pafs.FileSystem.from_uri(folder)
     if isinstance(fs, pafs.LocalFileSystem):
         if not fs.get_file_info(f"{root}/{name}").size:
             return np.zeros(0, dtype)
         return np.memmap(f"{root}/{name}", dtype, "r")
-    with fs.open_input_file(f"{root}/{name}") as f:
-        return np.frombuffer(f.readall(), dtype)
+    return Ranged(fs.open_input_file(f"{root}/{name}"), dtype)
 
 
 def read(spark: SparkSession, folder: str, manifest: dict | None = None, with_ids: bool = False) -> DataFrame:
@@ -282,10 +300,24 @@ def read(spark: SparkSession, folder: str, manifest: dict | None = None, with_id
     return frame.repartition(max(1, len(rows))).mapInArrow(load, schema)
 
 
-def token_files(docs: DataFrame, path: str, end_id: int, dtype: str = "<u2", folder: str | None = None, id_col: str = "doc_id", text_col: str = "text", parts: int | None = None, spell: bool = True) -> tuple[str, dict]:
+def smallest(path: str, end_id: int) -> str:
+    """The type of ids: 16 bits if every id of the vocabulary and the end's fit, else 32."""
+    from tokenizers import Tokenizer
+
+    return "<u2" if max(Tokenizer.from_file(path).get_vocab_size(), end_id + 1) <= 1 << 16 else "<u4"
+
+
+def parts_for(docs: DataFrame, text_col: str) -> int:
+    """Files of about PART_BYTES of text; a small table has one for each of Spark's shuffle partitions, as long as they aren't tiny."""
+    size = docs.select(F.sum(F.octet_length(whole_text(text_col)).cast("long"))).first()[0] or 0
+    usual = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return max(1, -(-size // PART_BYTES), min(usual, -(-size // LEAST_PART_BYTES)))
+
+
+def token_files(docs: DataFrame, path: str, end_id: int, dtype: str | None = None, folder: str | None = None, id_col: str = "doc_id", text_col: str = "text", parts: int | None = None, spell: bool = True) -> tuple[str, dict]:
     """Encodes, writes and returns the folder and its manifest. Ranges come from the ids
-    alone, so that each text is read and encoded once and its ids move once."""
-    folder = folder or scratch(docs.sparkSession, "ids")
-    parts = parts or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    alone, so that each text is encoded once and its ids move once."""
+    folder, dtype = folder or scratch(docs.sparkSession, "ids"), dtype or smallest(path, end_id)
+    parts = parts or parts_for(docs, text_col)
     cuts = bounds(docs, parts, id_col)
     return folder, write(encoded(docs, path, end_id, dtype, id_col, text_col, cuts, spell), folder, parts, dtype)

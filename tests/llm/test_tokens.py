@@ -102,6 +102,23 @@ def test_files_equal_the_library(request, table, tmp_path):
     assert manifest["tokens"] == at and manifest["docs"] == len(want)
 
 
+def test_files_elsewhere_are_read_by_ranges(small, tmp_path):
+    folder, manifest = tokenfile.token_files(small, BYTE, 2, folder=str(tmp_path), parts=3)
+    local = sorted(map(str, tokenfile.read(small.sparkSession, folder, with_ids=True).collect()))
+    name = f"part-{manifest['parts'][1]['part']:06d}"
+    with open(tmp_path / f"{name}.ids", "rb") as f:
+        far = tokenfile.Ranged(tokenfile.pa.PythonFile(f), "<u2")
+        near = tokenfile.opened(f"file://{tmp_path}", f"{name}.ids", "<u2")
+        assert len(far) == len(near) > 100
+        for a, z in ((0, 0), (3, 50), (90, 10**9), (0, len(far))):
+            assert far[a:z].tolist() == near[a:z].tolist()
+    assert len(local) == small.count() and len(manifest["parts"]) == 3
+
+
+def test_the_type_of_ids_follows_the_vocabulary():
+    assert tokenfile.smallest(BYTE, 2) == "<u2" and tokenfile.smallest(BYTE, 1 << 16) == "<u4"
+
+
 def test_local_files_are_memory_mapped(small, tmp_path):
     _, manifest = tokenfile.token_files(small, BYTE, 2, folder=str(tmp_path))
     name = f"part-{manifest['parts'][0]['part']:06d}.ids"
