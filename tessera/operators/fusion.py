@@ -15,12 +15,14 @@ def quality_boost(kind: Column, text: Column) -> Column:
     base = None
     for k, v in fixed.TYPE_BOOST.items():
         base = F.when(kind == k, v) if base is None else base.when(kind == k, v)
-    lines = F.filter(F.transform(F.split(text, "\r\n|[\n\r]"), lambda x: F.regexp_replace(x, r"^\s+|\s+$", "")), lambda x: x != "")
-    imports = F.size(F.filter(lines, lambda x: x.startswith("import ") | x.startswith("from ")))
-    share = F.when(F.size(lines) > 0, imports / F.size(lines)).otherwise(0.0)
-    penalty = F.when(share > 0.6, 0.2).when(share > 0.3, 0.08).otherwise(0.0)
+    once = lambda value, f: F.get(F.transform(F.array(value), f), 0)  # noqa: E731  worked out once, whatever reads it how often
+    spaces = F.lit(" \t\x0b\f")
+    # a line that isn't blank, and whether it imports
+    lines = F.filter(F.transform(F.split(text, "\r\n|[\n\r]"), lambda x: F.ltrim(x, spaces)), lambda x: x != "")
+    share = once(lines, lambda x: F.when(F.size(x) > 0, F.size(F.filter(x, lambda y: y.startswith("import ") | y.startswith("from "))) / F.size(x)).otherwise(0.0))
+    penalty = once(share, lambda x: F.when(x > 0.6, 0.2).when(x > 0.3, 0.08).otherwise(0.0))
     value = base.otherwise(0.0) + F.least(F.lit(0.15), count_matches(text, fixed.HIGH_VALUE) * 0.025) - penalty
-    return F.greatest(F.lit(-0.2), F.least(F.lit(0.3), value))
+    return once(value, lambda x: F.greatest(F.lit(-0.2), F.least(F.lit(0.3), x)))
 
 
 def fuse(parts: dict[str, DataFrame], query: str, key: str) -> DataFrame:

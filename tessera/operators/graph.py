@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -15,6 +16,12 @@ def distinct_edges(edges: DataFrame, order: list[str]) -> DataFrame:
     return edges.where("from_id <> to_id").withColumn("_n", first).where("_n = 1").drop("_n")
 
 
+def by_start(steps: DataFrame) -> DataFrame:
+    """The edges (node, ..) dealt out by their start, once for all levels of a walk; each level then moves its frontier only. Kept by the
+    executors in memory or on disk; what a lost one had is worked out again."""
+    return steps.repartition("node").persist(StorageLevel.MEMORY_AND_DISK)
+
+
 def walk(edges: DataFrame, seeds: DataFrame, depth: int, decay: float | None = None, edge_types: list[str] | None = None, reverse: bool = False, frontier: int | None = None, by: list[str] | None = None) -> DataFrame:
     """(by.., node, score): for each node the largest weight * decay**level over edges into it from a
     node that entered the frontier at that level. Seeds (by.., node) are level 0 and score only
@@ -25,7 +32,7 @@ def walk(edges: DataFrame, seeds: DataFrame, depth: int, decay: float | None = N
     if decay is None:
         decay = fixed.ROUTE_DECAY if edge_types and "DEFINES_ROUTE" in edge_types else fixed.DECAY
     a, b = ("to_id", "from_id") if reverse else ("from_id", "to_id")
-    steps = edges.select(F.col(a).alias("node"), F.col(b).alias("next"), "weight")
+    steps = by_start(edges.select(F.col(a).alias("node"), F.col(b).alias("next"), "weight"))
     at, seen, levels = seeds.select(*by, "node").distinct(), None, []
     for level in range(depth):
         reached = cut(at.join(steps, "node").groupBy(*by, F.col("next")).agg(F.max(F.col("weight") * float(decay**level)).alias("score")).withColumnRenamed("next", "node"))
@@ -36,6 +43,7 @@ def walk(edges: DataFrame, seeds: DataFrame, depth: int, decay: float | None = N
             fresh = fresh.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= frontier).drop("_n")
         at = fresh.select(*by, "node")
         seen = at if seen is None else seen.unionByName(at)
+    steps.unpersist()
     every = levels[0]
     for x in levels[1:]:
         every = every.unionByName(x)
@@ -45,11 +53,12 @@ def walk(edges: DataFrame, seeds: DataFrame, depth: int, decay: float | None = N
 def distances(edges: DataFrame, seeds: DataFrame, depth: int = 5) -> DataFrame:
     """(node, distance, path): a shortest path to each node, of ``depth`` edges at most; of equal ones the least."""
     at = cut(seeds.select("node", F.lit(0).alias("distance"), F.array("node").alias("path")).distinct())
-    every = at
+    every, steps = at, by_start(edges.select(F.col("from_id").alias("node"), F.col("to_id").alias("next")))
     for level in range(1, depth + 1):
-        step = at.join(edges.select(F.col("from_id").alias("node"), F.col("to_id").alias("next")), "node").select(F.col("next").alias("node"), F.lit(level).alias("distance"), F.concat("path", F.array("next")).alias("path"))
+        step = at.join(steps, "node").select(F.col("next").alias("node"), F.lit(level).alias("distance"), F.concat("path", F.array("next")).alias("path"))
         at = cut(step.groupBy("node").agg(F.min("distance").alias("distance"), F.min("path").alias("path")).join(every.select("node"), "node", "left_anti"))
         every = every.unionByName(at)
+    steps.unpersist()
     return every
 
 

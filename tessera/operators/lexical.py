@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed
 from ..functions.text import identifiers, query_terms, stems, terms
+from ..sources.store import cut
 
 
 def postings(docs: DataFrame, key: str, *texts: str, stem: bool = False, weights: dict[str, int] | None = None) -> DataFrame:
@@ -30,6 +31,18 @@ def corpus_size(docs: DataFrame, *texts: str) -> DataFrame:
     return docs.agg(F.count(F.lit(1)).alias("n_docs"), F.avg(sum((F.size(terms(F.col(t))) for t in texts), F.lit(0))).alias("avg_len"))
 
 
+def asked_postings(docs: DataFrame, key: str, text: str, asked: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(term, key, tf, doc_len) of the asked terms only, and the corpus' size, from one pass over documents whose postings aren't
+    stored. Next to its terms each document has a mark, which is no term, so that its length counts without them; marks differ, so no task gets them all."""
+    sized = docs.select(key, terms(F.col(text)).alias("all")).select(key, "all", F.size("all").cast("long").alias("doc_len"))
+    mark = F.concat(F.lit("#"), F.pmod(F.xxhash64(key), F.lit(4096)).cast("string"))
+    long = sized.select(key, "doc_len", F.explode(F.concat("all", F.array(mark))).alias("term"))
+    wanted = long.join(asked.select("term", F.lit(True).alias("_asked")).distinct(), "term", "left").where(F.col("_asked") | F.col("term").startswith("#"))
+    post = cut(wanted.groupBy("term", key, "doc_len").agg(F.count(F.lit(1)).alias("tf")).select("term", key, "tf", "doc_len"))
+    size = post.where(F.col("term").startswith("#")).agg(F.coalesce(F.sum("tf"), F.lit(0)).alias("n_docs"), (F.sum(F.col("tf") * F.col("doc_len")) / F.sum("tf")).alias("avg_len"))
+    return post.where(~F.col("term").startswith("#")), size
+
+
 def bm25_part(tf: Column, df: Column, n: Column, length: Column, mean: Column) -> Column:
     idf = F.ln((n - df + 0.5) / (df + 0.5))
     idf = F.when(idf > 0, idf).otherwise(fixed.LEAST_IDF)

@@ -30,6 +30,11 @@ def read(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
+def texts(spark: SparkSession, d: str, *columns: str) -> DataFrame:
+    """Documents for work on their texts, on all cores."""
+    return store.spread(read(spark, d, "documents").select("doc_id", *columns, "text"))
+
+
 def quoted(s: str) -> str:
     return "'" + s.replace("'", "''") + "'"
 
@@ -52,8 +57,8 @@ BY_ITEM = f"asked AS (SELECT DISTINCT item_id AS query_id, unnest({TERMS.format(
 
 
 def _hits(spark: SparkSession, d: str, asked: DataFrame) -> DataFrame:
-    docs = read(spark, d, "documents").select("doc_id", "text")
-    found = lexical.bm25(asked, lexical.postings(docs, "doc_id", "text"), lexical.corpus_size(docs, "text"), "query_id", "doc_id")
+    post, size = lexical.asked_postings(texts(spark, d), "doc_id", "text", asked)
+    found = lexical.bm25(asked, post, size, "query_id", "doc_id")
     return found.withColumn("bm25", F.round("bm25", 6))
 
 
@@ -91,7 +96,7 @@ NAMED_SQL = "(VALUES " + ", ".join(f"({i}, {quoted(q)})" for i, q in NAMED) + ")
     SELECT query_id, chunk_id, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY chunk_id) AS rank FROM h) WHERE rank <= 20""")
 def symbol_lookup(spark, d):
     names = F.filter(F.split("text", "[^A-Za-z0-9]+"), lambda x: x.rlike("^[A-Z][a-zA-Z0-9]+$"))
-    symbols = read(spark, d, "documents").select(F.col("doc_id").alias("chunk_id"), F.explode(F.array_distinct(names)).alias("name"))
+    symbols = texts(spark, d).select(F.col("doc_id").alias("chunk_id"), F.explode(F.array_distinct(names)).alias("name"))
     return lexical.symbol_hits(spark.createDataFrame(NAMED, "query_id long, query string"), symbols)
 
 
@@ -279,7 +284,7 @@ def _boost() -> F.Column:
 
 @query(f"SELECT doc_id, {_BOOSTED} AS boost FROM documents")
 def quality_boost(spark, d):
-    return read(spark, d, "documents").select("doc_id", _boost().alias("boost"))
+    return texts(spark, d, "lang").select("doc_id", _boost().alias("boost"))
 
 
 @query(f"""WITH qs AS (SELECT item_id AS query_id, text AS query FROM benchmark),
@@ -302,7 +307,7 @@ def hybrid_topk(spark, d):
     qv = v.withColumnRenamed("doc_id", "query_id").join(items.select("query_id"), "query_id", "left_semi")
     sem = semantic.search(qv, v, fixed.POOL, key="doc_id").select("query_id", "doc_id", semantic.shifted(F.col("cosine")).alias("score"))
     none = spark.createDataFrame([], "query_id long, doc_id long, score double")
-    fused = fusion.fuse({"lexical": lex, "semantic": sem, "graph": none}, "query_id", "doc_id").join(read(spark, d, "documents").select("doc_id", _boost().alias("boost")), "doc_id")
+    fused = fusion.fuse({"lexical": lex, "semantic": sem, "graph": none}, "query_id", "doc_id").join(quality_boost(spark, d), "doc_id")
     weighted = fused.select("*", F.lit(0.4).alias("lexical_weight"), F.lit(0.4).alias("semantic_weight"), F.lit(0.2).alias("graph_weight"))
     total = F.round(F.least(F.lit(1.0), 0.4 * F.col("lexical") + 0.4 * F.col("semantic") + 0.2 * F.col("graph") + F.col("boost")), 6)
     hits = lexical.top(weighted.withColumn("final", total), ["query_id"], "final", "doc_id", 10)
@@ -413,7 +418,7 @@ def meta_counts(spark, d):
 
 @query(f"SELECT term, count(*) AS n FROM (SELECT unnest({TERMS.format(c='text')}) AS term FROM documents) WHERE length(term) < 4 GROUP BY ALL ORDER BY n DESC, term LIMIT 10")
 def noisy_symbols(spark, d):
-    found = read(spark, d, "documents").select(F.explode(text.terms(F.col("text"))).alias("term")).where(F.length("term") < 4)
+    found = texts(spark, d).select(F.explode(text.terms(F.col("text"))).alias("term")).where(F.length("term") < 4)
     return found.groupBy("term").agg(F.count(F.lit(1)).alias("n")).orderBy(F.col("n").desc(), "term").limit(10)
 
 
@@ -429,18 +434,18 @@ def json_payload(spark, d):
 
 @query(f"SELECT doc_id FROM documents WHERE contains(' ' || array_to_string({TERMS.format(c='text')}, ' ') || ' ', ' of the ')")
 def phrase_search(spark, d):
-    return lexical.phrase(read(spark, d, "documents"), "doc_id", "text", ["of", "the"])
+    return lexical.phrase(texts(spark, d), "doc_id", "text", ["of", "the"])
 
 
 @query(f"SELECT term, count(*) AS n_docs, sum(tf)::BIGINT AS n FROM (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest({TERMS.format(c='text')}) AS term FROM documents) GROUP BY ALL) WHERE starts_with(term, 'thon') GROUP BY ALL")
 def prefix_terms(spark, d):
-    post = lexical.by_prefix(lexical.postings(read(spark, d, "documents"), "doc_id", "text"), "thon")
+    post = lexical.by_prefix(lexical.postings(texts(spark, d), "doc_id", "text"), "thon")
     return post.groupBy("term").agg(F.count(F.lit(1)).alias("n_docs"), F.sum("tf").alias("n"))
 
 
 @query(f"SELECT DISTINCT term FROM (SELECT unnest({TERMS.format(c='text')}) AS term FROM documents) WHERE levenshtein(term, 'there') <= 1")
 def fuzzy_terms(spark, d):
-    return lexical.fuzzy(lexical.postings(read(spark, d, "documents"), "doc_id", "text"), "there").select("term").distinct()
+    return lexical.fuzzy(lexical.postings(texts(spark, d), "doc_id", "text"), "there").select("term").distinct()
 
 
 @query("""WITH l AS (SELECT doc_id, string_split(text, chr(10)) AS lines FROM documents), w AS (SELECT doc_id, lines, unnest(range(1, greatest(2, len(lines) + 1), 30)) AS start_line FROM l)
@@ -452,7 +457,7 @@ def line_windows(spark, d):
 @query()
 def chunk_windows(spark, d):
     """Overlapping windows of documents; sequential, so tests hold it against a fold in plain Python."""
-    docs = read(spark, d, "documents")
+    docs = texts(spark, d, "source")
     whole = docs.select(F.col("doc_id").cast("string").alias("file_id"), F.lit(0).alias("ordinal"), F.lit("MISC").alias("chunk_type"), F.col("source").alias("name"), "text", F.lit(1).alias("start_line"), F.size(F.split("text", "\n")).alias("end_line"), F.array().cast("array<string>").alias("symbols"))
     return chunks.stored(chunks.shards(whole)).select("id", F.col("file_id").cast("long").alias("doc_id"), "name", "start_line", "end_line", "char_count", "shard_index", "shard_total")
 
@@ -460,7 +465,7 @@ def chunk_windows(spark, d):
 @query()
 def stemmed_terms(spark, d):
     """Terms stemmed by Porter's rules, which SQL doesn't have; tests hold words of the published vocabulary."""
-    post = lexical.postings(read(spark, d, "documents"), "doc_id", "text", stem=True)
+    post = lexical.postings(texts(spark, d), "doc_id", "text", stem=True)
     return post.groupBy("term").agg(F.count(F.lit(1)).alias("n_docs"), F.sum("tf").alias("n"))
 
 

@@ -11,6 +11,7 @@ import tempfile
 import time
 import uuid
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -32,11 +33,26 @@ TABLES = {
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """``df`` saved to the cluster's checkpoint folder, without its lineage."""
+    """``df`` saved to the cluster's checkpoint folder, without its lineage. A checkpoint works its rows out twice, to
+    count and to write them; the second time they come from the executors' memory or disk."""
     sc = df.sparkSession.sparkContext
     if not sc.getCheckpointDir():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tessera-"))
-    return df.checkpoint()
+        at = sc.getConf().get("spark.checkpoint.dir", None)
+        if not at and not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        sc.setCheckpointDir(at or tempfile.mkdtemp(prefix="tessera-"))
+    held = df.persist(StorageLevel.MEMORY_AND_DISK)
+    out = held.checkpoint()
+    held.unpersist()
+    return out
+
+
+def spread(df: DataFrame, most: int = 256 << 20) -> DataFrame:
+    """A small table dealt out to all cores: a file of one row group is read by one task, which would do all that follows.
+    Larger tables, by Spark's estimate of their bytes, have tasks enough and stay as they are."""
+    small = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes() <= most
+    n = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(n, df.columns[0]) if small else df
 
 
 def upsert(existing: DataFrame, new: DataFrame, key: list[str], order: list[str] | None = None) -> DataFrame:
