@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import hashlib
 
 from pyspark.sql import DataFrame, SparkSession
@@ -18,7 +19,8 @@ from .sources.store import Registry
 
 class Engine:
     def __init__(self, spark: SparkSession, folder: str, config: dict | None = None, encode=hashed_encoder, reranker=None):
-        self.spark, self.config, self.encode, self.reranker = spark, config or configuration.load(), encode, reranker
+        self.spark, self.config, self.reranker = spark, config or configuration.load(), reranker
+        self.encode = functools.partial(encode, dims=self.config["embedding"]["dims"]) if encode is hashed_encoder else encode
         self.registry, self.plugins = Registry(spark, folder), Plugins(self.config["plugins"]["enabled"])
 
     def index(self, root: str, force: bool = False) -> dict:
@@ -27,7 +29,7 @@ class Engine:
     def search(self, root: str, queries: DataFrame, top_k: int | None = None, override: str | None = None) -> DataFrame:
         """queries: query_id, query."""
         routed = intent.route(queries, encode=self.encode, override=override)
-        hits = searching.search(self.registry.store(root), routed, top_k, self.encode)
+        hits = searching.search(self.registry.store(root), routed, top_k, self.encode, searching.SearchConfig.of(self.config))
         if self.config["retrieval"]["use_reranker"]:
             hits = fusion.rerank(hits, self.reranker, "query_id", "chunk_id", self.config["retrieval"]["reranker_top_k"])
         return self.plugins.run("on_results", hits, queries)
@@ -51,6 +53,10 @@ class Engine:
         made = context.prompts(asked, self.search(root, asked, top_k), most=max_tokens or self.config["context"]["max_tokens"])
         return self.plugins.run("on_prompt", made.first()["prompt"])
 
+    def route(self, query: str) -> dict:
+        """Intent, confidence and strategy of a query."""
+        return intent.route(self._one(query), encode=self.encode).first().asDict()
+
     def graph(self, root: str) -> tuple[DataFrame, DataFrame]:
         store = self.registry.store(root)
         return graph.export(store.read("graph_edges"), store.read("chunks"))

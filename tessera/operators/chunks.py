@@ -67,6 +67,12 @@ def parsed(files: DataFrame) -> DataFrame:
     return decl.unionByName(block).where(F.col("text").rlike(r"\S"))
 
 
+def whole_files(files: DataFrame, chunks: DataFrame) -> DataFrame:
+    """A MISC chunk, the whole file, for each file (id, text) that has none and isn't blank; so nothing is lost to search."""
+    rest = files.where(F.col("text").rlike(r"\S")).join(chunks.select(F.col("file_id").alias("id")).distinct(), "id", "left_anti")
+    return rest.select(F.col("id").alias("file_id"), F.lit(2_000_000).alias("ordinal"), F.lit("MISC").alias("chunk_type"), F.lit(None).cast("string").alias("name"), "text", F.lit(1).alias("start_line"), F.size(F.split("text", LINE_END)).alias("end_line"), F.array().cast("array<string>").alias("symbols"))
+
+
 def shards(chunks: DataFrame, most: int = fixed.MAX_CHUNK_TOKENS, overlap: int = fixed.OVERLAP_TOKENS, least: int = fixed.MIN_CHUNK_TOKENS) -> DataFrame:
     """Chunks within the budget as they are (small ones of no account go), others in windows named name[i]; adds shard_index and shard_total (null if whole)."""
     size = n_tokens(F.col("text"))

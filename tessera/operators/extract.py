@@ -41,8 +41,10 @@ def import_targets(files: DataFrame, imports: DataFrame) -> DataFrame:
     return tried.groupBy("file_id", "base").agg(F.min_by("to_id", "n").alias("to_id")).select(F.col("file_id").alias("from_id"), "to_id")
 
 
-def edges_and_routes(files: DataFrame, chunks: DataFrame, symbols: DataFrame, compat: bool = False, keep_state: bool = False) -> tuple[DataFrame, DataFrame]:
-    """Edges (from_id, to_id, edge_type, weight) and routes of all chunks: a function of the current tables, whatever the order files came in."""
+def edges_and_routes(files: DataFrame, chunks: DataFrame, symbols: DataFrame, compat: bool = False, keep_state: bool | None = None) -> tuple[DataFrame, DataFrame]:
+    """Edges (from_id, to_id, edge_type, weight) and routes of all chunks: a function of the current tables, whatever the order files came in.
+    A chunk with state has an edge to itself (``keep_state``; not with ``compat``, which drops such edges)."""
+    keep_state = not compat if keep_state is None else keep_state
     code = chunks.where("chunk_type <> 'IMPORT_BLOCK'")
     names = lambda df, p, g=1: df.select(F.col("id").alias("from_id"), F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(p), F.lit(g)))).alias("name"))
 
@@ -63,7 +65,8 @@ def edges_and_routes(files: DataFrame, chunks: DataFrame, symbols: DataFrame, co
         edges = edges.unionByName(found.select(source.alias("from_id"), F.col("target").alias("to_id"), F.lit("DEFINES_ROUTE").alias("edge_type"), F.lit(weight).alias("weight")))
     routes = found.groupBy("path", F.col("name").alias("component")).agg(F.min("target").alias("chunk_id"))
     routes = routes.select(F.sha1(F.concat_ws(":", "path", "component")).alias("id"), "path", "component", "chunk_id", F.lit(False).alias("is_protected"), F.lit(None).cast("string").alias("parent_route"), F.lit(None).cast("string").alias("metadata"))
-    out = distinct_edges(edges, ["weight"] if compat else ["neg"]) if compat else distinct_edges(edges.withColumn("neg", -F.col("weight")), ["neg"]).drop("neg")
+    order = F.col("weight") if compat else -F.col("weight")
+    out = distinct_edges(edges.withColumn("_o", order), ["_o"]).drop("_o")
     if keep_state:
         state = code.where(F.col("text").rlike(fixed.USE_STATE)).select(F.col("id").alias("from_id"), F.col("id").alias("to_id"), F.lit("MANAGES_STATE").alias("edge_type"), F.lit(fixed.EDGE_WEIGHTS["MANAGES_STATE"]).alias("weight"))
         out = out.unionByName(state)

@@ -16,10 +16,10 @@ def distinct_edges(edges: DataFrame, order: list[str]) -> DataFrame:
     return edges.where("from_id <> to_id").withColumn("_n", first).where("_n = 1").drop("_n")
 
 
-def by_start(steps: DataFrame) -> DataFrame:
-    """The edges (node, ..) dealt out by their start, once for all levels of a walk; each level then moves its frontier only. Kept by the
+def by_start(steps: DataFrame, *more: str) -> DataFrame:
+    """The edges (node, ..) dealt out by their start (and ``more``), once for all levels of a walk; each level then moves its frontier only. Kept by the
     executors in memory or on disk; what a lost one had is worked out again."""
-    return steps.repartition("node").persist(StorageLevel.MEMORY_AND_DISK)
+    return steps.repartition("node", *more).persist(StorageLevel.MEMORY_AND_DISK)
 
 
 def walk(edges: DataFrame, seeds: DataFrame, depth: int, decay: float | None = None, edge_types: list[str] | None = None, reverse: bool = False, frontier: int | None = None, by: list[str] | None = None) -> DataFrame:
@@ -50,6 +50,33 @@ def walk(edges: DataFrame, seeds: DataFrame, depth: int, decay: float | None = N
     return every.groupBy(*by, "node").agg(F.max("score").alias("score"))
 
 
+def walks(edges: DataFrame, seeds: DataFrame, by: list[str], frontier: int | None = None) -> DataFrame:
+    """``walk`` for many walks with strategies of their own, in as many levels as the deepest has: seeds (by.., node, depth, reverse,
+    edge_types, decay), of each walk the same depth, direction, types (none: all) and decay."""
+    how = F.struct("depth", "reverse", "edge_types", "decay").alias("how")
+    at = seeds.select(*by, "node", how).distinct()
+    depth, levels, seen = seeds.agg(F.max("depth")).first()[0] or 0, [], None
+    ends = [edges.select(F.col(a).alias("node"), F.col(b).alias("next"), "weight", "edge_type", F.lit(back).alias("back")) for a, b, back in (("from_id", "to_id", False), ("to_id", "from_id", True))]
+    steps = by_start(ends[0].unionByName(ends[1]), "back") if depth else None
+    for level in range(depth):
+        live = at.where(F.col("how.depth") > level).withColumn("back", F.col("how.reverse"))
+        met = live.join(steps, ["node", "back"]).where((F.size("how.edge_types") == 0) | F.array_contains("how.edge_types", F.col("edge_type")))
+        reached = cut(met.groupBy(*by, "how", F.col("next").alias("node")).agg(F.max(F.col("weight") * F.pow("how.decay", F.lit(level))).alias("score")))
+        levels.append(reached)
+        fresh = reached if seen is None else reached.join(seen, [*by, "node"], "left_anti")
+        if frontier:
+            fresh = fresh.withColumn("_n", F.row_number().over(Window.partitionBy(*by).orderBy(F.col("score").desc(), "node"))).where(F.col("_n") <= frontier).drop("_n")
+        at = fresh.select(*by, "node", "how")
+        seen = at.select(*by, "node") if seen is None else seen.unionByName(at.select(*by, "node"))
+    if not levels:
+        return seeds.select(*by, "node", F.lit(0.0).alias("score")).limit(0)
+    steps.unpersist()
+    every = levels[0]
+    for x in levels[1:]:
+        every = every.unionByName(x)
+    return every.groupBy(*by, "node").agg(F.max("score").alias("score"))
+
+
 def distances(edges: DataFrame, seeds: DataFrame, depth: int = 5) -> DataFrame:
     """(node, distance, path): a shortest path to each node, of ``depth`` edges at most; of equal ones the least."""
     at = cut(seeds.select("node", F.lit(0).alias("distance"), F.array("node").alias("path")).distinct())

@@ -50,9 +50,10 @@ def route(queries: DataFrame, key: str = "query_id", text: str = "query", encode
         chosen = queries.withColumn("intent", by_rules(q))
         if encode:
             spark = queries.sparkSession
-            samples = spark.createDataFrame([(i, name, t) for i, (name, t) in enumerate((n, t) for n, s in fixed.INTENTS.items() for t in s["exemplars"])], "i int, label string, t string")
-            near = exemplars(encode(chosen.where("intent IS NULL"), key, text), samples.join(encode(samples, "i", "t"), "i"), key, "label")
-            chosen = chosen.join(near.select(key, F.col("label").alias("_near")), key, "left").withColumn("intent", F.coalesce("intent", "_near")).drop("_near")
+            every = [(n, t) for n, s in fixed.INTENTS.items() for t in s["exemplars"]]
+            samples = spark.createDataFrame([(i, t) for i, (_, t) in enumerate(every)], "i int, t string")
+            near = exemplars(encode(chosen.where("intent IS NULL"), key, text), encode(samples, "i", "t"), key, "i")  # ties by the order of declaration
+            chosen = chosen.join(near.select(key, F.get(F.array(*[F.lit(n) for n, _ in every]), "i").alias("_near")), key, "left").withColumn("intent", F.coalesce("intent", "_near")).drop("_near")
         chosen = chosen.withColumn("intent", F.coalesce("intent", F.lit(fixed.DEFAULT_INTENT)))
     rated = chosen.withColumn("expanded", expand(q)).withColumn("confidence", F.bround(confidence(q, F.col("intent")), 3))
     return rated.join(F.broadcast(strategies(queries.sparkSession)), "intent")  # seven rows

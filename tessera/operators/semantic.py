@@ -58,8 +58,8 @@ def search(queries: DataFrame, vectors: DataFrame, k: int, query: str = "query_i
 
 
 def stored(embeddings: DataFrame, key: str = "chunk_id") -> DataFrame:
-    """(key, vector) from the quantised table."""
-    return embeddings.select(key, dequantise(F.col("q"), F.col("scale")).alias("vector"))
+    """(key, vector) from the stored table: vectors as they are, if they were kept so, else from their bytes."""
+    return embeddings.select(key, F.coalesce("vector", dequantise(F.col("q"), F.col("scale"))).alias("vector"))
 
 
 def hyperplane_bits(vector: Column, dims: int, tables: int = 4, bits: int = 8, seed: int = 3) -> list[Column]:
@@ -80,6 +80,7 @@ def exemplars(queries: DataFrame, samples: DataFrame, query: str, label: str, ve
     """(query, label, score): the label of the nearest of a few exemplars; ties by the least label."""
     from ..functions.vectors import dot
 
-    pairs = queries.select(query, F.col(vector).alias("_q")).crossJoin(F.broadcast(samples.select(label, F.col(vector).alias("_s"))))  # a fixed, small set
-    best = pairs.groupBy(query, label).agg(F.max(dot(F.col("_q"), F.col("_s"))).alias("score"))
-    return best.groupBy(query).agg(F.max_by(F.struct(label, "score"), F.struct("score", -F.col(label) if dict(best.dtypes)[label] != "string" else F.lit(0))).alias("b")).select(query, f"b.{label}", "b.score")
+    few = F.broadcast(samples.agg(F.collect_list(F.struct(F.col(label).alias("label"), F.col(vector).alias("v"))).alias("_few")))  # one row, a fixed, small set
+    scored = queries.crossJoin(few).select(query, F.transform("_few", lambda s: F.struct((-dot(F.col(vector), s["v"])).alias("s"), s["label"].alias("label"))).alias("_all"))
+    best = F.array_min("_all")
+    return scored.where(F.size("_all") > 0).select(query, best["label"].alias(label), (-best["s"]).alias("score"))

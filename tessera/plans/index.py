@@ -16,21 +16,32 @@ from ..sources import files as S
 from ..sources.store import Store, cascade, cut
 
 
+#: Files that are read by their names, in place of a walk over the tree.
+FEW = 1000
+
+
 def index(store: Store, root: str, config: dict | None = None, encode=hashed_encoder, model: str = "hashed", force: bool = False, plugins: Plugins | None = None, compat: bool = False) -> dict:
     """Brings the tables up to date with the files below ``root`` and returns what was done. Files that are gone lose their rows (not with ``compat``)."""
     config, plugins, began = config or configuration.load(), plugins or Plugins(), time.time()
     if force:
         store.wipe()
-    scanned = cut(S.scan(store.spark, root, config["indexer"]["file_extensions"], config["indexer"]["exclude_dirs"]))
-    known = store.read("files")
-    changed = cut(S.changed(scanned, known))
-    gone = changed.select("id") if compat else changed.select("id").unionByName(S.removed(scanned, known).select("id"))
-    n_scanned, n_changed, n_gone = scanned.count(), changed.count(), gone.count()
+    where = (root, config["indexer"]["file_extensions"], config["indexer"]["exclude_dirs"])
+    known, listed = store.read("files"), cut(S.listing(store.spark, *where))
+    # contents are read of files that are new or have another size or time: by their names if they are few
+    touched = cut(S.touched(listed, known))
+    n_scanned, n_touched = listed.count(), touched.count()
+    few = [r["path"] for r in touched.select("path").collect()] if n_touched <= FEW else None
+    read = S.scan(store.spark, *where, paths=few).join(touched.select("id"), "id", "left_semi") if n_touched else None
+    read = cut(read) if n_touched else S.scan(store.spark, *where).limit(0)
+    changed = S.changed(read, known)
+    removed = S.removed(listed, known).select("id")
+    gone = changed.select("id") if compat else changed.select("id").unionByName(removed)
+    n_changed, n_gone = changed.count(), gone.count()
     made = 0
     if n_gone:
         names = ("files", "chunks", "postings", "symbols", "embeddings", "graph_edges", "routes", "api_calls")
         old = cascade({n: store.read(n) for n in names}, gone)
-        new = new_tables(changed, config, encode, model, plugins, compat)
+        new = new_tables(cut(changed), config, encode, model, plugins, compat)
         for n in ("files", "chunks", "postings", "symbols", "embeddings", "api_calls"):
             store.write(n, old[n].select(store.read(n).columns).unionByName(new[n].select(store.read(n).columns)), keep=True)
         made = new["chunks"].count()
@@ -39,6 +50,9 @@ def index(store: Store, root: str, config: dict | None = None, encode=hashed_enc
         store.write("graph_edges", edges, keep=True)
         store.write("routes", routes, keep=True)
         store.sweep()  # until here the old versions were read
+    if n_touched > n_changed:  # other times, but the contents that are known
+        same = read.join(store.read("files").select("id", "content_hash", "indexed_at"), ["id", "content_hash"])
+        store.upsert("files", same.drop("text"))
     store.forget()
     store.set_metadata("last_indexed", str(int(time.time())))
     store.set_metadata("root", root)
@@ -48,18 +62,23 @@ def index(store: Store, root: str, config: dict | None = None, encode=hashed_enc
 def new_tables(files: DataFrame, config: dict, encode, model: str, plugins: Plugins, compat: bool) -> dict[str, DataFrame]:
     """The tables' rows for some files (id, path, .., text)."""
     i = config["indexer"]
-    own = C.stored(C.shards(C.parsed(files), i["max_chunk_tokens"], i["overlap_tokens"], i["min_chunk_tokens"]), compat)
+    parsed = C.parsed(files)
+    if not compat:
+        parsed = cut(parsed)
+        parsed = parsed.unionByName(C.whole_files(files, parsed))
+    own = C.stored(C.shards(parsed, i["max_chunk_tokens"], i["overlap_tokens"], i["min_chunk_tokens"]), compat)
     chunks = cut(plugins.run("on_chunks", own.dropDuplicates(["id"])))
     now = F.current_timestamp()
     head = F.substring("text", 1, 100)
     symbols = chunks.select(F.col("id").alias("chunk_id"), F.explode("symbols").alias("name"), F.col("chunk_type").alias("symbol_type"), head.contains("export").alias("is_exported"), head.contains("export default").alias("is_default_export"))
     searched = chunks.select(F.col("id").alias("chunk_id"), "text", F.array_join("symbols", " ").alias("names"), "summary")
-    vectors = encode(searched, "chunk_id", "text").withColumn("v", quantise(F.col("vector")))
+    quantised = config["embedding"]["quantize"]
+    vectors = encode(searched, "chunk_id", "text").withColumn("v", quantise(F.col("vector")) if quantised else F.struct(F.lit(None).cast("array<tinyint>").alias("q"), F.lit(None).cast("double").alias("scale")))
     return {
         "files": files.drop("text").withColumn("indexed_at", now),
         "chunks": chunks.withColumn("created_at", now),
         "postings": lexical.postings(searched, "chunk_id", "text", "names", "summary", stem=True),
         "symbols": symbols,
-        "embeddings": vectors.select("chunk_id", "v.q", "v.scale", F.lit(model).alias("model_id"), now.alias("created_at")),
+        "embeddings": vectors.select("chunk_id", "v.q", "v.scale", F.lit(None).cast("array<double>").alias("vector") if quantised else F.col("vector").cast("array<double>").alias("vector"), F.lit(model).alias("model_id"), now.alias("created_at")),
         "api_calls": extract.api_calls(chunks.withColumnRenamed("id", "chunk_id")),
     }

@@ -21,8 +21,13 @@ class SearchConfig:
     seeds: int = 5
     most_seeds: int = fixed.SEEDS
     frontier: int = fixed.FRONTIER
+    most_depth: int = 4
     compat: bool = False
 
+    @classmethod
+    def of(cls, settings: dict) -> SearchConfig:
+        return cls(pool=settings["retrieval"]["fts_candidate_pool"], frontier=settings["memory"]["graph_bfs_frontier"], most_depth=settings["retrieval"]["max_graph_depth"])
+
 
 def search(store: Store, routed: DataFrame, top_k: int | None = None, encode=hashed_encoder, config: SearchConfig | None = None) -> DataFrame:
     """query_id, rank, chunk_id, file_path, start_line, end_line, chunk_type, name, text, lexical, semantic, graph, boost, final; ``routed`` is the result of ``intent.route``."""
@@ -58,15 +63,11 @@ def search(store: Store, routed: DataFrame, top_k: int | None = None, encode=has
 
 
 def _graph(store: Store, routed: DataFrame, lex: DataFrame, sym: DataFrame, near: DataFrame, c: SearchConfig, q: str, k: str) -> DataFrame:
-    """Scores of chunks near the best ones, by each query's own depth, direction and edge types: one walk for each intent that uses the graph."""
+    """Scores of chunks near the best ones, by each query's own depth, direction and edge types."""
     ranked = lexical.top(lex, [q], "score", k, c.seeds).select(q, k, F.col("rank").alias("n"))
     ranked = ranked.unionByName(sym.where(F.col("rank") <= c.seeds).select(q, k, (F.col("rank") + 100).alias("n"))).unionByName(near.where(F.col("rank") <= c.seeds).select(q, k, (F.col("rank") + 200).alias("n")))
     first = ranked.groupBy(q, k).agg(F.min("n").alias("n"))
-    seeds = cut(first.withColumn("i", F.row_number().over(Window.partitionBy(q).orderBy("n", k))).where(F.col("i") <= c.most_seeds).select(q, F.col(k).alias("node")).join(routed.select(q, "intent"), q))
-    edges, out = store.read("graph_edges"), None
-    for name, spec in fixed.INTENTS.items():
-        _, _, _, depth, _, use, reverse, kinds = spec["strategy"]
-        if use:
-            own = graph.walk(edges, seeds.where(F.col("intent") == name).select(q, "node"), depth, None, kinds, reverse, c.frontier, [q])
-            out = own if out is None else out.unionByName(own)
-    return out.select(q, F.col("node").alias(k), "score")
+    strategy = routed.where("use_graph").select(q, F.least(F.col("graph_depth"), F.lit(c.most_depth)).alias("depth"), "reverse", "edge_types", F.when(F.array_contains("edge_types", "DEFINES_ROUTE"), fixed.ROUTE_DECAY).otherwise(fixed.DECAY).alias("decay"))
+    seeds = first.withColumn("i", F.row_number().over(Window.partitionBy(q).orderBy("n", k))).where(F.col("i") <= c.most_seeds).select(q, F.col(k).alias("node"))
+    found = graph.walks(store.read("graph_edges"), cut(seeds.join(strategy, q)), [q], c.frontier)
+    return found.select(q, F.col("node").alias(k), "score")

@@ -9,17 +9,31 @@ from ..functions import fixed
 from ..functions.text import file_type, valid_text
 
 
-def scan(spark: SparkSession, root: str, extensions: list[str] = fixed.EXTENSIONS, excluded: list[str] = fixed.EXCLUDED_DIRS, max_bytes: int | None = None) -> DataFrame:
-    """id, path (from the root), file_type, size_bytes, line_count, content_hash, modified_at, text of each
-    source file that isn't below an excluded folder. Sizes and names are checked before contents are read."""
+def _found(spark: SparkSession, root: str, extensions: list[str], excluded: list[str], max_bytes: int | None, paths: list[str] | None = None) -> DataFrame:
+    """Spark's table of files with rel, the path from the root. Names and sizes are checked before contents are read."""
     root = root.rstrip("/")
-    raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", f"*.{{{','.join(extensions)}}}").load(root)
+    read = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", f"*.{{{','.join(extensions)}}}")
+    raw = read.load([f"{root}/{p}" for p in paths] if paths else root)
     base = F.lit(root.split("://", 1)[-1].removeprefix("file:"))
     path = F.regexp_replace(F.col("path"), "^[a-z0-9]+:/*", "/")
-    rel = F.substring(path, F.length(base) + 2, F.length(path))
-    kept = raw.withColumn("rel", rel).where(~F.arrays_overlap(F.split("rel", "/"), F.lit(excluded)))
-    if max_bytes:
-        kept = kept.where(F.col("length") <= max_bytes)
+    kept = raw.withColumn("rel", F.substring(path, F.length(base) + 2, F.length(path))).where(~F.arrays_overlap(F.split("rel", "/"), F.lit(excluded)))
+    return kept.where(F.col("length") <= max_bytes) if max_bytes else kept
+
+
+def listing(spark: SparkSession, root: str, extensions: list[str] = fixed.EXTENSIONS, excluded: list[str] = fixed.EXCLUDED_DIRS, max_bytes: int | None = None) -> DataFrame:
+    """id, path, size_bytes and modified_at of each source file; contents aren't read."""
+    return _found(spark, root, extensions, excluded, max_bytes).select(F.sha1("rel").alias("id"), F.col("rel").alias("path"), F.col("length").alias("size_bytes"), F.col("modificationTime").alias("modified_at"))
+
+
+def touched(listed: DataFrame, known: DataFrame) -> DataFrame:
+    """Listed files that are new, or have another size or time than the known one."""
+    return listed.join(known.select("id", "size_bytes", "modified_at"), ["id", "size_bytes", "modified_at"], "left_anti")
+
+
+def scan(spark: SparkSession, root: str, extensions: list[str] = fixed.EXTENSIONS, excluded: list[str] = fixed.EXCLUDED_DIRS, max_bytes: int | None = None, paths: list[str] | None = None) -> DataFrame:
+    """id, path (from the root), file_type, size_bytes, line_count, content_hash, modified_at, text of each
+    source file that isn't below an excluded folder, or of some ``paths`` only."""
+    kept = _found(spark, root, extensions, excluded, max_bytes, paths)
     text = valid_text(F.col("content"))
     return kept.select(
         F.sha1("rel").alias("id"), F.col("rel").alias("path"), file_type(F.col("rel")).alias("file_type"), F.col("length").alias("size_bytes"),

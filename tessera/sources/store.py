@@ -22,7 +22,7 @@ TABLES = {
     "chunks": ("id string, file_id string, chunk_type string, name string, text string, start_line int, end_line int, char_count int, summary string, created_at timestamp", ["id"]),
     "postings": ("term string, chunk_id string, tf long, doc_len long", ["term", "chunk_id"]),
     "symbols": ("chunk_id string, name string, symbol_type string, is_exported boolean, is_default_export boolean", ["chunk_id", "name"]),
-    "embeddings": ("chunk_id string, q array<tinyint>, scale double, model_id string, created_at timestamp", ["chunk_id"]),
+    "embeddings": ("chunk_id string, q array<tinyint>, scale double, vector array<double>, model_id string, created_at timestamp", ["chunk_id"]),
     "graph_edges": ("from_id string, to_id string, edge_type string, weight double, metadata string", ["from_id", "to_id", "edge_type"]),
     "routes": ("id string, path string, component string, chunk_id string, is_protected boolean, parent_route string, metadata string", ["id"]),
     "api_calls": ("chunk_id string, method string, endpoint string, client_type string, is_dynamic boolean", ["chunk_id", "method", "endpoint"]),
@@ -118,13 +118,29 @@ class Store:
 
     def read(self, name: str) -> DataFrame:
         schema, at = TABLES[name][0], self._current(name)
-        return self.spark.read.schema(schema).parquet(f"{self.folder}/{name}/{at}") if at else self.spark.createDataFrame([], schema)
+        df = self.spark.read.schema(schema).parquet(f"{self.folder}/{name}/{at}") if at else self.spark.createDataFrame([], schema)
+        if name == "retrieval_cache" and (hits := self._hits()):
+            n = self.spark.read.schema("query_hash string").parquet(*hits).groupBy("query_hash").agg(F.count(F.lit(1)).cast("int").alias("_n"))
+            df = df.join(n, "query_hash", "left").withColumn("hit_count", F.col("hit_count") + F.coalesce("_n", F.lit(0))).select(df.columns)
+        return df
+
+    def _hits(self) -> list[str]:
+        """Files of hits since the cache table was written."""
+        fs, p = self._fs(f"{self.folder}/cache_hits")
+        return [str(x.getPath().toString()) for x in fs.listStatus(p) if not x.getPath().getName().startswith((".", "_"))] if fs.exists(p) else []
 
     def write(self, name: str, df: DataFrame, keep: bool = False) -> None:
-        """A new version; the one before it goes once the name is set, or with ``sweep`` if kept."""
+        """A new version; the one before it goes once the name is set, or with ``sweep`` if kept. Fails if another writer
+        has set a version meanwhile, rather than undo it."""
         old, new = self._current(name), f"v-{uuid.uuid4().hex}"
+        hits = self._hits() if name == "retrieval_cache" else []
         columns = [c.split()[0] for c in TABLES[name][0].split(", ")]
         df.select(columns).write.parquet(f"{self.folder}/{name}/{new}")
+        if self._current(name) != old:
+            raise RuntimeError(f"another writer has changed {name}")
+        for at in hits:  # their counts are in the new version
+            fs, p = self._fs(at)
+            fs.delete(p, True)
         fs, p = self._fs(f"{self.folder}/{name}/CURRENT")
         out = fs.create(p, True)
         out.write(bytearray(new.encode()))
@@ -156,13 +172,15 @@ class Store:
         return row["value"] if row else None
 
     def cached(self, key: str) -> object | None:
-        """The live result of a key; a hit is counted."""
-        cache = self.read("retrieval_cache")
-        row = live(cache, F.current_timestamp()).where(F.col("query_hash") == key).first()
+        """The live result of a key; a hit is a small file beside the table, which later writes add up."""
+        at = self._current("retrieval_cache")
+        if at is None:
+            return None
+        cache = self.spark.read.schema(TABLES["retrieval_cache"][0]).parquet(f"{self.folder}/retrieval_cache/{at}")
+        row = live(cache.where(F.col("query_hash") == key), F.current_timestamp()).first()
         if row is None:
             return None
-        hit = cache.where(F.col("query_hash") == key).withColumn("hit_count", F.col("hit_count") + 1)
-        self.upsert("retrieval_cache", cut(hit))
+        self.spark.createDataFrame([(key,)], "query_hash string").coalesce(1).write.parquet(f"{self.folder}/cache_hits/{uuid.uuid4().hex}")
         return json.loads(row["result_json"])
 
     def remember(self, key: str, value: object, ttl: int = fixed.CACHE_TTL_SECONDS) -> None:
@@ -183,24 +201,21 @@ class Store:
 
 
 class Registry:
-    """The catalog: which projects there are, as a small table."""
+    """The catalog: which projects there are, a file each, so that writers of different projects don't meet."""
 
     SCHEMA = "project_id string, root string, created_at double"
 
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder.rstrip("/")
 
-    def _rows(self) -> list:
-        fs, p = Store(self.spark, self.folder)._fs(f"{self.folder}/projects.json")
-        if not fs.exists(p):
+    def _rows(self) -> list[dict]:
+        fs, p = Store(self.spark, self.folder)._fs(f"{self.folder}/projects")
+        if not fs.exists(p) or not fs.listStatus(p):
             return []
-        return [r.asDict() for r in self.spark.read.schema(self.SCHEMA).json(f"{self.folder}/projects.json").collect()]
+        return [r.asDict() for r in self.spark.read.schema(self.SCHEMA).json(f"{self.folder}/projects").collect()]
 
-    def _save(self, rows: list[dict]) -> None:
-        fs, p = Store(self.spark, self.folder)._fs(f"{self.folder}/projects.json")
-        out = fs.create(p, True)
-        out.write(bytearray("".join(json.dumps(r) + "\n" for r in rows).encode()))
-        out.close()
+    def _file(self, key: str):
+        return Store(self.spark, self.folder)._fs(f"{self.folder}/projects/{key}.json")
 
     @staticmethod
     def project_id(root: str) -> str:
@@ -209,9 +224,12 @@ class Registry:
         return hashlib.sha1(root.encode()).hexdigest()
 
     def store(self, root: str) -> Store:
-        key, rows = self.project_id(root), self._rows()
-        if key not in {r["project_id"] for r in rows}:
-            self._save([*rows, {"project_id": key, "root": root, "created_at": time.time()}])
+        key = self.project_id(root)
+        fs, p = self._file(key)
+        if not fs.exists(p):
+            out = fs.create(p, True)
+            out.write(bytearray(json.dumps({"project_id": key, "root": root, "created_at": time.time()}).encode()))
+            out.close()
         return Store(self.spark, f"{self.folder}/{key}")
 
     def projects(self) -> list[dict]:
@@ -224,10 +242,9 @@ class Registry:
         return out
 
     def delete(self, root: str) -> bool:
-        key, rows = self.project_id(root), self._rows()
-        left = [r for r in rows if r["project_id"] != key]
-        if len(left) == len(rows):
+        key = self.project_id(root)
+        fs, p = self._file(key)
+        if not fs.exists(p):
             return False
         Store(self.spark, f"{self.folder}/{key}").wipe()
-        self._save(left)
-        return True
+        return bool(fs.delete(p, False))

@@ -10,6 +10,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.streaming.query import StreamingQuery
 
 from ..functions import fixed
+from ..sources import files
 
 
 def accepted(stamps: list[float], last: float | None, seconds: float) -> tuple[list[bool], float | None]:
@@ -71,13 +72,25 @@ def throttle(events: DataFrame, key: str, ts: str, seconds: float = fixed.THROTT
     return timed.groupBy(key).applyInPandasWithState(run, f"{key} {kind}, ts_seconds double", "last double", "append", GroupStateTimeout.EventTimeTimeout)
 
 
-def follow(engine, root: str, checkpoint: str | None = None, seconds: float = fixed.THROTTLE_SECONDS) -> StreamingQuery:
-    """Re-indexes the project when files appear or change. Micro-batches run one at a time,
-    and indexing compares content hashes, so a repeated batch does nothing."""
-    spark = engine.spark
-    schema = "path string, modificationTime timestamp, length long, content binary"
-    events = spark.readStream.format("binaryFile").schema(schema).option("recursiveFileLookup", True).option("pathGlobFilter", "*.{" + ",".join(engine.config["indexer"]["file_extensions"]) + "}").load(root)
-    w = events.select("path").writeStream.foreachBatch(lambda df, _: engine.index(root) if not df.isEmpty() else None).trigger(processingTime=f"{seconds} seconds")
+def follow(engine, root: str, checkpoint: str | None = None, seconds: float = fixed.THROTTLE_SECONDS, once: bool = False) -> StreamingQuery:
+    """Keeps the index of a project current: new, changed and deleted files. Every ``seconds`` (the throttle) a micro-batch
+    looks at names, sizes and times, and indexes if any differ from the known files; batches run one at a time. File sources of streams don't
+    report changes and deletions of files they have seen, so the tree is listed. ``once``: one batch, then the stream ends."""
+
+    def look(_, __) -> None:
+        if stale(engine, root):
+            engine.index(root)
+
+    ticks = engine.spark.readStream.format("rate").option("rowsPerSecond", 1).load()
+    w = ticks.writeStream.foreachBatch(look)
+    w = w.trigger(availableNow=True) if once else w.trigger(processingTime=f"{seconds} seconds")
     if checkpoint:
         w = w.option("checkpointLocation", checkpoint)
     return w.start()
+
+
+def stale(engine, root: str) -> bool:
+    """Whether a file is new, has another size or time, or is gone."""
+    known = engine.registry.store(root).read("files")
+    listed = files.listing(engine.spark, root, engine.config["indexer"]["file_extensions"], engine.config["indexer"]["exclude_dirs"])
+    return not files.touched(listed, known).isEmpty() or not files.removed(listed, known).isEmpty()
