@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import atexit
 import ctypes
+import re
 import sys
 import tempfile
 import uuid
@@ -15,6 +16,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,15 +25,18 @@ BLOCK_BYTES = 4 << 20
 
 _libc = ctypes.CDLL(None) if sys.platform == "linux" else None
 
-_made: list[tuple[SparkSession, str]] = []
+#: What this process has made and not yet released: paths of the shared folder, and broadcasts.
+_made: list[tuple[SparkSession, str | Broadcast]] = []
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The cluster's shared folder, spark.checkpoint.dir. Only where that is unset
-    (tests, a laptop) a local folder takes its place."""
+    """The cluster's shared folder, spark.checkpoint.dir. Only where that is unset and executors are
+    the driver's threads (tests, a laptop) a local folder takes its place."""
     at = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
     if not at:
         at = spark.sparkContext.getCheckpointDir()
+    if not at and not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     if not at:
         spark.sparkContext.setCheckpointDir(at := tempfile.mkdtemp(prefix="tessera-"))
     return at.rstrip("/")
@@ -58,13 +63,28 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def release(spark: SparkSession, path: str | None = None) -> None:
-    """Removes what ``scratch`` named in this process: one path, or all of them. Only
-    call it once no DataFrame that reads them is needed."""
-    for s, p in [x for x in _made if path in (None, x[1])]:
-        target = spark._jvm.org.apache.hadoop.fs.Path(p)
-        target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
-        _made.remove((s, p))
+def sent(spark: SparkSession, value: object) -> Broadcast:
+    """A broadcast, which ``release`` takes back."""
+    out = spark.sparkContext.broadcast(value)
+    _made.append((spark, out))
+    return out
+
+
+def made() -> list[str | Broadcast]:
+    """What ``scratch`` and ``sent`` have made and ``release`` hasn't taken back."""
+    return [x for _, x in _made]
+
+
+def release(spark: SparkSession, *things: str | Broadcast) -> None:
+    """Takes back what ``scratch`` and ``sent`` made in this process: some of it, or all of it. Only
+    call it once no DataFrame that reads it is needed."""
+    for s, x in [y for y in _made if not things or any(y[1] is t or y[1] == t for t in things)]:
+        if isinstance(x, str):
+            target = spark._jvm.org.apache.hadoop.fs.Path(x)
+            target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+        else:
+            x.destroy()
+        _made.remove((s, x))
 
 
 @atexit.register

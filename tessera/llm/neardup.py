@@ -30,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SUM_SCHEMA, blocks, collect_sums, count_rows, members, mix64, ragged, split_words, stage, whole_text
+from .common import SUM_SCHEMA, blocks, collect_sums, count_rows, members, mix64, ragged, sent, split_words, stage, whole_text
 
 
 @dataclass(frozen=True)
@@ -368,7 +368,7 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
 def _grouped(docs: DataFrame, s: Settings, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame, DataFrame, int]:
     own = named(docs, id_col, text_col)
     sketch, n = document_frequencies(own, s)
-    idf = docs.sparkSession.sparkContext.broadcast(idf_table(sketch, n, s))
+    idf = sent(docs.sparkSession, idf_table(sketch, n, s))
     sig = stage(signatures(own, idf, s), "signatures")
     roots = stage(components(links(sig, own, idf, s)), "roots")
     return own, sig, roots, roots.count()
@@ -376,7 +376,7 @@ def _grouped(docs: DataFrame, s: Settings, id_col: str, text_col: str) -> tuple[
 
 def classes(docs: DataFrame, settings: Settings | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each row of ``docs``: doc_id, class_id (the least id of the class),
-    class_size, n_links_class (texts that differ), kept (true for one row of a class: that of class_id)."""
+    class_size, kept (true for one row of a class: that of class_id)."""
     s = settings or Settings()
     _, sig, roots, n = _grouped(docs, s, id_col, text_col)
     nodes = sig.select("doc_id", "node", F.col("bands").isNull().alias("blank"))

@@ -7,7 +7,7 @@ thousand runs at most, whatever the input's size. A run says where items number
 a to b of one size go. The items' numbers within their size are prefix sums over tasks, so
 no size, however frequent, has to meet in one task.
 
-Defined results: a null text is an empty one, which is the end id alone; repeated
+Defined results: a null text is an empty one, which is the end id alone; ids are cast to long; repeated
 rows are packed each; a document over the capacity is cut into whole sequences and a
 rest; an empty table gives no rows.
 """
@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import blocks, stage, whole_text
+from .common import blocks, sent, stage, whole_text
 from .tokenfile import WordEncoder, encoder
 
 
@@ -204,7 +204,7 @@ def placed(items: DataFrame, runs: list[Run]) -> DataFrame:
     for r in runs:
         by_size.setdefault(r.size, []).append(r)
     table = {s: np.array([(r.first, r.each, r.seq, r.offset) for r in sorted(own, key=lambda r: r.first)], np.int64) for s, own in by_size.items()}
-    plan = items.sparkSession.sparkContext.broadcast(table)  # a few runs for each of the sizes
+    plan = sent(items.sparkSession, table)  # a few runs for each of the sizes
 
     def run(batches):
         for b in batches:

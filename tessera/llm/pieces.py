@@ -14,7 +14,7 @@ number, step). So a row's segmentation depends on nothing but these. Decoding jo
 back. A literal "▁" is spelt in bytes, so that it isn't read as a space.
 
 Defined results: a null text counts as empty, an empty one has no pieces; a null key
-is a key of its own; repeated rows, with the same key and text, get the same
+is a key of its own (``round_trip`` casts keys to long); repeated rows, with the same key and text, get the same
 segmentation; other columns don't matter.
 """
 

@@ -11,7 +11,7 @@ Writers put a file under a name of their attempt and rename it, so a retried or
 speculative task can't leave half a file. Readers memory-map a local file and read
 others through Arrow's file systems.
 
-Defined results: a null text is an empty one, which is the end id alone; a null id is
+Defined results: a null text is an empty one, which is the end id alone; ids are cast to long; a null id is
 written as -2**63 and read as null, before all others; repeated rows stay, each with
 ids of its own; rows with one id are in order of a hash of their ids; an empty table
 gives a manifest without parts.

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks, give_back, mix64, ragged, split_words, stage, whole_text
+from .common import blocks, give_back, mix64, ragged, release, sent, split_words, stage, whole_text
 from .neardup import Settings as Shingles
 from .neardup import shingles
 
@@ -206,19 +206,19 @@ def fit(docs: DataFrame, labels: DataFrame, categories: list[str], settings: Set
         if 0 < k < n:
             may |= F.abs(apart(F.col("n"), F.col(y), n, k, F.sqrt, F.greatest, F.lit)) >= s.least_z / 2
     may_differ = np.sort(np.array([r["code"] for r in by_class.where(may).select("code").collect()], np.int32))
-    sent = docs.sparkSession.sparkContext.broadcast(may_differ)
+    known = sent(docs.sparkSession, may_differ)
 
     def chosen(batches):
         for b in batches:
             flat, n = np.asarray(b.column("codes").flatten()), np.asarray(pc.list_value_length(b.column("codes")), dtype=np.int64)
-            known = sent.value
-            on = known[np.minimum(np.searchsorted(known, flat), len(known) - 1)] == flat if len(known) else np.zeros(len(flat), bool)
+            codes = known.value
+            on = codes[np.minimum(np.searchsorted(codes, flat), len(codes) - 1)] == flat if len(codes) else np.zeros(len(flat), bool)
             ends = np.concatenate([[0], np.cumsum(on)])[np.concatenate([[0], np.cumsum(n)])]
             yield pa.record_batch({"codes": pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat[on]))} | {c: b.column(c) for c in ("least", "hash", *ys)})
 
     # rows of one text have one hash, so the order is the same whatever order they come in
     t = made.drop("words").mapInArrow(chosen, "codes array<int>, least array<long>, hash long, " + ", ".join(f"{y} int" for y in ys)).orderBy("hash", *ys).limit(2 * s.most_rows).toArrow()
-    sent.destroy()
+    release(docs.sparkSession, known)
     y = np.stack([np.asarray(t.column(c)) for c in ys], axis=1) if ys else np.zeros((t.num_rows, 0))
     order = one_of_each(t.column("least").to_pylist(), y.tolist())
     t, y = t.drop_columns(["least", "hash"]).take(pa.array(order, pa.int64())).combine_chunks(), y[order].astype(float)
@@ -284,13 +284,13 @@ def probabilities(chain: Chain, text: pa.Array) -> np.ndarray:
 def scores(docs: DataFrame, chain: Chain, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """For each row: doc_id, p_<category> for each category, and whether it reaches its
     threshold, as a column of the category's name."""
-    sent = docs.sparkSession.sparkContext.broadcast(chain)  # most_words a category
+    fitted = sent(docs.sparkSession, chain)  # most_words a category
 
     def run(batches):
         for b in blocks(batches):
-            p = probabilities(sent.value, b.column("text"))
+            p = probabilities(fitted.value, b.column("text"))
             cols = {"doc_id": b.column("doc_id")}
-            for i, link in enumerate(sent.value.links):
+            for i, link in enumerate(fitted.value.links):
                 cols |= {f"p_{link.name}": pa.array(p[:, i]), link.name: pa.array(p[:, i] >= link.threshold)}
             yield pa.record_batch(cols)
 
@@ -300,12 +300,12 @@ def scores(docs: DataFrame, chain: Chain, id_col: str = "doc_id", text_col: str
 
 def clean(docs: DataFrame, chain: Chain, category: str, text_col: str = "text") -> DataFrame:
     """The rows of ``docs``, with all their columns, that don't reach the category's threshold."""
-    sent = docs.sparkSession.sparkContext.broadcast(chain)
+    fitted = sent(docs.sparkSession, chain)
     i = [x.name for x in chain.links].index(category)
 
     @F.arrow_udf("boolean")
     def reached(text: pa.Array) -> pa.Array:
-        parts = [probabilities(sent.value, b.column("text"))[:, i] >= sent.value.links[i].threshold for b in blocks([pa.record_batch({"text": text})])]
+        parts = [probabilities(fitted.value, b.column("text"))[:, i] >= fitted.value.links[i].threshold for b in blocks([pa.record_batch({"text": text})])]
         return pa.array(np.concatenate(parts) if parts else np.zeros(0, bool))
 
     return docs.where(~reached(whole_text(text_col)))

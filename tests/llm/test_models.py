@@ -11,7 +11,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.llm import maxent, merkle, pieces, toxicity
+from tessera.llm import maxent, merkle, pieces, queries, toxicity
 
 # --- Toxicity --------------------------------------------------------------------
 
@@ -313,6 +313,50 @@ def test_draws_follow_the_lattice_of_spaces():
     assert [pieces.decode_ids(m, x.tolist()) for x in back] == [x or "" for x in odd]
 
 
+def test_sampled_ids_equal_a_plain_sampler(spark, small):
+    """op10 as registered, over some whole texts: forward filtering and backward sampling word by word, by loops."""
+    m, mask = pieces.model(PATH), 2**64 - 1
+    mix = lambda x: int(pieces.mix64(np.array([x & mask], np.uint64))[0])
+    from sentencepiece import SentencePieceProcessor
+
+    sp = SentencePieceProcessor(model_file=PATH)
+    known = {sp.id_to_piece(i): i for i in range(sp.vocab_size()) if not (sp.is_byte(i) or sp.is_control(i) or sp.is_unknown(i))}
+    docs = small.orderBy("doc_id").limit(25).unionByName(spark.createDataFrame([(-1, "  two  spaces ▁ ends  ", "", "", 0), (-2, "", "", "", 0), (-3, None, "", "", 0), (None, "née 語", "", "", 0)], small.schema))
+
+    def ids_of(key, text):
+        row, out = pieces.xxhash.xxh3_64_intdigest(repr(key)), []
+        words = __import__("re").findall(r" *[^ ]+| +$", " " + text) if text else []
+        words = [w.replace("▁", chr(0x110000 - 1)).replace(" ", "▁") for w in words]
+        for number, w in enumerate(words):
+            own, edges, total = mix(mix(row) ^ (number * int(pieces.BASE) & mask)), [[] for _ in range(len(w) + 1)], [0.0] + [-math.inf] * len(w)
+            for z in range(1, len(w) + 1):
+                for k in range(1, min(z, m.longest) + 1):
+                    if (i := known.get(w[z - k : z])) is not None:
+                        edges[z].append((k, [i], m.weight[i]))
+                if not any(k == 1 for k, _, _ in edges[z]):
+                    data = w[z - 1].replace(chr(0x110000 - 1), "▁").encode()
+                    edges[z].insert(0, (1, [int(m.byte_id[b]) for b in data], m.byte_weight * len(data)))
+                total[z] = math.log(sum(math.exp(total[z - k] + x) for k, _, x in edges[z]))
+            at, step, drawn = len(w), 0, []
+            while at:
+                step += 1
+                u, run = (mix(own + step * int(pieces.STEP)) >> 34) * 2.0**-30, 0.0
+                for k, ids, x in edges[at]:
+                    run += math.exp(total[at - k] + x - total[at])
+                    if u < run:
+                        break
+                drawn.append(ids)
+                at -= k
+            out += [i for ids in reversed(drawn) for i in ids]
+        return out
+
+    path = str(spark.sparkContext.getConf().get("spark.checkpoint.dir")) + "/few"
+    docs.write.mode("overwrite").parquet(f"{path}/documents.parquet")
+    got = sorted((str(r.doc_id), r.n_pieces, r.ids_crc32, r.lossless) for r in queries.op10_sampled_pieces(spark, path).collect())
+    want = [(r.doc_id, ids_of(r.doc_id, r.text or "")) for r in docs.collect()]
+    assert got == sorted((str(k), len(x), zlib.crc32(np.array(x, "<u4").tobytes()), True) for k, x in want)
+
+
 def test_seeds_and_keys_differ():
     m, t = pieces.model(PATH), pa.array(["the same words in each of these rows"] * 2)
     a, b = pieces.encode_block(m, pa.array([1, 2]), t, 0)
@@ -383,6 +427,21 @@ def test_pipeline(spark, tmp_path):
     assert P.ORACLE_SQL is None and [n for n, _ in P.STAGES] == ["toxicity", "exact dedup", "near dedup", "secret scan", "best-fit packing"]
 
 
+def test_a_run_takes_back_what_its_stages_made(spark):
+    import corpus_pipeline as P
+
+    from tessera.llm import common
+
+    common.release(spark)
+    packed = P.run(spark, "/root/testdata/sf0.001")
+    n = packed.count()
+    assert n > 100
+    left = [x for x in common.made() if isinstance(x, str)]
+    assert len(left) <= 5 and sum("tessera-stage" in x for x in left) == 1 and packed.count() == n
+    common.release(spark)
+    assert not common.made()
+
+
 @pytest.mark.parametrize("table", ["awkward", "nothing", "clashing"])
 def test_every_stage_takes_odd_rows(request, table):
     import corpus_pipeline as P

@@ -94,6 +94,23 @@ def test_a_large_group_without_a_central_text(spark):
     assert len(want) > 500 and got == want
 
 
+def test_recall_just_above_the_threshold_inside_a_large_group(spark):
+    """Pairs at a plain similarity from 0.80 to 0.85, whose texts are all below 0.8 to the others, among a third of all rows."""
+    rng = np.random.default_rng(8)
+    base, rows, pairs = [f"w{i}" for i in range(300)], [], []
+    for i in range(250):
+        one = edited(base, rng.choice(300, 14, replace=False), f"a{i}")
+        two = edited(one, 20 + 40 * np.arange(6) + rng.integers(0, 30), f"b{i}")
+        rows += [(2 * i, " ".join(one)), (2 * i + 1, " ".join(two))]
+        a, b = shingle_set(rows[-2][1]), shingle_set(rows[-1][1])
+        if 0.8 <= len(a & b) / len(a | b) <= 0.85:
+            pairs.append((2 * i, 2 * i + 1))
+    rows += [(1000 + i, " ".join(f"y{rng.integers(1e9)}" for _ in range(50))) for i in range(1000)]
+    got = {r.doc_id: r.class_id for r in neardup.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert len(pairs) > 150 and np.mean([got[a] == got[b] for a, b in pairs]) >= 0.95
+    assert len(set(got.values())) > 1100
+
+
 def test_chains_inside_a_large_group(spark):
     """Versions that are near the one before only: linked members of a bucket are partners of the others too."""
     rng = np.random.default_rng(3)
