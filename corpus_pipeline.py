@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import exactdup, neardup, packing, secrets, toxicity
-from tessera.llm.common import scratch, small_batches
+from tessera.llm.common import made, release, scratch, small_batches
 from tessera.llm.queries import WORD_BPE, toxicity_chain
 
 
@@ -48,7 +48,7 @@ def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     small_batches(spark)
-    return packing.pack(docs, public_tokenizers.path(WORD_BPE))
+    return packing.pack(docs, public_tokenizers.path(WORD_BPE), spell=False)
 
 
 STAGES = [
@@ -63,11 +63,17 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """The stages one after the other. What a stage made besides its output goes once that is written, and an output once the next one is."""
+    docs, last = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for i, (_, stage) in enumerate(STAGES):
+        before = made()
         docs = stage(spark, docs, sf_dir)
         if i + 1 < len(STAGES):
             path = scratch(spark, f"stage{i}")
             docs.write.parquet(path)
             docs = spark.read.parquet(path)
+            done = [x for x in made() if x != path and not any(x is y or x == y for y in before)] + ([last] if last else [])
+            if done:
+                release(spark, *done)
+            last = path
     return docs
