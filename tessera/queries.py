@@ -101,8 +101,8 @@ def symbol_lookup(spark, d):
 
 
 ASKED = [
-    "where is the useAuth hook defined?", "explain how authentication works in this project", "which files affect /dashboard route", "what breaks if I change useAuth", "why is the login broken",
-    "something completely generic", "where should I add dark mode support", "why does Dashboard rerender unnecessarily", "auth and theme in LoginForm", "how to add a logout button", "overview of state and routing", "find all places using useTheme",
+    "locate the oven timer hook", "give me an overview of the pantry and its flow", "which files affect the /week page", "what depends on usePantry", "there is a bug: the list never updates",
+    "plain words only", "how can I integrate a dark theme", "why would WeekPlan re-render so often", "auth and routing in KitchenDoor", "implement a logout in the sidebar", "explain state and fetch in RecipeCard", "show me the definition of scalePortions",
 ]
 ASKED_SQL = "(VALUES " + ", ".join(f"({i}, {quoted(q)})" for i, q in enumerate(ASKED)) + ") q(query_id, query)"
 
@@ -270,6 +270,7 @@ def component_resolve(spark, d):
 
 # --- Fusion ----------------------------------------------------------------------
 _STOPS = ", ".join(quoted(w) for w in fixed.STOP_WORDS)
+_SORTED_STOPS = listed(sorted(fixed.STOP_WORDS))
 _BOOST = f"""least(0.15, 0.025 * ({_sum(f"regexp_matches(text, {quoted(p)})::INT" for p in fixed.HIGH_VALUE)}))
       + CASE lang WHEN 'en' THEN 0.15 WHEN 'de' THEN 0.10 ELSE 0.0 END"""
 _LINES = "list_filter(list_transform(regexp_split_to_array(text, '\\r\\n|[\\n\\r]'), lambda x: regexp_replace(x, '^\\s+|\\s+$', '', 'g')), lambda x: x <> '')"
@@ -454,9 +455,18 @@ def line_windows(spark, d):
     return chunks.fixed_windows(read(spark, d, "documents"), "doc_id", "text")
 
 
-@query()
+@query("""WITH RECURSIVE t AS (SELECT doc_id, source, text, string_split(text, chr(10)) AS lines, greatest(1, length(text) // 4) AS tokens FROM documents),
+    c AS (SELECT *, len(lines) AS n, list_transform(lines, lambda x: greatest(1, length(x) // 4) + 1) AS cost FROM t WHERE tokens > 300),
+    p AS (SELECT *, list_prepend(0, list_transform(range(1, n + 1), lambda i: list_sum(cost[1:i])))::BIGINT[] AS pre FROM c),
+    w AS (SELECT doc_id, pre, n, 0::BIGINT AS a, list_max(list_filter(range(1, n + 1), lambda e: e = 1 OR pre[e + 1] <= 300)) AS z FROM p
+        UNION ALL SELECT doc_id, pre, n, b, list_max(list_filter(range(b + 1, n + 1), lambda e: e = b + 1 OR pre[e + 1] - pre[b + 1] <= 300)) FROM (
+            SELECT doc_id, pre, n, CASE WHEN back > a THEN back ELSE a + greatest(1, (z - a) // 2) END AS b FROM (SELECT *, list_min(list_filter(range(a, z + 1), lambda b: pre[z + 1] - pre[b + 1] <= 30)) AS back FROM w WHERE z < n))),
+    k AS (SELECT doc_id, a, z, row_number() OVER (PARTITION BY doc_id ORDER BY a) - 1 AS i, count(*) OVER (PARTITION BY doc_id) AS total FROM w WHERE pre[z + 1] - pre[a + 1] >= 20),
+    long AS (SELECT k.*, CASE WHEN i = 0 THEN source ELSE concat(source, '[', i, ']') END AS name, length(array_to_string(lines[a + 1 : z], chr(10))) AS chars FROM k JOIN t USING (doc_id))
+    SELECT sha1(concat(doc_id, ':', a + 1, ':', name, ':0:', i)) AS id, doc_id, name, (a + 1)::INT AS start_line, z::INT AS end_line, chars::INT AS char_count, i::INT AS shard_index, total::INT AS shard_total FROM long
+    UNION ALL SELECT sha1(concat(doc_id, ':1:', source, ':0:')), doc_id, source, 1, len(lines)::INT, length(text)::INT, NULL, NULL FROM t WHERE tokens BETWEEN 20 AND 300""")
 def chunk_windows(spark, d):
-    """Overlapping windows of documents; sequential, so tests hold it against a fold in plain Python."""
+    """Overlapping windows of documents, one after the other; the SQL finds each from the one before."""
     docs = texts(spark, d, "source")
     whole = docs.select(F.col("doc_id").cast("string").alias("file_id"), F.lit(0).alias("ordinal"), F.lit("MISC").alias("chunk_type"), F.col("source").alias("name"), "text", F.lit(1).alias("start_line"), F.size(F.split("text", "\n")).alias("end_line"), F.array().cast("array<string>").alias("symbols"))
     return chunks.stored(chunks.shards(whole)).select("id", F.col("file_id").cast("long").alias("doc_id"), "name", "start_line", "end_line", "char_count", "shard_index", "shard_total")
@@ -469,6 +479,9 @@ def stemmed_terms(spark, d):
     return post.groupBy("term").agg(F.count(F.lit(1)).alias("n_docs"), F.sum("tf").alias("n"))
 
 
+from . import queries_code  # noqa: E402, F401  registers more
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)
 
