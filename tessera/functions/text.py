@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterable
 
 import pyarrow as pa
@@ -114,63 +115,65 @@ def valid_text(content: Column) -> Column:
     return F.make_valid_utf8(content.cast("string"))
 
 
-_VOWELS = "aeiou"
+#: Endings and what they become, by step, the first that matches first.
+_STEP_2 = {"ational": "ate", "tional": "tion", "enci": "ence", "anci": "ance", "izer": "ize", "abli": "able", "alli": "al", "entli": "ent", "eli": "e", "ousli": "ous", "ization": "ize", "ation": "ate", "ator": "ate", "alism": "al", "iveness": "ive", "fulness": "ful", "ousness": "ous", "aliti": "al", "iviti": "ive", "biliti": "ble"}
+_STEP_3 = {"icate": "ic", "ative": "", "alize": "al", "iciti": "ic", "ical": "ic", "ful": "", "ness": ""}
+_STEP_4 = ("al", "ance", "ence", "er", "ic", "able", "ible", "ant", "ement", "ment", "ent", "ion", "ou", "ism", "ate", "iti", "ous", "ive", "ize")
+_ENDS_2, _ENDS_3 = tuple(_STEP_2), tuple(_STEP_3)
 
 
+def _shape(w: str) -> str:
+    """c or v for each letter; y is a vowel after a consonant. A beginning's shape is the beginning of the shape."""
+    out, last = [], "v"
+    for c in w:
+        last = "v" if c in "aeiou" or c == "y" and last == "c" and out else "c"
+        out.append(last)
+    return "".join(out)
+
+
+@functools.lru_cache(maxsize=1 << 17)
 def porter(word: str) -> str:
     """Porter's stemmer (1980)."""
     if len(word) <= 2:
         return word
-
-    def consonant(w: str, i: int) -> bool:
-        return w[i] not in _VOWELS and not (w[i] == "y" and i > 0 and consonant(w, i - 1))
-
-    def shape(w: str) -> str:
-        return "".join("c" if consonant(w, i) else "v" for i in range(len(w)))
-
-    def measure(w: str) -> int:
-        return shape(w).count("vc")
-
-    def short_end(w: str) -> bool:
-        return len(w) > 2 and shape(w)[-3:] == "cvc" and w[-1] not in "wxy"
-
-    def change(w: str, table: list[tuple[str, str]], least: int) -> str:
-        for end, new in table:
-            if w.endswith(end):
-                return w[: len(w) - len(end)] + new if measure(w[: len(w) - len(end)]) > least else w
-        return w
-
     w = word
     for end, new in (("sses", "ss"), ("ies", "i"), ("ss", "ss"), ("s", "")):
         if w.endswith(end):
             w = w[: len(w) - len(end)] + new
             break
+    shape = _shape(w)
     if w.endswith("eed"):
-        w = w[:-1] if measure(w[:-3]) > 0 else w
+        w = w[:-1] if shape[:-3].count("vc") > 0 else w
     else:
         for end in ("ed", "ing"):
-            if w.endswith(end) and "v" in shape(w[: -len(end)]):
+            if w.endswith(end) and "v" in shape[: -len(end)]:
                 w = w[: -len(end)]
+                own = shape[: len(w)]
                 if w.endswith(("at", "bl", "iz")):
                     w += "e"
-                elif len(w) > 1 and w[-1] == w[-2] and consonant(w, len(w) - 1) and w[-1] not in "lsz":
+                elif len(w) > 1 and w[-1] == w[-2] and own[-1] == "c" and w[-1] not in "lsz":
                     w = w[:-1]
-                elif measure(w) == 1 and short_end(w):
+                elif own.count("vc") == 1 and len(w) > 2 and own.endswith("cvc") and w[-1] not in "wxy":
                     w += "e"
                 break
-    if w.endswith("y") and "v" in shape(w[:-1]):
+    if w.endswith("y") and "v" in _shape(w[:-1]):
         w = w[:-1] + "i"
-    w = change(w, [("ational", "ate"), ("tional", "tion"), ("enci", "ence"), ("anci", "ance"), ("izer", "ize"), ("abli", "able"), ("alli", "al"), ("entli", "ent"), ("eli", "e"), ("ousli", "ous"), ("ization", "ize"), ("ation", "ate"), ("ator", "ate"), ("alism", "al"), ("iveness", "ive"), ("fulness", "ful"), ("ousness", "ous"), ("aliti", "al"), ("iviti", "ive"), ("biliti", "ble")], 0)
-    w = change(w, [("icate", "ic"), ("ative", ""), ("alize", "al"), ("iciti", "ic"), ("ical", "ic"), ("ful", ""), ("ness", "")], 0)
-    for end in ("al", "ance", "ence", "er", "ic", "able", "ible", "ant", "ement", "ment", "ent", "ion", "ou", "ism", "ate", "iti", "ous", "ive", "ize"):
-        if w.endswith(end):
-            stem = w[: -len(end)]
-            if measure(stem) > 1 and (end != "ion" or stem.endswith(("s", "t"))):
-                w = stem
-            break
-    if w.endswith("e") and (measure(w[:-1]) > 1 or measure(w[:-1]) == 1 and not short_end(w[:-1])):
-        w = w[:-1]
-    if w.endswith("ll") and measure(w) > 1:
+    for table, ends in ((_STEP_2, _ENDS_2), (_STEP_3, _ENDS_3)):
+        if w.endswith(ends):
+            end = next(e for e in ends if w.endswith(e))
+            if _shape(w[: -len(end)]).count("vc") > 0:
+                w = w[: -len(end)] + table[end]
+    if w.endswith(_STEP_4):
+        end = next(e for e in _STEP_4 if w.endswith(e))
+        stem = w[: -len(end)]
+        if (end != "ion" or stem.endswith(("s", "t"))) and _shape(stem).count("vc") > 1:
+            w = stem
+    if w.endswith("e"):
+        own = _shape(w[:-1])
+        n = own.count("vc")
+        if n > 1 or n == 1 and not (len(own) > 2 and own.endswith("cvc") and w[-2] not in "wxy"):
+            w = w[:-1]
+    if w.endswith("ll") and _shape(w[:-1]).count("vc") > 1:
         w = w[:-1]
     return w
 

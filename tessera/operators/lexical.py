@@ -60,14 +60,17 @@ def asked_terms(queries: DataFrame, key: str = "query_id", text: str = "query",
     return queries.select(key, F.explode(F.array_distinct(F.transform(query_terms(F.col(text), most), F.lower))).alias("term"))
 
 
-def bm25(asked: DataFrame, post: DataFrame, size: DataFrame, query: str, key: str) -> DataFrame:
+def bm25(asked: DataFrame, post: DataFrame, size: DataFrame, query: str, key: str, most: int = 200_000) -> DataFrame:
     """(query, key, bm25) of all documents with a term. Postings of other terms are left out before the
-    frequencies are counted; partial sums are made before scores move."""
+    frequencies are counted. Up to ``most`` asked terms are broadcast; more are joined by term, where Spark splits hot ones."""
     wanted = post.join(asked.select("term").distinct(), "term", "left_semi")
     df = wanted.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     rated = wanted.join(df, "term").crossJoin(F.broadcast(size))  # one row
     part = bm25_part(F.col("tf"), F.col("df"), F.col("n_docs"), F.col("doc_len"), F.col("avg_len"))
     weights = rated.select("term", key, part.alias("part"))
+    if asked.count() <= most:
+        # documents are dealt out once; all of a document's parts then meet where they are made, whatever the query
+        asked, weights = F.broadcast(asked), weights.repartition(key)
     return asked.join(weights, "term").groupBy(query, key).agg(F.sum("part").alias("bm25"))
 
 
