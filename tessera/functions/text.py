@@ -7,7 +7,7 @@ from collections.abc import Iterable
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import fixed
@@ -27,6 +27,12 @@ def terms(c: Column) -> Column:
     return F.filter(F.split(F.lower(F.coalesce(c, F.lit(""))), "[^a-z0-9]+"), lambda t: t != "")
 
 
+def each(df: DataFrame, keep: list, values: Column, name: str) -> DataFrame:
+    """``keep`` and a row for each of ``values``, none of which is null. Beside a plain explode Spark filters by the array's size
+    where the rows come from, and so works the array out twice; an outer one has no such filter."""
+    return df.select(*keep, F.explode_outer(values).alias(name)).where(F.col(name).isNotNull())
+
+
 def camel_parts(c: Column) -> Column:
     return F.lower(F.regexp_replace(c, "([a-z])([A-Z])", "$1 $2"))
 

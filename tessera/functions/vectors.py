@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import fixed
-from .text import terms
+from .text import each, terms
 
 
 def doubles(v: Column) -> Column:
@@ -42,7 +42,7 @@ def normalise(v: Column) -> Column:
 def hashed_encoder(df: DataFrame, key: str, text: str, dims: int = fixed.DIMS) -> DataFrame:
     """(key, vector): an offline encoder. A term adds 1 or -1 at the dimension of its hash; lengths are 1."""
     h = F.xxhash64("term")
-    one = df.select(key, F.explode(terms(F.col(text))).alias("term")).select(key, F.pmod(h, F.lit(dims)).cast("int").alias("d"), F.when(F.pmod(F.shiftright(h, 32), F.lit(2)) == 0, 1.0).otherwise(-1.0).alias("w"))
+    one = each(df, [key], terms(F.col(text)), "term").select(key, F.pmod(h, F.lit(dims)).cast("int").alias("d"), F.when(F.pmod(F.shiftright(h, 32), F.lit(2)) == 0, 1.0).otherwise(-1.0).alias("w"))
     sums = one.groupBy(key, "d").agg(F.sum("w").alias("w")).groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("d", "w"))).alias("m"))  # dims entries at most
     dense = F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), lambda i: F.coalesce(F.try_element_at(F.col("m"), i), F.lit(0.0)))
     return sums.select(key, normalise(dense).alias("vector"))

@@ -83,7 +83,7 @@ def shards(chunks: DataFrame, most: int = fixed.MAX_CHUNK_TOKENS, overlap: int =
         return pa.array([[{"first": a, "end": z} for a, z in windows(x or [], most, overlap, least)] for x in lists.to_pylist()], pa.list_(pa.struct([("first", pa.int32()), ("end", pa.int32())])))
 
     long = chunks.where(size > most).withColumn("lines", F.split("text", LINE_END)).withColumn("cuts", cut("lines"))
-    each = long.withColumn("shard_total", F.size("cuts")).select("*", F.posexplode("cuts").alias("shard_index", "w"))
+    each = long.withColumn("shard_total", F.size("cuts")).select("*", F.posexplode_outer("cuts").alias("shard_index", "w")).where("w IS NOT NULL")  # as text.each
     name = F.when(F.col("shard_index") == 0, F.col("name")).otherwise(F.concat("name", F.lit("["), F.col("shard_index").cast("string"), F.lit("]")))
     split = each.select(
         "file_id", "ordinal", "chunk_type", name.alias("name"), F.array_join(F.slice("lines", F.col("w.first") + 1, F.col("w.end") - F.col("w.first")), "\n").alias("text"),

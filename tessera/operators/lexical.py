@@ -6,23 +6,20 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import fixed
-from ..functions.text import identifiers, query_terms, stems, terms
+from ..functions.text import each, identifiers, query_terms, stems, terms
 from ..sources.store import cut
 
 
 def postings(docs: DataFrame, key: str, *texts: str, stem: bool = False, weights: dict[str, int] | None = None) -> DataFrame:
     """(term, key, tf, doc_len) over the columns ``texts``; a weight counts a column's terms so many times."""
 
-    def weighed(t: str):
-        w = F.lit((weights or {}).get(t, 1)).alias("w")
-        return F.transform(terms(F.col(t)), lambda x: F.struct(x.alias("term"), w))
-
-    every = docs.select(F.col(key), F.concat(*map(weighed, texts)).alias("all"))
-    if stem:
-        every = every.select(key, F.arrays_zip(stems()(F.col("all.term")).alias("term"), F.col("all.w").alias("w")).alias("all"))
-    length = F.aggregate("all", F.lit(0).cast("long"), lambda s, x: s + x["w"])
-    sized = every.select(key, "all", length.alias("doc_len"))  # before the explode, else it is worked out for each term
-    long = sized.select(key, "doc_len", F.explode("all").alias("x")).select(key, "doc_len", "x.term", "x.w")
+    found = [terms(F.col(t)) for t in texts]
+    found = [(stems()(c) if stem else c).alias(f"_terms{i}") for i, c in enumerate(found)]
+    weighed = [(F.col(f"_terms{i}"), F.lit((weights or {}).get(t, 1))) for i, t in enumerate(texts)]
+    every = F.concat(*[F.transform(c, lambda x, w=w: F.struct(x.alias("term"), w.alias("w"))) for c, w in weighed])
+    length = sum((F.size(c).cast("long") * w for c, w in weighed), F.lit(0))
+    sized = docs.select(key, *found).select(key, every.alias("all"), length.alias("doc_len"))  # before the explode, else it is worked out for each term
+    long = each(sized, [key, "doc_len"], F.col("all"), "x").select(key, "doc_len", "x.term", "x.w")
     return long.groupBy("term", key, "doc_len").agg(F.sum("w").cast("long").alias("tf")).select("term", key, "tf", "doc_len")
 
 
@@ -36,7 +33,7 @@ def asked_postings(docs: DataFrame, key: str, text: str, asked: DataFrame) -> tu
     stored. Next to its terms each document has a mark, which is no term, so that its length counts without them; marks differ, so no task gets them all."""
     sized = docs.select(key, terms(F.col(text)).alias("all")).select(key, "all", F.size("all").cast("long").alias("doc_len"))
     mark = F.concat(F.lit("#"), F.pmod(F.xxhash64(key), F.lit(4096)).cast("string"))
-    long = sized.select(key, "doc_len", F.explode(F.concat("all", F.array(mark))).alias("term"))
+    long = each(sized, [key, "doc_len"], F.concat("all", F.array(mark)), "term")
     wanted = long.join(asked.select("term", F.lit(True).alias("_asked")).distinct(), "term", "left").where(F.col("_asked") | F.col("term").startswith("#"))
     post = cut(wanted.groupBy("term", key, "doc_len").agg(F.count(F.lit(1)).alias("tf")).select("term", key, "tf", "doc_len"))
     size = post.where(F.col("term").startswith("#")).agg(F.coalesce(F.sum("tf"), F.lit(0)).alias("n_docs"), (F.sum(F.col("tf") * F.col("doc_len")) / F.sum("tf")).alias("avg_len"))

@@ -96,7 +96,7 @@ NAMED_SQL = "(VALUES " + ", ".join(f"({i}, {quoted(q)})" for i, q in NAMED) + ")
     SELECT query_id, chunk_id, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY chunk_id) AS rank FROM h) WHERE rank <= 20""")
 def symbol_lookup(spark, d):
     names = F.filter(F.split("text", "[^A-Za-z0-9]+"), lambda x: x.rlike("^[A-Z][a-zA-Z0-9]+$"))
-    symbols = texts(spark, d).select(F.col("doc_id").alias("chunk_id"), F.explode(F.array_distinct(names)).alias("name"))
+    symbols = text.each(texts(spark, d), [F.col("doc_id").alias("chunk_id")], F.array_distinct(names), "name")
     return lexical.symbol_hits(spark.createDataFrame(NAMED, "query_id long, query string"), symbols)
 
 
@@ -419,7 +419,7 @@ def meta_counts(spark, d):
 
 @query(f"SELECT term, count(*) AS n FROM (SELECT unnest({TERMS.format(c='text')}) AS term FROM documents) WHERE length(term) < 4 GROUP BY ALL ORDER BY n DESC, term LIMIT 10")
 def noisy_symbols(spark, d):
-    found = texts(spark, d).select(F.explode(text.terms(F.col("text"))).alias("term")).where(F.length("term") < 4)
+    found = text.each(texts(spark, d), [], text.terms(F.col("text")), "term").where(F.length("term") < 4)
     return found.groupBy("term").agg(F.count(F.lit(1)).alias("n")).orderBy(F.col("n").desc(), "term").limit(10)
 
 
