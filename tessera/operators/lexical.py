@@ -15,10 +15,13 @@ def postings(docs: DataFrame, key: str, *texts: str, stem: bool = False, weights
 
     found = [terms(F.col(t)) for t in texts]
     found = [(stems()(c) if stem else c).alias(f"_terms{i}") for i, c in enumerate(found)]
-    weighed = [(F.col(f"_terms{i}"), F.lit((weights or {}).get(t, 1))) for i, t in enumerate(texts)]
-    every = F.concat(*[F.transform(c, lambda x, w=w: F.struct(x.alias("term"), w.alias("w"))) for c, w in weighed])
-    length = sum((F.size(c).cast("long") * w for c, w in weighed), F.lit(0))
-    sized = docs.select(key, *found).select(key, every.alias("all"), length.alias("doc_len"))  # before the explode, else it is worked out for each term
+
+    def weighed(c: Column, w: int) -> Column:
+        return F.transform(c, lambda x: F.struct(x.alias("term"), F.lit(w).alias("w")))
+
+    own = [(F.col(f"_terms{i}"), (weights or {}).get(t, 1)) for i, t in enumerate(texts)]
+    length = sum((F.size(c).cast("long") * w for c, w in own), F.lit(0))
+    sized = docs.select(key, *found).select(key, F.concat(*[weighed(c, w) for c, w in own]).alias("all"), length.alias("doc_len"))  # before the explode, else it is worked out for each term
     long = each(sized, [key, "doc_len"], F.col("all"), "x").select(key, "doc_len", "x.term", "x.w")
     return long.groupBy("term", key, "doc_len").agg(F.sum("w").cast("long").alias("tf")).select("term", key, "tf", "doc_len")
 
