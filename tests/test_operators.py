@@ -1,4 +1,6 @@
+import collections
 import random
+import re
 
 import pytest
 from hypothesis import given, settings
@@ -189,3 +191,18 @@ def test_throttle_stream_equals_batch(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert sorted((r.k, r.ts_seconds) for r in spark.table("throttled").collect()) == throttled(events, 3.0)
+
+
+def test_stemmed_postings_equal_plain_counts(spark):
+    rows = [(1, "Runs running, ran. THE cats", "cat cats"), (2, None, "relational"), (3, "", ""), (4, None, None), (5, "x " * 3000, "x")]
+    docs = spark.createDataFrame(rows, "id long, name string, text string")
+    for stem in (False, True):
+        want = []
+        for i, name, text in rows:
+            n = collections.Counter()
+            for value, weight in ((name, 3), (text, 1)):
+                for w in re.findall("[a-z0-9]+", (value or "").lower()):
+                    n[porter(w) if stem else w] += weight
+            want += [(w, i, tf, n.total()) for w, tf in n.items()]
+        got = lexical.postings(docs, "id", "name", "text", stem=stem, weights={"name": 3})
+        assert sorted(map(tuple, got.select("term", "id", "tf", "doc_len").collect())) == sorted(want)
