@@ -74,7 +74,7 @@ class Bucket:
         if f not in self.lists:
             at = np.divide(self.vectors[:, f].astype(np.float64), self.norms, out=np.zeros(len(self.norms)), where=self.norms > 0).astype(np.float32)
             order = np.argsort(at, kind="stable")
-            self.lists[f] = at[order], order.astype(np.int16 if BUCKET < 2**15 else np.int32)
+            self.lists[f] = at[order], order.astype(np.int16 if len(at) < 2**15 else np.int32)
         return self.lists[f]
 
     def near(self, q: np.ndarray, cosine: float, most: int) -> np.ndarray | None:
@@ -101,10 +101,10 @@ class Bucket:
 class Group:
     """One group of a task in buckets, and the search in it. ``kind``: numbers that hold every product exactly."""
 
-    def __init__(self, vectors: np.ndarray, norms: np.ndarray, ids: np.ndarray, rows: np.ndarray, k: int, kind: type):
+    def __init__(self, vectors: np.ndarray, norms: np.ndarray, ids: np.ndarray, rows: np.ndarray, k: int, kind: type, bucket: int = BUCKET):
         self.k, self.kind, self.buckets, at = k, kind, [], 0
         while at < len(norms):
-            end = min(at + BUCKET, int(np.searchsorted(-norms, -norms[at] * RATIO, "right"))) if norms[at] > 0 else at + BUCKET
+            end = min(at + bucket, int(np.searchsorted(-norms, -norms[at] * RATIO, "right"))) if norms[at] > 0 else at + bucket
             part = slice(at, max(at + 1, end))
             self.buckets.append(Bucket(vectors[part], norms[part], ids[part], rows[part]))
             at = part.stop
@@ -164,7 +164,7 @@ class Group:
         least[i[last]] = np.maximum(least[i[last]], self.found[1][np.flatnonzero(rank[rank < self.k] == self.k - 1)])
 
 
-def visit(group: DataFrame, queries: DataFrame, groups: int, width: int, most: int, k: int, bounds_only: bool) -> DataFrame:
+def visit(group: DataFrame, queries: DataFrame, groups: int, width: int, most: int, k: int, bounds_only: bool, bucket: int) -> DataFrame:
     """Queries (query_row, query_id, v, norm, floor, group) in the groups that they name: the best k rows of each (query, group), or
     with ``bounds_only`` the queries again, with the k-th score as floor."""
     largest = float(most) ** 2 * max(width, 1)
@@ -202,7 +202,7 @@ def visit(group: DataFrame, queries: DataFrame, groups: int, width: int, most: i
                     continue
                 if held is None:
                     parts = parts or [(np.zeros((0, width), kind), np.zeros(0), np.zeros(0, np.int64), np.zeros(0, np.int64))]
-                    held, parts = Group(*(np.concatenate(x) for x in zip(*parts, strict=True)), k, exact), []
+                    held, parts = Group(*(np.concatenate(x) for x in zip(*parts, strict=True)), k, exact, bucket), []
                 yield from answers(held, b, b["v"])
         give_back()
 
@@ -213,7 +213,7 @@ def visit(group: DataFrame, queries: DataFrame, groups: int, width: int, most: i
     return dealt.mapInArrow(run, f"query_row long, query_id long, v {kind_v}, norm double, floor long" if bounds_only else VISITED)
 
 
-def search(vectors: DataFrame, asked: Column, k: int = 10, group_bytes: int = GROUP_BYTES) -> DataFrame:
+def search(vectors: DataFrame, asked: Column, k: int = 10, group_bytes: int = GROUP_BYTES, bucket: int = BUCKET) -> DataFrame:
     """query_id, rank, vec_id, score: the ``k`` best of all other rows for each row of vectors (vec_id, v array<long>) where ``asked``."""
     spark = vectors.sparkSession
     size = vectors.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("v")).alias("width"), F.max(F.greatest(F.array_max("v"), -F.array_min("v"))).alias("most")).first()
@@ -233,10 +233,10 @@ def search(vectors: DataFrame, asked: Column, k: int = 10, group_bytes: int = GR
 
     queries = group.where("asked").select(F.col("row").alias("query_row"), F.col("vec_id").alias("query_id"), "v", "norm", F.lit(None).cast("long").alias("floor"))
     first = queries.withColumn("group", F.pmod(F.xxhash64("query_row"), F.lit(groups)).cast("int"))
-    bounded = stage(visit(group, first, groups, width, most, k, True), "floors")
+    bounded = stage(visit(group, first, groups, width, most, k, True, bucket), "floors")
     # groups are numbered from the longest on: those that can reach the score are the first so many
     can = F.size(F.filter(F.lit(reach), lambda x: F.col("floor").isNull() | (x * F.col("norm") * (1 + EPS) >= F.col("floor"))))
     visits = bounded.withColumn("_n", can).where("_n > 0").withColumn("group", F.explode(F.sequence(F.lit(0), F.col("_n") - 1))).drop("_n")
-    found = visit(group, visits, groups, width, most, k, False)
+    found = visit(group, visits, groups, width, most, k, False, bucket)
     best = F.row_number().over(Window.partitionBy("query_row").orderBy(F.col("score").desc(), F.col("vec_id").asc_nulls_last(), "row"))
     return found.withColumn("rank", best).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")

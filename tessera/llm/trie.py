@@ -66,11 +66,11 @@ def shared(a: bytes, b: bytes) -> int:
     return i
 
 
-def run_pages(part: int, run: int, strings: list[tuple[bytes, int]], page_bytes: int) -> Iterator[tuple]:
+def run_pages(part: int, run: int, strings: list[tuple[bytes, int]], page_bytes: int, key_turns: int = KEY_TURNS) -> Iterator[tuple]:
     """A sorted run as rows of PAGES: its head, then its pages."""
     strings.sort()
     lcps = [0, *(shared(a[0], b[0]) for a, b in zip(strings, strings[1:], strict=False))]
-    yield (part, 0, run, strings[0][0], strings[0][1], strings[-1][0][: KEY_TURNS * TURN], None, None, None, None, None, None, None)
+    yield (part, 0, run, strings[0][0], strings[0][1], strings[-1][0][: key_turns * TURN], None, None, None, None, None, None, None)
     at = 0
     while at < len(strings):
         rest, end = [b""], at + 1  # the first string is in the column ``first``
@@ -177,13 +177,13 @@ class Node:
         self.sha, self.piece, self.ids, self.waiting = None, None, [], []
 
 
-def finished(strings: Iterator[tuple[int, int, bytes, int]], first: bytes, last: bytes) -> Iterator[tuple]:
+def finished(strings: Iterator[tuple[int, int, bytes, int]], first: bytes, last: bytes, key_turns: int = KEY_TURNS, piece: int = PIECE) -> Iterator[tuple]:
     """Rows of NODES from sorted strings, as nodes are finished. ``first``, ``last``: where the task's strings begin and end."""
-    edges = [[e[i : i + TURN] for i in range(0, min(len(e), KEY_TURNS * TURN), TURN)] for e in (first, last)]
+    edges = [[e[i : i + TURN] for i in range(0, min(len(e), key_turns * TURN), TURN)] for e in (first, last)]
     stack: list[Node] = [Node(0, ROOT, True, True)]
 
     def below(up: Node, turn: bytes, depth: int) -> Node:
-        on = [was and (depth > KEY_TURNS or (depth <= len(e) and e[depth - 1] == turn)) for was, e in zip((up.first, up.last), edges, strict=True)]
+        on = [was and (depth > key_turns or (depth <= len(e) and e[depth - 1] == turn)) for was, e in zip((up.first, up.last), edges, strict=True)]
         path = hashlib.sha256(up.path + turn).digest()[:16] if up.path is not None and any(on) else None
         return Node(int.from_bytes(turn[16:]), path, *on)
 
@@ -229,7 +229,7 @@ def finished(strings: Iterator[tuple[int, int, bytes, int]], first: bytes, last:
             if not x.ids:
                 x.piece = conv
             x.ids.append(conv)
-            if len(x.ids) == PIECE:
+            if len(x.ids) == piece:
                 yield pieces(x)
     while stack:
         yield from close()
@@ -254,14 +254,14 @@ def of_members(pieces: DataFrame) -> DataFrame:
     return pieces.select("path", "conv_id", "ends").repartition("path").sortWithinPartitions("path", "conv_id").mapInArrow(run, "path binary, ends_sha256 string")
 
 
-def nodes(strings: DataFrame, range_bytes: int = RANGE_BYTES, run_bytes: int = RUN_BYTES, page_bytes: int = PAGE_BYTES, broadcast: int = 500_000) -> DataFrame:
+def nodes(strings: DataFrame, range_bytes: int = RANGE_BYTES, run_bytes: int = RUN_BYTES, page_bytes: int = PAGE_BYTES, broadcast: int = 500_000, key_turns: int = KEY_TURNS, piece: int = PIECE) -> DataFrame:
     """conv_id, depth, parent_conv_id, n_convs, n_children, n_leaves, saved_tokens and ends_sha256 of each node of the trie over
     strings (conv_id long, seq binary, whole turns). Up to ``broadcast`` nodes at the tasks' edges are broadcast."""
     spark = strings.sparkSession
     strings = stage(strings.where("conv_id IS NOT NULL").select("conv_id", F.coalesce("seq", F.lit(b"")).alias("seq")), "strings")
     total = strings.agg(F.sum(F.octet_length("seq").cast("long") + EACH)).first()[0] or 0
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // range_bytes))
-    dealt = strings.repartitionByRange(parts, F.substring("seq", 1, KEY_TURNS * TURN), "conv_id").withColumn("part", F.spark_partition_id())
+    dealt = strings.repartitionByRange(parts, F.substring("seq", 1, key_turns * TURN), "conv_id").withColumn("part", F.spark_partition_id())
     pages_schema, nodes_schema = (pa.schema([(n, {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary(), "string": pa.string(), "array<binary>": pa.list_(pa.binary())}[t]) for n, t in (c.split(" ") for c in s.split(", "))]) for s in (PAGES, NODES))
 
     def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -272,10 +272,10 @@ def nodes(strings: DataFrame, range_bytes: int = RANGE_BYTES, run_bytes: int = R
                     held.append((s, conv))
                     size += len(s) + EACH
                     if size >= run_bytes:
-                        yield from run_pages(part, n, held, page_bytes)
+                        yield from run_pages(part, n, held, page_bytes, key_turns)
                         held, size, n = [], 0, n + 1
             if held:
-                yield from run_pages(part, n, held, page_bytes)
+                yield from run_pages(part, n, held, page_bytes, key_turns)
 
         yield from batched(rows(), pages_schema, 8)
         give_back()
@@ -290,7 +290,7 @@ def nodes(strings: DataFrame, range_bytes: int = RANGE_BYTES, run_bytes: int = R
         if heads:
             rest = (p for some in ([page], rows) for p in some)
             merged = Runs(heads, rest)
-            yield from batched(finished(iter(merged), min(h["first"] for h in heads), max(h["last"] for h in heads)), nodes_schema, 4096)
+            yield from batched(finished(iter(merged), min(h["first"] for h in heads), max(h["last"] for h in heads), key_turns, piece), nodes_schema, 4096)
         give_back()
 
     pages = dealt.mapInArrow(runs, PAGES).sortWithinPartitions("part", "kind", "first", "first_id")
