@@ -3,6 +3,8 @@ edges, routes, calls; and over settings, caches and the catalog that the engine
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -118,9 +120,8 @@ def evidence_blocks(spark, d):
 
 
 def _store(spark: SparkSession, name: str) -> store.Store:
-    """A store of this query's own in the shared folder."""
-    store.cut(spark.range(1))  # sets the folder
-    return store.Store(spark, f"{spark.sparkContext.getCheckpointDir()}/{name}")
+    """A store of this call's own in the shared folder."""
+    return store.Store(spark, f"{store.shared_folder(spark)}/{name}-{uuid.uuid4().hex}")
 
 
 @query("SELECT concat('key ', r_regionkey) AS key, concat(r_name, ', again') AS value FROM region WHERE r_regionkey < 3 UNION ALL SELECT 'key 99', NULL")

@@ -7,6 +7,7 @@ name is written last, so readers see the old version or the new one.
 from __future__ import annotations
 
 import json
+import re
 import tempfile
 import time
 import uuid
@@ -32,15 +33,23 @@ TABLES = {
 }
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The cluster's shared folder, spark.checkpoint.dir. Only where that is unset and executors are the driver's threads a
+    local folder takes its place."""
+    sc = spark.sparkContext
+    at = sc.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    if not at and not re.fullmatch(r"local(\[.*\])?", sc.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+    at = at or tempfile.mkdtemp(prefix="tessera-")
+    if not sc.getCheckpointDir():
+        sc.setCheckpointDir(at)
+    return at.rstrip("/")
+
+
 def cut(df: DataFrame) -> DataFrame:
     """``df`` saved to the cluster's checkpoint folder, without its lineage. A checkpoint works its rows out twice, to
     count and to write them; the second time they come from the executors' memory or disk."""
-    sc = df.sparkSession.sparkContext
-    if not sc.getCheckpointDir():
-        at = sc.getConf().get("spark.checkpoint.dir", None)
-        if not at and not sc.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-        sc.setCheckpointDir(at or tempfile.mkdtemp(prefix="tessera-"))
+    shared_folder(df.sparkSession)
     held = df.persist(StorageLevel.MEMORY_AND_DISK)
     out = held.checkpoint()
     held.unpersist()
