@@ -1,5 +1,5 @@
-"""Source files into typed chunks. Declarations are found line by line with built-in functions; only the
-overlapping windows of a long chunk are a fold, since where one starts depends on the one before."""
+"""Source files into typed chunks. Declarations are found line by line with built-in functions, or by a scan that knows where their
+bodies end; the overlapping windows of a long chunk are a fold, since where one starts depends on the one before."""
 
 from __future__ import annotations
 
@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import fixed
+from ..functions.code import spans
 from ..functions.text import n_tokens, summary, symbols
 
 LINE_END = r"\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x85\x{2028}\x{2029}]"
@@ -67,6 +68,19 @@ def parsed(files: DataFrame) -> DataFrame:
     return decl.unionByName(block).where(F.col("text").rlike(r"\S"))
 
 
+def declared(files: DataFrame) -> DataFrame:
+    """As ``parsed``, with declarations that end where their bodies end: each outermost function, arrow function, ``const`` or ``let``
+    statement is a chunk, and so is each import. A capital makes a component only if there is a tag."""
+    each = files.select(F.col("id").alias("file_id"), "text", F.posexplode(spans(F.col("text"))).alias("ordinal", "s"))
+    body = F.substring("text", F.col("s.start"), F.col("s.length"))
+    rows = each.select("file_id", "ordinal", "s.is_import", "s.start_line", "s.end_line", body.alias("text")).where(F.col("text").rlike(r"\S"))
+    named = rows.withColumn("name", F.when(~F.col("is_import"), F.nullif(F.regexp_extract("text", fixed.DECLARED, 1), F.lit(""))))
+    kind = F.when(F.col("is_import"), "IMPORT_BLOCK").otherwise(F.coalesce(kind_of(F.col("name"), F.col("text")), F.lit("FUNCTION")))
+    imported = F.array_distinct(F.filter(F.regexp_extract_all("text", F.lit(fixed.IMPORTED), F.lit(1)), lambda t: (F.length(t) >= fixed.MIN_SYMBOL) & ~t.isin(fixed.NOISE)))
+    found = F.when(F.col("is_import"), imported).otherwise(symbols(F.col("name"), F.col("text")))
+    return named.select("file_id", "ordinal", kind.alias("chunk_type"), "name", "text", "start_line", "end_line", found.alias("symbols"))
+
+
 def whole_files(files: DataFrame, chunks: DataFrame) -> DataFrame:
     """A MISC chunk, the whole file, for each file (id, text) that has none and isn't blank; so nothing is lost to search."""
     rest = files.where(F.col("text").rlike(r"\S")).join(chunks.select(F.col("file_id").alias("id")).distinct(), "id", "left_anti")

@@ -16,6 +16,8 @@ from ..sources import files as S
 from ..sources.store import Store, cascade, cut
 
 
+#: How declarations are found, by the setting ``indexer.parser``: by patterns, 61 lines from each on, or by a scan for their real ends.
+PARSERS = {"patterns": C.parsed, "scanner": C.declared}
 #: Files that are read by their names, in place of a walk over the tree.
 FEW = 1000
 
@@ -62,7 +64,7 @@ def index(store: Store, root: str, config: dict | None = None, encode=hashed_enc
 def new_tables(files: DataFrame, config: dict, encode, model: str, plugins: Plugins, compat: bool) -> dict[str, DataFrame]:
     """The tables' rows for some files (id, path, .., text)."""
     i = config["indexer"]
-    parsed = C.parsed(files)
+    parsed = PARSERS[i["parser"]](files)
     if not compat:
         parsed = cut(parsed)
         parsed = parsed.unionByName(C.whole_files(files, parsed))

@@ -3,6 +3,7 @@ edges, routes, calls; and over settings, caches and the catalog that the engine
 
 from __future__ import annotations
 
+import re
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 
 from .functions import fixed, text
 from .functions.vectors import hashed_encoder
-from .operators import context, extract
+from .operators import chunks, context, extract
 from .plans import index
 from .plugins import Plugins
 from .queries import _SORTED_STOPS, listed, query, quoted, read
@@ -83,6 +84,58 @@ def code_edges(spark, d):
     return edges.select("from_label", "to_label", "edge_type", "weight")
 
 
+def _sql(text: str) -> str:
+    """An expression for a text with ^ for the key, ~ for a quote, | for a backslash and ; for itself, that both engines read alike."""
+    marks = {"^": "k", "~": "chr(39)", "|": "chr(92)", "\n": "chr(10)"}
+    return "concat(" + ", ".join(marks.get(p) or f"'{p}'" for p in re.split(r"([\^~|\n])", text) if p) + ")"
+
+
+#: Files that patterns misread, by k % 3, as pieces: (kind, name, text), where a kind of None is what isn't a chunk.
+HOSTILE = {
+    0: [
+        ("IMPORT_BLOCK", None, "import { useShelf } from ~./shelf~;"), (None, None, "\n// const hidden = () => { return ~}~ }\n/* function gone() {\n} */\nexport "),
+        ("COMPONENT", "Box^", "const Box^ = ({ a }) => {\n  const re = /[}`/]|d/g;\n  const s = ~it|~s } {~;\n  function inner() { return { a: ~}~ }; }\n  return <p title=\"}\">Don~t {a ? `}${inner({ b: `{` })}` : null} <Row /></p>;\n};"), (None, None, "\n\n"),
+        ("FUNCTION", "plain^", "function plain^(x) {\n  if (x < 1 && x > 0) { return x / 2 / x; }\n  return `${x ? `{` : ~}~}`;\n}"), (None, None, "\n"),
+    ],
+    1: [
+        ("IMPORT_BLOCK", None, "import {\n  one,\n  two^\n} from \"../lib\""), (None, None, "\nexport default "),
+        ("HOOK", "useBox^", "async function useBox^({ a = {} }, b = ~)~) {\n  const go = async () => { await a; };\n  return { go };\n}"), (None, None, "\nclass Store^ extends Base {\n  run(x) {\n    "),
+        ("FUNCTION", "half^", "const half^ = x / 2;"), (None, None, " // }\n    return half^ / 2;\n  }\n}\n"),
+    ],
+    2: [
+        ("FUNCTION", None, "let total = [\n  1,\n  ^\n]"), (None, None, "\nexport "),
+        ("FUNCTION", "Text^", "const Text^ = ~Upper, but no tag~"), (None, None, "\nfor (const x of total) { useIt(x) }\nuseEffect("),
+        ("FUNCTION", None, "() => {\n  load(^, /[)]/);\n}"), (None, None, ", []);\nexport "),
+        ("FUNCTION", "sum^", "const sum^ = (a, b) =>\n  a\n    + b"), (None, None, "\n"),
+    ],
+}
+
+
+def _hostile() -> tuple[str, str]:
+    """SQL of the files, and of their chunks."""
+    lines = lambda e: f"length({e}) - length(replace({e}, chr(10), ''))"
+    files, found = [], []
+    for m, pieces in HOSTILE.items():
+        files.append(f"WHEN {m} THEN {_sql(''.join(t for _, _, t in pieces))}")
+        for n, (kind, name, t) in enumerate(pieces):
+            if kind:
+                before = _sql("".join(x for _, _, x in pieces[:n])) if n else "''"
+                found.append(f"SELECT path, '{kind}' AS chunk_type, {_sql(name) if name else 'NULL'} AS name, (1 + {lines(before)})::INT AS start_line, (1 + {lines(before)} + {lines(_sql(t))})::INT AS end_line, sha256({_sql(t)}) AS text_sha256 FROM h WHERE k % 3 = {m}")
+    return f"h AS (SELECT p_partkey AS k, concat('src/h', p_partkey, '.tsx') AS path, CASE p_partkey % 3 {' '.join(files)} END AS text FROM (SELECT p_partkey, p_partkey AS k FROM part))", " UNION ALL ".join(found)
+
+
+HOSTILE_SQL, HOSTILE_CHUNKS = _hostile()
+
+
+@query(f"WITH {HOSTILE_SQL} {HOSTILE_CHUNKS}")
+def scanned_chunks(spark, d):
+    """Declarations of code with braces and quotes in strings, templates, comments, regular expressions and tags, with nested functions and without semicolons."""
+    read(spark, d, "part").createOrReplaceTempView("tessera_part")
+    files = spark.sql(f"WITH {HOSTILE_SQL.replace('FROM part', 'FROM tessera_part')} SELECT sha1(path) AS id, path, text FROM h").repartition(spark.sparkContext.defaultParallelism, "id")
+    found = chunks.declared(files).join(files.select(F.col("id").alias("file_id"), "path"), "file_id")
+    return found.select("path", "chunk_type", "name", "start_line", "end_line", F.sha2("text", 256).alias("text_sha256"))
+
+
 @query(f"WITH {FILES_SQL} SELECT concat('/w', k) AS path, concat('Panel', (k + 1) % 6) AS component, sha1(concat('/w', k, ':Panel', (k + 1) % 6)) AS id, false AS is_protected FROM f WHERE kind = 'widget' AND k % 10 = 0")
 def code_routes(spark, d):
     t = _made(spark, d)

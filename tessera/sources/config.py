@@ -10,7 +10,7 @@ from collections.abc import Mapping
 from ..functions import fixed
 
 DEFAULTS = {
-    "indexer": {"max_chunk_tokens": fixed.MAX_CHUNK_TOKENS, "min_chunk_tokens": fixed.MIN_CHUNK_TOKENS, "overlap_tokens": fixed.OVERLAP_TOKENS, "file_extensions": fixed.EXTENSIONS, "exclude_dirs": fixed.EXCLUDED_DIRS},
+    "indexer": {"max_chunk_tokens": fixed.MAX_CHUNK_TOKENS, "min_chunk_tokens": fixed.MIN_CHUNK_TOKENS, "overlap_tokens": fixed.OVERLAP_TOKENS, "file_extensions": fixed.EXTENSIONS, "exclude_dirs": fixed.EXCLUDED_DIRS, "parser": "patterns"},
     "retrieval": {"default_top_k": 10, "fts_candidate_pool": fixed.POOL, "max_graph_depth": 4, "cache_ttl_seconds": fixed.CACHE_TTL_SECONDS, "use_reranker": False, "reranker_top_k": 10},
     "memory": {"graph_bfs_frontier": fixed.FRONTIER},
     "embedding": {"dims": fixed.DIMS, "quantize": True},
