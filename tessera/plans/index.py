@@ -1,4 +1,4 @@
-"""Indexing: one plan from a file tree to the tables, for changed files only."""
+"""Indexing: one plan from a file tree to the tables, for changed files only; edges are worked out again, from all chunks."""
 
 from __future__ import annotations
 
@@ -13,7 +13,7 @@ from ..operators import extract, lexical
 from ..plugins import Plugins
 from ..sources import config as configuration
 from ..sources import files as S
-from ..sources.store import Store, cascade, cut
+from ..sources.store import SEGMENTED, Store, cut
 
 
 #: How declarations are found, by the setting ``indexer.parser``: by patterns, 61 lines from each on, or by a scan for their real ends.
@@ -41,19 +41,17 @@ def index(store: Store, root: str, config: dict | None = None, encode=hashed_enc
     n_changed, n_gone = changed.count(), gone.count()
     made = 0
     if n_gone:
-        names = ("files", "chunks", "postings", "symbols", "embeddings", "graph_edges", "routes", "api_calls")
-        old = cascade({n: store.read(n) for n in names}, gone)
         new = new_tables(cut(changed), config, encode, model, plugins, compat)
-        for n in ("files", "chunks", "postings", "symbols", "embeddings", "api_calls"):
-            store.write(n, old[n].select(store.read(n).columns).unionByName(new[n].select(store.read(n).columns)), keep=True)
         made = new["chunks"].count()
+        apply(store, gone, new)
+        store.merge()
         chunks, files = store.read("chunks"), store.read("files")
         edges, routes = extract.edges_and_routes(files, chunks, store.read("symbols"), compat)
         store.write("graph_edges", edges, keep=True)
         store.write("routes", routes, keep=True)
         store.sweep()  # until here the old versions were read
     if n_touched > n_changed:  # other times, but the contents that are known
-        same = read.join(store.read("files").select("id", "content_hash", "indexed_at"), ["id", "content_hash"])
+        same = read.join(store.read("files").select("id", "content_hash", "indexed_at", "segment"), ["id", "content_hash"])
         store.upsert("files", same.drop("text"))
     store.forget()
     store.set_metadata("last_indexed", str(int(time.time())))
@@ -61,6 +59,13 @@ def index(store: Store, root: str, config: dict | None = None, encode=hashed_enc
     return {"files_scanned": n_scanned, "files_indexed": n_changed, "chunks_indexed": made, "elapsed_ms": int(1000 * (time.time() - began))}
 
 
+def apply(store: Store, gone: DataFrame, new: dict[str, DataFrame]) -> None:
+    """Takes the files ``gone`` (id) out of the tables and the rows of ``new`` ones in. Beside the list of files only the new rows are written."""
+    segment = store.add({n: new[n] for n in SEGMENTED if n in new})
+    known = store.read("files").join(gone, "id", "left_anti")
+    store.write("files", known.unionByName(new["files"].withColumn("segment", F.lit(segment)), allowMissingColumns=True))
+
+
 def new_tables(files: DataFrame, config: dict, encode, model: str, plugins: Plugins, compat: bool) -> dict[str, DataFrame]:
     """The tables' rows for some files (id, path, .., text)."""
     i = config["indexer"]

@@ -11,10 +11,10 @@ from pyspark.sql import functions as F
 
 from .functions import fixed, text
 from .functions.vectors import hashed_encoder
-from .operators import chunks, context, extract
+from .operators import chunks, context, extract, lexical
 from .plans import index
 from .plugins import Plugins
-from .queries import _SORTED_STOPS, listed, query, quoted, read
+from .queries import _SORTED_STOPS, TERMS, listed, query, quoted, read
 from .sources import config, store
 
 #: Source files: a widget for each part, and hooks, panels and contexts that widgets use, by remainders of its key.
@@ -177,6 +177,27 @@ def _store(spark: SparkSession, name: str) -> store.Store:
     return store.Store(spark, f"{store.shared_folder(spark)}/{name}-{uuid.uuid4().hex}")
 
 
+@query(f"""WITH d AS (SELECT doc_id, CASE WHEN doc_id % 7 = 1 THEN 'changed ' || text ELSE text END AS text FROM documents WHERE doc_id % 11 <> 0),
+    t AS (SELECT doc_id, {TERMS.format(c="text")} AS terms FROM d), u AS (SELECT doc_id, len(terms) AS doc_len, unnest(terms) AS term FROM t)
+    SELECT term, doc_id::VARCHAR AS chunk_id, count(*) AS tf, doc_len FROM u GROUP BY ALL""")
+def merged_segments(spark, d):
+    """Postings of documents as files after three changes (some files, then more and altered ones, then deletions) and a merge of segments."""
+    s = _store(spark, "segments")
+    docs = read(spark, d, "documents").select(F.col("doc_id").cast("string").alias("id"), "doc_id", "text", F.octet_length("text").alias("size_bytes"))
+
+    def change(some: DataFrame, gone: DataFrame) -> None:
+        new = {"files": some.select("id", "size_bytes"), "chunks": some.select("id", F.col("id").alias("file_id"), "text"), "postings": lexical.postings(some.withColumnRenamed("id", "chunk_id"), "chunk_id", "text")}
+        index.apply(s, gone.select("id"), new)
+
+    change(docs.where("doc_id % 4 > 0"), docs.limit(0))
+    more = docs.where("doc_id % 4 = 0 OR doc_id % 7 = 1").withColumn("text", F.when(F.col("doc_id") % 7 == 1, F.concat(F.lit("changed "), "text")).otherwise(F.col("text")))
+    change(more, more)
+    change(docs.limit(0), docs.where("doc_id % 11 = 0"))
+    s.merge(2)
+    s.sweep()
+    return s.read("postings")
+
+
 @query("SELECT concat('key ', r_regionkey) AS key, concat(r_name, ', again') AS value FROM region WHERE r_regionkey < 3 UNION ALL SELECT 'key 99', NULL")
 def metadata_round_trip(spark, d):
     """Values set twice and read back; a key that isn't there has none."""

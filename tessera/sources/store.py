@@ -7,6 +7,7 @@ name is written last, so readers see the old version or the new one.
 from __future__ import annotations
 
 import json
+import math
 import re
 import tempfile
 import time
@@ -19,7 +20,7 @@ from pyspark.sql import functions as F
 from ..functions import fixed
 
 TABLES = {
-    "files": ("id string, path string, file_type string, size_bytes long, line_count int, content_hash string, indexed_at timestamp, modified_at timestamp", ["id"]),
+    "files": ("id string, path string, file_type string, size_bytes long, line_count int, content_hash string, indexed_at timestamp, modified_at timestamp, segment string", ["id"]),
     "chunks": ("id string, file_id string, chunk_type string, name string, text string, start_line int, end_line int, char_count int, summary string, created_at timestamp", ["id"]),
     "postings": ("term string, chunk_id string, tf long, doc_len long", ["term", "chunk_id"]),
     "symbols": ("chunk_id string, name string, symbol_type string, is_exported boolean, is_default_export boolean", ["chunk_id", "name"]),
@@ -32,6 +33,10 @@ TABLES = {
     "indexing_metadata": ("key string, value string", ["key"]),
 }
 
+#: Tables whose rows belong to files. They are kept in segments: a change of some files is a new segment of their rows, and older ones stay as
+#: they are. Which segment has a file's rows is a column of ``files``, so rows of older segments, of deleted files and of segments not yet committed are dead.
+SEGMENTED = ("chunks", "postings", "symbols", "embeddings", "api_calls")
+
 
 def shared_folder(spark: SparkSession) -> str:
     """The cluster's shared folder, spark.checkpoint.dir. Only where that is unset and executors are the driver's threads a
@@ -125,7 +130,45 @@ class Store:
             return None
         return self.spark.read.text(f"{self.folder}/{name}/CURRENT").first()[0]
 
+    def _segments(self, name: str) -> DataFrame:
+        """All rows of a table in segments, dead ones too, with file_id and segment."""
+        schema = TABLES[name][0] + ("" if "file_id" in TABLES[name][0] else ", file_id string") + ", segment string"
+        fs, p = self._fs(f"{self.folder}/{name}")
+        return self.spark.read.schema(schema).parquet(f"{self.folder}/{name}") if fs.exists(p) else self.spark.createDataFrame([], schema)
+
+    def add(self, tables: dict[str, DataFrame]) -> str:
+        """Writes rows of files (``chunks``, and tables with a chunk_id of theirs) as a new segment and gives its name. It counts once ``files`` names it."""
+        segment = uuid.uuid4().hex
+        owners = tables["chunks"].select(F.col("id").alias("chunk_id"), "file_id").distinct()
+        for name, df in tables.items():
+            own = df if "file_id" in df.columns else df.join(owners, "chunk_id")
+            self._put(name, own.withColumn("segment", F.lit(segment)))
+        return segment
+
+    def _put(self, name: str, rows: DataFrame) -> None:
+        like = self.spark.createDataFrame([], self._segments(name).schema)
+        full = like.unionByName(rows.select([c for c in rows.columns if c in like.columns]), allowMissingColumns=True)
+        full.hint("rebalance").write.partitionBy("segment").mode("append").parquet(f"{self.folder}/{name}")
+
+    def merge(self, fan: int = 4) -> int:
+        """Puts segments of like size (of their live files, by powers of ``fan``) together, where there are ``fan`` of them; says how many went."""
+        files, tiers = self.read("files"), {}
+        for r in files.groupBy("segment").agg(F.sum("size_bytes").alias("n")).collect():  # a row a segment, and merging keeps them few
+            if r["segment"] is not None:
+                tiers.setdefault(int(math.log(max(1, r["n"] or 1), fan)), []).append(r["segment"])
+        old = sorted(s for some in tiers.values() if len(some) >= fan for s in some)
+        if old:
+            segment = uuid.uuid4().hex
+            live = files.where(F.col("segment").isin(old)).select(F.col("id").alias("file_id"), "segment")
+            for name in SEGMENTED:
+                self._put(name, self._segments(name).where(F.col("segment").isin(old)).join(live, ["file_id", "segment"], "left_semi").withColumn("segment", F.lit(segment)))
+            self.write("files", files.withColumn("segment", F.when(F.col("segment").isin(old), segment).otherwise(F.col("segment"))))
+        return len(old)
+
     def read(self, name: str) -> DataFrame:
+        if name in SEGMENTED:
+            live = self.read("files").select(F.col("id").alias("file_id"), "segment")
+            return self._segments(name).join(live, ["file_id", "segment"], "left_semi").select([c.split()[0] for c in TABLES[name][0].split(", ")])
         schema, at = TABLES[name][0], self._current(name)
         df = self.spark.read.schema(schema).parquet(f"{self.folder}/{name}/{at}") if at else self.spark.createDataFrame([], schema)
         if name == "retrieval_cache" and (hits := self._hits()):
@@ -158,10 +201,16 @@ class Store:
             fs.delete(self._fs(f"{self.folder}/{name}/{old}")[1], True)
 
     def sweep(self) -> None:
-        """Removes all versions but the current ones."""
+        """Removes all versions but the current ones, and segments that no file is in."""
+        used = {f"segment={r['segment']}" for r in self.read("files").select("segment").distinct().collect()}
+        for name in SEGMENTED:
+            fs, p = self._fs(f"{self.folder}/{name}")
+            for x in fs.listStatus(p) if fs.exists(p) else []:
+                if x.isDirectory() and x.getPath().getName().startswith("segment=") and x.getPath().getName() not in used:
+                    fs.delete(x.getPath(), True)
         for name in TABLES:
             fs, p = self._fs(f"{self.folder}/{name}")
-            current = self._current(name)
+            current = None if name in SEGMENTED else self._current(name)
             for x in fs.listStatus(p) if current else []:
                 if x.getPath().getName() not in ("CURRENT", current):
                     fs.delete(x.getPath(), True)
