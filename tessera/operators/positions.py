@@ -24,7 +24,7 @@ def asked(queries: DataFrame, query: str, text: str) -> DataFrame:
     return all_terms.select(query, F.posexplode("_all").alias("place", "term"), F.size("_all").alias("n"))
 
 
-def _together(ask: DataFrame, post: DataFrame, query: str, key: str, words: DataFrame) -> DataFrame:
+def _together(words: DataFrame, post: DataFrame, query: str, key: str) -> DataFrame:
     """(query, key, found): for each document with all of a query's words their places, as a list of (place, positions)."""
     hits = words.join(post.select("term", key, "positions"), "term")
     grouped = hits.groupBy(query, key).agg(F.collect_list(F.struct("place", "positions")).alias("found"), F.max("n").alias("n"))  # a query's words, at most
@@ -34,7 +34,7 @@ def _together(ask: DataFrame, post: DataFrame, query: str, key: str, words: Data
 def phrases(ask: DataFrame, post: DataFrame, query: str = "query_id", key: str = "doc_id") -> DataFrame:
     """(query, key, n_found, first): documents with all words of a query one after the other, how often, and where first.
     Each word's positions are moved back by its place in the phrase; a phrase begins where all of them meet."""
-    both = _together(ask, post, query, key, ask)
+    both = _together(ask, post, query, key)
     moved = F.transform("found", lambda f: F.transform(f["positions"], lambda p: p - f["place"]))
     # the rarest word's list first: what is left can only get shorter
     ordered = F.array_sort(moved, lambda a, b: F.size(a) - F.size(b))
@@ -55,7 +55,7 @@ def proximity(ask: DataFrame, post: DataFrame, most: int, query: str = "query_id
     once = ask.groupBy(query, "term").agg(F.min("place").alias("place"))
     counted = once.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy(query)).cast("int"))
     counted = counted.withColumn("place", (F.row_number().over(Window.partitionBy(query).orderBy("place")) - 1).cast("int"))
-    both = _together(ask, post, query, key, counted).select(query, key, "n", _marks(F.col("found")).alias("marks"))
+    both = _together(counted, post, query, key).select(query, key, "n", _marks(F.col("found")).alias("marks"))
     none = F.lit(2**31 - 1)
     begin = F.struct(F.transform(F.sequence(F.lit(1), F.col("n")), lambda _: F.lit(-1)).alias("last"), none.alias("best"))
 

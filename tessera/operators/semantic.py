@@ -1,4 +1,4 @@
-"""Cosine search over vectors, exact and by hyperplane hashes."""
+"""Cosine search over vectors: exact in blocks, and over candidates from hyperplane hashes."""
 
 from __future__ import annotations
 
@@ -14,47 +14,63 @@ def shifted(cosine: Column) -> Column:
     return (cosine + 1) / 2
 
 
-def search(queries: DataFrame, vectors: DataFrame, k: int, query: str = "query_id", key: str = "vec_id", vector: str = "vector", block: int = 1024) -> DataFrame:
+#: Bytes of vectors that a task holds.
+GROUP_BYTES = 64 << 20
+
+
+def search(queries: DataFrame, vectors: DataFrame, k: int, query: str = "query_id", key: str = "vec_id", vector: str = "vector", block: int = 256) -> DataFrame:
     """(query, key, cosine, rank): the k nearest rows of each query, over all rows.
 
-    Queries are a set of a size that the caller states. They are handled in blocks of ``block``:
-    each task scores its rows against one block by matrix products and keeps k of each
-    query, so what moves is k rows for each query and task."""
+    Vectors are dealt into groups that fit in a task. Each group meets all queries, which stream through it in blocks: a matrix
+    product, and of each (query, group) k rows go on. Neither side passes through the driver, and no row is paired by itself."""
     import pyarrow as pa
-
-    ids = [(r[0], np.asarray(r[1], float)) for r in queries.select(query, vector).orderBy(query).toLocalIterator()]
-    kind = vectors.schema[key].dataType.simpleString()
-    qkind = queries.schema[query].dataType.simpleString()
-    parts = []
-    for at in range(0, max(1, len(ids)), block):
-        some = ids[at : at + block]
-        sent = vectors.sparkSession.sparkContext.broadcast(([i for i, _ in some], np.stack([v for _, v in some]) if some else np.zeros((0, 1))))
-
-        def run(batches, sent=sent):
-            names, q = sent.value
-            best: list[list[tuple]] = [[] for _ in names]
-            for b in batches:
-                col = b.column("v")
-                if not len(names) or not b.num_rows:
+    import pyarrow.compute as pc
+
+    spark = vectors.sparkSession
+    own = vectors.where(F.col(vector).isNotNull()).select(F.col(key).alias("k"), doubles(F.col(vector)).alias("v"))
+    asked = queries.where(F.col(vector).isNotNull()).select(F.col(query).alias("q"), doubles(F.col(vector)).alias("v"))
+    size = own.agg(F.coalesce(F.sum(F.size("v").cast("long")), F.lit(0)) * 8).first()[0]
+    groups = max(spark.sparkContext.defaultParallelism, -(-size // GROUP_BYTES))
+    kinds = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}
+    qkind, kind = (df.schema[c].dataType.simpleString() for df, c in ((queries, query), (vectors, key)))
+
+    def matrix(col: pa.Array) -> np.ndarray:
+        return np.asarray(col.flatten()).reshape(len(col), -1)
+
+    def best(keys: pa.Array, m: np.ndarray, order_of: np.ndarray, names: pa.Array, q: np.ndarray):
+        scores = np.round(q @ m.T, 12)
+        n = min(k, len(keys))
+        i, j = np.nonzero(scores >= np.partition(scores, len(keys) - n, axis=1)[:, len(keys) - n, None])
+        s = scores[i, j]
+        order = np.lexsort((order_of[j], -s, i))  # ties by the least key
+        order = order[np.arange(len(order)) - np.searchsorted(i[order], i[order]) < n]
+        return pa.record_batch({query: names.take(pa.array(i[order])), key: keys.take(pa.array(j[order])), "cosine": s[order]})
+
+    def run(batches):
+        group, parts, held = None, [], None
+        for b in batches:
+            g, is_query = np.asarray(b["g"]), np.asarray(b["is_query"])
+            cuts = [0, *(np.flatnonzero((g[1:] != g[:-1]) | (is_query[1:] != is_query[:-1])) + 1), b.num_rows]
+            for at, end in zip(cuts, cuts[1:], strict=False):
+                if at == end:
                     continue
-                m = np.asarray(col.flatten()).reshape(b.num_rows, -1)
-                keys, s = b.column("k").to_pylist(), np.round(m @ q.T, 12)
-                for j in range(len(names)):
-                    c = s[:, j]
-                    near = np.flatnonzero(c >= np.partition(c, -k)[-k]) if len(c) > k else np.arange(len(c))
-                    best[j] = sorted([*best[j], *((-float(c[i]), keys[i]) for i in near)])[:k]
-            rows = [(names[j], key_, -c) for j, own in enumerate(best) for c, key_ in own]
-            if rows:
-                yield pa.record_batch([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (schema.field(0).type, schema.field(1).type, pa.float64()), strict=True)], [query, key, "cosine"])
-
-        types = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}
-        schema = pa.schema([(query, types[qkind]), (key, types[kind])])
-        own = vectors.where(F.col(vector).isNotNull()).select(F.col(key).alias("k"), doubles(F.col(vector)).alias("v"))
-        parts.append(own.mapInArrow(run, f"{query} {qkind}, {key} {kind}, cosine double"))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return top(out, [query], "cosine", key, k)
+                if g[at] != group:
+                    group, parts, held = g[at], [], None
+                rows = b.slice(at, end - at)
+                if not is_query[at]:
+                    parts.append((rows["k"], matrix(rows["v"])))
+                    continue
+                if held is None and parts:
+                    keys, parts = pa.concat_arrays([p[0] for p in parts]), [p[1] for p in parts]
+                    held, parts = (keys, np.concatenate(parts), np.argsort(np.asarray(pc.sort_indices(keys)))), []
+                for a in range(0, rows.num_rows if held else 0, block):
+                    some = rows.slice(a, block)
+                    yield best(*held, some["q"], matrix(some["v"]))
+
+    rows = own.select(F.pmod(F.xxhash64("k"), F.lit(groups)).cast("int").alias("g"), F.lit(0).alias("is_query"), "k", F.lit(None).cast(qkind).alias("q"), "v")
+    every = asked.select(F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("g"), F.lit(1).alias("is_query"), F.lit(None).cast(kind).alias("k"), "q", "v")
+    met = rows.unionByName(every).repartitionById(groups, "g").sortWithinPartitions("g", "is_query").mapInArrow(run, f"{query} {qkind}, {key} {kind}, cosine double")
+    return top(met, [query], "cosine", key, k)
 
 
 def stored(embeddings: DataFrame, key: str = "chunk_id") -> DataFrame:
@@ -76,6 +92,49 @@ def hyperplane_bits(vector: Column, dims: int, tables: int = 4, bits: int = 8, s
     return out
 
 
+def signatures(rows: DataFrame, key: str, vector: str, planes: np.ndarray, probes: int = 0) -> DataFrame:
+    """(key, t, bucket): for each of the tables the bucket of a vector, by the sides of its hyperplanes (planes: tables, bits, dims).
+    With ``probes`` also the buckets on the other sides of so many planes that the vector is closest to, in all their combinations."""
+    import pyarrow as pa
+
+    tables, bits, dims = planes.shape
+    kind = rows.schema[key].dataType.simpleString()
+    worth = 1 << np.arange(bits)
+
+    def run(batches):
+        for b in batches:
+            n = b.num_rows
+            if not n:
+                continue
+            sides = np.einsum("nd,tbd->ntb", np.asarray(b["v"].flatten()).reshape(n, -1)[:, :dims], planes)
+            own = ((sides >= 0) * worth).sum(axis=2)[:, :, None]
+            if probes:
+                close = worth[np.argsort(np.abs(sides), axis=2, kind="stable")[:, :, :probes]]
+                flips = np.zeros((n, tables, 1), np.int64)
+                for i in range(probes):
+                    flips = np.concatenate([flips, flips + close[:, :, i, None]], axis=2)
+                own = own ^ flips
+            each = own.shape[1] * own.shape[2]
+            yield pa.record_batch({key: b["k"].take(pa.array(np.repeat(np.arange(n), each))), "t": np.tile(np.repeat(np.arange(tables, dtype=np.int32), own.shape[2]), n), "bucket": own.reshape(-1).astype(np.int64)})
+
+    own = rows.where(F.col(vector).isNotNull()).select(F.col(key).alias("k"), doubles(F.col(vector)).alias("v"))
+    return own.mapInArrow(run, f"{key} {kind}, t int, bucket long")
+
+
+def near(queries: DataFrame, vectors: DataFrame, k: int, planes: np.ndarray, probes: int = 3, query: str = "query_id", key: str = "vec_id", vector: str = "vector") -> DataFrame:
+    """(query, key, cosine, rank): the k nearest of the rows that share a bucket with the query in a table. Buckets are joined by
+    number, so a query meets a few of the rows only; those met are scored exactly. Vectors go to the
+    pairs once, after these are distinct."""
+    asked, stored_ = (signatures(df, c, vector, planes, p) for df, c, p in ((queries, query, probes), (vectors, key, 0)))
+    pairs = asked.join(stored_, ["t", "bucket"]).select(query, key).distinct()
+    from ..functions.vectors import dot
+
+    q = queries.select(query, doubles(F.col(vector)).alias("_q"))
+    v = vectors.select(key, doubles(F.col(vector)).alias("_v"))
+    scored = pairs.join(v, key).join(q, query).select(query, key, F.round(dot(F.col("_v"), F.col("_q")), 12).alias("cosine"))
+    return top(scored, [query], "cosine", key, k)
+
+
 def exemplars(queries: DataFrame, samples: DataFrame, query: str, label: str, vector: str = "vector") -> DataFrame:
     """(query, label, score): the label of the nearest of a few exemplars; ties by the least label."""
     from ..functions.vectors import dot

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import fixed, text, vectors
-from .operators import chunks, context, extract, fusion, graph, intent, lexical, semantic
+from .operators import chunks, context, extract, fusion, graph, intent, lexical, positions, semantic
 from .sources import files, store
 from .streaming import watch
 
@@ -181,6 +181,34 @@ def lsh_buckets(spark, d):
     return read(spark, d, "embeddings").select("vec_id", *[b.alias(f"bucket_{i}") for i, b in enumerate(bits)])
 
 
+def _planes(tables: int, bits: int):
+    return semantic.np.random.default_rng(5).normal(size=(tables, bits, LSH_DIMS)).round(6)
+
+
+_SIDES = ", ".join(f"({t}, [{', '.join(f'list_dot_product(e, {[float(x) for x in p]})' for p in planes)}])" for t, planes in enumerate(_planes(12, 8)))
+
+
+@query(f"""WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings),
+    s AS (SELECT vec_id, u.x[1] AS t, u.x[2] AS sides FROM (SELECT vec_id, unnest([{_SIDES}]) AS x FROM v) u),
+    b AS (SELECT vec_id, t, sides, list_sum(list_transform(sides, lambda x, i: CASE WHEN x >= 0 THEN (1 << (i - 1)::INT) ELSE 0 END))::BIGINT AS bucket FROM s),
+    c AS (SELECT vec_id, t, bucket, list_transform(list_sort(list_transform(sides, lambda x, i: row(abs(x), i)))[1:4], lambda r: (1 << (r[2] - 1)::INT)::BIGINT) AS f FROM b WHERE vec_id % 20 = 0),
+    p AS (SELECT vec_id AS query_id, t, unnest(list_transform(range(0, 16), lambda m: xor(bucket, (m & 1) * f[1] + ((m >> 1) & 1) * f[2] + ((m >> 2) & 1) * f[3] + ((m >> 3) & 1) * f[4]))) AS bucket FROM c),
+    m AS (SELECT DISTINCT query_id, b.vec_id FROM p JOIN b USING (t, bucket)),
+    r AS (SELECT query_id, m.vec_id, round(list_dot_product(q.e, w.e), 12) AS c FROM m JOIN v q ON q.vec_id = query_id JOIN v w ON w.vec_id = m.vec_id),
+    h AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY c DESC, vec_id) AS rank FROM r QUALIFY rank <= 10),
+    a AS (SELECT q.vec_id AS query_id, w.vec_id, row_number() OVER (PARTITION BY q.vec_id ORDER BY round(list_dot_product(q.e, w.e), 12) DESC, w.vec_id) AS n FROM v q JOIN v w ON q.vec_id % 20 = 0 QUALIFY n <= 10)
+    SELECT h.query_id, h.vec_id, round(c, 6) AS cosine, rank, count(a.vec_id) OVER (PARTITION BY h.query_id) / 10.0::DOUBLE AS recall FROM h LEFT JOIN a ON a.query_id = h.query_id AND a.vec_id = h.vec_id""")
+def lsh_topk(spark, d):
+    """The nearest of rows in the buckets that a query probes, and how many of the ten nearest of all rows are among them. These vectors'
+    nearest are far (a cosine of 0.4), so that buckets have to be wide; the recall is 0.94."""
+    v = store.spread(read(spark, d, "embeddings").select("vec_id", F.col("embedding").alias("vector")))
+    asked = v.where("vec_id % 20 = 0").withColumnRenamed("vec_id", "query_id")
+    found = semantic.near(asked, v, 10, _planes(12, 8), 4)
+    exact = semantic.search(asked, v, 10).select("query_id", "vec_id", F.lit(1).alias("_hit"))
+    recall = F.sum(F.coalesce("_hit", F.lit(0))).over(Window.partitionBy("query_id")) / 10
+    return found.join(exact, ["query_id", "vec_id"], "left").select("query_id", "vec_id", F.round("cosine", 6).alias("cosine"), "rank", recall.cast("double").alias("recall"))
+
+
 # --- Graph -----------------------------------------------------------------------
 EDGES = """e AS (SELECT DISTINCT 'C' || o_custkey AS from_id, 'O' || o_orderkey AS to_id, 'PLACED' AS edge_type, 1.0::DOUBLE AS weight FROM orders
     UNION ALL SELECT DISTINCT 'O' || l_orderkey, 'P' || l_partkey, 'CONTAINS', 0.9::DOUBLE FROM lineitem
@@ -472,6 +500,45 @@ def chunk_windows(spark, d):
     return chunks.stored(chunks.shards(whole)).select("id", F.col("file_id").cast("long").alias("doc_id"), "name", "start_line", "end_line", "char_count", "shard_index", "shard_total")
 
 
+# --- Places of words -------------------------------------------------------------
+_PLACES = f"""t AS (SELECT doc_id, {TERMS.format(c="text")} AS terms FROM documents), p AS (SELECT doc_id, unnest(terms) AS term, generate_subscripts(terms, 1) - 1 AS pos FROM t),
+    b AS (SELECT item_id AS query_id, {TERMS.format(c="text")} AS w FROM benchmark)"""
+
+
+def _places(spark: SparkSession, d: str, words: F.Column) -> tuple[DataFrame, DataFrame]:
+    """Some words of each benchmark text, and the places of all documents' words."""
+    asked = read(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.array_join(words, " ").alias("q"))
+    return positions.asked(asked, "query_id", "q"), positions.positional(texts(spark, d), "doc_id", "text")
+
+
+@query(f"""WITH {_PLACES} SELECT query_id, a.doc_id, count(*)::INT AS n_found, min(a.pos)::INT AS first FROM b JOIN p a ON a.term = w[1] JOIN p c ON c.doc_id = a.doc_id AND c.term = w[2] AND c.pos = a.pos + 1
+    JOIN p e ON e.doc_id = a.doc_id AND e.term = w[3] AND e.pos = a.pos + 2 WHERE len(w) >= 3 GROUP BY ALL""")
+def phrase_postings(spark, d):
+    """Documents with the first three words of a benchmark text one after the other."""
+    return positions.phrases(*_places(spark, d, F.slice(text.terms(F.col("text")), 1, 3)))
+
+
+@query(f"""WITH {_PLACES}, q AS (SELECT query_id, list_distinct([w[1], w[3], w[5]]) AS ws FROM b WHERE len(w) >= 5),
+    m AS (SELECT query_id, doc_id, pos, term, len(ws) AS n FROM q JOIN p ON list_contains(ws, term)),
+    k AS (SELECT query_id, doc_id FROM m GROUP BY ALL HAVING count(DISTINCT term) = any_value(n)), c AS (SELECT m.* FROM m SEMI JOIN k USING (query_id, doc_id)),
+    l AS (SELECT a.query_id, a.doc_id, a.pos, a.n, z.term, max(z.pos) AS latest FROM c a JOIN c z ON z.query_id = a.query_id AND z.doc_id = a.doc_id AND z.pos <= a.pos AND z.pos > a.pos - 12 GROUP BY ALL),
+    s AS (SELECT query_id, doc_id, pos - min(latest) + 1 AS span FROM l GROUP BY query_id, doc_id, pos, n HAVING count(*) = n)
+    SELECT query_id, doc_id, min(span)::INT AS span FROM s GROUP BY ALL""")
+def proximity_postings(spark, d):
+    """Documents with the first, third and fifth word of a benchmark text within twelve places."""
+    w = text.terms(F.col("text"))
+    few = F.when(F.size(w) >= 5, F.array(F.get(w, 0), F.get(w, 2), F.get(w, 4))).otherwise(F.array().cast("array<string>"))
+    return positions.proximity(*_places(spark, d, few), 12)
+
+
+@query(f"""WITH {_PLACES}, m AS (SELECT query_id, doc_id, pos, term FROM (SELECT query_id, list_distinct(w[1:6]) AS ws FROM b) JOIN p ON list_contains(ws, term)),
+    r AS (SELECT query_id, doc_id, pos AS start, count(DISTINCT term) OVER f AS n_words, count(*) OVER f AS n_hits FROM m WINDOW f AS (PARTITION BY query_id, doc_id ORDER BY pos RANGE BETWEEN CURRENT ROW AND 19 FOLLOWING))
+    SELECT query_id, doc_id, start::INT AS start, n_words::INT AS n_words, n_hits::INT AS n_hits FROM r QUALIFY row_number() OVER (PARTITION BY query_id, doc_id ORDER BY n_words DESC, n_hits DESC, start) = 1""")
+def snippet_postings(spark, d):
+    """The stretch of twenty words with the most of a benchmark text's first six."""
+    return positions.snippets(*_places(spark, d, F.slice(text.terms(F.col("text")), 1, 6)), 20)
+
+
 @query()
 def stemmed_terms(spark, d):
     """Terms stemmed by Porter's rules, which SQL doesn't have; tests hold words of the published vocabulary."""
