@@ -8,9 +8,11 @@ sums the weights of all ways to each position, the backward pass draws one way f
 its exact distribution. Weights of a piece: its score if the model is a unigram
 model, else (scores are ranks) 1 / (1 + rank); both to the power ``alpha``.
 
-Distinct words of a block share one lattice, and all draws of a block are made
+Distinct words of a block share lattices, half a million characters at once, and their draws are made
 together in numpy, from random numbers that are hashes of (seed, row key, word
-number, step). So a row's segmentation depends on nothing but these. Decoding joins the pieces and drops the prefix: it gives the text
+number, step). A very long word (``LONG`` characters) goes by stretches: the forward pass is linear in what comes into a stretch, so all
+stretches are worked out at once for each place that can be entered, then chained, then worked out again from what really comes in; the backward pass
+makes one window's edges at a time. Only the sum of each position is kept. So a row's segmentation depends on nothing but these. Decoding joins the pieces and drops the prefix: it gives the text
 back. A literal "▁" is spelt in bytes, so that it isn't read as a space.
 
 Defined results: a null text counts as empty, an empty one has no pieces; a null key
@@ -21,6 +23,8 @@ segmentation; other columns don't matter.
 from __future__ import annotations
 
 import zlib
+from array import array
+from bisect import bisect_right
 
 import numpy as np
 import pyarrow as pa
@@ -38,6 +42,10 @@ STEP, BASE, SLOT = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93),
 SLOT_BITS = 20
 #: Text whose words share lattices; states and edges take some 200 times its memory.
 LATTICE_BYTES = BLOCK_BYTES // 2
+#: Characters of distinct words in lattices at once (an edge takes some 300 bytes), and draws at once.
+LATTICE_CHARS, DRAWS = 1 << 19, 1 << 19
+#: Words from so many characters on go by stretches of STRETCH, back by windows of WINDOW positions.
+LONG, STRETCH, WINDOW = 1 << 15, 1 << 10, 1 << 14
 #: In place of a piece's id: the character is spelt in bytes.
 SPELT = 0xFFFFF
 
@@ -220,6 +228,143 @@ def sample(model: Model, words: pa.Array, codes: np.ndarray, key: np.ndarray) ->
     return ids, counts[back]
 
 
+def outgoing(m: Model, chars: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of the edges from each start by length (1 to the longest piece): weight (-inf: none) and piece."""
+    weight, token = np.full((len(start), m.longest), -np.inf), np.full((len(start), m.longest), -1, np.int64)
+    at, h = np.flatnonzero(start < len(chars)), np.zeros(len(start), np.uint64)
+    inside = at
+    for k in range(1, m.longest + 1):
+        at = at[start[at] + k <= len(chars)]
+        if not len(at):
+            break
+        h[at] = h[at] * BASE + chars[start[at] + k - 1]
+        i = m.find(h[at])
+        at, piece = at[i >= 0], m.piece[i[i >= 0]]
+        full = piece >= 0
+        weight[at[full], k - 1], token[at[full], k - 1] = m.weight[piece[full]], piece[full]
+    bare = inside[token[inside, 0] < 0]
+    codes = chars[start[bare]] - np.uint64(1)
+    codes = np.where(codes == LITERAL, SPACE, codes)
+    weight[bare, 0] = m.byte_weight * (1 + (codes >= 0x80) + (codes >= 0x800) + (codes >= 0x10000).astype(np.int64))
+    token[bare, 0] = SPELT
+    return weight, token
+
+
+def long_word(m: Model, word: str, key: np.uint64) -> np.ndarray:
+    """Ids of one draw for a long word, as ``sample`` draws it."""
+    raw = np.frombuffer(word.encode("utf-32-le"), np.uint32).astype(np.uint64)
+    raw[raw == SPACE] = LITERAL
+    raw[raw == ord(" ")] = SPACE
+    chars = np.concatenate([[np.uint64(SPACE)], raw]) + np.uint64(1)
+    n, wide = len(chars), m.longest
+    first = np.arange(n // STRETCH + 1) * STRETCH
+
+    def pass_on(ring: np.ndarray, logs: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """What comes into the next stretches (stretch, way of entry, place), and its scale, from what comes into these."""
+        scale = np.zeros(ring.shape[:2])
+        ring = np.concatenate([ring, np.zeros((*ring.shape[:2], 1))], axis=2)
+        for t in range(STRETCH):
+            weight, _ = outgoing(m, chars, first + t)
+            now = t % (wide + 1)
+            value = ring[:, :, now].copy()
+            if logs is not None:
+                inside = first + t <= n
+                logs[first[inside] + t] = np.log(value[inside, 0]) + scale[inside, 0]
+            ring[:, :, now] = 0
+            for k in range(1, wide + 1):
+                w = np.exp(weight[:, k - 1])
+                if w.any():
+                    ring[:, :, (t + k) % (wide + 1)] += value * w[:, None]
+            if t % 16 == 15:
+                top = ring.max(axis=2)
+                top[top == 0] = 1
+                ring /= top[:, :, None]
+                scale += np.log(top)
+        return np.roll(ring, -(STRETCH % (wide + 1)), axis=2)[:, :, :wide], scale
+
+    enter = np.zeros((len(first), 1, wide))
+    enter[0, 0, 0] = 1
+    base = np.zeros(len(first))
+    if len(first) > 1:
+        every = np.broadcast_to(np.eye(wide), (len(first), wide, wide)).copy()
+        out, scale = pass_on(every)
+        for j in range(len(first) - 1):
+            with np.errstate(divide="ignore"):
+                way = np.log(enter[j, 0]) + scale[j]
+            top = way.max()
+            enter[j + 1, 0] = np.exp(way - top) @ out[j]
+            most = enter[j + 1, 0].max()
+            enter[j + 1, 0] /= most
+            base[j + 1] = base[j] + top + np.log(most)
+    forward = np.empty(n + 1)
+    pass_on(enter, forward)
+    forward += base[np.arange(n + 1) // STRETCH]
+
+    drawn, at, step = array("q"), n, 0
+    while at:
+        low = max(0, (at - 1) // WINDOW * WINDOW)
+        begin = max(0, low - wide)
+        weight, token = outgoing(m, chars, np.arange(begin, at))
+        target = np.arange(low + 1, at + 1)
+        share, own = np.zeros((len(target), wide)), np.full((len(target), wide), -1, np.int64)
+        for k in range(1, wide + 1):
+            ok = target - k >= 0
+            source = target[ok] - k
+            with np.errstate(invalid="ignore"):
+                share[ok, k - 1] = np.exp(forward[source] + weight[source - begin, k - 1] - forward[target[ok]])
+            own[ok, k - 1] = token[source - begin, k - 1]
+        share = np.cumsum(share, axis=1) / share.sum(axis=1, keepdims=True)
+        share[np.arange(wide) >= wide - np.argmax(own[:, ::-1] >= 0, axis=1)[:, None] - 1] = 1  # the last of a target's edges
+        own = np.where(own == SPELT, -target[:, None], own)
+        cuts, own, u, used = share.tolist(), own.tolist(), [], 0
+        while at > low:
+            if used == len(u):
+                steps = np.arange(step + 1, step + 4097, dtype=np.uint64)
+                u, used = ((mix64(key + steps * STEP) >> np.uint64(34)).astype(np.float64) * 2.0**-30).tolist(), 0
+            k = bisect_right(cuts[at - low - 1], u[used]) + 1
+            drawn.append(own[at - low - 1][k - 1])
+            at, step, used = at - k, step + 1, used + 1
+    ids = np.frombuffer(drawn, np.int64)[::-1]
+    spelt = np.flatnonzero(ids < 0)  # in place of a piece the position after a character
+    codes = chars[-ids[spelt] - 1] - np.uint64(1)
+    codes = np.where(codes == LITERAL, SPACE, codes).astype("<u4")
+    width = np.ones(len(ids), np.int64)
+    width[spelt] = 1 + (codes >= 0x80) + (codes >= 0x800) + (codes >= 0x10000).astype(np.int64)
+    out = np.repeat(ids, width)
+    out[ragged((np.cumsum(width) - width)[spelt], width[spelt])] = m.byte_id[np.frombuffer(codes.tobytes().decode("utf-32-le").encode(), np.uint8)]
+    return out
+
+
+def sampled(m: Model, words: pa.Array, codes: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """As ``sample``, of any number of distinct words of any length: some words and some draws at once."""
+    size = np.asarray(pc.utf8_length(words)).astype(np.int64)
+    group = np.cumsum(np.where(size >= LONG, 0, size + 1)) // LATTICE_CHARS
+    group[size >= LONG] = -1
+    if len(words) and group.max() == 0 and group.min() == 0 and len(codes) <= DRAWS:
+        return sample(m, words, codes, key)
+    parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    order = np.argsort(group[codes], kind="stable")
+    cuts = np.concatenate([np.flatnonzero(np.diff(group[codes[order]], prepend=-2)), [len(codes)]]).astype(np.int64)
+    for a, z in zip(cuts[:-1], cuts[1:], strict=True):
+        for at in range(a, z, DRAWS):
+            own = order[at : min(z, at + DRAWS)]
+            if group[codes[own[0]]] < 0:
+                for i in own:
+                    ids = long_word(m, words[int(codes[i])].as_py(), key[i])
+                    parts.append((np.array([i]), ids.astype(np.int32), np.array([len(ids)])))
+                continue
+            distinct, new = np.unique(codes[own], return_inverse=True)
+            ids, n = sample(m, words.take(pa.array(distinct)), new, key[own])
+            parts.append((own, ids.astype(np.int32), n))
+    counts = np.zeros(len(codes), np.int64)
+    for own, _, n in parts:
+        counts[own] = n
+    heads, out = np.cumsum(counts) - counts, np.empty(int(counts.sum()), np.int32)
+    for own, ids, n in parts:
+        out[ragged(heads[own], n)] = ids
+    return out, counts
+
+
 def spaced_words(text: pa.Array) -> tuple[pa.Array, np.ndarray]:
     """The words of texts without nulls, each with the spaces before it but one (the last of a text may be
     spaces alone), and how many each text has; an empty text has none."""
@@ -248,7 +393,7 @@ def encode_block(model: Model, keys: pa.Array, text: pa.Array, seed: int) -> lis
     heads = np.cumsum(n) - n
     number = np.arange(int(n.sum())) - np.repeat(heads, n)
     key = mix64(np.repeat(mix64(row), n) ^ (number.astype(np.uint64) * BASE))
-    ids, counts = sample(model, coded.dictionary, np.asarray(coded.indices).astype(np.int64), key)
+    ids, counts = sampled(model, coded.dictionary, np.asarray(coded.indices).astype(np.int64), key)
     ends = np.concatenate([[0], np.cumsum(counts)])
     cuts = ends[np.concatenate([[0], np.cumsum(n)])]
     return [ids[a:z] for a, z in zip(cuts[:-1], cuts[1:], strict=True)]
