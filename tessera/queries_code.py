@@ -12,9 +12,9 @@ from pyspark.sql import functions as F
 from .functions import fixed, text
 from .functions.vectors import hashed_encoder
 from .operators import chunks, context, extract, lexical
-from .plans import index
+from .plans import index, search
 from .plugins import Plugins
-from .queries import _SORTED_STOPS, TERMS, listed, query, quoted, read
+from .queries import _BOOST, _SHARE, _SORTED_STOPS, TERMS, listed, query, quoted, read
 from .sources import config, store
 
 #: Source files: a widget for each part, and hooks, panels and contexts that widgets use, by remainders of its key.
@@ -177,6 +177,69 @@ def _store(spark: SparkSession, name: str) -> store.Store:
     return store.Store(spark, f"{store.shared_folder(spark)}/{name}-{uuid.uuid4().hex}")
 
 
+_KIND_BOOST = "CASE chunk_type WHEN 'HOOK' THEN 0.15 WHEN 'COMPONENT' THEN 0.10 WHEN 'FUNCTION' THEN 0.10 ELSE 0.0 END"
+_BOOSTED_CODE = f"greatest(-0.2, least(0.3, {_BOOST.split('+ CASE lang')[0]} + {_KIND_BOOST} - CASE WHEN {_SHARE} > 0.6 THEN 0.2 WHEN {_SHARE} > 0.3 THEN 0.08 ELSE 0.0 END))"
+_TERMS_OF = f"""q AS (SELECT item_id AS query_id, regexp_replace(text, '[^ -~]', ' ', 'g') AS query FROM benchmark),
+    ta AS (SELECT *, regexp_extract_all(query, {quoted(fixed.IDENTIFIER)}) AS found,
+        list_transform(list_filter({_WORDS.format(q="regexp_replace(query, '[^a-zA-Z0-9_]', ' ', 'g')")}, lambda w: NOT list_contains({_SORTED_STOPS}, lower(w)) AND length(w) > 2), lambda w: lower(w)) AS plain FROM q),
+    tb AS (SELECT query_id, list_concat(found, list_concat(flatten(list_transform(found, lambda x: string_split(lower(regexp_replace(x, '([a-z])([A-Z])', '\\1 \\2', 'g')), ' '))), list_concat(plain, flatten(list_transform(plain, lambda w: coalesce({_SYN}[w], [])))))) AS every FROM ta),
+    asked AS (SELECT DISTINCT query_id, unnest(list_transform(list_filter(every, lambda x, i: list_position(every, x) = i)[1:20], lambda x: lower(x))) AS term FROM tb)"""
+_SEARCHED = f"""{_TERMS_OF},
+    ch AS (SELECT 'd' || doc_id AS id, doc_id, text, source, CASE lang WHEN 'en' THEN 'HOOK' WHEN 'de' THEN 'COMPONENT' WHEN 'fr' THEN 'IMPORT_BLOCK' ELSE 'FUNCTION' END AS chunk_type, lang FROM documents),
+    tok AS (SELECT id, unnest({TERMS.format(c="text")}) AS term FROM ch), post AS (SELECT id, term, count(*) AS tf FROM tok GROUP BY ALL), len AS (SELECT id, count(*) AS doc_len FROM tok GROUP BY ALL),
+    size AS (SELECT count(*) AS n, avg(doc_len) AS mean FROM len), df AS (SELECT term, count(*) AS df FROM post GROUP BY ALL),
+    idf AS (SELECT term, CASE WHEN ln((n - df + 0.5) / (df + 0.5)) > 0 THEN ln((n - df + 0.5) / (df + 0.5)) ELSE 1e-6 END AS idf FROM df, size),
+    hits AS (SELECT query_id, id, round(sum(idf * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * doc_len / mean))), 6) AS bm25 FROM asked JOIN post USING (term) JOIN len USING (id) JOIN idf USING (term), size GROUP BY ALL),
+    pool AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY bm25 DESC, id) AS r FROM hits QUALIFY r <= 50),
+    sy AS (SELECT DISTINCT id, unnest(list_filter(regexp_split_to_array(text, '[^A-Za-z0-9]+'), lambda x: regexp_full_match(x, '[A-Z][a-zA-Z0-9]{{8,}}'))) AS name FROM ch),
+    sym AS (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY id) AS r FROM (SELECT DISTINCT query_id, id FROM (SELECT query_id, unnest(found) AS name FROM ta) JOIN sy USING (name)) QUALIFY r <= 20),
+    lex AS (SELECT query_id, id, max(score) AS score FROM (SELECT query_id, id, greatest(0.05, least(1.0, bm25 / max(bm25) OVER (PARTITION BY query_id))) AS score FROM pool UNION ALL SELECT query_id, id, 2.0 FROM sym) GROUP BY ALL),
+    v AS (SELECT 'd' || vec_id AS id, vec_id, embedding::DOUBLE[] AS e FROM embeddings), cv AS (SELECT id, e FROM v SEMI JOIN (SELECT id FROM ch WHERE chunk_type <> 'IMPORT_BLOCK') x USING (id)),
+    qv AS (SELECT query_id, e FROM q JOIN v ON vec_id = query_id),
+    near AS (SELECT query_id, cv.id, round(list_dot_product(qv.e, cv.e), 12) AS c, row_number() OVER (PARTITION BY query_id ORDER BY c DESC, cv.id) AS r FROM qv, cv QUALIFY r <= 50),
+    sem AS (SELECT query_id, id, max(score) AS score FROM (SELECT query_id, id, (c + 1) / 2 AS score FROM near UNION ALL SELECT query_id, id, (list_dot_product(qv.e, cv.e) + 1) / 2 FROM lex JOIN cv USING (id) JOIN qv USING (query_id)) GROUP BY ALL),
+    first AS (SELECT query_id, id, min(n) AS n FROM (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS n FROM lex QUALIFY n <= 5
+        UNION ALL SELECT query_id, id, r + 100 FROM sym WHERE r <= 5 UNION ALL SELECT query_id, id, r + 200 FROM near WHERE r <= 5) GROUP BY ALL),
+    seeds AS (SELECT query_id, id FROM first QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY n, id) <= 10),
+    ge AS (SELECT 'd' || doc_id AS a, 'd' || ((doc_id * 7 + 3) % 500) AS b, CASE doc_id % 3 WHEN 0 THEN 'RENDERS' WHEN 1 THEN 'IMPORTS' ELSE 'USES_HOOK' END AS kind, CASE doc_id % 3 WHEN 0 THEN 0.7 WHEN 1 THEN 1.0 ELSE 0.9 END AS weight FROM documents),
+    st AS (SELECT query_id, CASE WHEN query_id % 2 = 0 THEN b ELSE a END AS x, CASE WHEN query_id % 2 = 0 THEN a ELSE b END AS y, weight FROM q, ge WHERE a <> b AND (query_id % 3 > 0 OR kind = 'RENDERS')),
+    l0 AS (SELECT query_id, y AS id, max(weight) AS score FROM seeds JOIN st USING (query_id) WHERE x = id GROUP BY ALL),
+    l1 AS (SELECT query_id, y AS id, max(weight * 0.65) AS score FROM l0 JOIN st USING (query_id) WHERE x = id GROUP BY ALL),
+    gr AS (SELECT query_id, id, max(score) AS score FROM (SELECT * FROM l0 UNION ALL SELECT * FROM l1) GROUP BY ALL),
+    fu AS (SELECT query_id, id, coalesce(max(score) FILTER (k = 1), 0.0) AS lexical, coalesce(max(score) FILTER (k = 2), 0.0) AS semantic, coalesce(max(score) FILTER (k = 3), 0.0) AS graph
+        FROM (SELECT 1 AS k, query_id, id, score FROM lex UNION ALL SELECT 2, query_id, id, score FROM sem UNION ALL SELECT 3, query_id, id, score FROM gr) GROUP BY ALL)"""
+
+
+@query(f"""WITH {_SEARCHED}, s AS (SELECT fu.*, ch.*, {_BOOSTED_CODE} AS boost FROM fu JOIN ch USING (id)),
+    r AS (SELECT *, least(1.0, 0.4 * lexical + 0.3 * semantic + 0.3 * graph + boost) AS final, row_number() OVER (PARTITION BY query_id ORDER BY final DESC, id) AS rank FROM s QUALIFY rank <= 10)
+    SELECT query_id, rank, id AS chunk_id, concat('src/', source, '.ts') AS file_path, chunk_type, round_even(lexical, 4)::DOUBLE AS lexical, round_even(semantic, 4)::DOUBLE AS semantic, round_even(graph, 4)::DOUBLE AS graph, round_even(boost, 4)::DOUBLE AS boost, round_even(final, 4)::DOUBLE AS final FROM r""")
+def hybrid_search(spark, d):
+    """The engine's search over stored tables: documents as chunks, their long capital words as symbols, edges by their numbers, questions from benchmark texts with strategies of their own."""
+    s = _store(spark, "search")
+    docs = read(spark, d, "documents").withColumn("id", F.concat(F.lit("d"), "doc_id"))
+    kind = F.when(F.col("lang") == "en", "HOOK").when(F.col("lang") == "de", "COMPONENT").when(F.col("lang") == "fr", "IMPORT_BLOCK").otherwise("FUNCTION")
+    rows = store.spread(docs.select("id", "text", "source", "lang", "doc_id"))
+    v = read(spark, d, "embeddings").select(F.concat(F.lit("d"), "vec_id").alias("chunk_id"), "vec_id", F.col("embedding").cast("array<double>").alias("vector"))
+    names = F.filter(F.split("text", "[^A-Za-z0-9]+"), lambda x: x.rlike("^[A-Z][a-zA-Z0-9]{8,}$"))
+    new = {
+        "files": docs.select(F.col("source").alias("id"), F.concat(F.lit("src/"), "source", F.lit(".ts")).alias("path")).distinct(),
+        "chunks": rows.select("id", F.col("source").alias("file_id"), kind.alias("chunk_type"), "text"),
+        "postings": lexical.postings(rows.withColumnRenamed("id", "chunk_id"), "chunk_id", "text"),
+        "symbols": text.each(rows.withColumnRenamed("id", "chunk_id"), ["chunk_id"], F.array_distinct(names), "name"),
+        "embeddings": v.select("chunk_id", "vector"),
+    }
+    index.apply(s, docs.select("id").limit(0), new)
+    n = F.col("doc_id")
+    edges = docs.select(F.col("id").alias("from_id"), F.concat(F.lit("d"), (n * 7 + 3) % 500).alias("to_id"), F.when(n % 3 == 0, "RENDERS").when(n % 3 == 1, "IMPORTS").otherwise("USES_HOOK").alias("edge_type"), F.when(n % 3 == 0, 0.7).when(n % 3 == 1, 1.0).otherwise(0.9).alias("weight"), F.lit(None).cast("string").alias("metadata"))
+    s.write("graph_edges", edges.where("from_id <> to_id"))
+    asked = read(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.regexp_replace("text", "[^ -~]", " ").alias("expanded"))
+    i = F.col("query_id")
+    strategy = {"lexical_weight": F.lit(0.4), "semantic_weight": F.lit(0.3), "graph_weight": F.lit(0.3), "graph_depth": F.lit(2), "top_k": F.lit(10), "use_graph": F.lit(True), "reverse": i % 2 == 0, "edge_types": F.when(i % 3 == 0, F.array(F.lit("RENDERS"))).otherwise(F.array().cast("array<string>"))}
+    encode = lambda df, key, _: df.select(key).join(v.select(F.col("vec_id").alias(key), "vector"), key)
+    found = search.search(s, asked.withColumns(strategy), encode=encode, config=search.SearchConfig(stem=False))
+    return found.select("query_id", "rank", "chunk_id", "file_path", "chunk_type", "lexical", "semantic", "graph", "boost", "final")
+
+
 @query(f"""WITH d AS (SELECT doc_id, CASE WHEN doc_id % 7 = 1 THEN 'changed ' || text ELSE text END AS text FROM documents WHERE doc_id % 11 <> 0),
     t AS (SELECT doc_id, {TERMS.format(c="text")} AS terms FROM d), u AS (SELECT doc_id, len(terms) AS doc_len, unnest(terms) AS term FROM t)
     SELECT term, doc_id::VARCHAR AS chunk_id, count(*) AS tf, doc_len FROM u GROUP BY ALL""")
