@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 from tessera.functions.text import terms
 from tessera.operators import positions
 from tessera.queries import TERMS
+from tessera.sources.files import stream_path
 from tessera.sources.store import shared_folder
 
 from . import log, main, settings
@@ -32,12 +33,6 @@ from . import log, main, settings
 NAME = "search_index"
 
 
-def pattern(path: str) -> str:
-    """``path`` as a pattern that only it matches: a file stream takes a single file, too, by a pattern only."""
-    path = path.rstrip("/")
-    return path if set(path) & set("{}[]*?\\") else f"{path[:-1]}[{path[-1]}]"
-
-
 def write(df: DataFrame, path: str, *by: str) -> None:
     """Replaces the partitions that ``df`` has rows of, and no other."""
     df.write.partitionBy("segment", *by).mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(path)
@@ -66,7 +61,7 @@ def run(spark: SparkSession, documents: str, index: str, checkpoint: str, conf:
             done[k] += v
 
     schema = spark.read.parquet(documents).schema
-    new = spark.readStream.schema(schema).option("maxFilesPerTrigger", c["files_per_batch"]).parquet(pattern(documents))
+    new = spark.readStream.schema(schema).option("maxFilesPerTrigger", c["files_per_batch"]).parquet(stream_path(documents))
     stream = new.writeStream.foreachBatch(segment).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     stream.awaitTermination()
     log.info("read %s: %s", documents, done)

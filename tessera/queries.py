@@ -546,7 +546,7 @@ def stemmed_terms(spark, d):
     return post.groupBy("term").agg(F.count(F.lit(1)).alias("n_docs"), F.sum("tf").alias("n"))
 
 
-from . import queries_code  # noqa: E402, F401  registers more
+from . import queries_code, queries_stream  # noqa: E402, F401  register more
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -20,6 +20,12 @@ def _found(spark: SparkSession, root: str, extensions: list[str], excluded: list
     return kept.where(F.col("length") <= max_bytes) if max_bytes else kept
 
 
+def stream_path(path: str) -> str:
+    """``path`` as a pattern that only it matches: a file stream takes a single file, too, by a pattern only."""
+    path = path.rstrip("/")
+    return path if set(path) & set("{}[]*?\\") else f"{path[:-1]}[{path[-1]}]"
+
+
 def listing(spark: SparkSession, root: str, extensions: list[str] = fixed.EXTENSIONS, excluded: list[str] = fixed.EXCLUDED_DIRS, max_bytes: int | None = None) -> DataFrame:
     """id, path, size_bytes and modified_at of each source file; contents aren't read."""
     return _found(spark, root, extensions, excluded, max_bytes).select(F.sha1("rel").alias("id"), F.col("rel").alias("path"), F.col("length").alias("size_bytes"), F.col("modificationTime").alias("modified_at"))

@@ -11,6 +11,7 @@ from pyspark.sql.streaming.query import StreamingQuery
 
 from ..functions import fixed
 from ..sources import files
+from . import tree
 
 
 def accepted(stamps: list[float], last: float | None, seconds: float) -> tuple[list[bool], float | None]:
@@ -73,16 +74,17 @@ def throttle(events: DataFrame, key: str, ts: str, seconds: float = fixed.THROTT
 
 
 def follow(engine, root: str, checkpoint: str | None = None, seconds: float = fixed.THROTTLE_SECONDS, once: bool = False) -> StreamingQuery:
-    """Keeps the index of a project current: new, changed and deleted files. Every ``seconds`` (the throttle) a micro-batch
-    looks at names, sizes and times, and indexes if any differ from the known files; batches run one at a time. File sources of streams don't
-    report changes and deletions of files they have seen, so the tree is listed. ``once``: one batch, then the stream ends."""
+    """Keeps the index of a project current: a stream of new, changed and deleted files. Events of ``seconds`` (the throttle) are taken together, and the
+    project is indexed once for them; batches run one at a time. ``once``: what there is now, then the stream ends."""
 
-    def look(_, __) -> None:
-        if stale(engine, root):
+    def look(found: DataFrame, _: int) -> None:
+        if not found.isEmpty():
             engine.index(root)
 
-    ticks = engine.spark.readStream.format("rate").option("rowsPerSecond", 1).load()
-    w = ticks.writeStream.foreachBatch(look)
+    tree.register(engine.spark)
+    c = engine.config["indexer"]
+    seen = engine.spark.readStream.format("source_tree").option("extensions", ",".join(c["file_extensions"])).option("exclude", ",".join(c["exclude_dirs"])).load(root)
+    w = seen.writeStream.foreachBatch(look)
     w = w.trigger(availableNow=True) if once else w.trigger(processingTime=f"{seconds} seconds")
     if checkpoint:
         w = w.option("checkpointLocation", checkpoint)
