@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -104,11 +105,13 @@ ASKED = [
     "locate the oven timer hook", "give me an overview of the pantry and its flow", "which files affect the /week page", "what depends on usePantry", "there is a bug: the list never updates",
     "plain words only", "how can I integrate a dark theme", "why would WeekPlan re-render so often", "auth and routing in KitchenDoor", "implement a logout in the sidebar", "explain state and fetch in RecipeCard", "show me the definition of scalePortions",
 ]
-ASKED_SQL = "(VALUES " + ", ".join(f"({i}, {quoted(q)})" for i, q in enumerate(ASKED)) + ") q(query_id, query)"
+#: Each benchmark text's first words behind a question, by its number. Of ASCII only: engines differ in what ends a word elsewhere.
+ASKED_SQL = f"(SELECT item_id AS query_id, concat({listed(ASKED)}[(item_id % {len(ASKED)})::INT + 1], ' ', regexp_replace(substr(text, 1, 60), '[^ -~]', ' ', 'g')) AS query FROM benchmark) q"
 
 
-def _asked(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(list(enumerate(ASKED)), "query_id long, query string")
+def _asked(spark: SparkSession, d: str) -> DataFrame:
+    question = F.element_at(F.array(*[F.lit(q) for q in ASKED]), (F.col("item_id") % len(ASKED) + 1).cast("int"))
+    return read(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.concat(question, F.lit(" "), F.regexp_replace(F.substring("text", 1, 60), "[^ -~]", " ")).alias("query"))
 
 
 EXPANSION_ROWS = ", ".join(f"({quoted(k)}, {i}, {quoted(w)})" for k, ws in fixed.EXPANSIONS.items() for i, w in enumerate(ws))
@@ -123,7 +126,7 @@ EXPANSION_ROWS = ", ".join(f"({quoted(k)}, {i}, {quoted(w)})" for k, ws in fixed
     more AS (SELECT query_id, string_agg(w, ' ' ORDER BY o) AS s FROM once GROUP BY ALL)
     SELECT query_id::BIGINT AS query_id, query || coalesce(' ' || s, '') AS expanded FROM q LEFT JOIN more USING (query_id)""")
 def query_expand(spark, d):
-    return _asked(spark).select("query_id", text.expand(F.col("query")).alias("expanded"))
+    return _asked(spark, d).select("query_id", text.expand(F.col("query")).alias("expanded"))
 
 
 def _sum(parts) -> str:
@@ -139,7 +142,7 @@ _KW = {n: _sum(f"contains(lower(query), {quoted(k)})::INT" for k in s["keywords"
     best AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY CASE WHEN n > 0 THEN n WHEN intent = 'architecture' THEN 0.5 ELSE 0 END DESC, o) AS r FROM n)
     SELECT query_id::BIGINT AS query_id, intent, round_even(least(1.0, n / rules + least(0.4, kw * 0.15) + least(0.4, n * 0.2)), 3)::DOUBLE AS confidence, graph_depth, top_k FROM best WHERE r = 1""")
 def intent_route(spark, d):
-    return intent.route(_asked(spark)).select("query_id", "intent", "confidence", "graph_depth", "top_k")
+    return intent.route(_asked(spark, d)).select("query_id", "intent", "confidence", "graph_depth", "top_k")
 
 
 @query("""WITH p AS (SELECT q.vec_id AS query_id, v.vec_id, round(list_dot_product(q.embedding::DOUBLE[], v.embedding::DOUBLE[]), 12) AS c
@@ -404,11 +407,13 @@ CALLS = [
 ]
 
 
-@query("""SELECT * FROM (VALUES (1::BIGINT, 'GET', '/api/a', 'fetch', false), (3, 'GET', '/api/c', 'axios', false), (4, 'DELETE', '/api/d', 'axios', false),
-    (5, 'GET', '/api/e/${id}', 'fetch', false), (5, 'GET', '/api/e/*', 'fetch', true), (6, 'GET', '/api/f', 'useQuery', false), (7, 'GET', '/api/g/*', 'rtk', true)) t(chunk_id, method, endpoint, client_type, is_dynamic)""")
+@query("""SELECT p_partkey AS chunk_id, method, replace(endpoint, '#', p_partkey::VARCHAR) AS endpoint, client_type, is_dynamic FROM part JOIN (VALUES (1, 'GET', '/api/a#', 'fetch', false), (3, 'GET', '/api/c#', 'axios', false), (4, 'DELETE', '/api/d#', 'axios', false),
+    (5, 'GET', '/api/e#/${id}', 'fetch', false), (5, 'GET', '/api/e#/*', 'fetch', true), (6, 'GET', '/api/f', 'useQuery', false), (7, 'GET', '/api/g#/*', 'rtk', true)) t(k, method, endpoint, client_type, is_dynamic) ON k = p_partkey % 10""")
 def api_calls(spark, d):
-    """The pattern for fetch finds no call whose options end with a brace; so it is with rows 2 and 9."""
-    return extract.api_calls(spark.createDataFrame(CALLS, "chunk_id long, text string"))
+    """A call for each part, written one of nine ways, with its number. The pattern for fetch finds no call whose options end with a brace; so it is with ways 2 and 9."""
+    ways = F.create_map(*[x for k, t in CALLS for x in (F.lit(k), F.lit(re.sub(r"(/api/[a-eg])", r"\1#", t)))])
+    text = F.replace(F.try_element_at(ways, (F.col("p_partkey") % 10).cast("int")), F.lit("#"), F.col("p_partkey").cast("string"))
+    return extract.api_calls(read(spark, d, "part").select(F.col("p_partkey").alias("chunk_id"), text.alias("text")).where("text IS NOT NULL"))
 
 
 @query("SELECT doc_id, sha1(text) AS sha1, sha256(text) AS sha256, sha1(lang || ':' || doc_id || ':' || source) AS id, length(text) - length(replace(text, chr(10), '')) + 1 AS line_count FROM documents")

@@ -261,26 +261,24 @@ def merged_segments(spark, d):
     return s.read("postings")
 
 
-@query("SELECT concat('key ', r_regionkey) AS key, concat(r_name, ', again') AS value FROM region WHERE r_regionkey < 3 UNION ALL SELECT 'key 99', NULL")
+@query("SELECT concat('key ', c_custkey) AS key, concat(CASE WHEN c_custkey % 3 = 0 THEN 'again ' ELSE '' END, c_name) AS value FROM customer")
 def metadata_round_trip(spark, d):
-    """Values set twice and read back; a key that isn't there has none."""
-    s, rows = _store(spark, "metadata"), read(spark, d, "region").where("r_regionkey < 3").collect()
-    s.wipe()
-    for r in rows:
-        s.set_metadata(f"key {r.r_regionkey}", r.r_name)
-        s.set_metadata(f"key {r.r_regionkey}", f"{r.r_name}, again")
-    return spark.createDataFrame([(k, s.metadata(k)) for k in [*(f"key {r.r_regionkey}" for r in rows), "key 99"]], "key string, value string")
+    """A value for each customer, every third set twice, as stored."""
+    s, c = _store(spark, "metadata"), read(spark, d, "customer")
+    key = F.concat(F.lit("key "), "c_custkey").alias("key")
+    s.upsert("indexing_metadata", c.select(key, F.col("c_name").alias("value")))
+    s.upsert("indexing_metadata", c.where("c_custkey % 3 = 0").select(key, F.concat(F.lit("again "), "c_name").alias("value")))
+    return s.read("indexing_metadata")
 
 
-@query("SELECT concat('query ', r_regionkey) AS query_hash, concat('\"', r_name, '\"') AS result_json, (CASE WHEN r_regionkey < 2 THEN 2 - r_regionkey ELSE 0 END)::INT AS hit_count FROM region WHERE r_regionkey < 4")
+@query("SELECT concat('query ', c_custkey) AS query_hash, concat('\"', c_name, '\"') AS result_json, ((c_custkey % 2 = 0)::INT + (c_custkey % 5 = 0)::INT)::INT AS hit_count FROM customer WHERE c_custkey % 7 > 0")
 def cache_hits(spark, d):
-    """Results remembered, read (which counts) and evicted: the last region's has outlived its time."""
-    s, rows = _store(spark, "cache"), read(spark, d, "region").orderBy("r_regionkey").collect()
-    s.wipe()
-    for r in rows:
-        s.remember(f"query {r.r_regionkey}", r.r_name, 3600 if r.r_regionkey < 4 else -1)
-    for k in ("query 0", "query 0", "query 1", "query 4", "query 9"):
-        s.cached(k)
+    """A result remembered for each customer, read (which counts) for some, and evicted for every seventh, whose has outlived its time."""
+    s, c = _store(spark, "cache"), read(spark, d, "customer").withColumn("query_hash", F.concat(F.lit("query "), "c_custkey"))
+    result, now = F.concat(F.lit('"'), "c_name", F.lit('"')).alias("result_json"), F.current_timestamp().alias("created_at")
+    s.upsert("retrieval_cache", c.select("query_hash", result, now, F.lit(0).alias("hit_count"), F.when(F.col("c_custkey") % 7 == 0, -1).otherwise(3600).alias("ttl_seconds")))
+    for n in (2, 5):
+        s.hit(c.where(F.col("c_custkey") % n == 0).select("query_hash"))
     s.evict()
     return s.read("retrieval_cache").select("query_hash", "result_json", "hit_count")
 

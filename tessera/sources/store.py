@@ -238,9 +238,13 @@ class Store:
         row = live(cache.where(F.col("query_hash") == key), F.current_timestamp()).first()
         if row is None:
             return None
-        self.spark.createDataFrame([(key,)], "query_hash string").coalesce(1).write.parquet(f"{self.folder}/cache_hits/{uuid.uuid4().hex}")
+        self.hit(self.spark.createDataFrame([(key,)], "query_hash string").coalesce(1))
         return json.loads(row["result_json"])
 
+    def hit(self, keys: DataFrame) -> None:
+        """Counts a hit for each row of ``keys`` (query_hash)."""
+        keys.write.parquet(f"{self.folder}/cache_hits/{uuid.uuid4().hex}")
+
     def remember(self, key: str, value: object, ttl: int = fixed.CACHE_TTL_SECONDS) -> None:
         row = self.spark.createDataFrame([(key, json.dumps(value), 0, ttl)], "query_hash string, result_json string, hit_count int, ttl_seconds int")
         self.upsert("retrieval_cache", row.withColumn("created_at", F.current_timestamp()))
