@@ -31,14 +31,20 @@ def api_calls(chunks: DataFrame, key: str = "chunk_id", text: str = "text") -> D
     return first.select(key, "method", "endpoint", "c.client_type", "c.is_dynamic")
 
 
-def import_targets(files: DataFrame, imports: DataFrame) -> DataFrame:
-    """(from_id, to_id): relative specifiers joined to the importing file's folder, with the extensions and index files they may stand for."""
+def resolved_specifiers(files: DataFrame, imports: DataFrame) -> DataFrame:
+    """(file_id, specifier, to_id): relative specifiers joined to the importing file's folder, with the extensions and index files they may stand for."""
     parts = F.split(F.concat_ws("/", F.col("folder"), F.col("specifier")), "/")
     path = F.aggregate(parts, F.array().cast("array<string>"), lambda s, p: F.when(p.isin("", "."), s).when(p == "..", F.slice(s, 1, F.greatest(F.lit(0), F.size(s) - 1))).otherwise(F.concat(s, F.array(p))), lambda s: F.array_join(s, "/"))
-    own = imports.join(files.select(F.col("id").alias("file_id"), F.regexp_extract("path", "^(.*)/[^/]*$", 1).alias("folder")), "file_id").withColumn("base", path)
+    relative = imports.where(F.col("specifier").startswith("."))
+    own = relative.join(files.select(F.col("id").alias("file_id"), F.regexp_extract("path", "^(.*)/[^/]*$", 1).alias("folder")), "file_id").withColumn("base", path)
     ends = ["", *[f".{e}" for e in fixed.EXTENSIONS], *[f"/index.{e}" for e in fixed.EXTENSIONS]]
-    tried = own.select("file_id", "base", F.posexplode(F.array(*[F.concat("base", F.lit(e)) for e in ends])).alias("n", "path")).join(files.select("path", F.col("id").alias("to_id")), "path")
-    return tried.groupBy("file_id", "base").agg(F.min_by("to_id", "n").alias("to_id")).select(F.col("file_id").alias("from_id"), "to_id")
+    tried = own.select("file_id", "specifier", F.posexplode(F.array(*[F.concat("base", F.lit(e)) for e in ends])).alias("n", "path")).join(files.select("path", F.col("id").alias("to_id")), "path")
+    return tried.groupBy("file_id", "specifier").agg(F.min_by("to_id", "n").alias("to_id"))
+
+
+def import_targets(files: DataFrame, imports: DataFrame) -> DataFrame:
+    """(from_id, to_id) of imports (file_id, specifier)."""
+    return resolved_specifiers(files, imports).select(F.col("file_id").alias("from_id"), "to_id")
 
 
 def edges_and_routes(files: DataFrame, chunks: DataFrame, symbols: DataFrame, compat: bool = False, keep_state: bool | None = None) -> tuple[DataFrame, DataFrame]:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from .functions import fixed, text
 from .functions.vectors import hashed_encoder
-from .operators import chunks, context, extract, lexical
+from .operators import bindings, chunks, context, extract, lexical
 from .plans import index, search
 from .plugins import Plugins
 from .queries import _BOOST, _SHARE, _SORTED_STOPS, TERMS, listed, query, quoted, read
@@ -172,6 +172,36 @@ def evidence_blocks(spark, d):
     return rows.select("conv_id", "turn", block.alias("block"))
 
 
+#: Two declarations of one name, files that pass names on, and a file for each part that imports one way or another.
+_BOUND_FILES = """b AS (SELECT p_partkey AS k, concat('src/w', p_partkey, '.ts') AS path, concat(
+        CASE p_partkey % 6 WHEN 0 THEN 'import { helper } from ~./a/util~;' WHEN 1 THEN 'import { helper as h } from ~./b/util~;' WHEN 2 THEN 'import { given as helper } from ~./hub~;'
+            WHEN 3 THEN 'import begin, { other } from ~./all~;' WHEN 4 THEN 'import { helper } from ~lodash~;' ELSE 'import { View } from ~./star~;' END, chr(10), 'export function widget', p_partkey, '(x) {', chr(10), '  return ',
+        CASE p_partkey % 6 WHEN 0 THEN 'helper(x)' WHEN 1 THEN 'h(x)' WHEN 2 THEN 'helper(x) + inner(x)' WHEN 3 THEN 'begin(x) + other(x)' WHEN 4 THEN 'helper(x)' ELSE '<View x={x} />' END, ';', chr(10), '}', chr(10),
+        CASE p_partkey % 6 WHEN 2 THEN concat('function inner(y) {', chr(10), '  return y;', chr(10), '}', chr(10)) ELSE '' END) AS text FROM (SELECT p_partkey, p_partkey AS k FROM part)
+    UNION ALL SELECT -1, 'src/a/util.ts', concat('export function helper(a) {', chr(10), '  return a;', chr(10), '}', chr(10), 'export default function start(s) {', chr(10), '  return helper(s);', chr(10), '}', chr(10))
+    UNION ALL SELECT -2, 'src/b/util.ts', concat('function helper(b) {', chr(10), '  return b;', chr(10), '}', chr(10), 'export { helper, helper as given };', chr(10))
+    UNION ALL SELECT -3, 'src/hub/index.ts', concat('export { given } from ~../b/util~;', chr(10))
+    UNION ALL SELECT -4, 'src/all.ts', concat('export { default } from ~./a/util~;', chr(10), 'export { given as other } from ~./hub~;', chr(10))
+    UNION ALL SELECT -5, 'src/star.ts', concat('export * from ~./views~;', chr(10), 'export * from ~./a/util~;', chr(10))
+    UNION ALL SELECT -6, 'src/views/index.tsx', concat('export const View = ({ x }) => {', chr(10), '  return <b>{x}</b>;', chr(10), '};', chr(10)))""".replace("~", '"')
+
+
+@query("""SELECT concat('src/w', p_partkey, '.ts') AS from_path, concat('widget', p_partkey) AS from_name, t.to_path, t.to_name, t.edge_type FROM part JOIN (VALUES (0, 'src/a/util.ts', 'helper', 'CALLS'), (1, 'src/b/util.ts', 'helper', 'CALLS'),
+    (2, 'src/b/util.ts', 'helper', 'CALLS'), (2, NULL, 'inner', 'CALLS'), (3, 'src/a/util.ts', 'start', 'CALLS'), (3, 'src/b/util.ts', 'helper', 'CALLS'), (5, 'src/views/index.tsx', 'View', 'RENDERS')) t(m, to_path, to_name, edge_type) ON m = p_partkey % 6
+    WHERE t.to_path IS NOT NULL UNION ALL SELECT concat('src/w', p_partkey, '.ts'), concat('widget', p_partkey), concat('src/w', p_partkey, '.ts'), 'inner', 'CALLS' FROM part WHERE p_partkey % 6 = 2
+    UNION ALL SELECT 'src/a/util.ts', 'start', 'src/a/util.ts', 'helper', 'CALLS'""")
+def bound_edges(spark, d):
+    """Calls and tags that lead to the declaration that a file imports: by name, under another name, through one or two files that pass it on, by all of a file's names, or its own."""
+    read(spark, d, "part").createOrReplaceTempView("tessera_part")
+    files = store.cut(spark.sql(f"WITH {_BOUND_FILES.replace('FROM part', 'FROM tessera_part')} SELECT sha1(path) AS id, path, text FROM b").repartition(spark.sparkContext.defaultParallelism, "id"))
+    parts = store.cut(chunks.stored(chunks.declared(files).withColumn("shard_index", F.lit(None).cast("int"))))
+    labels = parts.join(files.select(F.col("id").alias("file_id"), "path"), "file_id").select("id", "path", "name")
+    out = bindings.edges(files, parts)
+    for side in ("from", "to"):
+        out = out.join(labels.select(F.col("id").alias(f"{side}_id"), F.col("path").alias(f"{side}_path"), F.col("name").alias(f"{side}_name")), f"{side}_id")
+    return out.select("from_path", "from_name", "to_path", "to_name", "edge_type")
+
+
 def _store(spark: SparkSession, name: str) -> store.Store:
     """A store of this call's own in the shared folder."""
     return store.Store(spark, f"{store.shared_folder(spark)}/{name}-{uuid.uuid4().hex}")
