@@ -89,6 +89,46 @@ def distances(edges: DataFrame, seeds: DataFrame, depth: int = 5) -> DataFrame:
     return every
 
 
+def impact(edges: DataFrame, seeds: DataFrame, depth: int, reverse: bool = True, edge_types: list[str] | None = None) -> DataFrame:
+    """(seed, node, distance, path, kinds): what each seed (node) reaches, or with ``reverse`` what depends on it, by a shortest path of ``depth`` edges
+    at most; of equal ones the least. No node is entered twice by a seed, so cycles end."""
+    if edge_types:
+        edges = edges.where(F.col("edge_type").isin(edge_types))
+    a, b = ("to_id", "from_id") if reverse else ("from_id", "to_id")
+    at = cut(seeds.select(F.col("node").alias("seed"), "node", F.lit(0).alias("distance"), F.array("node").alias("path"), F.array().cast("array<string>").alias("kinds")).distinct())
+    steps, every = by_start(edges.select(F.col(a).alias("node"), F.col(b).alias("next"), "edge_type")), at
+    for level in range(1, depth + 1):
+        way = F.struct(F.concat("path", F.array("next")).alias("path"), F.concat("kinds", F.array("edge_type")).alias("kinds"))
+        least = at.join(steps, "node").groupBy("seed", "next").agg(F.min(way).alias("w"))
+        at = cut(least.select("seed", F.col("next").alias("node"), F.lit(level).alias("distance"), "w.path", "w.kinds").join(every.select("seed", "node"), ["seed", "node"], "left_anti"))
+        every = every.unionByName(at)
+    steps.unpersist()
+    return every.where("distance > 0")
+
+
+def between(edges: DataFrame, pairs: DataFrame, depth: int) -> DataFrame:
+    """(a, b, distance): the least number of edges from a to b of each pair, ``depth`` at most. Searches from both ends take turns, and a pair whose ends
+    have met is left out, so each side walks half of the way."""
+    open_ = cut(pairs.select("a", "b").distinct())
+    ends = {"a": open_.select("a", "b", F.col("a").alias("node"), F.lit(0).alias("n")), "b": open_.select("a", "b", F.col("b").alias("node"), F.lit(0).alias("n"))}
+    new, far, found = dict(ends), {"a": 0, "b": 0}, open_.where("a = b").select("a", "b", F.lit(0).alias("distance"))
+    steps = {s: by_start(edges.select(F.col(x).alias("node"), F.col(y).alias("next")).distinct()) for s, x, y in (("a", "from_id", "to_id"), ("b", "to_id", "from_id"))}
+    open_ = open_.where("a <> b")
+    for level in range(depth):
+        s, other = ("a", "b") if level % 2 == 0 else ("b", "a")
+        far[s] += 1
+        step = new[s].join(open_, ["a", "b"], "left_semi").join(steps[s], "node").select("a", "b", F.col("next").alias("node")).distinct()
+        new[s] = cut(step.join(ends[s].select("a", "b", "node"), ["a", "b", "node"], "left_anti").withColumn("n", F.lit(far[s])))
+        ends[s] = ends[s].unionByName(new[s])
+        met = cut(new[s].join(ends[other].withColumnRenamed("n", "m"), ["a", "b", "node"]).groupBy("a", "b").agg(F.min(F.col("n") + F.col("m")).cast("int").alias("distance")))
+        found, open_ = found.unionByName(met), cut(open_.join(met, ["a", "b"], "left_anti"))
+        if open_.isEmpty():
+            break
+    for x in steps.values():
+        x.unpersist()
+    return found
+
+
 def export(edges: DataFrame, nodes: DataFrame, most: int = fixed.GRAPH_EDGES) -> tuple[DataFrame, DataFrame]:
     """The first edges, and labels of their ends: a chunk's name, else its type."""
     some = edges.orderBy("from_id", "to_id", "edge_type").limit(most)

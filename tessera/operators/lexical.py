@@ -100,3 +100,28 @@ def by_prefix(post: DataFrame, prefix: str) -> DataFrame:
 def fuzzy(post: DataFrame, word: str, distance: int = 1) -> DataFrame:
     """Terms at most ``distance`` edits away."""
     return post.where(F.abs(F.length("term") - len(word)) <= distance).where(F.levenshtein("term", F.lit(word)) <= distance)
+
+
+def deletions(word: Column, distance: int, prefix: int = 7) -> Column:
+    """The beginning of a word, and what is left of it when up to ``distance`` of its characters go, each once."""
+    begin = F.substring(word, 1, prefix)
+    without = lambda x: F.transform(F.sequence(F.lit(1), F.length(x)), lambda i: F.concat(F.substring(x, F.lit(1), i - 1), F.substring(x, i + 1, F.length(x))))
+    level = every = F.array(begin)
+    for _ in range(distance):
+        level = F.array_distinct(F.flatten(F.transform(level, lambda x: F.when(F.length(x) > 0, without(x)).otherwise(F.array().cast("array<string>")))))
+        every = F.concat(every, level)
+    return F.array_distinct(every)
+
+
+def similar(words: DataFrame, vocabulary: DataFrame, distance: int = 2, word: str = "word", term: str = "term") -> DataFrame:
+    """(word, term, distance): for each of many words the terms of a vocabulary (each once) that are at most so many edits away. Two such words have
+    a beginning with some characters gone in common, so these are joined by key, and edits are counted of what meets only."""
+    mine = words.select(word).distinct().select(word, F.explode(deletions(F.col(word), distance)).alias("_d"))
+    theirs = vocabulary.select(term).select(term, F.explode(deletions(F.col(term), distance)).alias("_d"))
+    met = mine.join(theirs, "_d").where(F.abs(F.length(word) - F.length(term)) <= distance).select(word, term).distinct()
+    return met.withColumn("distance", F.levenshtein(word, term)).where(F.col("distance") <= distance)
+
+
+def sounding_alike(words: DataFrame, vocabulary: DataFrame, word: str = "word", term: str = "term") -> DataFrame:
+    """(word, term): other terms with a word's phonetic key, of the same first letter."""
+    return words.select(word).distinct().withColumn("_s", F.soundex(word)).join(vocabulary.select(term, F.soundex(term).alias("_s")), "_s").where(F.col(word) != F.col(term)).select(word, term)

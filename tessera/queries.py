@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import fixed, text, vectors
-from .operators import chunks, context, extract, fusion, graph, intent, lexical, positions, semantic
+from .operators import chunks, context, extract, fusion, graph, intent, lexical, neural, positions, semantic
 from .sources import files, store
 from .streaming import watch
 
@@ -266,6 +266,27 @@ def shortest_distance(spark, d):
     return graph.distances(edges(spark, d), _seeds(spark, d, "customer", "c_custkey", "C"), 3).select("node", "distance")
 
 
+def _step(n: int) -> str:
+    return f"""p{n} AS (SELECT seed, next AS node, min(list_append(path, next)) AS path FROM (SELECT seed, path, from_id AS next FROM p{n - 1} JOIN e ON to_id = node) WHERE (seed, next) NOT IN (SELECT seed, node FROM {" UNION ALL SELECT seed, node FROM ".join(f"p{i}" for i in range(n))}) GROUP BY ALL)"""
+
+
+@query(f"""WITH {EDGES}, p0 AS (SELECT 'S' || s_suppkey AS seed, seed AS node, [seed] AS path FROM supplier WHERE s_suppkey % 20 = 0), {_step(1)}, {_step(2)}, {_step(3)}
+    SELECT seed, node, distance, array_to_string(path, '>') AS path, kinds FROM (SELECT *, 1 AS distance, 'SUPPLIED' AS kinds FROM p1 UNION ALL SELECT *, 2, 'SUPPLIED>CONTAINS' FROM p2 UNION ALL SELECT *, 3, 'SUPPLIED>CONTAINS>PLACED' FROM p3)""")
+def impact_report(spark, d):
+    """What depends on some suppliers, with the way to each: parts, orders, customers."""
+    found = graph.impact(edges(spark, d), _seeds(spark, d, "supplier", "s_suppkey", "S"), 3)
+    return found.select("seed", "node", "distance", F.array_join("path", ">").alias("path"), F.array_join("kinds", ">").alias("kinds"))
+
+
+@query(f"""WITH {EDGES}, q AS (SELECT 'C' || c_custkey AS a, 'S' || s_suppkey AS b FROM customer JOIN supplier ON c_custkey % 50 = s_suppkey % 50 WHERE c_custkey % 5 = 0)
+    SELECT a, b, 3 AS distance FROM q JOIN e x ON x.from_id = a JOIN e y ON y.from_id = x.to_id JOIN e z ON z.from_id = y.to_id AND z.to_id = b GROUP BY ALL""")
+def meeting_distance(spark, d):
+    """How far some customers are from some suppliers, by searches from both ends."""
+    c, s = read(spark, d, "customer").where("c_custkey % 5 = 0"), read(spark, d, "supplier")
+    pairs = c.join(s, F.col("c_custkey") % 50 == F.col("s_suppkey") % 50).select(F.concat(F.lit("C"), "c_custkey").alias("a"), F.concat(F.lit("S"), "s_suppkey").alias("b"))
+    return graph.between(edges(spark, d), pairs, 3)
+
+
 @query(f"WITH {EDGES} SELECT edge_type, count(*) AS n FROM e GROUP BY ALL")
 def edge_type_counts(spark, d):
     return edges(spark, d).groupBy("edge_type").agg(F.count(F.lit(1)).alias("n"))
@@ -482,6 +503,52 @@ def fuzzy_terms(spark, d):
     return lexical.fuzzy(lexical.postings(texts(spark, d), "doc_id", "text"), "there").select("term").distinct()
 
 
+@query(f"""WITH v AS (SELECT DISTINCT unnest({TERMS.format(c='text')}) AS term FROM documents), w AS (SELECT DISTINCT word FROM (SELECT unnest({TERMS.format(c='text')}) AS word FROM benchmark) WHERE length(word) >= 5)
+    SELECT word, term, levenshtein(word, term)::INT AS distance FROM w JOIN v ON abs(length(word) - length(term)) <= 2 AND levenshtein(word, term) <= 2""")
+def similar_terms(spark, d):
+    """Terms at most two edits from the benchmark's words of five letters and more, all words at once."""
+    words = read(spark, d, "benchmark").select(F.explode(text.terms(F.col("text"))).alias("word")).where(F.length("word") >= 5)
+    return lexical.similar(words, text.each(texts(spark, d), [], text.terms(F.col("text")), "term").distinct())
+
+
+_NUMBER = "(length({t}) * 31 + ascii({t}) * 7 + ascii(substr({t}, length({t}), 1))) % 500"
+
+
+def _token_table(spark: SparkSession, d: str):
+    """The first 500 embeddings as vectors of tokens."""
+    rows = read(spark, d, "embeddings").where("vec_id < 500").orderBy("vec_id").collect()
+    return neural.sent(spark, semantic.np.array([r.embedding for r in rows], float))
+
+
+@query(f"""WITH t AS (SELECT doc_id, unnest({TERMS.format(c='text')}) AS t FROM documents), n AS (SELECT doc_id, {_NUMBER.format(t='t')} AS i, count(*) AS c FROM t GROUP BY ALL),
+    s AS (SELECT doc_id, u.j, sum(c * u.x) AS x FROM (SELECT doc_id, c, unnest(list_zip(range(64), embedding::DOUBLE[])) AS z FROM n JOIN embeddings ON vec_id = i) r, LATERAL (SELECT r.z[1] AS j, r.z[2] AS x) u GROUP BY ALL),
+    l AS (SELECT *, sqrt(sum(x * x) OVER (PARTITION BY doc_id)) AS norm FROM s)
+    SELECT documents.doc_id, coalesce(round(max(x / norm) FILTER (j = 0), 6), 0.0) AS v0, coalesce(round(max(x / norm) FILTER (j = 63), 6), 0.0) AS v63, coalesce(round(max(x / norm), 6), 0.0) AS largest, coalesce(round(min(x / norm), 6), 0.0) AS least
+    FROM documents LEFT JOIN l USING (doc_id) GROUP BY ALL""")
+def pooled_vectors(spark, d):
+    """Vectors of documents by pooling the vectors of their tokens."""
+    v = F.col("vector")
+    found = neural.pooled(texts(spark, d), "doc_id", neural.token_numbers(F.col("text"), 500), _token_table(spark, d))
+    value = lambda c: (F.round(c, 6) + 0.0)
+    return found.select("doc_id", value(F.get(v, 0)).alias("v0"), value(F.get(v, 63)).alias("v63"), value(F.array_max(v)).alias("largest"), value(F.array_min(v)).alias("least"))
+
+
+@query(f"""WITH {BY_ITEM}, {BM25}, best AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY bm25 DESC, doc_id) AS r FROM hits QUALIFY r <= 10),
+    a AS (SELECT DISTINCT item_id AS query_id, {_NUMBER.format(t='t')} AS i FROM (SELECT item_id, unnest({TERMS.format(c='text')}) AS t FROM benchmark)),
+    c AS (SELECT DISTINCT doc_id, {_NUMBER.format(t='term')} AS i FROM post SEMI JOIN best USING (doc_id)),
+    m AS (SELECT query_id, doc_id, a.i, max(list_dot_product(x.embedding::DOUBLE[], y.embedding::DOUBLE[])) AS s FROM best JOIN a USING (query_id) JOIN c USING (doc_id) JOIN embeddings x ON x.vec_id = a.i JOIN embeddings y ON y.vec_id = c.i GROUP BY ALL),
+    s AS (SELECT query_id, doc_id, round(sum(s), 6) AS score FROM m GROUP BY ALL)
+    SELECT query_id, doc_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM s""")
+def late_rerank(spark, d):
+    """The ten best documents by BM25 in the order of late interaction: for each token of the question the nearest token of the document."""
+    hits = lexical.top(_hits(spark, d, _items(spark, d)), ["query_id"], "bm25", "doc_id", 10).select("query_id", "doc_id")
+    numbers = lambda c: F.array_distinct(neural.token_numbers(F.col(c), 500))
+    asked = read(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), numbers("text").alias("asked"))
+    pairs = hits.join(read(spark, d, "documents").select("doc_id", numbers("text").alias("tokens")), "doc_id").join(asked, "query_id")
+    scored = neural.late_interaction(pairs, "query_id", "doc_id", _token_table(spark, d)).withColumn("score", F.round("score", 6))
+    return lexical.top(scored, ["query_id"], "score", "doc_id", 10)
+
+
 @query("""WITH l AS (SELECT doc_id, string_split(text, chr(10)) AS lines FROM documents), w AS (SELECT doc_id, lines, unnest(range(1, greatest(2, len(lines) + 1), 30)) AS start_line FROM l)
     SELECT doc_id, start_line::INT AS start_line, array_to_string(lines[start_line : start_line + 39], chr(10)) AS text FROM w""")
 def line_windows(spark, d):
