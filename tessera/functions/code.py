@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 _SKIP = re.compile(r"(?:\s+|//[^\n]*|/\*.*?(?:\*/|\Z))+", re.S)
 _WORD = re.compile(r"[\w$@#]+")
-_STRING = {q: re.compile(rf"{q}(?:\\.|[^\\\n{q}])*(?:{q}|$|(?=\n))", re.S) for q in "'\""}
+_STRING = {q: re.compile(rf"{q}(?:\\.|[^\\\n{q}])*(?:{q}|\\?\Z|(?=\n))", re.S) for q in "'\""}
 _REGEX = re.compile(r"/(?![*/])(?:\\[^\n]|\[(?:\\[^\n]|[^\]\\\n])*\]|[^/\\\[\n])+/\w*")
 _TEMPLATE = re.compile(r"(?:\\.|\$(?!\{)|[^\\`$])*", re.S)
 _TEXT = re.compile(r"[^<{]*")

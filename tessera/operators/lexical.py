@@ -74,6 +74,89 @@ def bm25(asked: DataFrame, post: DataFrame, size: DataFrame, query: str, key: st
     return asked.join(weights, "term").groupBy(query, key).agg(F.sum("part").alias("bm25"))
 
 
+def best(asked: DataFrame, post: DataFrame, size: DataFrame, query: str, key: str, k: int, most: int = 200_000) -> DataFrame:
+    """(query, key, bm25, rank): the k best documents of each query, scores rounded to six places, ties by the least key.
+
+    Up to ``most`` asked terms (and queries) are sent to the tasks; documents are dealt out once, each with its parts of asked terms, and a task adds the parts
+    of some documents up for all queries at once, in a matrix, and keeps k of each query. So pairs of queries and documents are never rows. More
+    asked terms are joined by term."""
+    n = asked.count()
+    if n > most:
+        return top(bm25(asked, post, size, query, key).withColumn("bm25", F.round("bm25", 6)), [query], "bm25", key, k)
+    import numpy as np
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    spark = post.sparkSession
+    rows = asked.select(query, "term").distinct().collect()  # ``most`` at most
+    names, terms_ = sorted({r[0] for r in rows}), sorted({r[1] for r in rows})
+    at = {q: i for i, q in enumerate(names)}
+    by_term: list[list[int]] = [[] for _ in terms_]
+    place = {t: i for i, t in enumerate(terms_)}
+    for q, t in rows:
+        by_term[place[t]].append(at[q])
+    width = np.array([len(x) for x in by_term], np.int64)
+    sent = spark.sparkContext.broadcast((names, pa.array(terms_, pa.string()), width, np.array([q for x in by_term for q in x], np.int64)))
+    kinds = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}
+    qkind, kind = asked.schema[query].dataType.simpleString(), post.schema[key].dataType.simpleString()
+
+    def run(batches):
+        names, vocabulary, width, queries = sent.value
+        first, held = np.cumsum(width) - width, None  # the best so far: query, score, key
+
+        def keep(q, score, keys):
+            nonlocal held
+            if held:
+                q, score, keys = np.concatenate([held[0], q]), np.concatenate([held[1], score]), pa.concat_arrays([held[2], keys])
+            tie = np.empty(len(keys), np.int64)
+            tie[np.asarray(pc.sort_indices(keys))] = np.arange(len(keys))
+            order = np.lexsort((tie, -score, q))
+            order = order[np.arange(len(order)) - np.searchsorted(q[order], q[order]) < k]
+            held = q[order], score[order], keys.take(pa.array(order))
+
+        def add(t: pa.Table):
+            """Whole documents: their parts for all queries, some documents at once."""
+            coded = pc.run_end_encode(t[key].combine_chunks())
+            ends, keys = np.asarray(coded.run_ends).astype(np.int64), coded.values
+            term = np.asarray(pc.index_in(t["term"], vocabulary).combine_chunks())
+            part, some = np.asarray(t["part"]), max(1, (1 << 21) // max(1, len(names)))
+            for a in range(0, len(ends), some):
+                z = min(len(ends), a + some)
+                low, high = (int(ends[a - 1]) if a else 0), int(ends[z - 1])
+                own, doc = term[low:high], np.searchsorted(ends, np.arange(low, high), "right") - a
+                n = width[own]
+                inner = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n) + np.repeat(first[own], n)
+                cell = np.repeat(doc, n) * len(names) + queries[inner]
+                score = np.round(np.bincount(cell, np.repeat(part[low:high], n), (z - a) * len(names)), 6).reshape(z - a, -1)
+                met = np.bincount(cell, minlength=(z - a) * len(names)).reshape(z - a, -1) > 0
+                score[~met] = -np.inf
+                least = np.partition(score, -k, axis=0)[-k] if z - a > k else np.full(len(names), -np.inf)
+                i, q = np.nonzero(met & (score >= least))
+                if len(i):
+                    keep(q, score[i, q], keys.take(pa.array(a + i)))
+
+        rest = None
+        for b in batches:
+            t = pa.Table.from_batches([b])
+            t = pa.concat_tables([rest, t]) if rest is not None else t
+            last = t[key][t.num_rows - 1]
+            whole = pc.index(t[key], last).as_py()  # the last document may go on in the next batch
+            if whole:
+                add(t.slice(0, whole))
+            rest = t.slice(whole)
+        if rest is not None and rest.num_rows:
+            add(rest)
+        if held:
+            yield pa.record_batch([pa.array([names[i] for i in held[0]], kinds[qkind]), held[2], pa.array(held[1])], [query, key, "bm25"])
+
+    wanted = post.join(F.broadcast(asked.select("term").distinct()), "term", "left_semi")
+    df = wanted.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    rated = wanted.join(F.broadcast(df), "term").crossJoin(F.broadcast(size))  # a row for each asked term; one row
+    part = bm25_part(F.col("tf"), F.col("df"), F.col("n_docs"), F.col("doc_len"), F.col("avg_len"))
+    dealt = rated.where(F.col(key).isNotNull()).select("term", key, part.alias("part")).repartition(key).sortWithinPartitions(key)
+    return top(dealt.mapInArrow(run, f"{query} {qkind}, {key} {kind}, bm25 double"), [query], "bm25", key, k)
+
+
 def normalised(hits: DataFrame, query: str, score: str = "bm25", compat: bool = False) -> DataFrame:
     """Adds lexical, in [0.05, 1]: the share of the query's best score; with ``compat`` the other way round, from 0.2 for the best."""
     best = F.max(score).over(Window.partitionBy(query))

@@ -57,10 +57,9 @@ BM25 = f"""
 BY_ITEM = f"asked AS (SELECT DISTINCT item_id AS query_id, unnest({TERMS.format(c='text')}) AS term FROM benchmark)"
 
 
-def _hits(spark: SparkSession, d: str, asked: DataFrame) -> DataFrame:
+def _hits(spark: SparkSession, d: str, asked: DataFrame, k: int) -> DataFrame:
     post, size = lexical.asked_postings(texts(spark, d), "doc_id", "text", asked)
-    found = lexical.bm25(asked, post, size, "query_id", "doc_id")
-    return found.withColumn("bm25", F.round("bm25", 6))
+    return lexical.best(asked, post, size, "query_id", "doc_id", k)
 
 
 def _items(spark: SparkSession, d: str) -> DataFrame:
@@ -69,14 +68,14 @@ def _items(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"WITH {BY_ITEM}, {BM25} SELECT query_id, doc_id, bm25, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY bm25 DESC, doc_id) AS rank FROM hits) WHERE rank <= 10")
 def bm25_topk(spark, d):
-    return lexical.top(_hits(spark, d, _items(spark, d)), ["query_id"], "bm25", "doc_id", 10)
+    return _hits(spark, d, _items(spark, d), 10)
 
 
 @query(f"""WITH {BY_ITEM}, {BM25}, pool AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY bm25 DESC, doc_id) AS rank FROM hits) WHERE rank <= 50)
     SELECT query_id, doc_id, bm25, rank, round(greatest(0.05, least(1.0, bm25 / max(bm25) OVER (PARTITION BY query_id))), 6) AS lexical,
            round(greatest(0.05, least(1.0, 1 - bm25 / (max(bm25) OVER (PARTITION BY query_id) + 1e-9) * 0.8)), 6) AS inverted FROM pool""")
 def bm25_normalized(spark, d):
-    pool = lexical.top(_hits(spark, d, _items(spark, d)), ["query_id"], "bm25", "doc_id", fixed.POOL)
+    pool = _hits(spark, d, _items(spark, d), fixed.POOL)
     both = lexical.normalised(lexical.normalised(pool, "query_id", compat=True).withColumnRenamed("lexical", "inverted"), "query_id")
     return both.select("query_id", "doc_id", "bm25", "rank", F.round("lexical", 6).alias("lexical"), F.round("inverted", 6).alias("inverted"))
 
@@ -355,7 +354,7 @@ def hybrid_topk(spark, d):
     items = read(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
     bare = F.filter(F.split("query", "[^a-zA-Z0-9]+"), lambda w: (w != "") & ~F.lower(w).isin(fixed.STOP_WORDS) & (F.length(w) > 2))
     asked = items.select("query_id", F.explode(F.slice(F.array_distinct(F.transform(bare, F.lower)), 1, fixed.TERMS)).alias("term"))
-    lex = lexical.normalised(lexical.top(_hits(spark, d, asked), ["query_id"], "bm25", "doc_id", fixed.POOL), "query_id").select("query_id", "doc_id", F.col("lexical").alias("score"))
+    lex = lexical.normalised(_hits(spark, d, asked, fixed.POOL), "query_id").select("query_id", "doc_id", F.col("lexical").alias("score"))
     v = read(spark, d, "embeddings").select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("vector"))
     qv = v.withColumnRenamed("doc_id", "query_id").join(items.select("query_id"), "query_id", "left_semi")
     sem = semantic.search(qv, v, fixed.POOL, key="doc_id").select("query_id", "doc_id", semantic.shifted(F.col("cosine")).alias("score"))
@@ -541,7 +540,7 @@ def pooled_vectors(spark, d):
     SELECT query_id, doc_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM s""")
 def late_rerank(spark, d):
     """The ten best documents by BM25 in the order of late interaction: for each token of the question the nearest token of the document."""
-    hits = lexical.top(_hits(spark, d, _items(spark, d)), ["query_id"], "bm25", "doc_id", 10).select("query_id", "doc_id")
+    hits = _hits(spark, d, _items(spark, d), 10).select("query_id", "doc_id")
     numbers = lambda c: F.array_distinct(neural.token_numbers(F.col(c), 500))
     asked = read(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), numbers("text").alias("asked"))
     pairs = hits.join(read(spark, d, "documents").select("doc_id", numbers("text").alias("tokens")), "doc_id").join(asked, "query_id")
