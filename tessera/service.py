@@ -36,7 +36,7 @@ class Service:
 
     def index(self, project_root: str, force_reindex: bool = False) -> dict:
         if "://" not in project_root and not os.path.exists(project_root):
-            raise Problem(422, f"Path does not exist: {project_root}")
+            raise Problem(422, f"there is no folder {project_root}")
         return {"status": "indexed", "stats": self.engine.index(project_root, force_reindex), "project_id": self.engine.registry.project_id(project_root)}
 
     def query(self, project_root: str, query: str, top_k: int = 10) -> dict:
@@ -57,7 +57,7 @@ class Service:
 
     def delete(self, project_root: str) -> dict:
         if not self.engine.delete(project_root):
-            raise Problem(404, "Project not found in registry")
+            raise Problem(404, "no such project")
         return {"status": "deleted", "project_root": project_root}
 
     def graph(self, project_root: str, depth: int = 2) -> dict:
