@@ -51,7 +51,7 @@ def run(spark: SparkSession, documents: str, questions: str, output: str, conf:
     rows = packed.select("question_id", "rank", "id", "bm25", "lexical", "tokens", "used", "packed", "language")
     rows.hint("rebalance", "language").write.partitionBy("language").mode("overwrite").parquet(f"{output}/evidence")
 
-    made = spark.read.parquet(f"{output}/evidence")
+    made = spark.read.schema(rows.schema).parquet(f"{output}/evidence")
     blocks = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "used", "packed"))), lambda x: F.concat(F.lit("["), x["rank"].cast("string"), F.lit("] "), x["packed"], F.lit("\n"))), "")
     bodies = made.groupBy("question_id").agg(blocks.alias("body"))  # within the budget
     prompt = F.concat(F.lit("User question:\n"), "question", F.lit("\n\nEvidence:\n"), F.coalesce("body", F.lit("")), F.lit(fixed.INSTRUCTION))

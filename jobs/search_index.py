@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -38,6 +39,16 @@ def write(df: DataFrame, path: str, *by: str) -> None:
     df.write.partitionBy("segment", *by).mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(path)
 
 
+def written(spark: SparkSession, path: str) -> int:
+    """Rows of a partition, by its files' footers; it isn't there if it has none."""
+    try:
+        return spark.read.parquet(path).count()
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return 0
+
+
 def run(spark: SparkSession, documents: str, index: str, checkpoint: str, conf: dict | None = None) -> dict:
     """Takes new files of ``documents`` into the index. What it did: batches, rows, rows without an id, postings."""
     c = conf or settings(NAME)
@@ -55,7 +66,7 @@ def run(spark: SparkSession, documents: str, index: str, checkpoint: str, conf:
         write(placed.hint("rebalance", "bucket").sortWithinPartitions("bucket", "term", "id"), f"{index}/postings", "bucket")
         sized = rows.select("id", "version", F.size(terms(F.col("text"))).cast("long").alias("n_terms"), *kept, F.lit(number).alias("segment"))
         write(sized.dropDuplicates(["id", "version"]), f"{index}/documents")
-        made = spark.read.parquet(f"{index}/postings").where(F.col("segment") == number).count() if n > without else 0
+        made = written(spark, f"{index}/postings/segment={number}")
         log.info("segment %d: read %d rows (%d without an id), wrote %d postings to %s", number, n, without, made, index)
         for k, v in (("batches", 1), ("rows", n), ("without_id", without), ("postings", made)):
             done[k] += v

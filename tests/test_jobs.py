@@ -97,9 +97,10 @@ def test_odd_rows_of_the_index(spark, tmp_path):
     got = indexed(spark, at[1])
     assert {k: v[0] for k, v in got.items()} == {(3, "a"): 2, (3, "b"): 1, (4, "long"): 200_000} and got[3, "a"][2] == [0, 2]
     assert spark.read.parquet(f"{at[1]}/documents").count() == 4
-    empty = str(tmp_path / "none")
-    spark.createDataFrame([], SCHEMA).write.parquet(empty)
-    assert search_index.run(spark, empty, str(tmp_path / "i2"), str(tmp_path / "m2"))["postings"] == 0
+    for i, none in enumerate(([], [(1, None, None, None, None), (2, "  .. ", "en", "a", 5)], [(None, "no id", None, None, None)])):
+        spark.createDataFrame(none, SCHEMA).write.parquet(str(tmp_path / f"none{i}"))
+        done = search_index.run(spark, *(str(tmp_path / f"{n}{i}") for n in ("none", "i", "m")))
+        assert (done["rows"], done["postings"]) == (len(none), 0)
 
 
 def test_evidence_is_packed_and_reruns_are_the_same(spark, tmp_path):
@@ -126,6 +127,9 @@ def test_questions_without_evidence_and_odd_rows(spark, tmp_path):
     assert (done["documents"], done["questions"], done["prompts"]) == (4, 3, 3)
     got = spark.read.parquet(f"{tmp_path}/out/evidence").collect()
     assert {r.question_id for r in got} == {1} and {r.language for r in got} == {"en", None}
+    spark.createDataFrame([(1, "unheard of")], "item_id long, text string").write.parquet(str(tmp_path / "other"))
+    for asked in ("other", "other"):  # nothing is found
+        assert evidence_packs.run(spark, str(tmp_path / "docs"), str(tmp_path / asked), str(tmp_path / "out")) == {"documents": 4, "questions": 1, "evidence": 0, "prompts": 1}
 
 
 def test_command_lines(tmp_path):
@@ -136,4 +140,7 @@ def test_command_lines(tmp_path):
     run = subprocess.run([sys.executable, "-m", "jobs.search_index", docs, str(tmp_path / "i"), str(tmp_path / "m"), "--config", str(conf)], capture_output=True, text=True, cwd=Path(jobs.__file__).parent.parent, timeout=300)
     assert run.returncode == 0, run.stderr[-2000:]
     assert json.loads(run.stdout.strip().splitlines()[-1])["rows"] == 200
+    packs = subprocess.run([sys.executable, "-m", "jobs.evidence_packs", docs, f"{D}/benchmark.parquet", str(tmp_path / "o")], capture_output=True, text=True, cwd=Path(jobs.__file__).parent.parent, timeout=300)
+    assert packs.returncode == 0 and json.loads(packs.stdout.strip().splitlines()[-1])["prompts"] == 40 and "read 200 documents" in packs.stderr
+    assert any(p.name.startswith("language=") for p in (tmp_path / "o/evidence").iterdir())
     assert "segment 0: read 200 rows" in run.stderr and {p.name for p in (tmp_path / "i/postings/segment=0").iterdir()} == {"bucket=0", "bucket=1"}
