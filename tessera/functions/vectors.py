@@ -13,6 +13,11 @@ def doubles(v: Column) -> Column:
     return v.cast("array<double>")
 
 
+def once(value: Column, f) -> Column:
+    """``f`` of a value that is worked out once; inside a lambda an expression would be for each element."""
+    return F.get(F.transform(F.array(value), f), 0)
+
+
 def scale(v: Column) -> Column:
     """The largest magnitude, or 1 for a zero vector."""
     top = F.array_max(F.transform(doubles(v), F.abs))
@@ -21,8 +26,8 @@ def scale(v: Column) -> Column:
 
 def quantise(v: Column) -> Column:
     """struct(q array<tinyint>, scale): 127 stands for the largest magnitude; halves go to the even number."""
-    s = scale(v)
-    return F.struct(F.transform(doubles(v), lambda x: F.greatest(F.lit(-127.0), F.least(F.lit(127.0), F.rint(x / s * 127))).cast("tinyint")).alias("q"), s.alias("scale"))
+    bytes_ = lambda d, s: F.struct(F.transform(d, lambda x: F.greatest(F.lit(-127.0), F.least(F.lit(127.0), F.rint(x / s * 127))).cast("tinyint")).alias("q"), s.alias("scale"))
+    return once(doubles(v), lambda d: once(scale(d), lambda s: bytes_(d, s)))
 
 
 def dequantise(q: Column, s: Column) -> Column:
@@ -35,8 +40,7 @@ def dot(a: Column, b: Column) -> Column:
 
 def normalise(v: Column) -> Column:
     """To length 1; a zero vector stays."""
-    n = F.sqrt(dot(v, v))
-    return F.when(n > 0, F.transform(doubles(v), lambda x: x / n)).otherwise(doubles(v))
+    return once(doubles(v), lambda d: once(F.sqrt(dot(d, d)), lambda n: F.when(n > 0, F.transform(d, lambda x: x / n)).otherwise(d)))
 
 
 def hashed_encoder(df: DataFrame, key: str, text: str, dims: int = fixed.DIMS) -> DataFrame:
