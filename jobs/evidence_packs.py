@@ -44,8 +44,8 @@ def run(spark: SparkSession, documents: str, questions: str, output: str, conf:
 
     wanted = asked.select("question_id", F.explode(F.array_distinct(terms(F.col("question")))).alias("term"))
     post, size = lexical.asked_postings(spread(docs.select("id", "text")), "id", "text", wanted)
-    hits = lexical.bm25(wanted, post, size, "question_id", "id").withColumn("bm25", F.round("bm25", 6))
-    hits = lexical.normalised(lexical.top(hits, ["question_id"], "bm25", "id", c["hits"]), "question_id").withColumn("lexical", F.round("lexical", 6))
+    hits = lexical.best(wanted, post, size, "question_id", "id", c["hits"])
+    hits = lexical.normalised(hits, "question_id").withColumn("lexical", F.round("lexical", 6))
     # texts join after the limit: only those of hits move
     packed = context.packed(hits.join(docs, "id"), ["question_id"], ["rank", "text"], "text", c["budget_tokens"])
     rows = packed.select("question_id", "rank", "id", "bm25", "lexical", "tokens", "used", "packed", "language")

@@ -38,8 +38,7 @@ def search(store: Store, routed: DataFrame, top_k: int | None = None, encode=has
         asked = asked.groupBy(q).agg(F.collect_set("term").alias("t")).select(q, F.explode(F.array_distinct(stems()("t"))).alias("term"))  # TERMS a query
     post = store.read("postings")
     size = post.select(k, "doc_len").distinct().agg(F.count(F.lit(1)).alias("n_docs"), F.avg("doc_len").alias("avg_len"))
-    # rounded, so that copies of a text tie whatever order their parts are added in
-    best = lexical.top(lexical.bm25(asked, post, size, q, k).withColumn("bm25", F.round("bm25", 6)), [q], "bm25", k, c.pool)
+    best = lexical.best(asked, post, size, q, k, c.pool)
     lex = lexical.normalised(best, q, compat=c.compat).select(q, k, F.col("lexical").alias("score"))
     sym = lexical.symbol_hits(routed, store.read("symbols"), q, "expanded", c.symbols)
     lex = cut(lex.unionByName(sym.select(q, k, F.lit(fixed.SYMBOL_SCORE).alias("score"))).groupBy(q, k).agg(F.max("score").alias("score")))
