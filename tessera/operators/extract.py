@@ -47,26 +47,38 @@ def import_targets(files: DataFrame, imports: DataFrame) -> DataFrame:
     return resolved_specifiers(files, imports).select(F.col("file_id").alias("from_id"), "to_id")
 
 
-def edges_and_routes(files: DataFrame, chunks: DataFrame, symbols: DataFrame, compat: bool = False, keep_state: bool | None = None) -> tuple[DataFrame, DataFrame]:
-    """Edges (from_id, to_id, edge_type, weight) and routes of all chunks: a function of the current tables, whatever the order files came in.
-    A chunk with state has an edge to itself (``keep_state``; not with ``compat``, which drops such edges)."""
+def mentions(chunks: DataFrame) -> DataFrame:
+    """(chunk_id, file_id, kind, name, path) from chunks (id, file_id, chunk_type, text): what a chunk imports (IMPORTS), the hooks, contexts and tags in
+    it, components of its routes (DEFINES_ROUTE, with the route's path), and whether it has state. All that edges need of texts, so texts are searched once."""
+    t, of = F.col("text"), F.col("chunk_type")
+    code = of != "IMPORT_BLOCK"
+    none = F.array().cast("array<struct<kind:string,name:string,path:string>>")
+    found = lambda kind, p: F.transform(F.array_distinct(F.regexp_extract_all(t, F.lit(p), F.lit(1))), lambda x: F.struct(F.lit(kind).alias("kind"), x.alias("name"), F.lit(None).cast("string").alias("path")))
+    routes = F.zip_with(F.regexp_extract_all(t, F.lit(fixed.ROUTE), F.lit(1)), F.regexp_extract_all(t, F.lit(fixed.ROUTE), F.lit(2)), lambda p, n: F.struct(F.lit("DEFINES_ROUTE").alias("kind"), n.alias("name"), p.alias("path")))
+    state = F.when(t.rlike(fixed.USE_STATE), F.array(F.struct(F.lit("MANAGES_STATE").alias("kind"), F.lit("").alias("name"), F.lit(None).cast("string").alias("path")))).otherwise(none)
+    of_code = F.concat(found("USES_HOOK", fixed.EDGE_HOOK), found("CONSUMES_CONTEXT", fixed.USE_CONTEXT), F.when(of.isin("COMPONENT", "FUNCTION"), found("RENDERS", fixed.EDGE_TAG)).otherwise(none), routes, state)
+    rows = chunks.select(F.col("id").alias("chunk_id"), "file_id", F.explode(F.when(code, of_code).otherwise(found("IMPORTS", fixed.IMPORT_FROM))).alias("x"))
+    return rows.select("chunk_id", "file_id", "x.kind", "x.name", "x.path")
+
+
+def edges_and_routes(files: DataFrame, chunks: DataFrame, symbols: DataFrame, compat: bool = False, keep_state: bool | None = None, said: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """Edges (from_id, to_id, edge_type, weight) and routes of all chunks: a function of the current tables, whatever the order files came in. ``said`` is what
+    ``mentions`` found in the chunks, if it is kept. A chunk with state has an edge to itself (``keep_state``; not with ``compat``, which drops such edges)."""
     keep_state = not compat if keep_state is None else keep_state
-    code = chunks.where("chunk_type <> 'IMPORT_BLOCK'")
-    names = lambda df, p, g=1: df.select(F.col("id").alias("from_id"), F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(p), F.lit(g)))).alias("name"))
+    said = mentions(chunks) if said is None else said
+    of = lambda kind: said.where(F.col("kind") == kind)
 
-    def linked(found: DataFrame, kinds: list[str], any_kind: bool, kind: str) -> DataFrame:
-        return resolve(found, candidates(chunks, symbols, kinds, any_kind)).select("from_id", F.col("target").alias("to_id"), F.lit(kind).alias("edge_type"), F.lit(fixed.EDGE_WEIGHTS[kind]).alias("weight"))
+    def linked(kinds: list[str], kind: str) -> DataFrame:
+        found = of(kind).select(F.col("chunk_id").alias("from_id"), "name")
+        return resolve(found, candidates(chunks, symbols, kinds, True)).select("from_id", F.col("target").alias("to_id"), F.lit(kind).alias("edge_type"), F.lit(fixed.EDGE_WEIGHTS[kind]).alias("weight"))
 
-    specs = chunks.where("chunk_type = 'IMPORT_BLOCK'").select("file_id", F.explode(F.regexp_extract_all("text", F.lit(fixed.IMPORT_FROM), F.lit(1))).alias("specifier")).where(F.col("specifier").startswith("."))
+    specs = of("IMPORTS").select("file_id", F.col("name").alias("specifier")).where(F.col("specifier").startswith("."))
     targets = specs.select(F.col("file_id").alias("from_id"), F.sha1("specifier").alias("to_id")) if compat else import_targets(files, specs)
     edges = targets.select("from_id", "to_id", F.lit("IMPORTS").alias("edge_type"), F.lit(1.0).alias("weight"))
-    edges = edges.unionByName(linked(names(code, fixed.EDGE_HOOK), ["HOOK"], True, "USES_HOOK"))
-    edges = edges.unionByName(linked(names(code, fixed.USE_CONTEXT), [], True, "CONSUMES_CONTEXT"))
-    edges = edges.unionByName(linked(names(code.where("chunk_type IN ('COMPONENT', 'FUNCTION')"), fixed.EDGE_TAG), ["COMPONENT"], True, "RENDERS"))
+    edges = edges.unionByName(linked(["HOOK"], "USES_HOOK")).unionByName(linked([], "CONSUMES_CONTEXT")).unionByName(linked(["COMPONENT"], "RENDERS"))
 
-    pairs = F.arrays_zip(F.regexp_extract_all("text", F.lit(fixed.ROUTE), F.lit(1)).alias("path"), F.regexp_extract_all("text", F.lit(fixed.ROUTE), F.lit(2)).alias("name"))
     main = chunks.where("chunk_type = 'COMPONENT'").groupBy("file_id").agg(F.min_by("id", F.struct("start_line", "id")).alias("main"))
-    found = resolve(code.select(F.col("id").alias("chunk"), "file_id", F.explode(pairs).alias("r")).select("chunk", "file_id", "r.path", "r.name"), candidates(chunks, symbols, ["COMPONENT", "HOOK", "FUNCTION"], True)).join(main, "file_id", "left")
+    found = resolve(of("DEFINES_ROUTE").select(F.col("chunk_id").alias("chunk"), "file_id", "path", "name"), candidates(chunks, symbols, ["COMPONENT", "HOOK", "FUNCTION"], True)).join(main, "file_id", "left")
     for source, weight in ((F.coalesce("main", "chunk"), fixed.ROUTE_WEIGHTS[0]), (F.col("chunk"), fixed.ROUTE_WEIGHTS[1])):
         edges = edges.unionByName(found.select(source.alias("from_id"), F.col("target").alias("to_id"), F.lit("DEFINES_ROUTE").alias("edge_type"), F.lit(weight).alias("weight")))
     routes = found.groupBy("path", F.col("name").alias("component")).agg(F.min("target").alias("chunk_id"))
@@ -74,6 +86,6 @@ def edges_and_routes(files: DataFrame, chunks: DataFrame, symbols: DataFrame, co
     order = F.col("weight") if compat else -F.col("weight")
     out = distinct_edges(edges.withColumn("_o", order), ["_o"]).drop("_o")
     if keep_state:
-        state = code.where(F.col("text").rlike(fixed.USE_STATE)).select(F.col("id").alias("from_id"), F.col("id").alias("to_id"), F.lit("MANAGES_STATE").alias("edge_type"), F.lit(fixed.EDGE_WEIGHTS["MANAGES_STATE"]).alias("weight"))
+        state = of("MANAGES_STATE").select(F.col("chunk_id").alias("from_id"), F.col("chunk_id").alias("to_id"), F.lit("MANAGES_STATE").alias("edge_type"), F.lit(fixed.EDGE_WEIGHTS["MANAGES_STATE"]).alias("weight"))
         out = out.unionByName(state)
     return out.withColumn("metadata", F.lit(None).cast("string")), routes

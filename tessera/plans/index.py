@@ -1,4 +1,5 @@
-"""Indexing: one plan from a file tree to the tables, for changed files only; edges are worked out again, from all chunks."""
+"""Indexing: one plan from a file tree to the tables, for changed files only. Edges are joined
+again from the names that chunks mention, which are stored; texts are searched once."""
 
 from __future__ import annotations
 
@@ -46,7 +47,7 @@ def index(store: Store, root: str, config: dict | None = None, encode=hashed_enc
         apply(store, gone, new)
         store.merge()
         chunks, files = store.read("chunks"), store.read("files")
-        edges, routes = extract.edges_and_routes(files, chunks, store.read("symbols"), compat)
+        edges, routes = extract.edges_and_routes(files, chunks, store.read("symbols"), compat, said=store.read("mentions"))
         store.write("graph_edges", edges, keep=True)
         store.write("routes", routes, keep=True)
         store.sweep()  # until here the old versions were read
@@ -87,5 +88,6 @@ def new_tables(files: DataFrame, config: dict, encode, model: str, plugins: Plug
         "postings": lexical.postings(searched, "chunk_id", "text", "names", "summary", stem=True),
         "symbols": symbols,
         "embeddings": vectors.select("chunk_id", "v.q", "v.scale", F.lit(None).cast("array<double>").alias("vector") if quantised else F.col("vector").cast("array<double>").alias("vector"), F.lit(model).alias("model_id"), now.alias("created_at")),
+        "mentions": extract.mentions(chunks),
         "api_calls": extract.api_calls(chunks.withColumnRenamed("id", "chunk_id")),
     }

@@ -25,6 +25,7 @@ TABLES = {
     "postings": ("term string, chunk_id string, tf long, doc_len long", ["term", "chunk_id"]),
     "symbols": ("chunk_id string, name string, symbol_type string, is_exported boolean, is_default_export boolean", ["chunk_id", "name"]),
     "embeddings": ("chunk_id string, q array<tinyint>, scale double, vector array<double>, model_id string, created_at timestamp", ["chunk_id"]),
+    "mentions": ("chunk_id string, file_id string, kind string, name string, path string", ["chunk_id", "kind", "name", "path"]),
     "graph_edges": ("from_id string, to_id string, edge_type string, weight double, metadata string", ["from_id", "to_id", "edge_type"]),
     "routes": ("id string, path string, component string, chunk_id string, is_protected boolean, parent_route string, metadata string", ["id"]),
     "api_calls": ("chunk_id string, method string, endpoint string, client_type string, is_dynamic boolean", ["chunk_id", "method", "endpoint"]),
@@ -35,7 +36,7 @@ TABLES = {
 
 #: Tables whose rows belong to files. They are kept in segments: a change of some files is a new segment of their rows, and older ones stay as
 #: they are. Which segment has a file's rows is a column of ``files``, so rows of older segments, of deleted files and of segments not yet committed are dead.
-SEGMENTED = ("chunks", "postings", "symbols", "embeddings", "api_calls")
+SEGMENTED = ("chunks", "postings", "symbols", "embeddings", "api_calls", "mentions")
 
 
 def shared_folder(spark: SparkSession) -> str:
