@@ -41,6 +41,7 @@ class Settings:
     least_texts: int = 5
     least_z: float = 4.0
     most_words: int = 20_000
+    most_codes: int = 1 << 20  # features that are gathered to choose words from, the classes' counts of which are furthest apart
     penalty: float = 0.5
     updates: int = 120
 
@@ -201,11 +202,11 @@ def fit(docs: DataFrame, labels: DataFrame, categories: list[str], settings: Set
     made = stage(found.mapInArrow(words, "words array<string>, codes array<int>, least array<long>, hash long, " + ", ".join(f"{y} int" for y in ys)), "features")
     n, *pos = made.agg(F.count(F.lit(1)), *[F.coalesce(F.sum(y), F.lit(0)) for y in ys]).first()
     by_class = made.select(F.explode("codes").alias("code"), *ys).groupBy("code").agg(F.count(F.lit(1)).alias("n"), *[F.sum(y).alias(y) for y in ys]).where(F.col("n") >= s.least_texts)
-    may = F.lit(False)
-    for y, k in zip(ys, pos, strict=True):
-        if 0 < k < n:
-            may |= F.abs(apart(F.col("n"), F.col(y), n, k, F.sqrt, F.greatest, F.lit)) >= s.least_z / 2
-    may_differ = np.sort(np.array([r["code"] for r in by_class.where(may).select("code").collect()], np.int32))
+    # how far the classes are apart, in the category where they are furthest
+    far = [F.abs(apart(F.col("n"), F.col(y), n, k, F.sqrt, F.greatest, F.lit)) for y, k in zip(ys, pos, strict=True) if 0 < k < n]
+    furthest = F.greatest(F.lit(0.0), F.lit(0.0), *far)
+    may_differ = by_class.select("code", furthest.alias("z")).where(F.col("z") >= s.least_z / 2).orderBy(F.col("z").desc(), "code").limit(s.most_codes).select("code").toArrow()
+    may_differ = np.sort(np.asarray(may_differ.column("code").combine_chunks() if may_differ.num_rows else [], np.int32))
     known = sent(docs.sparkSession, may_differ)
 
     def chosen(batches):
