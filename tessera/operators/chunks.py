@@ -4,7 +4,7 @@ bodies end; the overlapping windows of a long chunk are a fold, since where one
 from __future__ import annotations
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import fixed
@@ -106,6 +106,16 @@ def shards(chunks: DataFrame, most: int = fixed.MAX_CHUNK_TOKENS, overlap: int =
     return whole.unionByName(split)
 
 
+def capped(chunks: DataFrame, most: int = 30, symbols_each: int = 20, file: str = "file_id", order: str = "start_line", key: str = "id") -> DataFrame:
+    """At most so many chunks a file, by their types (hooks, components, functions, imports, others), then their lines; and so many symbols a chunk. The ranks are
+    worked out from narrow rows, texts join after."""
+    kind = F.coalesce(F.array_position(F.array(*[F.lit(k) for k in ("HOOK", "COMPONENT", "FUNCTION", "CLASS", "IMPORT_BLOCK")]), F.col("chunk_type")), F.lit(0))
+    rank = F.row_number().over(Window.partitionBy(file).orderBy(F.when(kind == 0, 99).otherwise(kind), order, key))
+    kept = chunks.select(key, file, "chunk_type", order).withColumn("_n", rank).where(F.col("_n") <= most).select(key)
+    out = chunks.join(kept, key, "left_semi")
+    return out.withColumn("symbols", F.slice("symbols", 1, symbols_each)) if "symbols" in chunks.columns else out
+
+
 def fixed_windows(docs: DataFrame, key: str, text: str, lines: int = 40, step: int = 30) -> DataFrame:
     """(key, start_line, text): windows of so many lines for files that can't be parsed."""
     cut = docs.select(key, F.split(text, LINE_END).alias("lines"))

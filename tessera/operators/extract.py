@@ -47,6 +47,16 @@ def import_targets(files: DataFrame, imports: DataFrame) -> DataFrame:
     return resolved_specifiers(files, imports).select(F.col("file_id").alias("from_id"), "to_id")
 
 
+def parts(chunks: DataFrame, key: str = "id", text: str = "text") -> DataFrame:
+    """(key, part, name): the state that a chunk keeps (names of pairs, or of what a reducer gives), contexts it makes or uses, and handlers it sets."""
+    found = lambda part, p: F.transform(F.array_distinct(F.regexp_extract_all(F.col(text), F.lit(p), F.lit(1))), lambda x: F.struct(F.lit(part).alias("part"), x.alias("name")))
+    every = F.concat(
+        found("state", r"\[\s*(\w+)\s*,\s*\w+\s*\]\s*=\s*(?:React\.)?use(?:State|Reducer)\b"), found("context", r"\buseContext\(\s*(\w+)"),
+        found("provider", r"(\w+)\s*=\s*(?:React\.)?createContext\b"), found("handler", r"\b(on[A-Z]\w*)\s*=\s*\{"),
+    )
+    return chunks.select(key, F.explode(every).alias("x")).select(key, "x.part", "x.name")
+
+
 def mentions(chunks: DataFrame) -> DataFrame:
     """(chunk_id, file_id, kind, name, path) from chunks (id, file_id, chunk_type, text): what a chunk imports (IMPORTS), the hooks, contexts and tags in
     it, components of its routes (DEFINES_ROUTE, with the route's path), and whether it has state. All that edges need of texts, so texts are searched once."""

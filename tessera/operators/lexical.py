@@ -164,6 +164,24 @@ def normalised(hits: DataFrame, query: str, score: str = "bm25", compat: bool =
     return hits.withColumn("lexical", F.greatest(F.lit(0.05), F.least(F.lit(1.0), value)))
 
 
+def min_max(hits: DataFrame, query: str, score: str = "bm25") -> DataFrame:
+    """Adds share, in [0, 1]: where a score lies between the least and the best of its query; 1 if all are one."""
+    w = Window.partitionBy(query)
+    low, high = F.min(score).over(w), F.max(score).over(w)
+    return hits.withColumn("share", F.when(high > low, (F.col(score) - low) / (high - low)).otherwise(F.lit(1.0)))
+
+
+def or_beginnings(asked: DataFrame, vocabulary: DataFrame, query: str = "query_id", least: int = 3) -> DataFrame:
+    """(query, term): the asked terms that the vocabulary (term, each once) has; in place of each other one, of ``least`` letters or more, all terms that begin with it.
+    Beginnings of as many letters as asked terms have are joined by key."""
+    known = asked.join(vocabulary, "term", "left_semi")
+    rest = asked.join(vocabulary, "term", "left_anti").where(F.length("term") >= least)
+    lengths = rest.select(F.length("term").alias("n")).distinct().agg(F.array_sort(F.collect_set("n")).alias("ns"))  # one row of a few numbers
+    begun = vocabulary.crossJoin(F.broadcast(lengths)).select("term", F.explode(F.filter("ns", lambda n: n < F.length("term"))).alias("n"))
+    begun = begun.select(F.expr("substring(term, 1, n)").alias("begin"), "term")
+    return known.select(query, "term").unionByName(rest.withColumnRenamed("term", "begin").join(begun, "begin").select(query, "term")).distinct()
+
+
 def symbol_hits(queries: DataFrame, symbols: DataFrame, query: str = "query_id", text: str = "query", k: int = fixed.SYMBOLS) -> DataFrame:
     """(query, chunk_id, rank): chunks with a symbol that is an identifier of the query, k at most."""
     names = queries.select(query, F.explode(F.array_distinct(identifiers(F.col(text)))).alias("name"))

@@ -80,6 +80,30 @@ def bm25_normalized(spark, d):
     return both.select("query_id", "doc_id", "bm25", "rank", F.round("lexical", 6).alias("lexical"), F.round("inverted", 6).alias("inverted"))
 
 
+@query(f"""WITH {BY_ITEM}, {BM25}, pool AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY bm25 DESC, doc_id) AS rank FROM hits QUALIFY rank <= 50), m AS (SELECT *, min(bm25) OVER w AS low, max(bm25) OVER w AS high FROM pool WINDOW w AS (PARTITION BY query_id))
+    SELECT query_id, doc_id, round(CASE WHEN high > low THEN (bm25 - low) / (high - low) ELSE 1 END, 6)::DOUBLE AS share FROM m""")
+def bm25_minmax(spark, d):
+    pool = lexical.min_max(_hits(spark, d, _items(spark, d), fixed.POOL), "query_id")
+    return pool.select("query_id", "doc_id", F.round("share", 6).alias("share"))
+
+
+@query(f"""WITH v AS (SELECT DISTINCT unnest({TERMS.format(c='text')}) AS term FROM documents), a AS (SELECT DISTINCT item_id AS query_id, left(t, 5) AS term FROM (SELECT item_id, unnest({TERMS.format(c='text')}) AS t FROM benchmark) WHERE length(t) >= 6)
+    SELECT query_id, term FROM a SEMI JOIN v USING (term) UNION SELECT query_id, v.term FROM (SELECT * FROM a ANTI JOIN v USING (term)) b JOIN v ON starts_with(v.term, b.term)""")
+def prefix_fallback(spark, d):
+    """The first five letters of each longer word of a benchmark text, as a term or, where there is none, as the beginning of terms."""
+    t = F.explode(F.transform(F.filter(text.terms(F.col("text")), lambda x: F.length(x) >= 6), lambda x: F.substring(x, 1, 5))).alias("term")
+    asked = read(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), t).distinct()
+    return lexical.or_beginnings(asked, text.each(texts(spark, d), [], text.terms(F.col("text")), "term").distinct())
+
+
+@query("""SELECT doc_id FROM documents QUALIFY row_number() OVER (PARTITION BY source ORDER BY CASE lang WHEN 'en' THEN 1 WHEN 'de' THEN 2 WHEN 'fr' THEN 3 ELSE 99 END, n_chars, doc_id) <= 30""")
+def capped_chunks(spark, d):
+    """Thirty documents a source at most, by kind, then length."""
+    kind = F.when(F.col("lang") == "en", "HOOK").when(F.col("lang") == "de", "COMPONENT").when(F.col("lang") == "fr", "FUNCTION").otherwise("MISC")
+    rows = read(spark, d, "documents").select(F.col("doc_id").alias("id"), F.col("source").alias("file_id"), kind.alias("chunk_type"), F.col("n_chars").alias("start_line"), "text")
+    return chunks.capped(rows).select(F.col("id").alias("doc_id"))
+
+
 @query("SELECT doc_id, greatest(1, length(text) // 4)::INT AS n_tokens, substr(text, 1, 40) AS head, lower(regexp_replace(text, '([a-z])([A-Z])', '\\1 \\2', 'g')) AS camel FROM documents")
 def token_stats(spark, d):
     t = F.col("text")

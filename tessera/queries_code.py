@@ -148,6 +148,14 @@ def code_calls(spark, d):
     return _made(spark, d)["api_calls"].select("chunk_id", "method", "endpoint", "client_type", "is_dynamic")
 
 
+@query(f"""WITH {FILES_SQL}, w AS (SELECT * FROM f WHERE kind = 'widget')
+    SELECT name, 'state' AS part, 'open' AS part_name FROM w UNION ALL SELECT name, 'context', concat('Ctx', k % 4) FROM w UNION ALL SELECT name, 'handler', 'onClick' FROM w""")
+def code_parts(spark, d):
+    """State, contexts and handlers of widgets."""
+    t = _made(spark, d)
+    return extract.parts(t["chunks"]).join(t["chunks"].select("id", F.col("name").alias("of")), "id").select(F.col("of").alias("name"), "part", F.col("name").alias("part_name"))
+
+
 _WORDS = "list_filter(regexp_split_to_array({q}, '\\s+'), lambda w: w <> '')"
 _SYN = "MAP {" + ", ".join(f"{quoted(k)}: {listed([w.lower() for w in ws if ' ' not in w])}" for k, ws in fixed.SYNONYMS.items()) + "}"
 

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.operators import bindings, graph, lexical, neural, positions, semantic
+from tessera.operators import bindings, chunks, extract, graph, lexical, neural, positions, semantic
 
 DOCS = [(1, "the old oven and the new oven timer"), (2, "oven timer"), (3, None), (4, ""), (5, "timer oven timer the oven"), (6, "a " * 5000 + "the oven timer")]
 
@@ -117,3 +117,40 @@ def test_impact_and_meeting_with_cycles(spark):
     assert {r.node for r in graph.impact(edges, seeds.where("node = 'e'"), 2).collect()} == {"d", "a", "c"}
     pairs = spark.createDataFrame([("a", "e"), ("b", "e"), ("e", "a"), ("c", "c"), ("b", "d")], "a string, b string")
     assert {(r.a, r.b): r.distance for r in graph.between(edges, pairs, 9).collect()} == {("a", "e"): 2, ("b", "e"): 3, ("c", "c"): 0, ("b", "d"): 2}
+
+
+def test_min_max_and_beginnings(spark):
+    hits = spark.createDataFrame([(1, 1, 2.0), (1, 2, 4.0), (1, 3, 3.0), (2, 1, 5.0)], "query_id long, doc_id long, bm25 double")
+    assert {(r.query_id, r.doc_id): r.share for r in lexical.min_max(hits, "query_id").collect()} == {(1, 1): 0.0, (1, 2): 1.0, (1, 3): 0.5, (2, 1): 1.0}
+    vocabulary = spark.createDataFrame([("oven",), ("ovens",), ("ove",), ("timer",)], "term string")
+    asked = spark.createDataFrame([(1, "oven"), (1, "tim"), (2, "ov"), (2, "none"), (3, "time")], "query_id long, term string")
+    assert sorted(map(tuple, lexical.or_beginnings(asked, vocabulary).collect())) == [(1, "oven"), (1, "timer"), (3, "timer")]
+    assert lexical.or_beginnings(asked.limit(0), vocabulary).collect() == [] and lexical.or_beginnings(asked, vocabulary.limit(0)).collect() == []
+
+
+def test_caps_of_a_file(spark):
+    rows = [(f"c{i:02}", "a", "MISC" if i % 2 else "HOOK", 100 - i, ["x"] * 30) for i in range(40)] + [("d", "b", "NEW", 1, None)]
+    got = chunks.capped(spark.createDataFrame(rows, "id string, file_id string, chunk_type string, start_line int, symbols array<string>"), 25).collect()
+    kept = {r.id for r in got if r.file_id == "a"}
+    assert len(kept) == 25 and {f"c{i:02}" for i in range(0, 40, 2)} <= kept and {f"c{i}" for i in (39, 37, 35, 33, 31)} <= kept
+    assert {len(r.symbols) for r in got if r.symbols} == {20} and "d" in {r.id for r in got}
+
+
+def test_parts_of_code(spark):
+    code = "const [a, setA] = useState(0); const [ s ,dispatch] = React.useReducer(r, {}); const X = createContext(null); useContext( Y ); <b onClick={f} onMouseOver = {() => g()} once={1} />"
+    got = sorted((r.part, r.name) for r in extract.parts(spark.createDataFrame([("c", code), ("d", None)], "id string, text string")).collect())
+    assert got == [("context", "Y"), ("handler", "onClick"), ("handler", "onMouseOver"), ("provider", "X"), ("state", "a"), ("state", "s")]
+
+
+def test_best_documents_equal_the_joined_way(spark):
+    r = random.Random(6)
+    docs = [(i, " ".join(r.choice("abcdefgh") * r.randrange(1, 3) for _ in range(r.randrange(12)))) for i in range(300)] + [(1000 + i, "a bb c") for i in range(40)]
+    asked = spark.createDataFrame([(q, t) for q in range(60) for t in r.sample(["a", "bb", "c", "dd", "e", "ff", "g", "zz"], 3)], "query_id long, term string")
+    post, size = lexical.asked_postings(spark.createDataFrame(docs, "doc_id long, text string"), "doc_id", "text", asked)
+    one = sorted(map(tuple, lexical.best(asked, post, size, "query_id", "doc_id", 5).select("query_id", "doc_id", "bm25", "rank").collect()))
+    other = sorted(map(tuple, lexical.best(asked, post, size, "query_id", "doc_id", 5, most=0).select("query_id", "doc_id", "bm25", "rank").collect()))
+    assert one == other and len(one) > 200
+    assert lexical.best(asked.limit(0), post, size, "query_id", "doc_id", 5).collect() == []
+    names = spark.createDataFrame([("q", "a")], "query_id string, term string")
+    words = post.withColumn("doc_id", F.concat(F.lit("d"), "doc_id"))
+    assert [r.doc_id for r in lexical.best(names, words, size, "query_id", "doc_id", 2).collect()] == [r.doc_id for r in lexical.best(names, words, size, "query_id", "doc_id", 2, most=0).collect()]
