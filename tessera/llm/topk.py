@@ -14,7 +14,7 @@ stay below ``group_bytes``, and queries stream. A group gives at most k rows a q
 Defined results: vectors that are null or hold null or non-finite components take no part; shorter vectors
 count as ending in zeros, empty ones as zero; ties go to the smaller vec_id, null ids last, then by row; each row of a repeated id is a
 candidate and a query of its own; an empty table gives no rows; other columns don't matter.
-Scores beyond 64 bits become the nearest 64-bit number.
+Components and scores beyond 64 bits become the nearest 64-bit number.
 """
 
 from __future__ import annotations
@@ -216,9 +216,8 @@ def visit(group: DataFrame, queries: DataFrame, groups: int, width: int, most: i
 def search(vectors: DataFrame, asked: Column, k: int = 10, group_bytes: int = GROUP_BYTES, bucket: int = BUCKET) -> DataFrame:
     """query_id, rank, vec_id, score: the ``k`` best of all other rows for each row of vectors (vec_id, v array<long>) where ``asked``."""
     spark = vectors.sparkSession
-    size = vectors.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("v")).alias("width"), F.max(F.greatest(F.array_max("v"), -F.array_min("v"))).alias("most")).first()
-    n, width, most = size["n"], size["width"] or 0, size["most"] or 0
-    most = most if most >= 0 else 2**63  # the least 64-bit number has no positive
+    size = vectors.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("v")).alias("width"), F.max(F.greatest(F.array_max("v").cast("double"), -F.array_min("v").cast("double"))).alias("most")).first()
+    n, width, most = size["n"], size["width"] or 0, int(size["most"] or 0)
     kind = "smallint" if most < 2**15 else "int" if most < 2**31 else "bigint"
     groups = max(1, -(-n * max(width, 1) * COMPONENT_BYTES // group_bytes), min(n, int(spark.conf.get("spark.sql.shuffle.partitions"))))
     norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
