@@ -11,7 +11,7 @@ import re
 import sys
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -134,6 +134,16 @@ def give_back() -> None:
         _libc.malloc_trim(0)
 
 
+def tidy(f: Callable) -> Callable:
+    """``f``, what a task does with its batches, after which memory is given back: once its own variables are gone."""
+
+    def run(batches):
+        yield from f(batches)
+        give_back()
+
+    return run
+
+
 def split_words(text: pa.Array, lower: bool = True) -> tuple[pa.Array, np.ndarray, np.ndarray]:
     """Words (runs of anything but space and 0x09-0x0D) of each text: the distinct
     words, the code of each word in reading order, and the offsets of the texts.

@@ -30,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SUM_SCHEMA, blocks, collect_sums, count_rows, members, mix64, ragged, sent, split_words, stage, whole_text
+from .common import SUM_SCHEMA, blocks, collect_sums, count_rows, members, mix64, ragged, sent, split_words, stage, tidy, whole_text
 
 
 @dataclass(frozen=True)
@@ -101,7 +101,7 @@ def document_frequencies(docs: DataFrame, s: Settings) -> tuple[np.ndarray, int]
         if n:
             yield from count_rows(table, TaskContext.get().partitionId(), WIDTH)
 
-    rows = docs.select("text").mapInArrow(run, SUM_SCHEMA)
+    rows = docs.select("text").mapInArrow(tidy(run), SUM_SCHEMA)
     return collect_sums(rows, (DEPTH << s.sketch_bits) // WIDTH, WIDTH), docs.select(F.lit(1)).count()
 
 
@@ -181,7 +181,7 @@ def signatures(own: DataFrame, idf, s: Settings) -> DataFrame:
                     bands[i] = x
             yield pa.record_batch({"doc_id": b.column("doc_id"), "node": b.column("node"), "bands": pa.array(bands, pa.list_(pa.int64()))})
 
-    return own.mapInArrow(run, f"doc_id {own.schema['doc_id'].dataType.simpleString()}, node binary, bands array<long>")
+    return own.mapInArrow(tidy(run), f"doc_id {own.schema['doc_id'].dataType.simpleString()}, node binary, bands array<long>")
 
 
 #: How counts and weights are stored.
@@ -201,7 +201,7 @@ def vectors(own: DataFrame, idf, s: Settings) -> DataFrame:
             cut = lambda x: pa.array([x[a:z].tobytes() for a, z in zip(offsets[:-1], offsets[1:], strict=True)], pa.binary())  # noqa: B023, E731
             yield pa.record_batch({"node": b.column("node"), "sh": cut(sh), "n": cut(counts), "w": cut(w), "size": pa.array(size, pa.int64())})
 
-    return own.select("node", "text").mapInArrow(run, "node binary, sh binary, n binary, w binary, size long")
+    return own.select("node", "text").mapInArrow(tidy(run), "node binary, sh binary, n binary, w binary, size long")
 
 
 def similarity(a: tuple, b: tuple) -> tuple[float, float]:
@@ -230,7 +230,7 @@ def verified(pairs: DataFrame, vecs: DataFrame, s: Settings, most: int = 1000) -
     leaders = vecs.select(F.col("node").alias("lead"), *[F.col(c).alias(f"lead_{c}") for c in ("sh", "n", "w")])
     dealt = leaders.join(copies, "lead").withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)))
     own = pairs.join(copies, "lead").withColumn("copy", F.pmod(F.xxhash64("node"), "copies").cast("int")).drop("copies")
-    return own.join(vecs.drop("size"), "node").join(dealt.drop("copies"), ["lead", "copy"]).select("lead", "node", "sh", "n", "w", "lead_sh", "lead_n", "lead_w").mapInArrow(run, "lead binary, node binary, ok boolean")
+    return own.join(vecs.drop("size"), "node").join(dealt.drop("copies"), ["lead", "copy"]).select("lead", "node", "sh", "n", "w", "lead_sh", "lead_n", "lead_w").mapInArrow(tidy(run), "lead binary, node binary, ok boolean")
 
 
 #: Members of a bucket whose pairs are rows; larger buckets are compared in blocks.

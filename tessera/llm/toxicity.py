@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks, give_back, mix64, ragged, release, sent, split_words, stage, whole_text
+from .common import blocks, give_back, mix64, ragged, release, sent, split_words, stage, tidy, whole_text
 from .neardup import Settings as Shingles
 from .neardup import shingles
 
@@ -199,7 +199,7 @@ def fit(docs: DataFrame, labels: DataFrame, categories: list[str], settings: Set
             } | {y: b.column(y) for y in ys})
 
     # features stay where they are, and so does their count by class: the driver gets codes of those that may differ between the classes, and each row's among them
-    made = stage(found.mapInArrow(words, "words array<string>, codes array<int>, least array<long>, hash long, " + ", ".join(f"{y} int" for y in ys)), "features")
+    made = stage(found.mapInArrow(tidy(words), "words array<string>, codes array<int>, least array<long>, hash long, " + ", ".join(f"{y} int" for y in ys)), "features")
     n, *pos = made.agg(F.count(F.lit(1)), *[F.coalesce(F.sum(y), F.lit(0)) for y in ys]).first()
     by_class = made.select(F.explode("codes").alias("code"), *ys).groupBy("code").agg(F.count(F.lit(1)).alias("n"), *[F.sum(y).alias(y) for y in ys]).where(F.col("n") >= s.least_texts)
     # how far the classes are apart, in the category where they are furthest
@@ -218,7 +218,7 @@ def fit(docs: DataFrame, labels: DataFrame, categories: list[str], settings: Set
             yield pa.record_batch({"codes": pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat[on]))} | {c: b.column(c) for c in ("least", "hash", *ys)})
 
     # rows of one text have one hash, so the order is the same whatever order they come in
-    t = made.drop("words").mapInArrow(chosen, "codes array<int>, least array<long>, hash long, " + ", ".join(f"{y} int" for y in ys)).orderBy("hash", *ys).limit(2 * s.most_rows).toArrow()
+    t = made.drop("words").mapInArrow(tidy(chosen), "codes array<int>, least array<long>, hash long, " + ", ".join(f"{y} int" for y in ys)).orderBy("hash", *ys).limit(2 * s.most_rows).toArrow()
     release(docs.sparkSession, known)
     y = np.stack([np.asarray(t.column(c)) for c in ys], axis=1) if ys else np.zeros((t.num_rows, 0))
     order = one_of_each(t.column("least").to_pylist(), y.tolist())
@@ -296,7 +296,7 @@ def scores(docs: DataFrame, chain: Chain, id_col: str = "doc_id", text_col: str
             yield pa.record_batch(cols)
 
     schema = f"doc_id {docs.schema[id_col].dataType.simpleString()}" + "".join(f", p_{x.name} double, {x.name} boolean" for x in chain.links)
-    return docs.select(F.col(id_col).alias("doc_id"), whole_text(text_col).alias("text")).mapInArrow(run, schema)
+    return docs.select(F.col(id_col).alias("doc_id"), whole_text(text_col).alias("text")).mapInArrow(tidy(run), schema)
 
 
 def clean(docs: DataFrame, chain: Chain, category: str, text_col: str = "text") -> DataFrame:
