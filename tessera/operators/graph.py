@@ -129,6 +129,29 @@ def between(edges: DataFrame, pairs: DataFrame, depth: int) -> DataFrame:
     return found
 
 
+def reached(edges: DataFrame, seeds: DataFrame, depth: int, by: list[str], reverse: bool = False) -> DataFrame:
+    """(by.., node, n): what each walk, named by the columns ``by`` of its seeds (by.., node), reaches in ``depth`` edges at most, and the least number of them."""
+    a, b = ("to_id", "from_id") if reverse else ("from_id", "to_id")
+    at = every = seeds.select(*by, "node", F.lit(0).alias("n")).distinct()
+    steps = by_start(edges.select(F.col(a).alias("node"), F.col(b).alias("next")).distinct())
+    for level in range(1, depth + 1):
+        step = at.join(steps, "node").select(*by, F.col("next").alias("node")).distinct()
+        at = cut(step.join(every.select(*by, "node"), [*by, "node"], "left_anti").withColumn("n", F.lit(level)))
+        every = every.unionByName(at)
+    steps.unpersist()
+    return every
+
+
+def meetings(edges: DataFrame, starts: DataFrame, ends: DataFrame, depth: int, by: list[str]) -> DataFrame:
+    """(a, b, distance): as ``between``, of each start (a, by..) and end (b, by..) that agree in the columns ``by``. These pairs are never made: each start and
+    each end walks its half of the way once, whatever pairs it is in, and only those that come to one node are rows. So the work grows with
+    the ways, not with starts times ends."""
+    there = reached(edges, starts.select("a", *by, F.col("a").alias("node")), (depth + 1) // 2, ["a", *by])
+    back = reached(edges, ends.select("b", *by, F.col("b").alias("node")), depth // 2, ["b", *by], reverse=True)
+    met = there.join(back.withColumnRenamed("n", "m"), ["node", *by])
+    return met.groupBy("a", "b").agg(F.min(F.col("n") + F.col("m")).alias("distance"))
+
+
 def export(edges: DataFrame, nodes: DataFrame, most: int = fixed.GRAPH_EDGES) -> tuple[DataFrame, DataFrame]:
     """The first edges, and labels of their ends: a chunk's name, else its type."""
     some = edges.orderBy("from_id", "to_id", "edge_type").limit(most)

@@ -119,6 +119,24 @@ def test_impact_and_meeting_with_cycles(spark):
     assert {(r.a, r.b): r.distance for r in graph.between(edges, pairs, 9).collect()} == {("a", "e"): 2, ("b", "e"): 3, ("c", "c"): 0, ("b", "d"): 2}
 
 
+def test_meetings_equal_searches_of_all_pairs(spark):
+    """Starts and ends of a group as pairs, on random edges; a start in two groups, and ends without one."""
+    r = random.Random(5)
+    edges = spark.createDataFrame([(str(r.randrange(40)), str(r.randrange(40))) for _ in range(70)], "from_id string, to_id string").withColumn("edge_type", F.lit("X"))
+    starts = spark.createDataFrame([(str(i), i % 3) for i in range(20)] + [("1", 0)], "a string, g int")
+    ends = spark.createDataFrame([(str(i), i % 3) for i in range(15, 40)] + [("2", None)], "b string, g int")
+    for depth in (0, 1, 3, 4):
+        got = sorted(map(tuple, graph.meetings(edges, starts, ends, depth, ["g"]).collect()))
+        assert got == sorted(map(tuple, graph.between(edges, starts.join(ends, "g"), depth).collect())) and (got or not depth)
+
+
+def test_meetings_make_no_pairs(spark):
+    """Starts times ends of one group would be 900 million rows; one way meets."""
+    starts, ends = spark.range(30_000).select(F.concat(F.lit("C"), "id").alias("a"), F.lit(0).alias("g")), spark.range(30_000).select(F.concat(F.lit("S"), "id").alias("b"), F.lit(0).alias("g"))
+    edges = spark.createDataFrame([("C7", "O", "X"), ("O", "P", "X"), ("P", "S9", "X")], "from_id string, to_id string, edge_type string")
+    assert [tuple(r) for r in graph.meetings(edges, starts, ends, 3, ["g"]).collect()] == [("C7", "S9", 3)]
+
+
 def test_min_max_and_beginnings(spark):
     hits = spark.createDataFrame([(1, 1, 2.0), (1, 2, 4.0), (1, 3, 3.0), (2, 1, 5.0)], "query_id long, doc_id long, bm25 double")
     assert {(r.query_id, r.doc_id): r.share for r in lexical.min_max(hits, "query_id").collect()} == {(1, 1): 0.0, (1, 2): 1.0, (1, 3): 0.5, (2, 1): 1.0}
