@@ -6,16 +6,37 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import terms
+from ..functions.text import each, terms
 
 
-def positional(docs: DataFrame, key: str | list[str], text: str) -> DataFrame:
-    """(term, *key, tf, doc_len, positions): where a term stands in a document, from 0, ascending. A repeated row of a document changes nothing."""
+def placed(docs: DataFrame, key: str | list[str], text: str) -> DataFrame:
+    """(term, *key, tf, doc_len, positions): where a term stands in a document, from 0, ascending. Each row for itself: its places sorted by
+    term and cut where the next term begins, so that no place is a row and nothing is shuffled."""
     keys = [key] if isinstance(key, str) else key
     found = docs.select(*keys, terms(F.col(text)).alias("_all"))
-    long = found.select(*keys, F.size("_all").cast("long").alias("doc_len"), F.posexplode_outer("_all").alias("_pos", "term")).where(F.col("term").isNotNull())
-    grouped = long.groupBy("term", *keys, "doc_len").agg(F.array_sort(F.collect_set("_pos")).alias("positions"))
-    return grouped.select("term", *keys, F.size("positions").cast("long").alias("tf"), "doc_len", "positions")
+    marks = F.sort_array(F.transform("_all", lambda t, i: F.struct(t.alias("term"), i.alias("pos"))))
+    sorted_ = found.select(*keys, F.size("_all").cast("long").alias("doc_len"), marks.alias("_marks"))
+    begins = F.transform("_marks", lambda m, i: F.when((i == 0) | (m["term"] != F.get("_marks", i - 1)["term"]), i))
+    cut_ = sorted_.select(*keys, "doc_len", "_marks", F.filter(begins, lambda i: i.isNotNull()).alias("_begins"))
+
+    def run(b: Column, n: Column) -> Column:
+        end = F.coalesce(F.get("_begins", n + 1), F.size("_marks"))
+        return F.struct(F.get("_marks", b)["term"].alias("term"), F.transform(F.slice("_marks", b + 1, end - b), lambda m: m["pos"]).alias("positions"))
+
+    long = each(cut_, [*keys, "doc_len"], F.transform("_begins", run), "_x")
+    return long.select("_x.term", *keys, F.size("_x.positions").cast("long").alias("tf"), "doc_len", "_x.positions")
+
+
+def positional(docs: DataFrame, key: str | list[str], text: str, only: DataFrame | None = None) -> DataFrame:
+    """As ``placed``, but a repeated row of a document changes nothing. With ``only`` (term, ..) other terms are left out before anything is shuffled. Rows are
+    dealt out by ``key``, so that what follows for each document stays where it is."""
+    keys = [key] if isinstance(key, str) else key
+    found = placed(docs, keys, text)
+    if only is not None:
+        found = found.join(only.select("term").distinct(), "term", "left_semi")
+    grouped = found.repartition(*keys).groupBy("term", *keys, "doc_len").agg(F.collect_set("positions").alias("_sets"))
+    positions = F.when(F.size("_sets") == 1, F.get("_sets", 0)).otherwise(F.array_sort(F.array_distinct(F.flatten("_sets"))))
+    return grouped.select("term", *keys, positions.alias("positions"), "doc_len").select("term", *keys, F.size("positions").cast("long").alias("tf"), "doc_len", "positions")
 
 
 def asked(queries: DataFrame, query: str, text: str) -> DataFrame:

@@ -25,6 +25,17 @@ def test_positions(post):
     assert rows[1, "oven"] == (2, 8, [2, 6]) and rows[6, "a"][0] == 5000 and not any(d in (3, 4) for d, _ in rows)
 
 
+def test_only_asked_places_are_dealt_out(spark, post):
+    """Places are no rows before the shuffle, and of other terms none is in it; a repeated row changes nothing."""
+    docs = spark.createDataFrame(DOCS + DOCS[:2], "doc_id long, text string")
+    only = spark.createDataFrame([("oven",), ("old",), ("oven",), ("none",)], "term string")
+    got = positions.positional(docs, "doc_id", "text", only=only)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, post.where("term IN ('oven', 'old')").collect()))
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    assert "Repartition" not in plan(positions.placed(docs, "doc_id", "text")) and "Aggregate" not in plan(positions.placed(docs, "doc_id", "text"))
+    assert plan(got).index("RepartitionByExpression") < plan(got).index("LeftSemi")  # plans are read from below
+
+
 def test_phrases_with_repeated_words(spark, post):
     ask = asked(spark, "oven timer", "timer oven timer", "oven", "", "never seen")
     got = sorted((r.query_id, r.doc_id, r.n_found, r.first) for r in positions.phrases(ask, post).collect())
