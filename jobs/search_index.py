@@ -59,13 +59,13 @@ def run(spark: SparkSession, documents: str, index: str, checkpoint: str, conf:
         text = F.coalesce(F.col(c["text"]).cast("string"), F.lit(""))
         rows = batch.select(F.col(c["id"]).alias("id"), text.alias("text"), F.xxhash64(text).alias("version"), *kept)
         n, without = rows.agg(F.count(F.lit(1)), F.count_if(F.col("id").isNull())).first()
-        rows = rows.where(F.col("id").isNotNull())
-        post = positions.positional(rows, ["id", "version"], "text")
+        rows = rows.where(F.col("id").isNotNull()).dropDuplicates(["id", "version"])
+        post = positions.placed(rows, ["id", "version"], "text")  # of a row by itself: texts are shuffled, not their words' places
         placed = post.withColumn("segment", F.lit(number)).withColumn("bucket", F.pmod(F.xxhash64("term"), F.lit(c["buckets"])).cast("int"))
         # whole buckets together, large ones split by size
         write(placed.hint("rebalance", "bucket").sortWithinPartitions("bucket", "term", "id"), f"{index}/postings", "bucket")
         sized = rows.select("id", "version", F.size(terms(F.col("text"))).cast("long").alias("n_terms"), *kept, F.lit(number).alias("segment"))
-        write(sized.dropDuplicates(["id", "version"]), f"{index}/documents")
+        write(sized, f"{index}/documents")
         made = written(spark, f"{index}/postings/segment={number}")
         log.info("segment %d: read %d rows (%d without an id), wrote %d postings to %s", number, n, without, made, index)
         for k, v in (("batches", 1), ("rows", n), ("without_id", without), ("postings", made)):
@@ -79,11 +79,14 @@ def run(spark: SparkSession, documents: str, index: str, checkpoint: str, conf:
     return done
 
 
-def current(spark: SparkSession, index: str) -> DataFrame:
-    """The postings of each document's newest rows."""
-    docs = spark.read.parquet(f"{index.rstrip('/')}/documents")
+def current(spark: SparkSession, index: str, few: int = 200_000) -> DataFrame:
+    """The postings of each document's newest rows. Those of older rows are left out by a list of these, which is sent to the tasks if it has ``few`` at most;
+    postings then stay where they are read."""
+    docs = spark.read.parquet(f"{index.rstrip('/')}/documents").select("id", "segment", "version")
     newest = docs.groupBy("id").agg(F.max(F.struct("segment", "version")).alias("n")).select("id", "n.segment", "n.version")
-    return spark.read.parquet(f"{index.rstrip('/')}/postings").join(newest, ["id", "segment", "version"], "left_semi")
+    old = docs.join(newest, ["id", "segment", "version"], "left_anti")
+    post, n = spark.read.parquet(f"{index.rstrip('/')}/postings"), old.count()
+    return post.join(F.broadcast(old) if n <= few else old, ["id", "segment", "version"], "left_anti") if n else post
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
