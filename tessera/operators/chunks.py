@@ -68,17 +68,18 @@ def parsed(files: DataFrame) -> DataFrame:
     return decl.unionByName(block).where(F.col("text").rlike(r"\S"))
 
 
-def declared(files: DataFrame) -> DataFrame:
+def declared(files: DataFrame, *keep: str) -> DataFrame:
     """As ``parsed``, with declarations that end where their bodies end: each outermost function, arrow function, ``const`` or ``let``
-    statement is a chunk, and so is each import. A capital makes a component only if there is a tag."""
-    each = files.select(F.col("id").alias("file_id"), "text", F.posexplode(spans(F.col("text"))).alias("ordinal", "s"))
+    statement is a chunk, and so is each import. A capital makes a component only if there is a tag. Columns of files
+    in ``keep`` go along, so that chunks needn't be joined with files again."""
+    each = files.select(F.col("id").alias("file_id"), *keep, "text", F.posexplode(spans(F.col("text"))).alias("ordinal", "s"))
     body = F.substring("text", F.col("s.start"), F.col("s.length"))
-    rows = each.select("file_id", "ordinal", "s.is_import", "s.start_line", "s.end_line", body.alias("text")).where(F.col("text").rlike(r"\S"))
+    rows = each.select("file_id", *keep, "ordinal", "s.is_import", "s.start_line", "s.end_line", body.alias("text")).where(F.col("text").rlike(r"\S"))
     named = rows.withColumn("name", F.when(~F.col("is_import"), F.nullif(F.regexp_extract("text", fixed.DECLARED, 1), F.lit(""))))
     kind = F.when(F.col("is_import"), "IMPORT_BLOCK").otherwise(F.coalesce(kind_of(F.col("name"), F.col("text")), F.lit("FUNCTION")))
     imported = F.array_distinct(F.filter(F.regexp_extract_all("text", F.lit(fixed.IMPORTED), F.lit(1)), lambda t: (F.length(t) >= fixed.MIN_SYMBOL) & ~t.isin(fixed.NOISE)))
     found = F.when(F.col("is_import"), imported).otherwise(symbols(F.col("name"), F.col("text")))
-    return named.select("file_id", "ordinal", kind.alias("chunk_type"), "name", "text", "start_line", "end_line", found.alias("symbols"))
+    return named.select("file_id", "ordinal", kind.alias("chunk_type"), "name", "text", "start_line", "end_line", found.alias("symbols"), *keep)
 
 
 def whole_files(files: DataFrame, chunks: DataFrame) -> DataFrame:

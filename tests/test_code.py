@@ -12,6 +12,7 @@ from project import FILES
 from tessera.engine import Engine
 from tessera.functions.code import declarations, tokens
 from tessera.operators import chunks
+from tessera.queries import QUERIES
 from tessera.sources import config
 
 CODE = r'''import React, { useState } from 'react';
@@ -94,6 +95,14 @@ def test_declared_chunks(spark):
     assert by["open", "half"].end_line == 2
 
 
+def test_scanned_chunks_join_nothing(spark, tmp_path):
+    """Paths go along with chunks: a join with the files again was sent through the driver, as the table of parts looks small."""
+    spark.range(60).select(F.col("id").alias("p_partkey")).write.parquet(str(tmp_path / "part.parquet"))
+    found = QUERIES["scanned_chunks"](spark, str(tmp_path))
+    assert "Join" not in found._jdf.queryExecution().optimizedPlan().toString()
+    assert {r.path for r in found.collect()} == {f"src/h{k}.tsx" for k in range(60)}
+
+
 def test_very_long_code_in_one_pass():
     text = "const x = [" + "{ a: (1), b: '}' },\n" * 100_000 + "];\n" + "f(a)(b);\n" * 50_000
     assert [text[a:z][:9] for _, a, z in declarations(text)] == ["const x ="]
