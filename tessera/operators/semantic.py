@@ -18,8 +18,8 @@ def shifted(cosine: Column) -> Column:
 GROUP_BYTES = 64 << 20
 
 
-def search(queries: DataFrame, vectors: DataFrame, k: int, query: str = "query_id", key: str = "vec_id", vector: str = "vector", block: int = 256) -> DataFrame:
-    """(query, key, cosine, rank): the k nearest rows of each query, over all rows.
+def search(queries: DataFrame, vectors: DataFrame, k: int, query: str = "query_id", key: str = "vec_id", vector: str = "vector", block: int = 256, planes: np.ndarray | None = None, probes: int = 0) -> DataFrame:
+    """(query, key, cosine, rank): the k nearest rows of each query, over all rows, or with ``planes`` over those of a bucket that it probes (``near``).
 
     Vectors are dealt into groups that fit in a task. Each group meets all queries, which stream through it in blocks: a matrix
     product, and of each (query, group) k rows go on. Neither side passes through the driver, and no row is paired by itself."""
@@ -37,10 +37,12 @@ def search(queries: DataFrame, vectors: DataFrame, k: int, query: str = "query_i
     def matrix(col: pa.Array) -> np.ndarray:
         return np.asarray(col.flatten()).reshape(len(col), -1)
 
-    def best(keys: pa.Array, m: np.ndarray, order_of: np.ndarray, names: pa.Array, q: np.ndarray):
+    def best(keys: pa.Array, m: np.ndarray, order_of: np.ndarray, own: np.ndarray | None, names: pa.Array, q: np.ndarray):
         scores = np.round(q @ m.T, 12)
         n = min(k, len(keys))
-        i, j = np.nonzero(scores >= np.partition(scores, len(keys) - n, axis=1)[:, len(keys) - n, None])
+        if own is not None:
+            scores[~shared(*buckets(q, planes, probes), own)] = -np.inf
+        i, j = np.nonzero((scores >= np.partition(scores, len(keys) - n, axis=1)[:, len(keys) - n, None]) & (scores > -np.inf))
         s = scores[i, j]
         order = np.lexsort((order_of[j], -s, i))  # ties by the least key
         order = order[np.arange(len(order)) - np.searchsorted(i[order], i[order]) < n]
@@ -62,7 +64,8 @@ def search(queries: DataFrame, vectors: DataFrame, k: int, query: str = "query_i
                     continue
                 if held is None and parts:
                     keys, parts = pa.concat_arrays([p[0] for p in parts]), [p[1] for p in parts]
-                    held, parts = (keys, np.concatenate(parts), np.argsort(np.asarray(pc.sort_indices(keys)))), []
+                    m = np.concatenate(parts)
+                    held, parts = (keys, m, np.argsort(np.asarray(pc.sort_indices(keys))), None if planes is None else buckets(m, planes)[0]), []
                 for a in range(0, rows.num_rows if held else 0, block):
                     some = rows.slice(a, block)
                     yield best(*held, some["q"], matrix(some["v"]))
@@ -92,47 +95,29 @@ def hyperplane_bits(vector: Column, dims: int, tables: int = 4, bits: int = 8, s
     return out
 
 
-def signatures(rows: DataFrame, key: str, vector: str, planes: np.ndarray, probes: int = 0) -> DataFrame:
-    """(key, t, bucket): for each of the tables the bucket of a vector, by the sides of its hyperplanes (planes: tables, bits, dims).
-    With ``probes`` also the buckets on the other sides of so many planes that the vector is closest to, in all their combinations."""
-    import pyarrow as pa
+def buckets(v: np.ndarray, planes: np.ndarray, probes: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """For each of some vectors and tables the bucket, by the sides of the table's hyperplanes (planes: tables, bits, dims), and the bits of so many
+    planes that the vector is closest to."""
+    worth = 1 << np.arange(planes.shape[1])
+    sides = np.einsum("nd,tbd->ntb", v[:, : planes.shape[2]], planes)
+    close = np.argsort(np.abs(sides), axis=2, kind="stable")[:, :, :probes]
+    return ((sides >= 0) * worth).sum(axis=2), worth[close].sum(axis=2)
 
-    tables, bits, dims = planes.shape
-    kind = rows.schema[key].dataType.simpleString()
-    worth = 1 << np.arange(bits)
 
-    def run(batches):
-        for b in batches:
-            n = b.num_rows
-            if not n:
-                continue
-            sides = np.einsum("nd,tbd->ntb", np.asarray(b["v"].flatten()).reshape(n, -1)[:, :dims], planes)
-            own = ((sides >= 0) * worth).sum(axis=2)[:, :, None]
-            if probes:
-                close = worth[np.argsort(np.abs(sides), axis=2, kind="stable")[:, :, :probes]]
-                flips = np.zeros((n, tables, 1), np.int64)
-                for i in range(probes):
-                    flips = np.concatenate([flips, flips + close[:, :, i, None]], axis=2)
-                own = own ^ flips
-            each = own.shape[1] * own.shape[2]
-            yield pa.record_batch({key: b["k"].take(pa.array(np.repeat(np.arange(n), each))), "t": np.tile(np.repeat(np.arange(tables, dtype=np.int32), own.shape[2]), n), "bucket": own.reshape(-1).astype(np.int64)})
-
-    own = rows.where(F.col(vector).isNotNull()).select(F.col(key).alias("k"), doubles(F.col(vector)).alias("v"))
-    return own.mapInArrow(run, f"{key} {kind}, t int, bucket long")
+def shared(asked: np.ndarray, free: np.ndarray, own: np.ndarray) -> np.ndarray:
+    """(query, row): whether they share a bucket in a table, the query's bits ``free`` being either way."""
+    out = np.zeros((len(asked), len(own)), bool)
+    for t in range(asked.shape[1]):
+        fixed_ = ~free[:, t]
+        out |= (asked[:, t] & fixed_)[:, None] == (own[:, t][None, :] & fixed_[:, None])
+    return out
 
 
 def near(queries: DataFrame, vectors: DataFrame, k: int, planes: np.ndarray, probes: int = 3, query: str = "query_id", key: str = "vec_id", vector: str = "vector") -> DataFrame:
-    """(query, key, cosine, rank): the k nearest of the rows that share a bucket with the query in a table. Buckets are joined by
-    number, so a query meets a few of the rows only; those met are scored exactly. Vectors go to the
-    pairs once, after these are distinct."""
-    asked, stored_ = (signatures(df, c, vector, planes, p) for df, c, p in ((queries, query, probes), (vectors, key, 0)))
-    pairs = asked.join(stored_, ["t", "bucket"]).select(query, key).distinct()
-    from ..functions.vectors import dot
-
-    q = queries.select(query, doubles(F.col(vector)).alias("_q"))
-    v = vectors.select(key, doubles(F.col(vector)).alias("_v"))
-    scored = pairs.join(v, key).join(q, query).select(query, key, F.round(dot(F.col("_v"), F.col("_q")), 12).alias("cosine"))
-    return top(scored, [query], "cosine", key, k)
+    """(query, key, cosine, rank): the k nearest of the rows that share a bucket with the query in a table, with ``probes`` also those on the other sides of
+    so many planes that it is closest to, in all their combinations. Buckets are compared in blocks, as vectors are in ``search``: where buckets are wide
+    most rows are met, and pairs of them would grow with queries times rows."""
+    return search(queries, vectors, k, query, key, vector, planes=planes, probes=probes)
 
 
 def exemplars(queries: DataFrame, samples: DataFrame, query: str, label: str, vector: str = "vector") -> DataFrame:

@@ -130,6 +130,22 @@ def test_impact_and_meeting_with_cycles(spark):
     assert {(r.a, r.b): r.distance for r in graph.between(edges, pairs, 9).collect()} == {("a", "e"): 2, ("b", "e"): 3, ("c", "c"): 0, ("b", "d"): 2}
 
 
+def test_bucket_search_makes_no_pairs(spark):
+    """Against a plain loop over queries; a query that meets nothing has no rows, and no row is paired by a join."""
+    r = np.random.default_rng(2)
+    v, planes = r.normal(size=(90, 6)), r.normal(size=(2, 5, 6))
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, vector array<double>")
+    q = df.where("vec_id % 9 = 0").withColumnRenamed("vec_id", "query_id")
+    found = semantic.near(q, df.where("vec_id % 4 <> 0"), 4, planes, 1)
+    assert "Join" not in found._jdf.queryExecution().optimizedPlan().toString()
+    sides = np.einsum("nd,tbd->ntb", v, planes)
+    want = set()
+    for i in range(0, 90, 9):
+        ok = [j for j in range(90) if j % 4 and any(all(b == np.abs(sides[i, t]).argmin() or (sides[i, t, b] >= 0) == (sides[j, t, b] >= 0) for b in range(5)) for t in range(2))]
+        want |= {(i, n, j) for n, j in enumerate(sorted(ok, key=lambda j: (-round(v[i] @ v[j], 12), j))[:4], 1)}
+    assert {(x.query_id, x["rank"], x.vec_id) for x in found.collect()} == want
+
+
 def test_meetings_equal_searches_of_all_pairs(spark):
     """Starts and ends of a group as pairs, on random edges; a start in two groups, and ends without one."""
     r = random.Random(5)
