@@ -103,6 +103,18 @@ def test_odd_rows_of_the_index(spark, tmp_path):
         assert (done["rows"], done["postings"]) == (len(none), 0)
 
 
+def test_current_postings_are_not_joined_without_older_rows(spark, tmp_path):
+    folder, index, mark = (str(tmp_path / n) for n in ("docs", "index", "mark"))
+    rows = lambda x: spark.createDataFrame(x, "doc_id long, lang string, source string, text string").coalesce(1)
+    rows([(1, "en", "s", "old oven"), (2, "en", "s", "timer")]).write.parquet(folder)
+    search_index.run(spark, folder, index, mark)
+    assert "Join" not in search_index.current(spark, index)._jdf.queryExecution().optimizedPlan().toString()
+    rows([(1, "en", "s", "new")]).write.mode("append").parquet(folder)
+    search_index.run(spark, folder, index, mark)
+    for few in (0, 10):
+        assert sorted((r.id, r.term) for r in search_index.current(spark, index, few).collect()) == [(1, "new"), (2, "timer")]
+
+
 def test_evidence_is_packed_and_reruns_are_the_same(spark, tmp_path):
     at = str(tmp_path / "out")
     done = evidence_packs.run(spark, f"{D}/documents.parquet", f"{D}/benchmark.parquet", at)
