@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed
 from ..functions.code import spans
+from ..functions.text import each as text_each
 from ..functions.text import n_tokens, summary, symbols
+from ..functions.vectors import once
 
 LINE_END = r"\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x85\x{2028}\x{2029}]"
 
@@ -44,28 +46,35 @@ def kind_of(name: Column, text: Column | None = None) -> Column:
     return F.when(name.startswith("use"), "HOOK").when(big, "COMPONENT").otherwise("FUNCTION")
 
 
+def starts(text: Column, pattern: str) -> Column:
+    """(name, start_line) of each match of a declaration's pattern, in order. What stands between matches is what splitting the text by the pattern gives, so
+    the text is gone through in a line; a pattern with a lazy beginning would, after the last match, try the rest of the text from each of its characters."""
+    ends = lambda x: F.regexp_count(x, F.lit("\n"))
+    # each match with the line ends before it, since the last match, and in it; what follows the last match has none
+    steps = F.arrays_zip(F.transform(F.split(text, pattern), ends).alias("gap"), F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda x: F.struct(F.regexp_extract(x, pattern, 1).alias("name"), ends(x).alias("own"))).alias("head"))
+    none = F.array().cast("array<struct<name:string,start_line:int>>")
+    found = lambda s, x: F.concat(s["rows"], F.array(F.struct(x["head"]["name"].alias("name"), (s["at"] + x["gap"]).alias("start_line"))))
+    return F.aggregate(steps, F.struct(F.lit(1).alias("at"), none.alias("rows")), lambda s, x: F.when(x["head"].isNull(), s).otherwise(F.struct((s["at"] + x["gap"] + x["head"]["own"]).alias("at"), found(s, x).alias("rows"))), lambda s: s["rows"])
+
+
 def parsed(files: DataFrame) -> DataFrame:
     """(file_id, ordinal, chunk_type, name, text, start_line, end_line, symbols) from files (id, text): a chunk of 61 lines
     from each function or arrow declaration on, and one from the first import line to the last."""
-    lines = F.split("text", LINE_END)
-    cut = files.select(F.col("id").alias("file_id"), "text", lines.alias("lines"))
-    found = None
-    for i, pattern in enumerate((fixed.FUNCTION, fixed.ARROW)):
-        # each declaration with what stands before it: its line is the number of line ends there
-        names = F.regexp_extract_all("text", F.lit(pattern), F.lit(1))
-        one = cut.select("file_id", "lines", F.posexplode(names).alias("n", "name"), F.lit(i).alias("rule"), F.regexp_extract_all("text", F.lit(f"(?s)(.*?)(?:{pattern})"), F.lit(1)).alias("gaps"), F.regexp_extract_all("text", F.lit(pattern), F.lit(0)).alias("heads"))
-        found = one if found is None else found.unionByName(one)
-    ends = lambda c: F.regexp_count(c, F.lit("\n"))
-    before = F.aggregate(F.zip_with(F.slice("gaps", 1, F.col("n") + 1), F.concat(F.slice("heads", 1, F.col("n")), F.array(F.lit(""))), lambda g, h: ends(g) + ends(h)), F.lit(0), lambda s, x: s + x)
-    start = (before + 1).cast("int")
-    end = F.least(F.col("start_line") + (fixed.CHUNK_LINES - 1), F.size("lines"))
-    decl = found.withColumn("start_line", start).withColumn("end_line", end).withColumn("body", F.array_join(F.slice("lines", F.col("start_line"), F.greatest(F.lit(0), F.col("end_line") - F.col("start_line") + 1)), "\n"))
-    decl = decl.select("file_id", (F.col("rule") * 100_000 + F.col("n")).alias("ordinal"), kind_of(F.col("name")).alias("chunk_type"), "name", F.col("body").alias("text"), "start_line", "end_line", symbols(F.col("name"), F.col("body")).alias("symbols"))
-    at = F.filter(F.transform("lines", lambda x, i: F.when(F.regexp_replace(x, r"^\s+", "").startswith("import "), i + 1)), lambda x: x.isNotNull())
-    imports = cut.withColumn("at", at).where(F.size("at") > 0).select("file_id", "lines", F.get("at", 0).alias("start_line"), F.element_at("at", -1).alias("end_line"))
-    imports = imports.withColumn("text", F.array_join(F.slice("lines", F.col("start_line"), F.col("end_line") - F.col("start_line") + 1), "\n"))
-    block = imports.select("file_id", F.lit(1_000_000).alias("ordinal"), F.lit("IMPORT_BLOCK").alias("chunk_type"), F.lit(None).cast("string").alias("name"), "text", "start_line", "end_line", F.array_distinct(F.regexp_extract_all("text", F.lit(fixed.IMPORTED), F.lit(1))).alias("symbols"))
-    return decl.unionByName(block).where(F.col("text").rlike(r"\S"))
+    last = F.size("lines")
+
+    def places(rule: int, pattern: str) -> Column:
+        return F.transform(starts(F.col("text"), pattern), lambda x, n: F.struct((n + rule * 100_000).alias("ordinal"), x["name"].alias("name"), x["start_line"].alias("start_line"), F.least(x["start_line"] + (fixed.CHUNK_LINES - 1), last).alias("end_line")))
+
+    at = F.filter(F.transform("lines", lambda x, i: F.when(x.rlike(r"^\s*import "), i + 1)), lambda x: x.isNotNull())
+    block = once(at, lambda at: F.when(F.size(at) > 0, F.array(F.struct(F.lit(1_000_000).alias("ordinal"), F.lit(None).cast("string").alias("name"), F.get(at, 0).alias("start_line"), F.element_at(at, -1).alias("end_line")))).otherwise(F.array().cast("array<struct<ordinal:int,name:string,start_line:int,end_line:int>>")))
+    cut = files.select(F.col("id").alias("file_id"), "text", F.split("text", LINE_END).alias("lines"))
+    # what a text has is worked out once, before it becomes rows
+    each = text_each(cut, ["file_id", "lines"], F.concat(places(0, fixed.FUNCTION), places(1, fixed.ARROW), block), "x").select("file_id", "lines", "x.*")
+    rows = each.withColumn("text", F.array_join(F.slice("lines", F.col("start_line"), F.greatest(F.lit(0), F.col("end_line") - F.col("start_line") + 1)), "\n")).where(F.col("text").rlike(r"\S"))
+    is_import = F.col("ordinal") == 1_000_000
+    kind = F.when(is_import, "IMPORT_BLOCK").otherwise(kind_of(F.col("name")))
+    found = F.when(is_import, F.array_distinct(F.regexp_extract_all("text", F.lit(fixed.IMPORTED), F.lit(1)))).otherwise(symbols(F.col("name"), F.col("text")))
+    return rows.select("file_id", "ordinal", kind.alias("chunk_type"), "name", "text", "start_line", "end_line", found.alias("symbols"))
 
 
 def declared(files: DataFrame, *keep: str) -> DataFrame:
