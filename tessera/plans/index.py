@@ -14,7 +14,7 @@ from ..operators import extract, lexical
 from ..plugins import Plugins
 from ..sources import config as configuration
 from ..sources import files as S
-from ..sources.store import SEGMENTED, Store, cut
+from ..sources.store import SEGMENTED, Store, cut, kept
 
 
 #: How declarations are found, by the setting ``indexer.parser``: by patterns, 61 lines from each on, or by a scan for their real ends.
@@ -72,10 +72,10 @@ def new_tables(files: DataFrame, config: dict, encode, model: str, plugins: Plug
     i = config["indexer"]
     parsed = PARSERS[i["parser"]](files)
     if not compat:
-        parsed = cut(parsed)
+        parsed = kept(parsed)
         parsed = parsed.unionByName(C.whole_files(files, parsed))
     own = C.stored(C.shards(parsed, i["max_chunk_tokens"], i["overlap_tokens"], i["min_chunk_tokens"]), compat)
-    chunks = cut(plugins.run("on_chunks", own.dropDuplicates(["id"])))
+    chunks = kept(plugins.run("on_chunks", own.dropDuplicates(["id"])))
     now = F.current_timestamp()
     head = F.substring("text", 1, 100)
     symbols = chunks.select(F.col("id").alias("chunk_id"), F.explode("symbols").alias("name"), F.col("chunk_type").alias("symbol_type"), head.contains("export").alias("is_exported"), head.contains("export default").alias("is_default_export"))

@@ -62,6 +62,14 @@ def cut(df: DataFrame) -> DataFrame:
     return out
 
 
+def kept(df: DataFrame) -> DataFrame:
+    """``df`` saved as Parquet beside the checkpoints, without its lineage: for tables that several plans read. Each reads its own columns, where a
+    checkpoint is whole rows, written one by one as objects."""
+    at = f"{shared_folder(df.sparkSession)}/kept-{uuid.uuid4().hex}"
+    df.write.parquet(at)
+    return df.sparkSession.read.schema(df.schema).parquet(at)
+
+
 def spread(df: DataFrame, most: int = 256 << 20) -> DataFrame:
     """A small table dealt out to all cores: a file of one row group is read by one task, which would do all that follows.
     Larger tables, by Spark's estimate of their bytes, have tasks enough and stay as they are."""

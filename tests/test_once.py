@@ -29,3 +29,16 @@ def test_long_files_are_gone_through_in_a_line(spark):
     got = sorted((r.file_id, r.ordinal, r.name, r.start_line, r.end_line, r.text) for r in chunks.parsed(spark.createDataFrame(list(enumerate(texts)), "id long, text string")).collect())
     assert time.time() - began < 60
     assert got == sorted((i, *x) for i, t in enumerate(texts) if t for x in plain(t) if re.search(r"\S", x[-1]))
+
+
+def test_tables_read_only_their_columns_of_chunks(spark):
+    from tessera.functions.vectors import hashed_encoder
+    from tessera.plans import index
+    from tessera.plugins import Plugins
+    from tessera.sources import config
+
+    files = spark.createDataFrame([("f", "src/a.ts", CODE)], "id string, path string, text string")
+    symbols = index.new_tables(files, config.load(env={}), hashed_encoder, "hashed", Plugins(), False)["symbols"]
+    read = symbols._jdf.queryExecution().executedPlan().toString()
+    assert "ReadSchema" in read and "summary" not in read and "char_count" not in read
+    assert symbols.count() > 0
