@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import fixed
+from ..functions.text import each
 from .graph import candidates, distinct_edges, resolve
 
 
@@ -67,7 +68,7 @@ def mentions(chunks: DataFrame) -> DataFrame:
     routes = F.zip_with(F.regexp_extract_all(t, F.lit(fixed.ROUTE), F.lit(1)), F.regexp_extract_all(t, F.lit(fixed.ROUTE), F.lit(2)), lambda p, n: F.struct(F.lit("DEFINES_ROUTE").alias("kind"), n.alias("name"), p.alias("path")))
     state = F.when(t.rlike(fixed.USE_STATE), F.array(F.struct(F.lit("MANAGES_STATE").alias("kind"), F.lit("").alias("name"), F.lit(None).cast("string").alias("path")))).otherwise(none)
     of_code = F.concat(found("USES_HOOK", fixed.EDGE_HOOK), found("CONSUMES_CONTEXT", fixed.USE_CONTEXT), F.when(of.isin("COMPONENT", "FUNCTION"), found("RENDERS", fixed.EDGE_TAG)).otherwise(none), routes, state)
-    rows = chunks.select(F.col("id").alias("chunk_id"), "file_id", F.explode(F.when(code, of_code).otherwise(found("IMPORTS", fixed.IMPORT_FROM))).alias("x"))
+    rows = each(chunks, [F.col("id").alias("chunk_id"), "file_id"], F.when(code, of_code).otherwise(found("IMPORTS", fixed.IMPORT_FROM)), "x")
     return rows.select("chunk_id", "file_id", "x.kind", "x.name", "x.path")
 
 

@@ -3,9 +3,10 @@
 import re
 import time
 
+import pytest
 
 from tessera.functions import fixed
-from tessera.operators import chunks
+from tessera.operators import chunks, extract
 
 CODE = "// x\r\nimport { a } from './a';\n\n  import b from './b';\nexport default async function one(x) {\n  return x;\n}\nconst two = (y) =>\n  y;\nexport\nfunction\nthree (z) {}\nlet four=async(w) => w; const five = (v) => v;\n"
 
@@ -31,6 +32,20 @@ def test_long_files_are_gone_through_in_a_line(spark):
     assert got == sorted((i, *x) for i, t in enumerate(texts) if t for x in plain(t) if re.search(r"\S", x[-1]))
 
 
+@pytest.fixture(scope="module")
+def code(spark):
+    return spark.createDataFrame([("c", "f", "COMPONENT", "const [a, setA] = useState(0);\nuseQuery('/q');\n<Route path='/r' element={<Page />} />")], "id string, file_id string, chunk_type string, text string")
+
+
+def plan(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_names_are_searched_once(code):
+    p = plan(extract.mentions(code))
+    assert [p.count(x) for x in (fixed.EDGE_HOOK, fixed.USE_CONTEXT, fixed.EDGE_TAG, fixed.IMPORT_FROM)] == [1] * 4
+
+
 def test_tables_read_only_their_columns_of_chunks(spark):
     from tessera.functions.vectors import hashed_encoder
     from tessera.plans import index
