@@ -46,6 +46,11 @@ def test_names_are_searched_once(code):
     assert [p.count(x) for x in (fixed.EDGE_HOOK, fixed.USE_CONTEXT, fixed.EDGE_TAG, fixed.IMPORT_FROM)] == [1] * 4
 
 
+def test_routes_are_searched_once(code):
+    assert plan(extract.mentions(code).where("kind = 'DEFINES_ROUTE'")).count(fixed.ROUTE) == 2  # a group each
+    assert [(r.name, r.path) for r in extract.mentions(code).where("kind = 'DEFINES_ROUTE'").collect()] == [("Page", "/r")]
+
+
 def test_tables_read_only_their_columns_of_chunks(spark):
     from tessera.functions.vectors import hashed_encoder
     from tessera.plans import index
