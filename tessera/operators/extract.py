@@ -16,18 +16,18 @@ def api_calls(chunks: DataFrame, key: str = "chunk_id", text: str = "text") -> D
     take = lambda p, g: F.regexp_extract_all(t, F.lit(p), F.lit(g))
 
     def calls(methods, ends, client: str, dynamic: bool):
-        return F.zip_with(methods, ends, lambda m, e: F.struct(F.upper(F.coalesce(F.nullif(m, F.lit("")), F.lit("GET"))).alias("method"), e.alias("endpoint"), F.lit(client).alias("client_type"), F.lit(dynamic).alias("is_dynamic")))
+        one = lambda m, e: F.struct(F.upper(F.coalesce(F.nullif(m, F.lit("")), F.lit("GET"))).alias("method"), e.alias("endpoint"), F.lit(client).alias("client_type"), F.lit(dynamic).alias("is_dynamic"))
+        return F.transform(ends, lambda e: one(F.lit("GET"), e)) if methods is None else F.zip_with(methods, ends, one)
 
-    none = lambda ends: F.transform(ends, lambda _: F.lit(None).cast("string"))
     template, base = F.transform(take(fixed.FETCH_TEMPLATE, 1), lambda e: F.concat(e, F.lit("*"))), F.transform(take(fixed.BASE_URL, 1), lambda e: F.concat(e, F.lit("/*")))
     rules = [
         calls(take(fixed.FETCH, 2), take(fixed.FETCH, 1), "fetch", False),
-        calls(none(template), template, "fetch", True),
+        calls(None, template, "fetch", True),
         calls(take(fixed.AXIOS, 1), take(fixed.AXIOS, 2), "axios", False),
-        calls(none(take(fixed.USE_QUERY, 1)), take(fixed.USE_QUERY, 1), "useQuery", False),
-        calls(none(base), base, "rtk", True),
+        calls(None, take(fixed.USE_QUERY, 1), "useQuery", False),
+        calls(None, base, "rtk", True),
     ]
-    every = chunks.select(key, F.posexplode(F.concat(*rules)).alias("n", "c"))
+    every = chunks.select(key, F.posexplode_outer(F.concat(*rules)).alias("n", "c")).where("c IS NOT NULL")  # as text.each
     first = every.groupBy(key, F.col("c.method").alias("method"), F.col("c.endpoint").alias("endpoint")).agg(F.min_by("c", "n").alias("c"))
     return first.select(key, "method", "endpoint", "c.client_type", "c.is_dynamic")
 

@@ -51,6 +51,12 @@ def test_routes_are_searched_once(code):
     assert [(r.name, r.path) for r in extract.mentions(code).where("kind = 'DEFINES_ROUTE'").collect()] == [("Page", "/r")]
 
 
+def test_calls_are_searched_once(code):
+    calls = extract.api_calls(code, "id")
+    assert plan(calls).count(fixed.USE_QUERY) == 1 and plan(calls).count(fixed.FETCH) == 2
+    assert [tuple(r) for r in calls.collect()] == [("c", "GET", "/q", "useQuery", False)]
+
+
 def test_tables_read_only_their_columns_of_chunks(spark):
     from tessera.functions.vectors import hashed_encoder
     from tessera.plans import index
