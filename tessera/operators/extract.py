@@ -55,7 +55,7 @@ def parts(chunks: DataFrame, key: str = "id", text: str = "text") -> DataFrame:
         found("state", r"\[\s*(\w+)\s*,\s*\w+\s*\]\s*=\s*(?:React\.)?use(?:State|Reducer)\b"), found("context", r"\buseContext\(\s*(\w+)"),
         found("provider", r"(\w+)\s*=\s*(?:React\.)?createContext\b"), found("handler", r"\b(on[A-Z]\w*)\s*=\s*\{"),
     )
-    return chunks.select(key, F.explode(every).alias("x")).select(key, "x.part", "x.name")
+    return each(chunks, [key], every, "x").select(key, "x.part", "x.name")
 
 
 def mentions(chunks: DataFrame) -> DataFrame:

@@ -57,6 +57,12 @@ def test_calls_are_searched_once(code):
     assert [tuple(r) for r in calls.collect()] == [("c", "GET", "/q", "useQuery", False)]
 
 
+def test_parts_are_searched_once(code):
+    parts = extract.parts(code)
+    assert plan(parts).count("useContext") == 1
+    assert [(r.part, r.name) for r in parts.collect()] == [("state", "a")]
+
+
 def test_tables_read_only_their_columns_of_chunks(spark):
     from tessera.functions.vectors import hashed_encoder
     from tessera.plans import index
