@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import fixed
-from ..sources.store import cut
+from ..sources.store import cut, kept
 
 
 def distinct_edges(edges: DataFrame, order: list[str]) -> DataFrame:
@@ -91,16 +91,17 @@ def distances(edges: DataFrame, seeds: DataFrame, depth: int = 5) -> DataFrame:
 
 def impact(edges: DataFrame, seeds: DataFrame, depth: int, reverse: bool = True, edge_types: list[str] | None = None) -> DataFrame:
     """(seed, node, distance, path, kinds): what each seed (node) reaches, or with ``reverse`` what depends on it, by a shortest path of ``depth`` edges
-    at most; of equal ones the least. No node is entered twice by a seed, so cycles end."""
+    at most; of equal ones the least. No node is entered twice by a seed, so cycles end. Levels are kept as columns: what is
+    known of a level is asked by its ends alone, without the ways."""
     if edge_types:
         edges = edges.where(F.col("edge_type").isin(edge_types))
     a, b = ("to_id", "from_id") if reverse else ("from_id", "to_id")
-    at = cut(seeds.select(F.col("node").alias("seed"), "node", F.lit(0).alias("distance"), F.array("node").alias("path"), F.array().cast("array<string>").alias("kinds")).distinct())
+    at = kept(seeds.select(F.col("node").alias("seed"), "node", F.lit(0).alias("distance"), F.array("node").alias("path"), F.array().cast("array<string>").alias("kinds")).distinct())
     steps, every = by_start(edges.select(F.col(a).alias("node"), F.col(b).alias("next"), "edge_type")), at
     for level in range(1, depth + 1):
         way = F.struct(F.concat("path", F.array("next")).alias("path"), F.concat("kinds", F.array("edge_type")).alias("kinds"))
         least = at.join(steps, "node").groupBy("seed", "next").agg(F.min(way).alias("w"))
-        at = cut(least.select("seed", F.col("next").alias("node"), F.lit(level).alias("distance"), "w.path", "w.kinds").join(every.select("seed", "node"), ["seed", "node"], "left_anti"))
+        at = kept(least.select("seed", F.col("next").alias("node"), F.lit(level).alias("distance"), "w.path", "w.kinds").join(every.select("seed", "node"), ["seed", "node"], "left_anti"))
         every = every.unionByName(at)
     steps.unpersist()
     return every.where("distance > 0")

@@ -84,3 +84,13 @@ def test_postings_of_a_small_table_are_worked_out_on_all_cores(spark):
     post = queries_code._postings(docs)
     assert "RepartitionByExpression" in plan(post)
     assert post.where("file_id <> chunk_id OR file_id IS NULL").isEmpty() and not post.isEmpty()
+
+
+def test_levels_of_impact_are_kept_as_columns(spark):
+    """Before, each level was whole rows, ways and all, read again for every later level's ends."""
+    from tessera.operators import graph
+
+    edges = spark.createDataFrame([("b", "a", "X"), ("c", "b", "Y"), ("a", "c", "X"), ("c", "a", "Z")], "from_id string, to_id string, edge_type string")
+    found = graph.impact(edges, spark.createDataFrame([("a",)], "node string"), 3)
+    assert "LogicalRDD" not in plan(found)
+    assert sorted((r.node, r.distance, r.path, r.kinds) for r in found.collect()) == [("b", 1, ["a", "b"], ["X"]), ("c", 1, ["a", "c"], ["Z"])]
