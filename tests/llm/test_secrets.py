@@ -156,3 +156,40 @@ def test_spans_of_the_network_equal_a_plain_version(spark):
                     spans.append((j, 3, k))
             j = max(k, j + 1)
         assert got[i] == ",".join(f"{secrets.KINDS[k]}:{a}:{z}" for a, k, z in sorted(spans))
+
+
+def test_findings_of_all_rows_train_the_network(spark):
+    """Before, 12,000 rows with the least hashes of their ids did; here what is to be learnt is in other rows."""
+    from pyspark.sql import functions as F
+
+    ids = spark.range(12_600).orderBy(F.xxhash64("id").desc()).limit(400)
+    rows = {r.id: t for r, (_, t) in zip(sorted(ids.collect()), made(400), strict=True)}
+    docs = spark.createDataFrame([(i, rows.get(i, "short")) for i in range(12_600)], "doc_id long, text string")
+    s = secrets.Settings()
+    got = sorted((r.window, r.y, r.back) for r in secrets.findings(docs, s).collect())
+    assert got == sorted({(*x, secrets.held_back(x[0], s)) for t in rows.values() for x in secrets.labelled(t, s)})
+    assert secrets.fit(docs) is not None
+
+
+def test_groups_of_findings_make_one_network(spark):
+    """Networks of small groups, averaged after each round, find what one of all findings does; the order of rows doesn't matter."""
+    docs = spark.createDataFrame(made(800), "doc_id long, text string")
+    s = secrets.Settings(group=100)
+    net, again = secrets.fit(docs, s), secrets.fit(docs.orderBy("text").repartition(3), s)
+    assert (net.flat() == again.flat()).all() and net.threshold == again.threshold
+    found = sorted({x for _, t in made(200, 9) for x in secrets.labelled(t, s)})
+    hit = net.probability(secrets.coded([w for w, _ in found], s), s) >= net.threshold
+    assert hit[[y == 1 for _, y in found]].mean() >= 0.9 and hit[[y == 0 for _, y in found]].mean() <= 0.05
+
+
+def test_threshold_is_the_highest_with_the_recall():
+    """On the grid of logits, against all findings in a row."""
+    s, rng = secrets.Settings(), np.random.default_rng(1)
+    z, y = np.floor(rng.normal(0, 3, 500) * secrets.GRID).astype(int), rng.integers(0, 2, 500)
+    z += 4 * secrets.GRID * y
+    net, one = secrets.initial(s), secrets.initial(s)
+    keys, n = np.unique(np.stack([z, y]), axis=1, return_counts=True)
+    secrets.calibrate(net, *keys, n, s)
+    secrets.calibrate(one, z, y, np.ones(500), s)
+    p = np.sort(net.calibrated(z[y > 0] / secrets.GRID))
+    assert net.threshold == p[int(np.floor(len(p) * (1 - s.recall)))] and (net.a, net.b) == pytest.approx((one.a, one.b))
