@@ -16,7 +16,7 @@ Training covers every training text. A first pass cuts the texts into blocks (co
 counts, for each row of the table, the classes or columns that followed. Dictionaries go to owners of hash ranges of words, which
 add up the counts and send each block the counts of its words: a row for each block and owner with words, so
 never more rows than words. In each update, tasks work out what the current weights expect to follow in training
-blocks (all of them in the first update; a hashed ``share`` of all, the same at every size of corpus, in later ones), the expectations are summed by range of rows, and
+blocks (all of them in each update, unless a ``share`` is asked for in later ones), the expectations are summed by range of rows, and
 there each weight takes a step along its gradient, what was counted less what is expected, scaled by itself as in iterative
 scaling. In the first update all weights are zero and all histories of a class expect the same, so that tasks only count classes for each row. Neither tables nor gradients pass through the driver; weights are read from the shared folder. Scoring
 takes blocks as numpy batches.
@@ -63,9 +63,9 @@ class Shape:
     updates: int = 2
     rates: tuple[float, ...] = (0.8, 0.3)
     block_bytes: int = 4 << 20
-    share: float = 1 / 6  # of the blocks, in updates after the first,
+    share: float = 1.0  # of the blocks, in updates after the first,
     least: int = 1_000_000  # but so many tokens at least
-    blocks_a_task: int = 6  # in an update
+    blocks_a_task: int = 24  # in an update: a task sends a table of expectations, whatever it reads
     smooth: float = 8.0  # added to counts and expectations
     most: float = 4.0  # weights stay within
     discount: float = 0.75

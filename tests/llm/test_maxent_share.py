@@ -32,3 +32,11 @@ def test_without_training_texts_each_word_is_unseen(spark):
     docs = spark.createDataFrame([(i, "some words here") for i in ids], "doc_id long, text string")
     rows = maxent.score(docs).collect()
     assert len(rows) == len(ids) and all(r.held_out and (r.n_tokens, r.n_known, r.train_tokens, r.base_score) == (4, 0, 0, 0) and r.score < 0 for r in rows)
+
+
+def test_every_block_enters_every_update_by_default(spark):
+    """Before, the second update read a hashed sixth of the blocks; ``least`` hid that on small tables."""
+    docs = spark.read.parquet(DOCS)
+    got, whole = scores(docs, block_bytes=5000, least=0), scores(docs, block_bytes=5000, share=1.0)
+    assert all(got[k] == pytest.approx(v, rel=2e-3) for k, v in whole.items())
+    assert maxent.Shape().share == 1
