@@ -44,8 +44,10 @@ def shared_folder(spark: SparkSession) -> str:
 
 def small_batches(spark: SparkSession, most: str = "8m") -> None:
     """Arrow batches of about ``most`` for this session's Python functions: buffers of whole partitions
-    would be several times as large, in the JVM and in each worker."""
+    would be several times as large, in the JVM and in each worker. Parquet is read by fewer rows at once, too: 4096 whole
+    texts are arrays of tens of MB in the JVM."""
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", most)
+    spark.conf.set("spark.sql.parquet.columnarReaderBatchSize", "512")
 
 
 def scratch(spark: SparkSession, name: str) -> str:
