@@ -16,7 +16,8 @@ Training covers every training text. A first pass cuts the texts into blocks (co
 counts, for each row of the table, the classes or columns that followed. Dictionaries go to owners of hash ranges of words, which
 add up the counts and send each block the counts of its words: a row for each block and owner with words, so
 never more rows than words. In each update, tasks work out what the current weights expect to follow in training
-blocks (all of them in each update, unless a ``share`` is asked for in later ones), the expectations are summed by range of rows, and
+blocks (all of them in each update, unless a ``share`` is asked for in later ones; tokens of a block with the same history and class once),
+the expectations are summed by range of rows, and
 there each weight takes a step along its gradient, what was counted less what is expected, scaled by itself as in iterative
 scaling. In the first update all weights are zero and all histories of a class expect the same, so that tasks only count classes for each row. Neither tables nor gradients pass through the driver; weights are read from the shared folder. Scoring
 takes blocks as numpy batches.
@@ -52,8 +53,12 @@ WIDTH = 64
 RANGE = 1024
 #: Buckets of endings, and rows of them with classes.
 ENDINGS, ENDING_ROWS = 1024, 8192
-#: Tokens whose rows are added up at once; they stay in cache.
-SLICE = 1024
+#: Tokens whose rows are added up at once: enough for few calls of numpy, few enough for the cache.
+SLICE = 8192
+#: Rows of a slice whose running sums are worked out one after the other, and for all such pieces of the slice at once.
+PIECE = 32
+#: A context that was seen more often is repeated, as running sums of large numbers lose small ones.
+MOST_SEEN = 8
 
 
 @dataclass(frozen=True)
@@ -119,24 +124,51 @@ def mix32(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint32(16))
 
 
-def features(own: np.ndarray, codes: np.ndarray, ends: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of each token the rows of its history's features, four for the class and four for the column, its class and its column.
-    Before a text's first word stands the end."""
-    h, kind, end = own[0][codes], own[1][codes], own[:, codes[-1]]
-    one, two, ending = np.full(len(h), end[0], np.uint32), np.full(len(h), end[0], np.uint32), np.full(len(h), end[1] >> np.uint32(12), np.uint32)
-    one[1:], two[2:], ending[1:] = h[:-1], h[:-2], kind[:-1] >> np.uint32(12)
-    two[ends[:-1]] = end[0]  # only a text's first token reaches over the end before it
-    cls = kind >> np.uint32(6) & np.uint32(WIDTH - 1)
-    salt = cls * np.uint32(0x85EBCA6B)
+def before(codes: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Codes of the words one and two before each token. Before a text's first word stands the end."""
+    one, two = np.full((2, len(codes)), codes[-1], codes.dtype)
+    one[1:], two[2:] = codes[:-1], codes[:-2]
+    two[ends[:-1]] = codes[-1]  # only a text's first token reaches over the end before it
+    return one, two
+
+
+def rows_of(own: np.ndarray, one: np.ndarray, two: np.ndarray, cls: np.ndarray, bits: int) -> np.ndarray:
+    """The rows of a history's features, four for the class and four for the column, given the class."""
+    one, ending, two = own[0][one], own[1][one] >> np.uint32(12), own[0][two]
+    salt = cls.astype(np.uint32) * np.uint32(0x85EBCA6B)
     pair = mix32(one * np.uint32(0x9E3779B1) + two)
     top = lambda x, b: (x >> np.uint32(32 - b)).astype(np.int32)
     at = [np.int32((1 << bits) // 8 * i) for i in range(9)]
-    rows = np.stack([
+    return np.stack([
         top(one, bits - 2), at[2] + top(mix32(two + np.uint32(1)), bits - 3), at[3] + top(pair, bits - 3), at[8] + ending.astype(np.int32),
         at[4] + top(mix32(one + salt), bits - 2), at[6] + top(mix32(two + salt + np.uint32(1)), bits - 3), at[7] + top(mix32(pair + salt), bits - 3),
         at[8] + np.int32(ENDINGS) + (mix32(ending + salt) % np.uint32(ENDING_ROWS)).astype(np.int32),
     ])
-    return rows, cls.astype(np.int64), (kind & np.uint32(WIDTH - 1)).astype(np.int64)
+
+
+def features(own: np.ndarray, codes: np.ndarray, ends: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each token the rows of its history's features, its class and its column."""
+    at = cell(own)[codes]
+    cls, column = at // WIDTH, at % WIDTH
+    return rows_of(own, *before(codes, ends), cls, bits), cls, column
+
+
+def contexts(own: np.ndarray, codes: np.ndarray, ends: np.ndarray, on: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows, class and number of the tokens that are ``on``, once for all those with one history and class. They come by the ending of the word
+    before, class and word before, so that equal rows of these are neighbours."""
+    one, two = (x[on].astype(np.int64) for x in before(codes, ends))
+    cls, n = (cell(own) // WIDTH)[codes[on]], own.shape[1]
+    if n > 1 << 23:  # too many words for one number of all
+        return rows_of(own, one, two, cls, bits), cls, np.ones(len(cls), np.float32)
+    key = (((own[1] >> np.uint32(12)).astype(np.int64)[one] * WIDTH + cls) * n + one) * n + two
+    key.sort()
+    heads = np.flatnonzero(np.diff(key, prepend=-1))
+    seen, key = np.diff(heads, append=len(key)), key[heads]
+    times = -(-seen // MOST_SEEN)
+    one, two = np.divmod(np.repeat(key, times), n)
+    cls, one = np.divmod(one, n)
+    cls %= WIDTH
+    return rows_of(own, one, two, cls, bits), cls, np.repeat((seen / times).astype(np.float32), times)
 
 
 def count(table: np.ndarray, rows: np.ndarray, cls: np.ndarray, column: np.ndarray) -> None:
@@ -297,7 +329,7 @@ class Priors:
 
 
 def softmaxes(table: np.ndarray, prior: Priors, rows: np.ndarray, cls: np.ndarray) -> Iterator[tuple[int, int, np.ndarray]]:
-    """(layer, where a slice begins, unnormalised probabilities of its classes or columns); arrays are used again."""
+    """(layer, where a slice begins, unnormalised probabilities of its classes or columns); arrays are used again, so that a taker may change them."""
     z, y = np.empty((2, SLICE, WIDTH), np.float32)
     for a in range(0, rows.shape[1], SLICE):
         n = min(SLICE, rows.shape[1] - a)
@@ -319,18 +351,74 @@ def log_likelihood(table: np.ndarray, prior: Priors, rows: np.ndarray, cls: np.n
     return out
 
 
-def expectations(table: np.ndarray, prior: Priors, rows: np.ndarray, cls: np.ndarray, out: np.ndarray) -> None:
-    """Adds to each row the probabilities of the tokens that have it."""
-    ones = np.ones(WIDTH, np.float32)
-    for layer, a, p in softmaxes(table, prior, rows, cls):
-        p /= (p @ ones)[:, None]
-        for r in rows[4 * layer : 4 * layer + 4, a : a + len(p)]:
-            order = np.argsort(r, kind="stable")
+def runs(r: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each slice of rows: an order that brings equal ones together, and whether another one comes next."""
+    place = max(1, SLICE - 1).bit_length()
+    r = r.astype(np.int64) << place
+    for a in range(0, len(r), SLICE):
+        r[a : a + SLICE] |= np.arange(len(r[a : a + SLICE]))
+        r[a : a + SLICE].sort()
+    own = r >> place
+    ends = np.append(own[1:] != own[:-1], True)
+    ends[SLICE - 1 :: SLICE] = True
+    return r & (1 << place) - 1, ends
+
+
+class Adder:
+    """Adds probabilities of a slice's tokens to rows of ``out``; arrays for a slice are used again."""
+
+    def __init__(self, out: np.ndarray):
+        self.out, size = out, -(-SLICE // PIECE) * PIECE
+        self.own, self.at, self.sums, self.less = np.empty((4, size, WIDTH), np.float32)
+
+    def put(self, r: np.ndarray, p: np.ndarray) -> None:
+        """out[r] += p, where no row comes again."""
+        own = np.take(self.out, r, axis=0, out=self.own[: len(r)], mode="clip")
+        own += p
+        self.out[r] = own
+
+    def run_sums(self, p: np.ndarray, order: np.ndarray, last: np.ndarray) -> np.ndarray:
+        """Sums of the runs of rows, taken in ``order``, that end at the places ``last``: differences of running sums, which go on in pieces side by side."""
+        pieces = -(-len(order) // PIECE)
+        at = np.zeros(pieces * PIECE, np.int64)
+        at[: len(order)] = order
+        x = np.take(p, at.reshape(pieces, PIECE).T.ravel(), axis=0, out=self.at[: len(at)], mode="clip").reshape(PIECE, pieces, WIDTH)
+        for i in range(1, PIECE):
+            np.add(x[i], x[i - 1], out=x[i])
+        x[:, 1:] += np.add.accumulate(x[-1, :-1], axis=0)
+        upto = np.take(self.at, last % PIECE * pieces + last // PIECE, axis=0, out=self.sums[: len(last)], mode="clip")
+        less = self.less[: len(last) - 1]
+        np.copyto(less, upto[:-1])
+        upto[1:] -= less
+        return upto
+
+    def add(self, r: np.ndarray, p: np.ndarray, order: np.ndarray, ends: np.ndarray) -> None:
+        """out[r] += p for a slice with its ``runs``: a run's last row as it is, the others by their sum."""
+        last = order[ends]
+        self.put(r[last], np.take(p, last, axis=0, out=self.at[: len(last)], mode="clip"))
+        if len(last) < len(order):
+            order = order[~ends]
             own = r[order]
-            last = np.flatnonzero(np.diff(own, append=-1))
-            run = np.add.accumulate(p[order], axis=0, dtype=np.float32)[last]
-            run[1:] -= run[:-1].copy()
-            out[own[last]] += run
+            last = np.flatnonzero(np.append(own[1:] != own[:-1], True))
+            self.put(own[last], self.run_sums(p, order, last))
+
+
+def expectations(table: np.ndarray, prior: Priors, rows: np.ndarray, cls: np.ndarray, out: np.ndarray, seen: np.ndarray | None = None) -> None:
+    """Adds to each row the probabilities of the tokens that have it; ``seen`` says how many tokens each stands for. Neighbours with one word before
+    (as ``contexts`` gives them) are added up before they are added to its rows and its ending's."""
+    ones, adder = np.ones(WIDTH, np.float32), Adder(out)
+    found = {i: runs(rows[i]) for i in (1, 2, 5, 6)}
+    for layer, a, p in softmaxes(table, prior, rows, cls):
+        z = a + len(p)
+        p *= ((1 if seen is None else seen[a:z]) / (p @ ones))[:, None]
+        for i in (4 * layer + 1, 4 * layer + 2):
+            order, ends = found[i]
+            adder.add(rows[i, a:z], p, order[a:z], ends[a:z])
+        one, ending = rows[4 * layer, a:z], rows[4 * layer + 3, a:z]
+        last = np.flatnonzero(np.append((one[1:] != one[:-1]) | (ending[1:] != ending[:-1]), True))
+        p[: len(last)] = adder.run_sums(p, np.arange(len(p)), last)
+        for r in (one[last], ending[last]):
+            adder.add(r, p[: len(last)], *runs(r))
 
 
 def first_expectations(rows: np.ndarray, cls: np.ndarray, seen: np.ndarray) -> None:
@@ -405,9 +493,9 @@ def train(parts: DataFrame, counts: DataFrame, prior: Priors, tokens: int, n_blo
             for b in batches:
                 for i in range(b.num_rows):
                     block = Block(b, i)
-                    f, cls, _ = features(block.own, block.codes, block.ends, bits)
-                    expectations(table, prior, f[:, block.training], cls[block.training], out)
-                    del block, f, cls
+                    f, cls, seen = contexts(block.own, block.codes, block.ends, block.training, bits)
+                    expectations(table, prior, f, cls, out, seen)
+                    del block, f, cls, seen
             yield from sums(out, EXPECTED)
             del out
             give_back()
