@@ -20,6 +20,8 @@ NOISE = [
 MIN_SYMBOL = 3
 FUNCTION = r"(?:export\s+)?(?:default\s+)?(?:async\s+)?function\s+(\w+)\s*\("
 ARROW = r"(?:export\s+)?(?:const|let|var)\s+(\w+)\s*=\s*(?:async\s*)?\("
+#: What each match of these has.
+FUNCTION_HAS, ARROW_HAS = r"function\s", r"=\s*(?:async\s*)?\("
 DECLARED = r"(?:function\s+|const\s+)(\w+)"
 HOOK_CALL, JSX_TAG, CAMEL_CALL = r"\b(use[A-Z][a-zA-Z0-9]+)\b", r"<([A-Z][a-zA-Z0-9_]*)\b", r"\b([a-z][a-zA-Z]{3,})\s*[\.\(]"
 IMPORTED = r"\b([A-Za-z_$][a-zA-Z0-9_$]+)\b"

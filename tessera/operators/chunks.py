@@ -62,14 +62,17 @@ def parsed(files: DataFrame) -> DataFrame:
     from each function or arrow declaration on, and one from the first import line to the last."""
     last = F.size("lines")
 
-    def places(rule: int, pattern: str) -> Column:
-        return F.transform(starts(F.col("text"), pattern), lambda x, n: F.struct((n + rule * 100_000).alias("ordinal"), x["name"].alias("name"), x["start_line"].alias("start_line"), F.least(x["start_line"] + (fixed.CHUNK_LINES - 1), last).alias("end_line")))
+    def places(rule: int, pattern: str, needs: str) -> Column:
+        none = F.array().cast("array<struct<name:string,start_line:int>>")
+        # texts without what each match has are gone through by a short pattern only
+        found = F.when(F.col("text").rlike(needs), starts(F.col("text"), pattern)).otherwise(none)
+        return F.transform(found, lambda x, n: F.struct((n + rule * 100_000).alias("ordinal"), x["name"].alias("name"), x["start_line"].alias("start_line"), F.least(x["start_line"] + (fixed.CHUNK_LINES - 1), last).alias("end_line")))
 
     at = F.filter(F.transform("lines", lambda x, i: F.when(x.rlike(r"^\s*import "), i + 1)), lambda x: x.isNotNull())
     block = once(at, lambda at: F.when(F.size(at) > 0, F.array(F.struct(F.lit(1_000_000).alias("ordinal"), F.lit(None).cast("string").alias("name"), F.get(at, 0).alias("start_line"), F.element_at(at, -1).alias("end_line")))).otherwise(F.array().cast("array<struct<ordinal:int,name:string,start_line:int,end_line:int>>")))
     cut = files.select(F.col("id").alias("file_id"), "text", F.split("text", LINE_END).alias("lines"))
     # what a text has is worked out once, before it becomes rows
-    each = text_each(cut, ["file_id", "lines"], F.concat(places(0, fixed.FUNCTION), places(1, fixed.ARROW), block), "x").select("file_id", "lines", "x.*")
+    each = text_each(cut, ["file_id", "lines"], F.concat(places(0, fixed.FUNCTION, fixed.FUNCTION_HAS), places(1, fixed.ARROW, fixed.ARROW_HAS), block), "x").select("file_id", "lines", "x.*")
     rows = each.withColumn("text", F.array_join(F.slice("lines", F.col("start_line"), F.greatest(F.lit(0), F.col("end_line") - F.col("start_line") + 1)), "\n")).where(F.col("text").rlike(r"\S"))
     is_import = F.col("ordinal") == 1_000_000
     kind = F.when(is_import, "IMPORT_BLOCK").otherwise(kind_of(F.col("name")))

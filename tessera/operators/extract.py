@@ -58,26 +58,38 @@ def parts(chunks: DataFrame, key: str = "id", text: str = "text") -> DataFrame:
     return each(chunks, [key], every, "x").select(key, "x.part", "x.name")
 
 
-def mentions(chunks: DataFrame) -> DataFrame:
+def mentions(chunks: DataFrame, only: str | None = None) -> DataFrame:
     """(chunk_id, file_id, kind, name, path) from chunks (id, file_id, chunk_type, text): what a chunk imports (IMPORTS), the hooks, contexts and tags in
-    it, components of its routes (DEFINES_ROUTE, with the route's path), and whether it has state. All that edges need of texts, so texts are searched once."""
+    it, components of its routes (DEFINES_ROUTE, with the route's path), and whether it has state. All that edges need of texts, so texts are searched once; with ``only`` for that kind alone."""
     t, of = F.col("text"), F.col("chunk_type")
     code = of != "IMPORT_BLOCK"
     none = F.array().cast("array<struct<kind:string,name:string,path:string>>")
-    found = lambda kind, p: F.transform(F.array_distinct(F.regexp_extract_all(t, F.lit(p), F.lit(1))), lambda x: F.struct(F.lit(kind).alias("kind"), x.alias("name"), F.lit(None).cast("string").alias("path")))
-    routes = F.zip_with(F.regexp_extract_all(t, F.lit(fixed.ROUTE), F.lit(1)), F.regexp_extract_all(t, F.lit(fixed.ROUTE), F.lit(2)), lambda p, n: F.struct(F.lit("DEFINES_ROUTE").alias("kind"), n.alias("name"), p.alias("path")))
-    state = F.when(t.rlike(fixed.USE_STATE), F.array(F.struct(F.lit("MANAGES_STATE").alias("kind"), F.lit("").alias("name"), F.lit(None).cast("string").alias("path")))).otherwise(none)
+    wanted = lambda kind: only in (None, kind)
+    found = lambda kind, p: F.transform(F.array_distinct(F.regexp_extract_all(t, F.lit(p), F.lit(1))), lambda x: F.struct(F.lit(kind).alias("kind"), x.alias("name"), F.lit(None).cast("string").alias("path"))) if wanted(kind) else none
+    routes = F.zip_with(F.regexp_extract_all(t, F.lit(fixed.ROUTE), F.lit(1)), F.regexp_extract_all(t, F.lit(fixed.ROUTE), F.lit(2)), lambda p, n: F.struct(F.lit("DEFINES_ROUTE").alias("kind"), n.alias("name"), p.alias("path"))) if wanted("DEFINES_ROUTE") else none
+    state = none if not wanted("MANAGES_STATE") else F.when(t.rlike(fixed.USE_STATE), F.array(F.struct(F.lit("MANAGES_STATE").alias("kind"), F.lit("").alias("name"), F.lit(None).cast("string").alias("path")))).otherwise(none)
     of_code = F.concat(found("USES_HOOK", fixed.EDGE_HOOK), found("CONSUMES_CONTEXT", fixed.USE_CONTEXT), F.when(of.isin("COMPONENT", "FUNCTION"), found("RENDERS", fixed.EDGE_TAG)).otherwise(none), routes, state)
     rows = each(chunks, [F.col("id").alias("chunk_id"), "file_id"], F.when(code, of_code).otherwise(found("IMPORTS", fixed.IMPORT_FROM)), "x")
     return rows.select("chunk_id", "file_id", "x.kind", "x.name", "x.path")
 
 
+def resolved_routes(chunks: DataFrame, symbols: DataFrame, said: DataFrame) -> DataFrame:
+    """(name, chunk, file_id, path, target) of the routes among ``mentions``."""
+    found = said.where("kind = 'DEFINES_ROUTE'").select(F.col("chunk_id").alias("chunk"), "file_id", "path", "name")
+    return resolve(found, candidates(chunks, symbols, ["COMPONENT", "HOOK", "FUNCTION"], True))
+
+
+def routes_of(found: DataFrame) -> DataFrame:
+    routes = found.groupBy("path", F.col("name").alias("component")).agg(F.min("target").alias("chunk_id"))
+    return routes.select(F.sha1(F.concat_ws(":", "path", "component")).alias("id"), "path", "component", "chunk_id", F.lit(False).alias("is_protected"), F.lit(None).cast("string").alias("parent_route"), F.lit(None).cast("string").alias("metadata"))
+
+
 def edges_and_routes(files: DataFrame, chunks: DataFrame, symbols: DataFrame, compat: bool = False, keep_state: bool | None = None, said: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """Edges (from_id, to_id, edge_type, weight) and routes of all chunks: a function of the current tables, whatever the order files came in. ``said`` is what
     ``mentions`` found in the chunks, if it is kept. A chunk with state has an edge to itself (``keep_state``; not with ``compat``, which drops such edges)."""
     keep_state = not compat if keep_state is None else keep_state
-    said = mentions(chunks) if said is None else said
-    of = lambda kind: said.where(F.col("kind") == kind)
+    every = mentions(chunks) if said is None else said
+    of = lambda kind: every.where(F.col("kind") == kind)
 
     def linked(kinds: list[str], kind: str) -> DataFrame:
         found = of(kind).select(F.col("chunk_id").alias("from_id"), "name")
@@ -89,11 +101,12 @@ def edges_and_routes(files: DataFrame, chunks: DataFrame, symbols: DataFrame, co
     edges = edges.unionByName(linked(["HOOK"], "USES_HOOK")).unionByName(linked([], "CONSUMES_CONTEXT")).unionByName(linked(["COMPONENT"], "RENDERS"))
 
     main = chunks.where("chunk_type = 'COMPONENT'").groupBy("file_id").agg(F.min_by("id", F.struct("start_line", "id")).alias("main"))
-    found = resolve(of("DEFINES_ROUTE").select(F.col("chunk_id").alias("chunk"), "file_id", "path", "name"), candidates(chunks, symbols, ["COMPONENT", "HOOK", "FUNCTION"], True)).join(main, "file_id", "left")
+    target = resolved_routes(chunks, symbols, every)
+    found = target.join(main, "file_id", "left")
     for source, weight in ((F.coalesce("main", "chunk"), fixed.ROUTE_WEIGHTS[0]), (F.col("chunk"), fixed.ROUTE_WEIGHTS[1])):
         edges = edges.unionByName(found.select(source.alias("from_id"), F.col("target").alias("to_id"), F.lit("DEFINES_ROUTE").alias("edge_type"), F.lit(weight).alias("weight")))
-    routes = found.groupBy("path", F.col("name").alias("component")).agg(F.min("target").alias("chunk_id"))
-    routes = routes.select(F.sha1(F.concat_ws(":", "path", "component")).alias("id"), "path", "component", "chunk_id", F.lit(False).alias("is_protected"), F.lit(None).cast("string").alias("parent_route"), F.lit(None).cast("string").alias("metadata"))
+    # by themselves routes need no other pattern
+    routes = routes_of(target if said is not None else resolved_routes(chunks, symbols, mentions(chunks, "DEFINES_ROUTE")))
     order = F.col("weight") if compat else -F.col("weight")
     out = distinct_edges(edges.withColumn("_o", order), ["_o"]).drop("_o")
     if keep_state:

@@ -52,6 +52,14 @@ def test_routes_are_searched_once(code):
     assert [(r.name, r.path) for r in extract.mentions(code).where("kind = 'DEFINES_ROUTE'").collect()] == [("Page", "/r")]
 
 
+def test_routes_alone_need_no_other_names(code):
+    full = code.select("*", F.lit("Page").alias("name"), F.lit(1).alias("start_line"))
+    files, symbols = code.select(F.lit("f").alias("id"), F.lit("a.tsx").alias("path")), code.select(F.col("id").alias("chunk_id"), F.lit("Page").alias("name"), F.lit("COMPONENT").alias("symbol_type"))
+    routes = extract.edges_and_routes(files, full, symbols)[1]
+    assert not any(x in plan(routes) for x in (fixed.EDGE_HOOK, fixed.USE_CONTEXT, fixed.EDGE_TAG, fixed.USE_STATE)) and fixed.ROUTE in plan(routes)
+    assert [(r.path, r.component, r.chunk_id) for r in routes.collect()] == [("/r", "Page", "c")]
+
+
 def test_calls_are_searched_once(code):
     calls = extract.api_calls(code, "id")
     assert plan(calls).count(fixed.USE_QUERY) == 1 and plan(calls).count(fixed.FETCH) == 2
