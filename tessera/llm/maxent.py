@@ -16,7 +16,7 @@ Training covers every training text. A first pass cuts the texts into blocks (co
 counts, for each row of the table, the classes or columns that followed. Dictionaries go to owners of hash ranges of words, which
 add up the counts and send each block the counts of its words: a row for each block and owner with words, so
 never more rows than words. In each update, tasks work out what the current weights expect to follow in training
-blocks (all of them in each update, unless a ``share`` is asked for in later ones; tokens of a block with the same history and class once),
+blocks (all of them in each update, unless a ``share`` is asked for in later ones; tokens of a few blocks with the same history and class once),
 the expectations are summed by range of rows, and
 there each weight takes a step along its gradient, what was counted less what is expected, scaled by itself as in iterative
 scaling. In the first update all weights are zero and all histories of a class expect the same, so that tasks only count classes for each row. Neither tables nor gradients pass through the driver; weights are read from the shared folder. Scoring
@@ -59,6 +59,8 @@ SLICE = 8192
 PIECE = 32
 #: A context that was seen more often is repeated, as running sums of large numbers lose small ones.
 MOST_SEEN = 8
+#: Tokens of blocks whose contexts are found at once, and contexts taken at once.
+TOKENS, CONTEXTS = 4 << 20, 512 << 10
 
 
 @dataclass(frozen=True)
@@ -153,22 +155,32 @@ def features(own: np.ndarray, codes: np.ndarray, ends: np.ndarray, bits: int) ->
     return rows_of(own, *before(codes, ends), cls, bits), cls, column
 
 
-def contexts(own: np.ndarray, codes: np.ndarray, ends: np.ndarray, on: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Rows, class and number of the tokens that are ``on``, once for all those with one history and class. They come by the ending of the word
-    before, class and word before, so that equal rows of these are neighbours."""
-    one, two = (x[on].astype(np.int64) for x in before(codes, ends))
-    cls, n = (cell(own) // WIDTH)[codes[on]], own.shape[1]
-    if n > 1 << 23:  # too many words for one number of all
-        return rows_of(own, one, two, cls, bits), cls, np.ones(len(cls), np.float32)
-    key = (((own[1] >> np.uint32(12)).astype(np.int64)[one] * WIDTH + cls) * n + one) * n + two
+def contexts(blocks: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]], bits: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Rows, class and number of the tokens that are on in blocks (words' kinds, codes, ends, on), once for all those with one history and class, some at
+    a time. They come by the ending of the word before, class and word before, so that equal rows of these are neighbours."""
+    words = np.concatenate([own[0].astype(np.uint64) << np.uint64(32) | own[1] for own, *_ in blocks])
+    words, code = np.unique(words, return_inverse=True)
+    every, n, first, keys = np.stack([words >> np.uint64(32), words & np.uint64(0xFFFFFFFF)]).astype(np.uint32), len(words), 0, []
+    ending = (every[1] >> np.uint32(12)).astype(np.int64)
+    for own, codes, ends, on in blocks:
+        one, two = (code[first + x[on]] for x in before(codes, ends))
+        cls, first = (cell(own) // WIDTH)[codes[on]], first + own.shape[1]
+        if n > 1 << 23:  # too many words for one number of all
+            yield rows_of(every, one, two, cls, bits), cls, np.ones(len(cls), np.float32)
+        else:
+            keys.append(((ending[one] * WIDTH + cls) * n + one) * n + two)
+    key = np.concatenate(keys) if keys else np.zeros(0, np.int64)
+    del keys, code, words
     key.sort()
     heads = np.flatnonzero(np.diff(key, prepend=-1))
     seen, key = np.diff(heads, append=len(key)), key[heads]
     times = -(-seen // MOST_SEEN)
-    one, two = np.divmod(np.repeat(key, times), n)
-    cls, one = np.divmod(one, n)
-    cls %= WIDTH
-    return rows_of(own, one, two, cls, bits), cls, np.repeat((seen / times).astype(np.float32), times)
+    seen, key = np.repeat((seen / times).astype(np.float32), times), np.repeat(key, times)
+    for a in range(0, len(key), CONTEXTS):
+        one, two = np.divmod(key[a : a + CONTEXTS], n)
+        cls, one = np.divmod(one, n)
+        cls %= WIDTH
+        yield rows_of(every, one, two, cls, bits), cls, seen[a : a + CONTEXTS]
 
 
 def count(table: np.ndarray, rows: np.ndarray, cls: np.ndarray, column: np.ndarray) -> None:
@@ -265,6 +277,21 @@ class Block:
         self.training = np.repeat(~np.array(get("held"), bool), np.diff(self.ends))
 
 
+def together(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]]:
+    """Blocks as ``contexts`` takes them, so many tokens at once."""
+    some, n = [], 0
+    for b in batches:
+        for i in range(b.num_rows):
+            block = Block(b, i)
+            if some and n + block.n > TOKENS:
+                yield some
+                some, n = [], 0
+            some.append((block.own, block.codes, block.ends, block.training))
+            n += block.n
+    if some:
+        yield some
+
+
 def exchange(parts: DataFrame, owners: int) -> tuple[DataFrame, np.ndarray, np.ndarray]:
     """For each block the training counts of its words (block, owner, counts), and the
     totals by class and column: tokens and distinct words."""
@@ -490,12 +517,10 @@ def train(parts: DataFrame, counts: DataFrame, prior: Priors, tokens: int, n_blo
 
         def expect(batches, folder=folder):
             table, out = weights_in(folder, rows), np.zeros((rows, WIDTH), np.float32)
-            for b in batches:
-                for i in range(b.num_rows):
-                    block = Block(b, i)
-                    f, cls, seen = contexts(block.own, block.codes, block.ends, block.training, bits)
+            for some in together(batches):
+                for f, cls, seen in contexts(some, bits):
                     expectations(table, prior, f, cls, out, seen)
-                    del block, f, cls, seen
+                    del f, cls, seen
             yield from sums(out, EXPECTED)
             del out
             give_back()
@@ -512,7 +537,7 @@ def train(parts: DataFrame, counts: DataFrame, prior: Priors, tokens: int, n_blo
 
         share = min(1.0, max(s.share, s.least / max(tokens, 1))) if folder else 1.0
         some = parts.where(F.pmod(F.xxhash64(F.lit(rate), "block"), F.lit(1 << 20)) < int(share * (1 << 20))).select("n", "held", "ends", "codes", "n_words", "kinds")
-        some = some.repartition(max(1, -(-int(share * n_blocks) // s.blocks_a_task)))
+        some = some.coalesce(max(1, -(-int(share * n_blocks) // s.blocks_a_task)))  # files as they are: blocks don't move
         expected = some.mapInArrow(expect if folder else first, SUMS)
         new = state.unionByName(expected).repartition("part").mapInArrow(update, SUMS)
         folder = scratch(spark, "weights")

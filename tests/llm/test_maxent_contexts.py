@@ -1,4 +1,4 @@
-"""Updates of op9 work out a history once for all tokens of a block that have it, with the sums that tokens one by one give."""
+"""Updates of op9 work out a history once for all tokens of some blocks that have it, with the sums that tokens one by one give."""
 
 import numpy as np
 import pytest
@@ -13,7 +13,7 @@ def made(words, texts):
     return maxent.kinds(known), np.concatenate(full).astype(np.int32), np.cumsum([0, *map(len, full)])
 
 
-def test_contexts_add_up_to_what_tokens_do():
+def test_contexts_add_up_to_what_tokens_do(monkeypatch):
     rng = np.random.default_rng(3)
     words = [f"w{i}{e}" for i in range(60) for e in ("ing", "er", "s")]
     texts = [[words[min(int(x), 179)] for x in rng.exponential(12, n)] for n in rng.integers(0, 400, 60)] + [["w0ing"] * 5000, []] + [["w1s", "w2er"]] * 300
@@ -29,9 +29,16 @@ def test_contexts_add_up_to_what_tokens_do():
         p = np.exp(z) / np.exp(z).sum(axis=1, keepdims=True)
         for r in rows[4 * layer : 4 * layer + 4]:
             np.add.at(want, r, p)
-    rows, cls, seen = maxent.contexts(own, codes, ends, on, bits)
-    assert seen.sum() == on.sum() and len(seen) < on.sum() / 2 and seen.max() <= maxent.MOST_SEEN
-    maxent.expectations(table, prior, rows, cls, got, seen)
+    cut = len(ends) // 2  # two blocks, each with the whole dictionary in an order of its own
+    back = np.roll(np.arange(own.shape[1] - 1), 7)
+    other = np.append(np.argsort(back), len(back)).astype(np.int32)
+    blocks = [(own, codes[: ends[cut]], ends[: cut + 1], on[: ends[cut]]), (own[:, [*back, len(back)]], other[codes[ends[cut] :]], ends[cut:] - ends[cut], on[ends[cut] :])]
+    monkeypatch.setattr(maxent, "CONTEXTS", 1000)
+    found = list(maxent.contexts(blocks, bits))
+    n = sum(len(seen) for _, _, seen in found)
+    assert sum(seen.sum() for _, _, seen in found) == on.sum() and n < on.sum() / 2 and max(seen.max() for _, _, seen in found) <= maxent.MOST_SEEN
+    for rows, cls, seen in found:
+        maxent.expectations(table, prior, rows, cls, got, seen)
     assert got == pytest.approx(want, rel=1e-3, abs=0.02)
 
 
