@@ -198,15 +198,15 @@ def stems():
     return stem
 
 
-def counted_stems(c: Column) -> Column:
-    """How many terms (``terms``) a text has, and its stems with their counts. Texts go to Python as strings, with a space between
-    terms, and only distinct stems come back: lists of all terms would be gone through one by one, several times."""
+def counted_stems(c: Column, stemmer=porter) -> Column:
+    """How many terms (``terms``) a text has, and its stems (without ``stemmer`` the terms) with their counts. Texts go to Python as strings, with a space
+    between terms, and only distinct stems come back: lists of all terms would be gone through one by one, several times."""
 
     @F.arrow_udf("struct<n:bigint,terms:array<struct<term:string,w:int>>>")
     def count(texts: pa.Array) -> pa.Array:
         lists = pc.split_pattern(texts, " ")
         coded = lists.flatten().dictionary_encode()
-        stem = pa.array([porter(w) if w else w for w in coded.dictionary.to_pylist()], pa.string()).dictionary_encode()
+        stem = (pa.array([stemmer(w) if w else w for w in coded.dictionary.to_pylist()], pa.string()) if stemmer else coded.dictionary).dictionary_encode()
         code, row = np.asarray(stem.indices)[np.asarray(coded.indices)], np.repeat(np.arange(len(texts)), np.asarray(pc.list_value_length(lists)))
         some = np.asarray(pc.not_equal(stem.dictionary, "").to_numpy(zero_copy_only=False), bool)[code]
         code, row = code[some], row[some]

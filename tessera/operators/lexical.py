@@ -27,6 +27,18 @@ def postings(docs: DataFrame, key: str, *texts: str, stem: bool = False, weights
     return long.groupBy("term", key, "doc_len").agg(F.sum("w").cast("long").alias("tf")).select("term", key, "tf", "doc_len")
 
 
+def own_postings(docs: DataFrame, keep: list[str], text: str) -> DataFrame:
+    """(term, keep.., tf, doc_len) of rows that are a document each (``repeated`` says whether they are): a row's terms are counted where the row is. So no
+    postings are shuffled, and those of a document come one after the other, where columns that are the same for all of them take no room in Parquet."""
+    counted = docs.select(*keep, counted_stems(F.col(text), stemmer=None).alias("_t")).select(*keep, F.col("_t.n").alias("doc_len"), F.col("_t.terms").alias("_terms"))
+    return each(counted, [*keep, "doc_len"], F.col("_terms"), "_x").select("_x.term", *keep, F.col("_x.w").cast("long").alias("tf"), "doc_len")
+
+
+def repeated(docs: DataFrame, key: str) -> bool:
+    """Whether rows have a key in common."""
+    return not docs.groupBy(key).agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty()
+
+
 def corpus_size(docs: DataFrame, *texts: str) -> DataFrame:
     """One row: n_docs and avg_len."""
     return docs.agg(F.count(F.lit(1)).alias("n_docs"), F.avg(sum((F.size(terms(F.col(t))) for t in texts), F.lit(0))).alias("avg_len"))
@@ -152,9 +164,11 @@ def best(asked: DataFrame, post: DataFrame, size: DataFrame, query: str, key: st
 
     wanted = post.join(F.broadcast(asked.select("term").distinct()), "term", "left_semi")
     df = wanted.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    rated = wanted.join(F.broadcast(df), "term").crossJoin(F.broadcast(size))  # a row for each asked term; one row
+    # dealt out as they are, by key: a document's length is the same in all its rows, where parts would differ in each
+    met = wanted.where(F.col(key).isNotNull()).select("term", key, "tf", "doc_len").repartition(key)
+    rated = met.join(F.broadcast(df), "term").crossJoin(F.broadcast(size))  # a row for each asked term; one row
     part = bm25_part(F.col("tf"), F.col("df"), F.col("n_docs"), F.col("doc_len"), F.col("avg_len"))
-    dealt = rated.where(F.col(key).isNotNull()).select("term", key, part.alias("part")).repartition(key).sortWithinPartitions(key)
+    dealt = rated.select("term", key, part.alias("part")).sortWithinPartitions(key)
     return top(dealt.mapInArrow(run, f"{query} {qkind}, {key} {kind}, bm25 double"), [query], "bm25", key, k)
 
 

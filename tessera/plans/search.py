@@ -11,7 +11,10 @@ from ..functions import fixed
 from ..functions.text import stems
 from ..functions.vectors import hashed_encoder
 from ..operators import fusion, graph, lexical, semantic
-from ..sources.store import Store, cut
+from ..sources.store import Store, cut, kept
+
+#: So many chunks found are sent to the tasks; with more, all chunks are joined.
+FEW = 500_000
 
 
 @dataclass(frozen=True)
@@ -54,8 +57,10 @@ def search(store: Store, routed: DataFrame, top_k: int | None = None, encode=has
     sem = near.select(q, k, "score").unionByName(pooled.select(q, k, semantic.shifted(dot(F.col("vector"), F.col("_v"))).alias("score")))
 
     graphs = _graph(store, routed, lex, sym, near, c, q, k)
-    fused = fusion.fuse({"lexical": lex, "semantic": sem, "graph": graphs}, q, k)
-    chunks = store.read("chunks").withColumnRenamed("id", k)
+    fused = kept(fusion.fuse({"lexical": lex, "semantic": sem, "graph": graphs}, q, k))
+    ids, chunks = fused.select(k).distinct(), store.read("chunks").withColumnRenamed("id", k)
+    if ids.count() <= FEW:  # texts of other chunks stay where they are
+        chunks = chunks.join(F.broadcast(ids), k, "left_semi")
     rows = fused.join(chunks, k).join(routed.select(q, "lexical_weight", "semantic_weight", "graph_weight", F.col("top_k").alias("k")), q)
     rows = rows.withColumn("boost", fusion.quality_boost(F.col("chunk_type"), F.col("text")))
     hits = fusion.ranked(rows, q, k, F.lit(top_k) if top_k else F.col("k"), "boost")

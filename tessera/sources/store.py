@@ -6,6 +6,7 @@ name is written last, so readers see the old version or the new one.
 
 from __future__ import annotations
 
+import contextlib
 import json
 import math
 import re
@@ -62,20 +63,38 @@ def cut(df: DataFrame) -> DataFrame:
     return out
 
 
-def kept(df: DataFrame) -> DataFrame:
+@contextlib.contextmanager
+def tidy(spark: SparkSession):
+    """Shuffle files of what is written in here go when it has been written, not when the driver happens to collect its garbage."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
+def kept(df: DataFrame, *more: DataFrame) -> DataFrame:
     """``df`` saved as Parquet beside the checkpoints, without its lineage: for tables that several plans read. Each reads its own columns, where a
-    checkpoint is whole rows, written one by one as objects."""
+    checkpoint is whole rows, written one by one as objects. Rows of ``more`` tables like it are added one table after the other."""
     at = f"{shared_folder(df.sparkSession)}/kept-{uuid.uuid4().hex}"
-    df.write.parquet(at)
+    for x in (df, *more):
+        with tidy(df.sparkSession):
+            x.write.mode("append").option("compression", "zstd").parquet(at)
     return df.sparkSession.read.schema(df.schema).parquet(at)
 
 
+def small(df: DataFrame, most: int) -> bool:
+    """Whether it has so many bytes at most, by Spark's estimate."""
+    return bool(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes() <= most)
+
+
 def spread(df: DataFrame, most: int = 256 << 20) -> DataFrame:
     """A small table dealt out to all cores: a file of one row group is read by one task, which would do all that follows.
     Larger tables, by Spark's estimate of their bytes, have tasks enough and stay as they are."""
-    small = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes() <= most
     n = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(n, df.columns[0]) if small else df
+    return df.repartition(n, df.columns[0]) if small(df, most) else df
 
 
 def upsert(existing: DataFrame, new: DataFrame, key: list[str], order: list[str] | None = None) -> DataFrame:
@@ -151,13 +170,16 @@ class Store:
         owners = tables["chunks"].select(F.col("id").alias("chunk_id"), "file_id").distinct()
         for name, df in tables.items():
             own = df if "file_id" in df.columns else df.join(owners, "chunk_id")
-            self._put(name, own.withColumn("segment", F.lit(segment)))
+            self._put(name, own, segment)
         return segment
 
-    def _put(self, name: str, rows: DataFrame) -> None:
-        like = self.spark.createDataFrame([], self._segments(name).schema)
+    def _put(self, name: str, rows: DataFrame, segment: str) -> None:
+        """Rows go to the segment's folder by name: a partitioned write would sort them all by it."""
+        like = self.spark.createDataFrame([], self._segments(name).drop("segment").schema)
         full = like.unionByName(rows.select([c for c in rows.columns if c in like.columns]), allowMissingColumns=True)
-        full.hint("rebalance").write.partitionBy("segment").mode("append").parquet(f"{self.folder}/{name}")
+        few = full.hint("rebalance") if small(full, 16 << 20) else full  # else each task's rows fill a file, and stay where they are
+        with tidy(self.spark):
+            few.write.mode("append").option("compression", "zstd").parquet(f"{self.folder}/{name}/segment={segment}")
 
     def merge(self, fan: int = 4) -> int:
         """Puts segments of like size (of their live files, by powers of ``fan``) together, where there are ``fan`` of them; says how many went."""
@@ -170,7 +192,7 @@ class Store:
             segment = uuid.uuid4().hex
             live = files.where(F.col("segment").isin(old)).select(F.col("id").alias("file_id"), "segment")
             for name in SEGMENTED:
-                self._put(name, self._segments(name).where(F.col("segment").isin(old)).join(live, ["file_id", "segment"], "left_semi").withColumn("segment", F.lit(segment)))
+                self._put(name, self._segments(name).where(F.col("segment").isin(old)).join(live, ["file_id", "segment"], "left_semi"), segment)
             self.write("files", files.withColumn("segment", F.when(F.col("segment").isin(old), segment).otherwise(F.col("segment"))))
         return len(old)
 
@@ -196,7 +218,8 @@ class Store:
         old, new = self._current(name), f"v-{uuid.uuid4().hex}"
         hits = self._hits() if name == "retrieval_cache" else []
         columns = [c.split()[0] for c in TABLES[name][0].split(", ")]
-        df.select(columns).write.parquet(f"{self.folder}/{name}/{new}")
+        with tidy(self.spark):
+            df.select(columns).write.option("compression", "zstd").parquet(f"{self.folder}/{name}/{new}")
         if self._current(name) != old:
             raise RuntimeError(f"another writer has changed {name}")
         for at in hits:  # their counts are in the new version
