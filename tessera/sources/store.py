@@ -142,6 +142,22 @@ def live(cache: DataFrame, now) -> DataFrame:
     return cache.where(F.col("created_at") + F.make_interval(secs=F.coalesce("ttl_seconds", F.lit(fixed.CACHE_TTL_SECONDS))) >= now)
 
 
+#: So many files of segments are sent to all tasks, some 100 bytes each.
+SENT = 1_000_000
+
+
+def alive(rows: DataFrame, files: DataFrame) -> DataFrame:
+    """Those rows of segments whose file is in that segment still. Rows are many for each file, so they stay where they are: files go to them, the ones that are in
+    their segments or, if these are too many, the ones that are in it no more. Only if both are, all rows are dealt out by file."""
+    on = ["file_id", "segment"]
+    live = files.select(F.col("id").alias("file_id"), "segment")
+    if small(live, 1 << 20) or live.count() <= SENT:
+        return rows.join(F.broadcast(live), on, "left_semi")
+    named = rows.where("file_id IS NOT NULL AND segment IS NOT NULL")
+    dead = kept(named.select(*on).distinct().join(live, on, "left_anti"))
+    return named.join(F.broadcast(dead), on, "left_anti") if dead.count() <= SENT else rows.join(live, on, "left_semi")
+
+
 class Store:
     """A project's tables in one folder of any Hadoop file system."""
 
@@ -190,16 +206,15 @@ class Store:
         old = sorted(s for some in tiers.values() if len(some) >= fan for s in some)
         if old:
             segment = uuid.uuid4().hex
-            live = files.where(F.col("segment").isin(old)).select(F.col("id").alias("file_id"), "segment")
+            live = files.where(F.col("segment").isin(old))
             for name in SEGMENTED:
-                self._put(name, self._segments(name).where(F.col("segment").isin(old)).join(live, ["file_id", "segment"], "left_semi"), segment)
+                self._put(name, alive(self._segments(name).where(F.col("segment").isin(old)), live), segment)
             self.write("files", files.withColumn("segment", F.when(F.col("segment").isin(old), segment).otherwise(F.col("segment"))))
         return len(old)
 
     def read(self, name: str) -> DataFrame:
         if name in SEGMENTED:
-            live = self.read("files").select(F.col("id").alias("file_id"), "segment")
-            return self._segments(name).join(live, ["file_id", "segment"], "left_semi").select([c.split()[0] for c in TABLES[name][0].split(", ")])
+            return alive(self._segments(name), self.read("files")).select([c.split()[0] for c in TABLES[name][0].split(", ")])
         schema, at = TABLES[name][0], self._current(name)
         df = self.spark.read.schema(schema).parquet(f"{self.folder}/{name}/{at}") if at else self.spark.createDataFrame([], schema)
         if name == "retrieval_cache" and (hits := self._hits()):
