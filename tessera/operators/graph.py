@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -89,22 +91,44 @@ def distances(edges: DataFrame, seeds: DataFrame, depth: int = 5) -> DataFrame:
     return every
 
 
-def impact(edges: DataFrame, seeds: DataFrame, depth: int, reverse: bool = True, edge_types: list[str] | None = None) -> DataFrame:
+#: So many rows of a frontier are sent to the tasks that have the edges; and of so many at once the next level is worked out.
+SENT, PART = 500_000, 50_000_000
+
+
+def impact(edges: DataFrame, seeds: DataFrame, depth: int, reverse: bool = True, edge_types: list[str] | None = None, levels: list[list[str]] | None = None) -> DataFrame:
     """(seed, node, distance, path, kinds): what each seed (node) reaches, or with ``reverse`` what depends on it, by a shortest path of ``depth`` edges
-    at most; of equal ones the least. No node is entered twice by a seed, so cycles end. Levels are kept as columns: what is
-    known of a level is asked by its ends alone, without the ways."""
+    at most; of equal ones the least. No node is entered twice by a seed, so cycles end. Where the nodes of each level are of a kind of their own (as in a schema of
+    tables), ``levels`` names the types of each level's edges: a level then moves no others, and isn't compared with those before. A level is kept as columns, one
+    for each node between seed and node and one for each edge's type: ways of a level are equally long, so the least by these is the
+    least, and seed, node and lists move with none. What is known of a level is asked by its ends alone. Seeds of a large level are taken some
+    at a time, so that what is shuffled at once doesn't grow with it."""
     if edge_types:
         edges = edges.where(F.col("edge_type").isin(edge_types))
     a, b = ("to_id", "from_id") if reverse else ("from_id", "to_id")
-    at = kept(seeds.select(F.col("node").alias("seed"), "node", F.lit(0).alias("distance"), F.array("node").alias("path"), F.array().cast("array<string>").alias("kinds")).distinct())
-    steps, every = by_start(edges.select(F.col(a).alias("node"), F.col(b).alias("next"), "edge_type")), at
+    steps = edges.select(F.col(a).alias("node"), F.col(b).alias("next"), "edge_type")
+    at = kept(seeds.select(F.col("node").alias("seed"), "node").distinct())
+    held, every = None if levels else by_start(steps), [at]
     for level in range(1, depth + 1):
-        way = F.struct(F.concat("path", F.array("next")).alias("path"), F.concat("kinds", F.array("edge_type")).alias("kinds"))
-        least = at.join(steps, "node").groupBy("seed", "next").agg(F.min(way).alias("w"))
-        at = kept(least.select("seed", F.col("next").alias("node"), F.lit(level).alias("distance"), "w.path", "w.kinds").join(every.select("seed", "node"), ["seed", "node"], "left_anti"))
-        every = every.unionByName(at)
-    steps.unpersist()
-    return every.where("distance > 0")
+        own = steps.where(F.col("edge_type").isin(levels[level - 1])) if levels else held
+        n = at.count()
+        parts = max(1, -(-n // PART))
+        between = [*[F.col(f"p{i}") for i in range(1, level - 1)], *([F.col("node").alias(f"p{level - 1}")] if level > 1 else [])]
+        way = F.struct(*between, *[F.col(f"k{i}") for i in range(1, level)], F.col("edge_type").alias(f"k{level}"))
+        new = []
+        for i in range(parts):
+            some = at.where(F.pmod(F.xxhash64("seed"), F.lit(parts)) == i) if parts > 1 else at
+            new.append((F.broadcast(some) if n <= SENT else some).join(own, "node").groupBy("seed", F.col("next").alias("node")).agg(F.min(way).alias("w")).select("seed", "node", "w.*"))
+            for known in [] if levels else every:
+                new[i] = new[i].join(known.select("seed", "node"), ["seed", "node"], "left_anti")
+        at = kept(*new)
+        every.append(at)
+    if held is not None:
+        held.unpersist()
+    found = [
+        x.select("seed", "node", F.lit(n).alias("distance"), F.array("seed", *[f"p{i}" for i in range(1, n)], "node").alias("path"), F.array(*[f"k{i}" for i in range(1, n + 1)]).alias("kinds"))
+        for n, x in enumerate(every) if n
+    ]
+    return functools.reduce(DataFrame.unionByName, found)
 
 
 def between(edges: DataFrame, pairs: DataFrame, depth: int) -> DataFrame:
